@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridweave.llm import bpe, packing, token_files
+from gridweave.llm import bpe, exact_dedup, packing, simhash, token_files
 from gridweave.llm.shared import new_path, table
 
 
@@ -19,11 +20,28 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), out)
     return token_files.with_crc(token_files.read_token_files(spark, out)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op5_token_files": op5_token_files}
-ORACLES: dict[str, str] = {}
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    groups = exact_dedup.exact_groups(docs.withColumn("text_sha256", F.sha2(exact_dedup.normalised(), 256)))
+    return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_bpe": op2_bpe,
+    "op4_simhash": op4_simhash,
+    "op5_token_files": op5_token_files,
+    "op9_exact_dedup": op9_exact_dedup,
+}
+ORACLES: dict[str, str] = {"op9_exact_dedup": exact_dedup.ORACLE}
