@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import bpe, exact_dedup, packing, simhash, token_files
+from gridweave.llm import bpe, exact_dedup, packing, quality, secrets, simhash, token_files
 from gridweave.llm.shared import new_path, table
 
 
@@ -20,6 +20,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -31,6 +36,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_crc(token_files.read_token_files(spark, out)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.with_secrets(table(spark, sf_dir, "documents")))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     groups = exact_dedup.exact_groups(docs.withColumn("text_sha256", F.sha2(exact_dedup.normalised(), 256)))
@@ -40,8 +49,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
+    "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_token_files": op5_token_files,
+    "op6_secrets": op6_secrets,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLES: dict[str, str] = {"op9_exact_dedup": exact_dedup.ORACLE}
