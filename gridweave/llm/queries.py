@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import bpe, exact_dedup, packing, quality, secrets, simhash, token_files
+from gridweave.llm import bpe, chat, exact_dedup, packing, pii, quality, secrets, simhash, token_files
 from gridweave.llm.shared import new_path, table
 
 
@@ -40,12 +40,22 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.with_secrets(table(spark, sf_dir, "documents")))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(chat.CONTROL).alias("text")) for i, r in enumerate(("user", "assistant"))))).alias("x")).select("x.*")
+    return chat.digests(chat.formatted(turns.unionByName(extra)))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     groups = exact_dedup.exact_groups(docs.withColumn("text_sha256", F.sha2(exact_dedup.normalised(), 256)))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.found_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
@@ -53,6 +63,8 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_token_files": op5_token_files,
     "op6_secrets": op6_secrets,
+    "op8_chat": op8_chat,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_pii": op10_pii,
 }
-ORACLES: dict[str, str] = {"op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op8_chat": chat.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}

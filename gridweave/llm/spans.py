@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
+SPAN = "array<struct<kind:string,start:int,end:int,value:string,left:string>>"
+LEFT_CHARS = 80  #: text before a match that is kept as its context
 
 
 def none() -> Column:
@@ -20,7 +21,7 @@ def none() -> Column:
 
 
 def matches(text: Column, pattern: str, kind: str, group: int | None = None) -> Column:
-    """Array of (kind, start, end, value); value is the match, or its ``group``. Empty unless the text matches."""
+    """Array of (kind, start, end, value, left); value is the match, or its ``group``. Empty unless the text matches."""
     between = F.split(text, pattern, -1)
     both = F.arrays_zip(F.slice(between, F.lit(1), F.size(between) - 1).alias("b"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group or 0)).alias("v"))
     start = F.struct(F.lit(0).alias("at"), none().alias("found"))
@@ -28,7 +29,7 @@ def matches(text: Column, pattern: str, kind: str, group: int | None = None) ->
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["b"])
         end = begin + F.length(x["m"])
-        one = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["v"].alias("value"))
+        one = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["v"].alias("value"), F.substring(x["b"], -LEFT_CHARS, LEFT_CHARS).alias("left"))
         return F.struct(end.alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
 
     found = F.aggregate(both, start, step, lambda acc: acc["found"])
@@ -38,8 +39,8 @@ def matches(text: Column, pattern: str, kind: str, group: int | None = None) ->
 def ordered(spans: Column, kinds: tuple[str, ...]) -> Column:
     """By start, then by kind as listed, then by end."""
     rank = F.create_map(*(F.lit(x) for i, k in enumerate(kinds) for x in (k, i)))
-    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
-    return F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), s["left"].alias("left")))
+    return F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["left"].alias("left")))
 
 
 def joined(spans: Column) -> Column:
