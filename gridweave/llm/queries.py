@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import bpe, chat, exact_dedup, packing, pii, quality, secrets, simhash, token_files
+from gridweave.llm import bpe, chat, exact_dedup, line_dedup, packing, pii, quality, secrets, simhash, token_files
 from gridweave.llm.shared import new_path, table
 
 
@@ -40,6 +40,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.with_secrets(table(spark, sf_dir, "documents")))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(chat.CONTROL).alias("text")) for i, r in enumerate(("user", "assistant"))))).alias("x")).select("x.*")
@@ -63,8 +67,9 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_token_files": op5_token_files,
     "op6_secrets": op6_secrets,
+    "op7_line_dedup": op7_line_dedup,
     "op8_chat": op8_chat,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
 }
-ORACLES: dict[str, str] = {"op8_chat": chat.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE, "op8_chat": chat.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}

@@ -247,3 +247,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(nodes.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """The row of ``docs`` of smallest doc_id of each component; one of the rows where a doc_id repeats."""
+    groups = near_duplicates(docs.select("doc_id", "text"), shingle, radius).select("component_id").distinct()
+    rows = docs.join(groups, docs["doc_id"].eqNullSafe(groups["component_id"]), "left_semi")
+    return rows.dropDuplicates(["doc_id"])
