@@ -1,4 +1,7 @@
 """Queries of the library and DuckDB SQL for them, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from gridweave.plans import dislocation_queries, panel_queries
+
+MODULES = (panel_queries, dislocation_queries)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
