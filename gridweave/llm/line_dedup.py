@@ -72,10 +72,12 @@ def removals(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(*KEY, "place")).alias("first")
     repeated = checkpointed(found.groupBy("hash").agg(F.count("*").alias("n"), first, (F.min("text") == F.max("text")).alias("same")).where("n > 1").select("hash", "first", "same"))
     marked = found.select(*KEY, "place", "hash").join(repeated.where("same").select("hash", "first"), "hash").where(later(found)).select(*KEY, "place")
-    # hashes that different texts share: by the texts themselves
-    mixed = found.join(repeated.where("not same").select("hash"), "hash", "left_semi")
-    by_text = mixed.groupBy("hash", "text").agg(F.count("*").alias("n"), first).where("n > 1")
-    marked = marked.unionByName(mixed.join(by_text, ["hash", "text"]).where(later(mixed)).select(*KEY, "place"))
+    # hashes that different texts share, if there are any: by the texts themselves
+    shared = repeated.where("not same").select("hash")
+    if not shared.isEmpty():
+        mixed = found.join(shared, "hash", "left_semi")
+        by_text = mixed.groupBy("hash", "text").agg(F.count("*").alias("n"), first).where("n > 1")
+        marked = marked.unionByName(mixed.join(by_text, ["hash", "text"]).where(later(mixed)).select(*KEY, "place"))
     return marked.distinct().groupBy(*KEY).agg(F.collect_list("place").alias("gone"))
 
 
