@@ -32,9 +32,10 @@ END_WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]
 #: Words of letters, digits and ASCII marks that hold no added token and begin with no contraction.
 PLAIN = r"[\pL\p{Nd}!-&(-;=-~][\pL\p{Nd}!-;=-~]*$"
 
-SLICE_BYTES = 4 << 20  #: text handled at once by a task; a longer text is handled alone
-CACHE_CHUNKS = 1_000_000  #: encoded chunks that a Python worker remembers
-TREE_CELLS = 1 << 19  #: leaves of the trees that are merged at once
+SLICE_BYTES = 2 << 20  #: text handled at once by a task; a longer text is handled alone
+CACHE_CHUNKS = 500_000  #: encoded chunks that a Python worker remembers
+BATCH_ROWS = 1_000  #: rows of an Arrow batch
+TREE_CELLS = 1 << 18  #: leaves of the trees that are merged at once
 NEVER = np.iinfo(np.int64).max
 
 _WS = np.zeros(256, bool)
@@ -333,14 +334,29 @@ def codec(path: str) -> BpeCodec:
     return _CODECS[path]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about SLICE_BYTES of text."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(size) // SLICE_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(size)]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if b > a:
-            yield batch.slice(a, b - a)
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in runs of about SLICE_BYTES of text; a longer text makes a run alone."""
+    held: list[pa.RecordBatch] = []
+    have = 0
+    for batch in batches:
+        begin = 0
+        for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).tolist()):
+            if have and have + size > SLICE_BYTES:
+                held.append(batch.slice(begin, i - begin))
+                yield pa.concat_batches([h for h in held if h.num_rows])
+                held, have, begin = [], 0, i
+            have += size
+        held.append(batch.slice(begin))
+        if len(held) > 64:  # many short texts
+            held = [pa.concat_batches(held)]
+    if any(h.num_rows for h in held):
+        yield pa.concat_batches(held)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session's Arrow batches are held to a number of rows that suits long texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
 
 
 def with_tokens(docs: DataFrame, path: str) -> DataFrame:
@@ -349,14 +365,13 @@ def with_tokens(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
-            for part in slices(batch):
-                off, ids = c.encode(part.column("text"))
-                lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, c.decode(off, ids).cast(pa.string())], [*part.schema.names, "ids", "decoded"])
+        for part in slices(batches):
+            off, ids = c.encode(part.column("text"))
+            lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([*part.columns, lists, c.decode(off, ids).cast(pa.string())], [*part.schema.names, "ids", "decoded"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -366,15 +381,14 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
-            for part in slices(batch):
-                off, ids = c.encode(part.column("text"))
-                lists = pa.LargeListArray.from_arrays(pa.array(off), c.decimals.take(pa.array(ids)))
-                written = pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
-                digest = lambda a: pa.array([sha256(x.as_buffer()).hexdigest() for x in a.cast(pa.large_binary())])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(off)), digest(written), digest(c.decode(off, ids))],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for part in slices(batches):
+            off, ids = c.encode(part.column("text"))
+            lists = pa.LargeListArray.from_arrays(pa.array(off), c.decimals.take(pa.array(ids)))
+            written = pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
+            digest = lambda a: pa.array([sha256(x.as_buffer()).hexdigest() for x in a.cast(pa.large_binary())])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(np.diff(off)), digest(written), digest(c.decode(off, ids))],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

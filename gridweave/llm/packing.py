@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridweave.llm.bpe import codec, slices
+from gridweave.llm.bpe import codec, slices, small_batches
 from gridweave.llm.shared import partitions
 
 SHARD_DOCS = 20_000  #: documents of a shard, as long as there are fewer shards than shuffle partitions
@@ -45,24 +45,23 @@ def cut(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, keep_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
-            for part in slices(batch):
-                off, ids = with_end(*c.encode(part.column("text")), end_id)
-                size = np.diff(off)
-                n = -(-size // window)
-                doc = np.repeat(np.arange(len(size)), n)
-                start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * window
-                length = np.minimum(window, size[doc] - start)
-                edge = np.append(off[doc] + start, off[-1])
-                view = memoryview(ids.astype("<u4")).cast("B")
-                crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-                columns = [part.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(size[doc])]
-                if keep_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids)))
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
+        for part in slices(batches):
+            off, ids = with_end(*c.encode(part.column("text")), end_id)
+            size = np.diff(off)
+            n = -(-size // window)
+            doc = np.repeat(np.arange(len(size)), n)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * window
+            length = np.minimum(window, size[doc] - start)
+            edge = np.append(off[doc] + start, off[-1])
+            view = memoryview(ids.astype("<u4")).cast("B")
+            crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            columns = [part.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(size[doc])]
+            if keep_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids)))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(x, T.LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens")), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] * keep_ids)])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 class CapacityTree:

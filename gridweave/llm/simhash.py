@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridweave.llm.bpe import ragged_take, slices
+from gridweave.llm.bpe import slices, small_batches
 from gridweave.llm.shared import checkpointed, partitions
 
 SHARD_AIM = 1_000  #: fingerprints that a shard would have if bits were even
@@ -60,12 +60,11 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                texts = pc.fill_null(part.column("text"), "").cast(pa.large_binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([simhash(t.as_buffer().to_pybytes(), shingle) for t in texts], pa.int64())], ["doc_id", "fp"])
+        for part in slices(batches):
+            texts = pc.fill_null(part.column("text"), "").cast(pa.large_binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([simhash(t.as_buffer().to_pybytes(), shingle) for t in texts], pa.int64())], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())]))
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
 # -- trees ---------------------------------------------------------------------------------------

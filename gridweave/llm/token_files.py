@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from gridweave.llm.bpe import codec, slices
+from gridweave.llm.bpe import codec, slices, small_batches
 from gridweave.llm.packing import with_end
 from gridweave.llm.shared import partitions, text_or_empty
 
@@ -37,18 +37,17 @@ def encode_rows(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, before, part_no = codec(path), 0, TaskContext.get().partitionId()
-        for batch in batches:
-            for part in slices(batch):
-                off, ids = with_end(*c.encode(part.column("text")), end_id)
-                n = len(off) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.full(n, part_no, np.int64)), pa.array(before + off[:-1]), pa.array(np.diff(off)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))],
-                    schema.names,
-                )
-                before += int(off[-1])
+        for part in slices(batches):
+            off, ids = with_end(*c.encode(part.column("text")), end_id)
+            n = len(off) - 1
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(np.full(n, part_no, np.int64)), pa.array(before + off[:-1]), pa.array(np.diff(off)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))],
+                schema.names,
+            )
+            before += int(off[-1])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(x, T.LongType()) for x in ("part", "before", "n_tokens")), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 1, encoding: str = "dictionary", files: int | None = None) -> None:
