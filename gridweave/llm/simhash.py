@@ -180,7 +180,7 @@ def shards(nodes: DataFrame, radius: int) -> Iterator[DataFrame]:
                 own.append(F.struct(F.lit(seen).alias("path"), F.col("fp").bitwiseAND(F.lit(signed(shared | block))).alias("key")))
                 seen += 1
             parts.append(F.when(F.col("path") == path, F.array(*own)))
-        level = level.join(large, ["path", "key"], "left_semi").select("fp", F.explode(F.coalesce(*parts)).alias("s")).select("s.path", "s.key", "fp")
+        level = checkpointed(level.join(large, ["path", "key"], "left_semi").select("fp", F.explode(F.coalesce(*parts)).alias("s")).select("s.path", "s.key", "fp"))
         masks = children
 
 

@@ -56,7 +56,7 @@ def test_groups_and_cut_shards(spark, monkeypatch):
     fps = list(dict.fromkeys(fps))
     want = brute_components(dict(enumerate(fps)))
     rows = [(i, S.signed(f)) for i, f in enumerate(fps)]
-    monkeypatch.setattr(S, "SHARD_MOST", 12)
+    monkeypatch.setattr(S, "SHARD_MOST", 60)
     monkeypatch.setattr(S, "SLAB_ROWS", 64)
     nodes = spark.createDataFrame([(f,) for _, f in rows], "fp long").cache()
     root = {n.node: n.root for n in S.components(S.links(nodes, 4)).collect()}
@@ -82,4 +82,4 @@ def test_representatives_and_edges(spark):
     docs = spark.createDataFrame([(3, text, "a"), (2, text, "b"), (2, text, "b"), (9, None, "c"), (8, "", "c"), (5, "quite another text here", "d")], schema)
     assert sorted(r.doc_id for r in S.representatives(docs).collect()) == [2, 5, 8]
     assert S.near_duplicates(spark.createDataFrame([], schema)).count() == 0
-    assert S.simhash(b"a " * 100_000, 4) == brute_fp("a a a a")
+    assert S.simhash(b"a " * 100_000, 4) & (1 << 64) - 1 == brute_fp("a a a a")
