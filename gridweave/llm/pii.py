@@ -6,8 +6,7 @@ like an identifier; patterns and instances form a graph that Spark scores in ROU
 confidence is the summed score of the instances it precedes over all its occurrences in the corpus,
 whatever follows there; an instance's score is 1 for a seed, else the noisy-or of its patterns'
 confidences. Unseen tokens after a pattern of confidence LEAST_CONFIDENCE become spans of kind
-``context``. A pattern needs MIN_VALUES different instances; of those the PATTERNS_MOST best supported
-are scored, the usual cut of bootstrapping.
+``context``. Every pattern of MIN_VALUES different instances or more is scored.
 
 Defined results: a null or empty text has no spans; of repeated rows each is reported; an empty table
 gives no row; extra columns are carried and those named like a result replaced.
@@ -35,7 +34,6 @@ TOKEN_DIGITS, TOKEN_CHARS = 4, 6
 ROUNDS = 3
 MIN_VALUES = 3
 LEAST_CONFIDENCE = 0.6
-PATTERNS_MOST = 10_000
 SLOTS = 1 << 18  #: of the bitmap that pairs of words are tested against
 RESULTS = ("base_spans", "spans")
 
@@ -91,8 +89,8 @@ def occurrences(docs: DataFrame, contexts: DataFrame) -> DataFrame:
 def confident(docs: DataFrame, instances: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """context, confidence of the patterns; ``instances``: context, value, seed."""
     edges = checkpointed(instances.where("context is not null").groupBy("context", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
-    support = edges.groupBy("context").agg(F.count("*").alias("values"), F.sum("n").alias("n")).where(F.col("values") >= MIN_VALUES)
-    patterns = checkpointed(support.orderBy(F.desc("values"), F.desc("n"), "context").limit(PATTERNS_MOST).select("context"))
+    support = edges.groupBy("context").agg(F.count("*").alias("values")).where(F.col("values") >= MIN_VALUES)
+    patterns = checkpointed(support.select("context"))
     occ = checkpointed(occurrences(docs, patterns))
     edges = checkpointed(edges.join(occ, "context"))
     scores = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"))

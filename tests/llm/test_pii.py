@@ -118,3 +118,12 @@ def test_redacted_and_empty(spark):
     assert sorted(map(tuple, pii.redacted(docs).collect()), key=str) == sorted([(None, "to <EMAIL> and <IP>!", "k"), (1, None, "k"), (2, "clean", "k"), (2, "clean", "k")], key=str)
     empty = spark.createDataFrame([], schema)
     assert pii.redacted(empty).count() == 0 and pii.found_spans(empty).count() == 0
+
+
+def test_every_pattern_is_scored(spark):
+    """10,001 frequent contexts do not push out a sure one of three values."""
+    rows = [(f"common c{i}", f"{v}{i:05d}99", False) for i in range(10_001) for v in (1, 2, 3, 4)]
+    rows += [("mail me:", f"x{v}@host.org", True) for v in range(3)]
+    docs = spark.createDataFrame([(" ".join(f"{c} {v}" for c, v, _ in rows),)], "text string")
+    got = {r.context: r.confidence for r in pii.confident(docs, spark.createDataFrame(rows, "context string, value string, seed boolean")).collect()}
+    assert len(got) == 10_002 and got["mail me:"] == 1.0
