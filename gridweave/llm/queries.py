@@ -21,7 +21,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=None)
     return found.select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
