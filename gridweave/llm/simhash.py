@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,12 +35,13 @@ SHARD_AIM = 1_000  #: fingerprints that a shard would have if bits were even
 SHARD_MOST = 5_000  #: above this it is cut again
 SLAB_ROWS = 20_000  #: rows of whole shards handled at once
 
+BANDS, ROWS = 20, 5  #: two texts of similarity s share a band with 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8
+ALL_PAIRS = 16  #: nodes of a bucket whose pairs are all tested at once
+FACTORS, SHIFTS = (np.random.default_rng(k).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1) for k in (42, 43))
 
-def simhash(text: bytes, shingle: int) -> int:
-    """Fingerprint of a UTF-8 text; bit j is set if it is set in over half the shingles' hashes."""
-    words = text.lower().split()
-    if not words:
-        return 0
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words (of all words where there are fewer)."""
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
     start = end - size
@@ -49,7 +50,15 @@ def simhash(text: bytes, shingle: int) -> int:
     else:
         start, end = start[:1], end[-1:]
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], 42) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.uint64)
+
+
+def simhash(text: bytes, shingle: int) -> int:
+    """Fingerprint of a UTF-8 text; bit j is set if it is set in over half the shingles' hashes."""
+    words = text.lower().split()
+    if not words:
+        return 0
+    h = shingle_hashes(words, shingle)
     bits = np.zeros(64, np.int64)
     for i in range(0, len(h), 65_536):
         bits += np.unpackbits(h[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -248,8 +257,99 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return rows.join(nodes.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The row of ``docs`` of smallest doc_id of each component; one of the rows where a doc_id repeats."""
-    groups = near_duplicates(docs.select("doc_id", "text"), shingle, radius).select("component_id").distinct()
-    rows = docs.join(groups, docs["doc_id"].eqNullSafe(groups["component_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+# -- near copies by similarity ---------------------------------------------------------------------
+def min_hashes(h: np.ndarray) -> np.ndarray:
+    """A long a band: equal for two texts whose ROWS smallest hashes of that band are equal."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(h), 4_096):
+        np.minimum(low, (h[i : i + 4_096, None] * FACTORS + SHIFTS).min(axis=0), out=low)
+    low = low.reshape(BANDS, ROWS) ^ (low.reshape(BANDS, ROWS) >> np.uint64(29))
+    return ((low * FACTORS[:ROWS]).sum(axis=1, dtype=np.uint64) * FACTORS[:BANDS] + SHIFTS[:BANDS]).view(np.int64)
+
+
+def with_bands(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, _text (hash of the text), words (128-bit hash of its words), bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            digest, bands = [], []
+            for t in pc.fill_null(part.column("text"), "").cast(pa.large_binary()):
+                words = t.as_buffer().to_pybytes().lower().split()
+                digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                bands.append(min_hashes(shingle_hashes(words, shingle) if words else np.zeros(0, np.uint64)))
+            flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), flat)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_text"), pa.array(digest, pa.binary()), lists], schema.names)
+
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("_text", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    return small_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))).mapInArrow(run, schema)
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, set: the different shingle hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = [np.unique(shingle_hashes(w, shingle)).view(np.int64) if (w := t.as_buffer().to_pybytes().lower().split()) else [] for t in pc.fill_null(part.column("text"), "").cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+
+    return small_batches(texts.select("node", "text")).mapInArrow(run, "node long, set array<long>")
+
+
+def same_row(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_text"] == b["_text"])
+
+
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) whose sets have a Jaccard similarity of ``percent`` or more, exactly."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(u, v): verified links between ``nodes`` (node, doc_id, _text, bands) that share a bucket of a band.
+
+    All pairs of a bucket of up to ALL_PAIRS nodes are tested. Of a larger one every node is tested against
+    a few of them; those that are like none go on to the next round among themselves, with twice as many, until
+    none is left. So two nodes of a large bucket are not compared if one is like a tested node and the other is not."""
+    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
+    members = checkpointed(buckets.join(shared, "bucket"))
+    chosen = nodes.select("node", "doc_id", "_text").join(members.select("node").distinct(), "node")
+    keyed = texts.select("doc_id", "text", F.xxhash64("text").alias("_text"))
+    wanted = keyed.join(chosen, same_row(keyed, chosen)).select(chosen["node"], keyed["text"]).dropDuplicates(["node"])
+    sets = checkpointed(shingle_sets(wanted, shingle))
+    order, out, leads = F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("node")), None, 2
+    while True:
+        sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(order)["node"].alias("low"), F.max(order)["node"].alias("high")).where("n > 1")
+        sized = members.join(sizes, "bucket")
+        small = sized.where(F.col("n") <= ALL_PAIRS).groupBy("bucket").agg(F.array_sort(F.collect_list("node")).alias("all"))
+        tails = F.flatten(F.transform("all", lambda u, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda v: F.struct(u.alias("u"), v.alias("v")))))
+        picked = F.col("node").isin(F.col("low"), F.col("high")) | (F.pmod(F.xxhash64("node", F.lit(leads)), F.ceil(F.col("n") / (leads - 1))) == 0) if leads > 2 else F.col("node").isin(F.col("low"), F.col("high"))
+        large = checkpointed(sized.where(F.col("n") > ALL_PAIRS).select("bucket", "node", picked.alias("picked")))
+        lead = large.where("picked").select("bucket", F.col("node").alias("lead"))
+        led = large.join(lead, "bucket").where("node < lead or node > lead and not picked").select("bucket", "node", F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
+        found = checkpointed(similar(small.select(F.explode(tails).alias("p")).select("p.u", "p.v").unionByName(led.select("u", "v")).distinct(), sets, percent))
+        out = found if out is None else out.unionByName(found)
+        if large.isEmpty():
+            return out
+        ready = led.join(found, ["u", "v"], "left_semi").select("bucket", "node").distinct()
+        members = checkpointed(large.where("not picked").join(ready, ["bucket", "node"], "left_anti").select("bucket", "node"))
+        leads *= 2
+
+
+def representatives(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row of ``docs`` of each component of near copies: of the smallest doc_id (nulls last), then hash of the text.
+
+    Near copies share ``percent`` or more of their different shingles. Candidates come from bands of
+    smallest hashes, since 64 bits of a SimHash differ in about ten at this similarity."""
+    rows = with_bands(docs, shingle)
+    best = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_text"))
+    nodes = checkpointed(rows.groupBy("words").agg(best.alias("best"), F.first("bands").alias("bands")).select(F.monotonically_increasing_id().alias("node"), "best", "bands"))
+    flat = nodes.select("node", "best.doc_id", "best._text", "bands")
+    roots = components(similar_links(flat, docs, shingle, percent))
+    named = nodes.select("node", "best").join(roots, "node", "left")
+    won = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best.doc_id", "best._text")
+    keyed = docs.withColumn("_text", F.xxhash64("text"))
+    return keyed.join(won, same_row(keyed, won), "left_semi").dropDuplicates(["doc_id", "_text"]).select(docs.columns)

@@ -83,3 +83,48 @@ def test_representatives_and_edges(spark):
     assert sorted(r.doc_id for r in S.representatives(docs).collect()) == [2, 5, 8]
     assert S.near_duplicates(spark.createDataFrame([], schema)).count() == 0
     assert S.simhash(b"a " * 100_000, 4) & (1 << 64) - 1 == brute_fp("a a a a")
+
+
+def test_near_copies_by_similarity(spark):
+    """Pairs of 5-word Jaccard similarity of 0.8 and more are linked, those below are not."""
+    r = random.Random(3)
+    prose = lambda n: [f"w{r.getrandbits(40)}" for _ in range(n)]
+    rows, copies = [], set()
+    for i in range(60):
+        words = prose(300)
+        rows.append((2 * i, " ".join(words)))
+        edits = (1, 3, 6, 16)[i % 4]  # 5 shingles of 296 each: similarity 0.97, 0.90, 0.82, 0.57
+        for k in range(edits):
+            words[10 + 18 * k] = "changed"
+        rows.append((2 * i + 1, " ".join(words)))
+        copies |= {2 * i + 1} if edits < 16 else set()
+    rows += [(7_000, rows[0][1]), (None, rows[0][1]), (None, "another text"), (None, "one more text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(x) for x in S.representatives(docs).collect()]
+    want = [x for x in rows[:120] if x[0] not in copies] + rows[-2:]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_one_row_a_component(spark):
+    """Rows that share a doc_id but not their text stay apart, rows of a component do not stay twice."""
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (1, "quite another text"), (None, "a b"), (None, "c d"), (2, text)], "doc_id long, text string")
+    got = sorted((tuple(x) for x in S.representatives(docs).collect()), key=str)
+    assert got == sorted([(1, text), (1, "quite another text"), (None, "a b"), (None, "c d")], key=str)
+
+
+def test_large_buckets_are_tested_in_rounds(spark, monkeypatch):
+    """Buckets of many nodes of several groups: every node meets its like."""
+    r = random.Random(4)
+    texts = []
+    for _ in range(6):
+        words = [f"w{r.getrandbits(40)}" for _ in range(200)]
+        for k in range(12):
+            texts.append(" ".join([*words[:100], f"x{k}", *words[101:]]))
+    monkeypatch.setattr(S, "ALL_PAIRS", 2)
+    monkeypatch.setattr(S, "min_hashes", lambda h: np.arange(S.BANDS))  # all in one bucket of each band
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bands = spark.range(len(texts)).select(S.F.col("id").alias("node"), S.F.col("id").alias("doc_id"), S.F.array(S.F.lit(1).cast("long")).alias("bands"))
+    nodes = bands.join(docs.select("doc_id", S.F.xxhash64("text").alias("_text")), "doc_id").select("node", "doc_id", "_text", "bands")
+    roots = {x.node: x.root for x in S.components(S.similar_links(nodes, docs, 5, 80)).collect()}
+    assert [roots.get(i, i) for i in range(len(texts))] == [i // 12 * 12 for i in range(len(texts))]
