@@ -1,17 +1,21 @@
 """Operator 7 [native]: deduplication of content-defined chunks of lines.
 
-Every line is hashed, a rolling hash over WINDOW line hashes says after which lines a chunk ends, and so
-a passage that several documents share is cut alike in all of them, wherever it stands. Chunks of two
-lines and more that occur again anywhere in the corpus are found by their hash; a hash counts as
-repeated text only after the chunks' bytes have been compared (the smallest and the largest text of a
-hash are the same), and where they differ the chunks are grouped by their text. The first occurrence
-(by doc_id, then hash of the text, then place) stays, all later ones are removed. Counts are combined
-before the shuffle, so that a chunk that a third of all documents hold costs a row a task; a large
-partition of the join that marks occurrences is split by AQE.
+Every line is hashed, and a rolling hash runs over each WINDOW adjacent line hashes. Chunk boundaries are where
+the rolling hashes change between those that stood somewhere before (in order of doc_id, hash of the text, place)
+and those that did not: so a passage that documents share is one chunk in all of them, whole, wherever it stands
+and however short. A line of LONG_WORDS words is a window by itself. A window counts as repeated only after its
+bytes have been compared (the smallest and the largest text of a hash are the same); where they differ windows
+are grouped by their text. A chunk (adjacent lines that lie in windows which stood before) of ``min_chars``
+characters or more is removed. The first occurrence of a line is in no such window, so no line is lost.
+
+Counts are combined before the shuffle, so that a window that a third of all documents hold costs a row a task;
+only windows whose hash may be repeated (a bitmap) give their text, and the join that marks occurrences deals
+the rows of a hot window to many tasks. Texts are shuffled once, to meet the places found.
 
 Defined results: a null text stays null; a text without removed chunks stays as it is; a text of removed
-chunks alone becomes empty; rows of equal doc_id and text share their fate, as one occurrence; an empty
-table gives no row; extra columns are kept, those named like a result replaced.
+chunks alone becomes empty; rows of equal doc_id and text share their fate, as one occurrence, null doc_ids
+coming first; a very long text is handled in time in proportion to its lines; an empty table gives no row;
+extra columns are kept whatever their names, one named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -19,89 +23,98 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.shared import checkpointed, text_or_empty
+from gridweave.llm.shared import WORD_SPACE, checkpointed, field, in_slots, packed, seen_slots, spread_join
 
 WINDOW = 2  #: line hashes in the rolling hash
-DIVISOR = 3  #: one line in so many ends a chunk
-MIN_LINES, MIN_CHARS = 2, 80  #: of a chunk that may be removed
 BASE = 31
-KEY = ("doc_id", "_text")
+LONG_WORDS = 50  #: words of a line that is a window alone
+MIN_CHARS = 80  #: characters of a chunk that is removed
+KEY = ("doc", "own")
+WORD = rf"[^{WORD_SPACE}]+"
 
 
 def line_hash(line: Column) -> Column:
-    return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
+    """56 bits, so that a rolling hash does not overflow."""
+    return F.shiftrightunsigned(F.xxhash64(line), 8)
 
 
-def once(df: DataFrame, keep: list[str], name: str, value: Column) -> DataFrame:
-    """``keep`` and a new column; exploding one value makes Spark evaluate it once, not at each use."""
-    return df.select(*keep, F.explode(F.array(value)).alias(name))
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("own"), F.col("text").alias("text"))
 
 
-def with_chunks(docs: DataFrame) -> DataFrame:
-    """``docs`` with _text (hash of the text) and chunks: array of (lines, text)."""
-    keep = [*docs.columns, "_text"]
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    lines = once(keyed, keep, "_lines", F.split(text_or_empty(), "\n", -1))
-    hashes = once(lines, [*keep, "_lines"], "_h", F.transform("_lines", line_hash))
-    rolled = F.col("_h")
-    for back in range(1, WINDOW):
-        shifted = F.slice(F.concat(F.array_repeat(F.lit(0).cast("long"), back), F.col("_h")), F.lit(1), F.size("_h"))
-        rolled = F.zip_with(rolled, shifted, lambda a, b: a + BASE**back * b)  # noqa: B023  called at once
-    ends = F.filter(F.transform(rolled, lambda r, i: F.when((r % DIVISOR == 0) | (i == F.size("_h") - 1), i + 1)), lambda i: i.isNotNull())
-    ended = once(hashes, [*keep, "_lines"], "_ends", ends)
-    begins = F.slice(F.concat(F.array(F.lit(0)), F.col("_ends")), F.lit(1), F.size("_ends"))
-    bounds = F.arrays_zip(begins.alias("a"), F.col("_ends").alias("b"))
-    chunk = lambda x: F.struct((x["b"] - x["a"]).alias("lines"), F.array_join(F.slice("_lines", x["a"] + 1, x["b"] - x["a"]), "\n").alias("text"))
-    return once(ended, keep, "chunks", F.transform(bounds, chunk))
+def is_long(line: Column) -> Column:
+    return (F.length(line) >= 2 * LONG_WORDS - 1) & (F.regexp_count(line, F.lit(WORD)) >= LONG_WORDS)
 
 
-def occurrences(chunked: DataFrame) -> DataFrame:
-    """doc_id, _text, place, hash, text of the chunks that may be removed."""
-    each = chunked.select(*KEY, F.posexplode("chunks").alias("place", "c"))
-    return each.where((F.col("c.lines") >= MIN_LINES) & (F.length("c.text") >= MIN_CHARS)).select(*KEY, "place", F.xxhash64("c.text").alias("hash"), F.col("c.text").alias("text"))
+def windows(docs: DataFrame) -> DataFrame:
+    """doc, own (hash of the text), place (of the first line), size (lines), hash, text of all windows."""
+    lines = keyed(docs.where("text is not null")).select(*KEY, F.explode(F.array(F.split("text", "\n", -1))).alias("lines"))
+    hashed = lines.select(*KEY, "lines", F.explode(F.array(F.transform("lines", line_hash))).alias("h"))
+    rolled = F.transform("h", lambda x, i: F.struct(i.alias("place"), F.lit(WINDOW).alias("size"), (BASE * x + F.get("h", i + 1)).alias("hash")))
+    single = F.filter(F.transform("lines", lambda x, i: F.when(is_long(x), F.struct(i.alias("place"), F.lit(1).alias("size"), F.get("h", i).alias("hash")))), lambda w: w.isNotNull())
+    each = hashed.select(*KEY, "lines", F.explode(F.concat(F.filter(rolled, lambda w: w["hash"].isNotNull()), single)).alias("w"))
+    return each.select(*KEY, "w.place", "w.size", "w.hash", F.array_join(F.slice("lines", F.col("w.place") + 1, F.col("w.size")), "\n").alias("text"))
 
 
-def later(found: DataFrame) -> Column:
-    first = F.col("first")
-    return ~(F.col("doc_id").eqNullSafe(first["doc_id"]) & (F.col("_text") == first["_text"]) & (F.col("place") == first["place"]))
+def later(first: str = "first") -> Column:
+    return ~(F.col("doc").eqNullSafe(F.col(first)["doc"]) & (F.col("own") == F.col(first)["own"]) & (F.col("place") == F.col(first)["place"]))
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, _text, gone: the places of the chunks to be removed; one row a document that has some."""
-    found = occurrences(with_chunks(docs.select("doc_id", "text").where("text is not null")))
+    """doc, own, gone: windows (place, size) that stood before; one row a document that has some."""
+    found = windows(docs)
     first = F.min(F.struct(*KEY, "place")).alias("first")
-    repeated = checkpointed(found.groupBy("hash").agg(F.count("*").alias("n"), first, (F.min("text") == F.max("text")).alias("same")).where("n > 1").select("hash", "first", "same"))
-    marked = found.select(*KEY, "place", "hash").join(repeated.where("same").select("hash", "first"), "hash").where(later(found)).select(*KEY, "place")
+    repeated = checkpointed(found.groupBy("size", "hash").agg(F.count("*").alias("n"), first).where("n > 1"))
+    maybe = found.where(in_slots(seen_slots(repeated, "size", "hash"), "size", "hash"))
+    bytes_of = maybe.groupBy("size", "hash").agg((F.min("text") == F.max("text")).alias("same"))
+    mixed = checkpointed(bytes_of.where("not same").select("size", "hash"))
+    marked = spread_join(maybe.drop("text"), repeated.join(mixed, ["size", "hash"], "left_anti"), ["size", "hash"], "n").where(later()).select(*KEY, "place", "size")
     # hashes that different texts share, if there are any: by the texts themselves
-    shared = repeated.where("not same").select("hash")
-    if not shared.isEmpty():
-        mixed = found.join(shared, "hash", "left_semi")
-        by_text = mixed.groupBy("hash", "text").agg(F.count("*").alias("n"), first).where("n > 1")
-        marked = marked.unionByName(mixed.join(by_text, ["hash", "text"]).where(later(mixed)).select(*KEY, "place"))
-    return marked.distinct().groupBy(*KEY).agg(F.collect_list("place").alias("gone"))
+    if not mixed.isEmpty():
+        shared = maybe.join(mixed, ["size", "hash"], "left_semi")
+        by_text = shared.groupBy("size", "text").agg(F.count("*").alias("n"), first).where("n > 1")
+        marked = marked.unionByName(shared.join(by_text, ["size", "text"]).where(later()).select(*KEY, "place", "size"))
+    # repeated rows give equal marks
+    return marked.groupBy(*KEY).agg(F.collect_set(F.struct("place", "size")).alias("gone"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the text that stays, and removed_chunks."""
     docs = docs.drop("removed_chunks")
-    own = docs.withColumn("_text", F.xxhash64("text"))
     gone = removals(docs)
-    joined = own.join(gone, own["doc_id"].eqNullSafe(gone["doc_id"]) & (own["_text"] == gone["_text"]), "left").select(*(own[c] for c in docs.columns), gone["gone"])
-    chunked = with_chunks(joined.withColumn("_cut", F.when(F.col("gone").isNotNull(), F.col("text"))).withColumnRenamed("text", "_whole").withColumnRenamed("_cut", "text"))
-    kept = F.filter("chunks", lambda c, i: ~F.array_contains("gone", i))
-    text = F.when(F.col("gone").isNull(), F.col("_whole")).otherwise(F.array_join(F.transform(kept, lambda c: c["text"]), "\n"))
-    return chunked.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_chunks"))
-
-
-ORACLE = f"""
+    own = docs.select(packed(docs), F.xxhash64("text").alias("_own"))
+    both = own.join(gone, field("doc_id").eqNullSafe(gone["doc"]) & (own["_own"] == gone["own"]), "left").select("_in", "gone")
+    once = lambda d, keep, name, value: d.select(*keep, F.explode(F.array(value)).alias(name))  # noqa: E731  evaluated once, not at each use
+    d = once(both, ["_in", "gone"], "lines", F.when(F.col("gone").isNotNull(), F.split(field("text"), "\n", -1)))
+    # runs of adjacent lines of windows: chunks
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("gone", lambda w: F.sequence(w["place"], w["place"] + w["size"] - 1)))))
+    d = once(d, ["_in", "lines"], "at", covered)
+    begins = F.filter("at", lambda x, k: (k == 0) | (F.get("at", k - 1) < x - 1))
+    ends = F.filter("at", lambda x, k: (k == F.size("at") - 1) | (F.get("at", k + 1) > x + 1))
+    part = lambda a, n: F.array_join(F.slice("lines", a + 1, n), "\n")
+    chunks = F.filter(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda c: F.length(part(c["a"], c["b"] - c["a"] + 1)) >= min_chars)
+    d = once(d, ["_in", "lines"], "chunks", chunks)
+    # what lies between the chunks
+    froms = F.concat(F.array(F.lit(0)), F.transform("chunks", lambda c: c["b"] + 1))
+    tos = F.concat(F.transform("chunks", lambda c: c["a"]), F.array(F.size("lines")))
+    kept = F.filter(F.arrays_zip(froms.alias("a"), tos.alias("b")), lambda c: c["b"] > c["a"])
+    left = F.array_join(F.transform(kept, lambda c: part(c["a"], c["b"] - c["a"])), "\n")
+    text = F.when(F.coalesce(F.size("chunks"), F.lit(0)) > 0, left).otherwise(field("text"))
+    return d.select(*(text.alias("text") if c == "text" else field(c).alias(c) for c in docs.columns), F.greatest(F.lit(0), F.coalesce(F.size("chunks"), F.lit(0))).cast("long").alias("removed_chunks"))
+
+
+ORACLE = rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
            FROM documents WHERE text IS NOT NULL),
-h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM l),
-e AS (SELECT *, (h + {BASE} * coalesce(lag(h) OVER w, 0)) % {DIVISOR} = 0 AS ends FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-k AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM e),
-c AS (SELECT doc_id, place, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS lines FROM k GROUP BY doc_id, place),
-m AS (SELECT *, lines >= {MIN_LINES} AND length(chunk) >= {MIN_CHARS} AS able FROM c),
-r AS (SELECT *, able AND row_number() OVER (PARTITION BY able, chunk ORDER BY doc_id, place) > 1 AS gone FROM m),
-t AS (SELECT doc_id, coalesce(string_agg(CASE WHEN NOT gone THEN chunk END, chr(10) ORDER BY place), '') AS text, sum(gone::INT)::BIGINT AS removed_chunks FROM r GROUP BY doc_id)
-SELECT d.doc_id, t.text, coalesce(t.removed_chunks, 0) AS removed_chunks FROM documents d LEFT JOIN t USING (doc_id)
+w AS (SELECT doc_id, i, 2 AS size, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS t FROM l
+      UNION ALL SELECT doc_id, i, 1, line FROM l WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= {LONG_WORDS}),
+r AS (SELECT *, row_number() OVER (PARTITION BY size, t ORDER BY doc_id, i) > 1 AS before FROM w WHERE t IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, i + unnest(range(size)) AS i FROM r WHERE before),
+c AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS chunk FROM g),
+s AS (SELECT c.doc_id, c.i, c.chunk, sum(length(line)) OVER v + count(*) OVER v - 1 AS chars FROM c JOIN l USING (doc_id, i) WINDOW v AS (PARTITION BY c.doc_id, c.chunk)),
+k AS (SELECT doc_id, i, chunk FROM s WHERE chars >= {MIN_CHARS}),
+n AS (SELECT doc_id, count(DISTINCT chunk) AS removed_chunks FROM k GROUP BY doc_id),
+t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM l ANTI JOIN k USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text, coalesce(removed_chunks, 0) AS removed_chunks
+FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN n USING (doc_id)
 """

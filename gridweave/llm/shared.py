@@ -1,4 +1,4 @@
-"""Small helpers of this subpackage: tables, the folder that all machines share, null texts."""
+"""Small helpers of this subpackage: tables, the folder that all machines share, null texts, joins with hot keys."""
 
 from __future__ import annotations
 
@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: White space that words are cut at.
 WORD_SPACE = r"\x20\x09-\x0D"
+SLOTS = 1 << 18  #: of the bitmaps that keys are tested against before a shuffle
+HOT_ROWS = 1_000  #: rows of a key from which a join deals them to SALTS places
+SALTS = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +23,20 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` in one struct ``_in``, so that no name of theirs meets one made here."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_in")
+
+
+def field(name: str, of: str = "_in") -> Column:
+    return F.col(of)[name]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where it is unset (a local test) a new temporary one."""
+    """The folder in ``spark.checkpoint.dir``; only where it is unset, on one machine (a test), a new temporary one."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -49,3 +63,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def slot(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
+
+
+def seen_slots(keys: DataFrame, *names: str) -> bytes:
+    """A byte a slot, 1 where a key of ``keys`` falls: what comes to the driver is at most a number for 32 slots."""
+    parts = keys.select(slot(*names).alias("s")).groupBy(F.floor(F.col("s") / 32).alias("w")).agg(F.expr("bit_or(shiftleft(1L, s % 32))").alias("bits"))
+    out = bytearray(SLOTS)
+    for w, bits in parts.collect():
+        for k in range(32):
+            out[32 * w + k] = bits >> k & 1
+    return bytes(out)
+
+
+def in_slots(slots: bytes, *names: str) -> Column:
+    """True for every key that went into ``slots``, and for few others."""
+    return F.substring(F.lit(slots), slot(*names) + 1, F.lit(1)) == F.lit(b"\x01")
+
+
+def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``one``, a table of a row a key whose column ``count`` says how many of ``rows`` have it.
+
+    Rows of keys of HOT_ROWS and more are dealt to SALTS places, and those keys' rows of ``one`` to each of them,
+    so that no task gets all rows of a key."""
+    hot = seen_slots(one.where(F.col(count) >= HOT_ROWS), *keys)
+    if not any(hot):
+        return rows.join(one, keys, how)
+    salted = rows.withColumn("_salt", F.when(in_slots(hot, *keys), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    dealt = one.withColumn("_salt", F.explode(F.when(in_slots(hot, *keys), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(dealt, [*keys, "_salt"], how).drop("_salt")
