@@ -1,15 +1,19 @@
 """Operator 10 [native]: personal data by patterns, and by bootstrapped contexts.
 
 Four base patterns find e-mail and IP addresses, cards (Luhn) and phone numbers: the seeds. A lexical
-pattern is the two words before an entity. Instances are the seeds and every other token that looks
-like an identifier; patterns and instances form a graph that Spark scores in ROUNDS rounds: a pattern's
-confidence is the summed score of the instances it precedes over all its occurrences in the corpus,
-whatever follows there; an instance's score is 1 for a seed, else the noisy-or of its patterns'
-confidences. Unseen tokens after a pattern of confidence LEAST_CONFIDENCE become spans of kind
-``context``. Every pattern of MIN_VALUES different instances or more is scored.
-
-Defined results: a null or empty text has no spans; of repeated rows each is reported; an empty table
-gives no row; extra columns are carried and those named like a result replaced.
+pattern is the pair of words before the word that an entity begins in, wherever they stand and however long
+they are. Instances are the seeds and every other token that looks like an identifier; patterns and instances
+form a graph that Spark scores in ROUNDS rounds: a pattern's confidence is the summed score of the instances it
+precedes over all its occurrences in the corpus, whatever follows there; an instance's score is 1 for a seed,
+else the noisy-or of its patterns' confidences. Unseen tokens after a pattern of confidence LEAST_CONFIDENCE
+become spans of kind ``context``. Every pattern of MIN_VALUES different instances or more is scored.
+
+Words come from one pass over a text that carries the last two words along, so that a word that is itself a
+match counts as a word like any other.
+
+Defined results: a null or empty text has no spans; a very long text takes time in proportion to its words, and
+to its tokens times its base matches; of repeated rows each is reported; an empty table gives no row; extra
+columns are carried whatever their names, and those named like a result replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm import spans
-from gridweave.llm.shared import checkpointed, text_or_empty
+from gridweave.llm.shared import WORD_SPACE, checkpointed, field, in_slots, packed, seen_slots, text_or_empty
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
@@ -34,8 +38,9 @@ TOKEN_DIGITS, TOKEN_CHARS = 4, 6
 ROUNDS = 3
 MIN_VALUES = 3
 LEAST_CONFIDENCE = 0.6
-SLOTS = 1 << 18  #: of the bitmap that pairs of words are tested against
 RESULTS = ("base_spans", "spans")
+#: A token with the word (from, to) that it stands in and the pair of words before that.
+TOKENS = "array<struct<kind:string,start:int,end:int,value:string,from:int,to:int,context:string>>"
 
 
 def digits(value: Column) -> Column:
@@ -51,38 +56,57 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
-def token_spans(text: Column) -> Column:
-    """Identifier-like tokens, without marks around them."""
+def words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), rf"[{WORD_SPACE}]+"), lambda w: w != "")
+
+
+def token_words(text: Column) -> Column:
+    """The words that hold a digit or an at sign, each with the pair of words before it (null where there are fewer)."""
+    parts = F.transform(spans.between(text, TOKEN), lambda x: F.struct(x["b"].alias("b"), x["m"].alias("m"), F.slice(F.concat(F.array(F.lit(""), F.lit("")), words(x["b"])), F.lit(-2), F.lit(2)).alias("last")))
+
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        begin = acc["at"] + F.length(x["b"])
+        end = begin + F.length(x["m"])
+        one, two = F.get(x["last"], 1), F.get(x["last"], 0)  # the last word since the previous match, and the one before
+        back = F.when(one != "", one).otherwise(acc["one"])
+        far = F.when(two != "", two).when(one != "", acc["one"]).otherwise(acc["two"])
+        span = F.struct(
+            F.lit("context").alias("kind"), begin.alias("start"), end.alias("end"), x["m"].alias("value"), begin.alias("from"), end.alias("to"),
+            F.when((back != "") & (far != ""), F.concat_ws(" ", far, back)).alias("context"),
+        )
+        return {"at": end, "one": F.lower(x["m"]), "two": back}, span
+
+    found = spans.gathered(parts, {"at": F.lit(0), "one": F.lit(""), "two": F.lit("")}, TOKENS, step)
+    return F.when(text.rlike(TOKEN), found).otherwise(spans.none(TOKENS))
+
+
+def token_spans(found: Column) -> Column:
+    """Those of ``token_words`` that look like identifiers, without marks around them."""
 
     def trimmed(s: Column) -> Column:
         inner = F.regexp_replace(s["value"], EDGES, "")
         start = s["start"] + F.length(s["value"]) - F.length(inner)
         core = F.regexp_replace(inner, r"[^A-Za-z0-9]++$", "")
-        return F.struct(F.lit("context").alias("kind"), start.alias("start"), (start + F.length(core)).alias("end"), core.alias("value"), s["left"].alias("left"))
+        return F.struct(s["kind"].alias("kind"), start.alias("start"), (start + F.length(core)).alias("end"), core.alias("value"), s["context"].alias("context"))
 
-    found = F.transform(spans.matches(text, TOKEN, "context"), trimmed)
-    return F.filter(found, lambda s: (F.length(s["value"]) >= TOKEN_CHARS) & ((digits(s["value"]) >= TOKEN_DIGITS) | F.contains(s["value"], F.lit("@"))))
+    return F.filter(F.transform(found, trimmed), lambda s: (F.length(s["value"]) >= TOKEN_CHARS) & ((digits(s["value"]) >= TOKEN_DIGITS) | F.contains(s["value"], F.lit("@"))))
 
 
-def context(left: Column) -> Column:
-    """The last two words before a match, in lower case; null where there are fewer."""
-    words = F.filter(F.split(F.lower(left), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.when(F.size(words) >= 2, F.concat_ws(" ", F.slice(words, -2, 2)))
+def seeds(base: Column, found: Column) -> Column:
+    """(value, context) of base spans: a base span begins in a word with a digit or an at sign."""
+    of = lambda s: F.get(F.filter(found, lambda w: (w["from"] <= s["start"]) & (s["start"] < w["to"])), 0)["context"]
+    return F.transform(base, lambda s: F.struct(s["value"].alias("value"), of(s).alias("context")))
 
 
 def occurrences(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """context, occ: how often each pair of words of ``contexts`` stands in the corpus.
 
-    Pairs are tested against a bitmap of SLOTS hashes first, then counted where they stand, and only the
-    counts are shuffled and joined."""
-    slot = F.pmod(F.xxhash64("context"), F.lit(SLOTS)).cast("int")
-    bits = bytearray(SLOTS)
-    for (i,) in contexts.select(slot).distinct().collect():  # at most SLOTS numbers
-        bits[i] = 1
-    words = docs.select(F.explode(F.array(F.filter(F.split(F.lower(text_or_empty()), r"[\x20\x09-\x0D]+"), lambda w: w != ""))).alias("w"))
+    Pairs are tested against a bitmap first, then counted where they stand, and only the counts are
+    shuffled and joined."""
+    each_text = docs.select(F.explode(F.array(words(text_or_empty()))).alias("w"))
     pairs = F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))
-    each = words.select(F.explode(pairs).alias("p")).where("p.b is not null").select(F.concat_ws(" ", "p.a", "p.b").alias("context"))
-    counts = each.where(F.substring(F.lit(bytes(bits)), slot + 1, F.lit(1)) == F.lit(b"\x01")).groupBy("context").agg(F.count("*").alias("occ"))
+    each = each_text.select(F.explode(pairs).alias("p")).where("p.b is not null").select(F.concat_ws(" ", "p.a", "p.b").alias("context"))
+    counts = each.where(in_slots(seen_slots(contexts, "context"), "context")).groupBy("context").agg(F.count("*").alias("occ"))
     return counts.join(contexts, "context", "left_semi")
 
 
@@ -96,7 +120,7 @@ def confident(docs: DataFrame, instances: DataFrame, rounds: int = ROUNDS) -> Da
     scores = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"))
     for _ in range(rounds):
         gain = edges.join(scores, "value").groupBy("context", "occ").agg(F.sum(F.col("n") * F.col("score")).alias("gain"))
-        # counts may differ where a context is cut by the kept text, hence the bound
+        # several entities of one word share its context, hence the bound
         conf = checkpointed(gain.select("context", F.least(F.lit(1.0), F.col("gain") / F.col("occ")).alias("confidence")))
         doubt = F.sum(F.col("n") * F.log(F.lit(1.0) - F.least(F.col("confidence"), F.lit(0.999))))
         scores = edges.join(conf, "context").groupBy("value").agg(F.when(F.max("seed"), 1.0).otherwise(F.lit(1.0) - F.exp(doubt)).alias("score"))
@@ -104,19 +128,21 @@ def confident(docs: DataFrame, instances: DataFrame, rounds: int = ROUNDS) -> Da
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` without text, with base_spans and spans: arrays of (kind, start, end, value, left), in order."""
+    """``docs`` without text, with base_spans and spans: arrays of (kind, start, end, value), in order."""
     docs = docs.drop(*RESULTS)
-    text, rest = text_or_empty(), [c for c in docs.columns if c != "text"]
-    seen = docs.select(*rest, F.explode(F.array(F.struct(base_spans(text).alias("base"), token_spans(text).alias("tokens")))).alias("_s"))
-    rows = seen.select(*rest, F.col("_s.base").alias("_base"), spans.outside(F.col("_s.tokens"), F.col("_s.base")).alias("_tokens"))
+    rest, text = [c for c in docs.columns if c != "text"], text_or_empty()
+    seen = docs.select(packed(docs), F.explode(F.array(F.struct(base_spans(text).alias("base"), token_words(text).alias("words")))).alias("_s"))
+    seen = seen.select(F.struct(F.lit(0).alias("_"), *(field(c).alias(c) for c in rest)).alias("_in"), F.col("_s.base").alias("_base"), seeds(F.col("_s.base"), F.col("_s.words")).alias("_seeds"), F.explode(F.array(token_spans(F.col("_s.words")))).alias("_tokens"))
+    rows = seen.select("_in", "_base", "_seeds", spans.outside(F.col("_tokens"), F.col("_base")).alias("_tokens"))
     rows = checkpointed(rows.withColumn("_row", F.monotonically_increasing_id()))
 
-    each = lambda c, seed: rows.select("_row", F.explode(c).alias("s")).select("_row", "s", F.lower("s.value").alias("value"), context(F.col("s.left")).alias("context"), F.lit(seed).alias("seed"))
-    tokens = each("_tokens", False)
-    good = confident(docs, each("_base", True).select("context", "value", "seed").unionByName(tokens.select("context", "value", "seed"))).where(F.col("confidence") >= LEAST_CONFIDENCE)
-    new = tokens.join(good, "context").groupBy("_row").agg(F.collect_list("s").alias("_new"))
+    tokens = rows.select("_row", F.explode("_tokens").alias("s")).where("s.context is not null")
+    instances = [d.select("s.context", F.lower("s.value").alias("value"), F.lit(seed).alias("seed")) for d, seed in ((rows.select(F.explode("_seeds").alias("s")), True), (tokens, False))]
+    good = confident(docs, instances[0].unionByName(instances[1])).where(F.col("confidence") >= LEAST_CONFIDENCE).select("context")
+    plain = F.struct("s.kind", "s.start", "s.end", "s.value")
+    new = tokens.withColumn("context", F.col("s.context")).join(good, "context").groupBy("_row").agg(F.collect_list(plain).alias("_new"))
     out = rows.join(new, "_row", "left")
-    return out.select(*rest, spans.ordered(F.col("_base"), KINDS).alias("base_spans"), spans.ordered(F.concat("_base", F.coalesce("_new", spans.none())), KINDS).alias("spans"))
+    return out.select(*(field(c).alias(c) for c in rest), spans.ordered(F.col("_base"), KINDS).alias("base_spans"), spans.ordered(F.concat("_base", F.coalesce("_new", spans.none())), KINDS).alias("spans"))
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -126,19 +152,20 @@ def digests(found: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in capitals and angle brackets, as in <EMAIL>."""
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    found = found_spans(keyed.select("doc_id", "_text", "text")).where(F.size("spans") > 0).groupBy("doc_id", "_text").agg(F.first("spans").alias("_spans"))
-    same = keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed["_text"] == found["_text"])
-    joined = keyed.join(found, same, "left").select(*(keyed[c] for c in docs.columns if c != "text"), keyed["text"], found["_spans"])
+    found = found_spans(docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("own"), "text")).where(F.size("spans") > 0)
+    found = found.groupBy("doc", "own").agg(F.first("spans").alias("spans"))  # equal for equal texts
+    keyed = docs.select(packed(docs), F.xxhash64("text").alias("_own"))
+    joined = keyed.join(found, field("doc_id").eqNullSafe(found["doc"]) & (keyed["_own"] == found["own"]), "left").select("_in", "spans")
+    whole = field("text")
 
     def step(acc: Column, s: Column) -> Column:
         more = s["end"] > acc["at"]
         fresh = s["start"] >= acc["at"]
         mark = F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        part = F.when(fresh, F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), mark)).otherwise(F.array().cast("array<string>"))
+        part = F.when(fresh, F.array(F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), mark)).otherwise(F.array().cast("array<string>"))
         return F.struct(F.when(more, s["end"]).otherwise(acc["at"]).alias("at"), F.concat(acc["out"], part).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", start, step, end))
-    return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(whole, acc["at"] + 1, F.length(whole)))
+    text = F.when(F.col("spans").isNull(), whole).otherwise(F.aggregate("spans", start, step, end))
+    return joined.select(*(text.alias("text") if c == "text" else field(c).alias(c) for c in docs.columns))

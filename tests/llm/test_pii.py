@@ -4,7 +4,7 @@ import random
 import re
 from hashlib import sha256
 
-from gridweave.llm import pii, spans
+from gridweave.llm import pii
 from gridweave.llm.pii import F
 
 WORD = r"[^\x20\x09-\x0D]"
@@ -27,20 +27,23 @@ def base(t):
     return out
 
 
-def tokens(t, old):
-    prev = 0
-    for m in re.finditer(rf"(?<!{WORD}){WORD}*[0-9@]{WORD}*", t):
-        inner = re.sub("^[^A-Za-z0-9]+", "", m[0])
-        start = m.end() - len(inner)
-        core = re.sub("[^A-Za-z0-9]+$", "", inner)
-        left, prev = t[prev : m.start()][-pii.spans.LEFT_CHARS :], m.end()
-        if len(core) >= 6 and (len(re.sub("[^0-9]", "", core)) >= 4 or "@" in core) and not any(start < e and s < start + len(core) for s, _, e, _ in old):
-            yield start, start + len(core), core, left
+def words_of(t):
+    return [(m.start(), m.end(), m[0].lower()) for m in re.finditer(rf"{WORD}+", t)]
 
 
-def context(left):
-    w = re.findall(rf"{WORD}+", left.lower())
-    return " ".join(w[-2:]) if len(w) > 1 else None
+def context(t, at):
+    """The two words before the word that place ``at`` lies in."""
+    w = words_of(t)
+    i = next(i for i, (a, b, _) in enumerate(w) if a <= at < b)
+    return f"{w[i - 2][2]} {w[i - 1][2]}" if i >= 2 else None
+
+
+def tokens(t, old):
+    for a, b, _ in words_of(t):
+        core = re.sub("^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "", t[a:b])
+        start = b - len(re.sub("^[^A-Za-z0-9]+", "", t[a:b]))
+        if len(core) >= 6 and (len(re.sub("[^0-9]", "", core)) >= 4 or "@" in core) and not any(start < e and s < start + len(core) for s, _, e, _ in old):
+            yield start, start + len(core), core, a
 
 
 def brute(texts):
@@ -48,25 +51,19 @@ def brute(texts):
     bases, new, edges = {i: base(t) for i, t in texts.items()}, {i: [] for i in texts}, collections.Counter()
     seeds = set()
     for i, t in texts.items():
-        for kind in pii.KINDS[:4]:
-            # what lies between the kind's matches, failing ones too
-            pattern = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": pii.CARD.replace("}+", "}"), "phone": pii.PHONE}[kind]
-            prev = 0
-            for m in re.finditer(pattern, t):
-                left, prev = t[prev : m.start()][-pii.spans.LEFT_CHARS :], m.end()
-                if (m.start(), pii.KINDS.index(kind), m.end(), kind) in bases[i]:
-                    seeds.add(m[0].lower())
-                    edges[context(left), m[0].lower()] += 1
-        new[i] = list(tokens(t, bases[i]))
-        for _, _, v, left in new[i]:
-            edges[context(left), v.lower()] += 1
+        for start, _, end, _ in bases[i]:
+            seeds.add(t[start:end].lower())
+            edges[context(t, start), t[start:end].lower()] += 1
+        new[i] = [(s, e, v, context(t, a)) for s, e, v, a in tokens(t, bases[i])]
+        for _, _, v, c in new[i]:
+            edges[c, v.lower()] += 1
     edges = {k: n for k, n in edges.items() if k[0]}
     values = collections.Counter(c for c, _ in edges)
     occ = collections.Counter()
     for t in texts.values():
-        w = re.findall(rf"{WORD}+", t.lower())
+        w = [x for _, _, x in words_of(t)]
         occ.update(" ".join(p) for p in zip(w, w[1:], strict=False))
-    edges = {k: n for k, n in edges.items() if values[k[0]] >= pii.MIN_VALUES and occ[k[0]]}
+    edges = {k: n for k, n in edges.items() if values[k[0]] >= pii.MIN_VALUES}
     score = {v: float(v in seeds) for _, v in edges}
     conf = {}
     for _ in range(pii.ROUNDS):
@@ -81,7 +78,7 @@ def brute(texts):
     out = {}
     say = lambda x: ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(x))
     for i in texts:
-        extra = [(s, 4, e, "context") for s, e, _, left in new[i] if conf.get(context(left), 0) >= pii.LEAST_CONFIDENCE]
+        extra = [(s, 4, e, "context") for s, e, _, c in new[i] if conf.get(c, 0) >= pii.LEAST_CONFIDENCE]
         out[i] = [*(sum(x[3] == k for x in bases[i]) for k in pii.KINDS[:4]), sha256(say(bases[i]).encode()).hexdigest(), say(bases[i] + extra)]
     return out
 
@@ -106,6 +103,31 @@ def test_against_brute_force(spark):
     assert sum("context" in v[-1] for v in got.values()) == 3
 
 
+def spans_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.digests(pii.found_spans(docs)).collect()}
+    want = brute(dict(enumerate(texts)))
+    assert got == {i: w[-1] for i, w in want.items()}
+    return got
+
+
+def test_contexts_by_word_position(spark):
+    """Words of a context may be matches themselves, long, and far apart."""
+    pairs = ["form b", "form 27", "1984 27", "f@x 2", "a" * 50 + " " + "b" * 70, "form\t\n  c"]
+    texts = []
+    for pair in pairs:
+        texts += [f"some words and {pair} x{i}@host.example.org then" for i in range(6)]
+        texts += [f"other words {pair} unseen-4477 end", f"{pair} +4477889900112 +49-30-123456 end"]
+    got = spans_of(spark, [*texts, "short 5551234 fax 5559999"])
+    assert all("context" in got[8 * k + 6] for k in range(len(pairs)))
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"word{i % 7} id{i}99" if i % 3 else f"mail me: u{i}@h.org" for i in range(3_000))
+    got = spans_of(spark, [text, "mail me: unseen-9911", ""])
+    assert got[1] == "context:9:20"
+
+
 def test_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r[0]: list(r[1:]) for r in pii.digests(pii.found_spans(docs)).collect()}
@@ -120,6 +142,15 @@ def test_redacted_and_empty(spark):
     assert pii.redacted(empty).count() == 0 and pii.found_spans(empty).count() == 0
 
 
+def test_clashing_columns(spark):
+    names = ["_text", "_row", "_base", "_tokens", "_seeds", "_s", "_in", "_own", "_new", "context", "own", "doc", "spans", "base_spans", "s"]
+    docs = spark.createDataFrame([(i, "to a.b@c.de and 1.2.3.4!", *(f"{c}{i}" for c in names)) for i in range(2)], ["doc_id", "text", *names])
+    for out, lost in ((pii.found_spans(docs), {"spans", "base_spans"}), (pii.redacted(docs), set())):
+        rows = out.collect()
+        assert len(rows) == 2 and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names if c not in lost)
+    assert [r.text for r in rows] == ["to <EMAIL> and <IP>!"] * 2
+
+
 def test_every_pattern_is_scored(spark):
     """10,001 frequent contexts do not push out a sure one of three values."""
     rows = [(f"common c{i}", f"{v}{i:05d}99", False) for i in range(10_001) for v in (1, 2, 3, 4)]
