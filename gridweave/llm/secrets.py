@@ -1,17 +1,17 @@
 """Operator 6 [native]: secrets by patterns, and by sliding-window entropy of candidate strings.
 
 Three base patterns find assigned values, access keys and long hexadecimal strings. Beyond these, every
-unbroken run of key characters of at least WINDOW characters is a candidate. It belongs to a character
-class (hex: one case of hexadecimal digits; mixed: lower case, upper case and digits; plain: letters of
-one case and digits), and a window of WINDOW characters slides along it: the count of each character and
-the sum of c log2 c are updated by the character that enters and the one that leaves, and the window's
-Shannon entropy is log2(WINDOW) less that sum over WINDOW. A candidate whose highest entropy reaches its
-class's threshold becomes a span of kind ``entropy``, unless an allow-list pattern matches it or it
-overlaps a base span.
+unbroken run of letters, digits, ``+`` and ``-`` is looked at (``/``, ``=`` and ``_`` join words and names to
+values, so runs end there), less what base spans cover; what is left and has WINDOW characters or more is a
+candidate. It belongs to a character class (hex: one case of hexadecimal digits; mixed: lower case, upper case
+and digits; plain: letters of one case and digits), and a window of WINDOW characters slides along it: the count
+of each character and the sum of c log2 c are updated by the character that enters and the one that leaves, and
+the window's Shannon entropy is log2(WINDOW) less that sum over WINDOW. A candidate whose highest entropy reaches
+its class's threshold becomes a span of kind ``entropy``, unless an allow-list pattern matches that candidate.
 
 Defined results: a null or empty text has no spans; a very long candidate takes time in proportion to
-its length; repeated rows are reported each; an empty table gives no row; extra columns are carried and
-those named like a result replaced.
+its length; repeated rows are reported each; an empty table gives no row; extra columns are carried whatever
+their names and those named like a result replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm import spans
-from gridweave.llm.shared import text_or_empty
+from gridweave.llm.shared import field, packed, text_or_empty
 
 
 def any_case(word: str) -> str:
@@ -36,16 +36,16 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}+"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+CANDIDATE = rf"(?<![A-Za-z0-9+-])[A-Za-z0-9+-]{{{WINDOW},}}+"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+-"
 #: Least entropy in bits of a window, by class.
 THRESHOLDS = {"hex": 3.05, "mixed": 3.75, "plain": 3.55}
 #: Strings that look random and are no secrets.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|placeholder|changeme|dummy|xxxx|your[_-]",
+    r"(?i)example|sample|placeholder|changeme|dummy|xxxx|your-",
     r"0123456789abcdef|abcdefghijklmnop|ABCDEFGHIJKLMNOP",
-    r"^[0-9_=/+-]+$",
+    r"^[0-9+-]+$",
 )
 
 
@@ -94,12 +94,27 @@ def suspicious(value: Column) -> Column:
     return F.when(kind.isNull() | allowed, False).otherwise(top_entropy(value) >= least[kind])
 
 
+def uncovered(runs: Column, base: Column) -> Column:
+    """What of ``runs`` lies in no span of ``base``, in pieces of WINDOW characters and more."""
+
+    def pieces(r: Column) -> Column:
+        # base spans over the run by their start, each ending where the furthest so far does
+        over = F.array_sort(F.transform(F.filter(base, lambda s: spans.overlap(s, r)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+        begins = F.transform(F.sequence(F.lit(0), F.size(over)), lambda k: F.greatest(r["start"], F.coalesce(F.array_max(F.transform(F.slice(over, F.lit(1), k), lambda s: s["end"])), r["start"])))
+        ends = F.concat(F.transform(over, lambda s: s["start"]), F.array(r["end"]))
+        piece = lambda x: F.struct(r["kind"].alias("kind"), x["a"].alias("start"), x["b"].alias("end"), F.substring(r["value"], x["a"] - r["start"] + 1, x["b"] - x["a"]).alias("value"))
+        return F.transform(F.filter(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda x: x["b"] - x["a"] >= WINDOW), piece)
+
+    return F.flatten(F.transform(runs, lambda r: F.when(F.exists(base, lambda s: spans.overlap(s, r)), pieces(r)).otherwise(F.array(r))))
+
+
 def with_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with base_spans and spans: arrays of (kind, start, end, value), in order."""
-    text = text_or_empty()
-    docs = docs.drop("base_spans", "spans", "_base", "_seen").withColumn("_base", base_spans(text)).withColumn("_seen", spans.matches(text, CANDIDATE, "entropy"))
-    extra = F.filter(spans.outside(F.col("_seen"), F.col("_base")), lambda s: suspicious(s["value"]))
-    return docs.withColumns({"base_spans": spans.ordered(F.col("_base"), KINDS), "spans": spans.ordered(F.concat("_base", extra), KINDS)}).drop("_base", "_seen")
+    docs = docs.drop("base_spans", "spans")
+    seen = docs.select(packed(docs), base_spans(text_or_empty()).alias("_base"), spans.matches(text_or_empty(), CANDIDATE, "entropy").alias("_runs"))
+    extra = F.filter(uncovered(F.col("_runs"), F.col("_base")), lambda s: suspicious(s["value"]))
+    both = seen.select("_in", F.struct(spans.ordered(F.col("_base"), KINDS).alias("base_spans"), spans.ordered(F.concat("_base", extra), KINDS).alias("spans")).alias("_out"))
+    return both.select(*(field(c).alias(c) for c in docs.columns), "_out.*")
 
 
 def digests(found: DataFrame) -> DataFrame:
