@@ -84,12 +84,12 @@ def in_slots(slots: bytes, *names: str) -> Column:
     return F.substring(F.lit(slots), slot(*names) + 1, F.lit(1)) == F.lit(b"\x01")
 
 
-def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``one``, a table of a row a key whose column ``count`` says how many of ``rows`` have it.
+def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``one``, a table of few rows a key; ``counts``: keys, n (how many of ``rows`` have them).
 
     Rows of keys of HOT_ROWS and more are dealt to SALTS places, and those keys' rows of ``one`` to each of them,
     so that no task gets all rows of a key."""
-    hot = seen_slots(one.where(F.col(count) >= HOT_ROWS), *keys)
+    hot = seen_slots(counts.where(F.col("n") >= HOT_ROWS), *keys)
     if not any(hot):
         return rows.join(one, keys, how)
     salted = rows.withColumn("_salt", F.when(in_slots(hot, *keys), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))

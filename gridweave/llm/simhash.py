@@ -9,10 +9,16 @@ cut, so this ends, and no task ever gathers an unbounded shard. In a task the sh
 keyed by their Hamming distance to the parent) are built and searched side by side in numpy, following
 only edges within the radius; a shard gives at most a link for each of its members. The components of
 the links are found by rounds of star contraction on DataFrames, each checkpointed in the shared folder.
+The trees of all shards are built where their shards are dealt to, not broadcast: they grow with the corpus.
 
-Defined results: a null or empty text has fingerprint zero, linked like any other; a component's id is
-the smallest doc_id in it (nulls aside); repeated rows fall into one component; an empty table gives no
-row; other columns are left out.
+``representatives`` keeps one row of each group of texts whose shingles are alike by Jaccard similarity, where
+the 64 bits of a fingerprint say too little.
+
+Defined results: a null or empty text has fingerprint zero, linked like any other; a very long text is hashed
+whole; a component's id is the smallest doc_id in it (nulls aside); repeated rows fall into one component; an
+empty table gives no row; other columns are left out by ``near_duplicates`` and kept, whatever their names, by
+``representatives``; there null doc_ids come last, and rows that share doc_id and text count as one row of which
+any one stays.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridweave.llm.bpe import slices, small_batches
-from gridweave.llm.shared import checkpointed, partitions
+from gridweave.llm.shared import checkpointed, field, in_slots, packed, partitions, seen_slots, spread_join
 
 SHARD_AIM = 1_000  #: fingerprints that a shard would have if bits were even
 SHARD_MOST = 5_000  #: above this it is cut again
@@ -236,9 +242,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # each node's larger neighbours go to its smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # then its smaller ones
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = spread_join(both.where("v > u"), least.drop("n"), ["u"], least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # then its smaller ones: each node has few, since all were given the smallest of a neighbourhood
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = checkpointed(small.distinct())
@@ -253,8 +259,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes, radius))
     nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(nodes.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = spread_join(nodes, ids.drop("n"), ["root"], ids).select("fp", "component_id")
+    return spread_join(rows, named, ["fp"], rows.groupBy("fp").agg(F.count("*").alias("n"))).select("doc_id", "fp", "component_id")
 
 
 # -- near copies by similarity ---------------------------------------------------------------------
@@ -268,7 +275,7 @@ def min_hashes(h: np.ndarray) -> np.ndarray:
 
 
 def with_bands(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, _text (hash of the text), words (128-bit hash of its words), bands."""
+    """doc_id, own (hash of the text), words (128-bit hash of its words), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -279,10 +286,10 @@ def with_bands(docs: DataFrame, shingle: int) -> DataFrame:
                 bands.append(min_hashes(shingle_hashes(words, shingle) if words else np.zeros(0, np.uint64)))
             flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_text"), pa.array(digest, pa.binary()), lists], schema.names)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("own"), pa.array(digest, pa.binary()), lists], schema.names)
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("_text", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    return small_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))).mapInArrow(run, schema)
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("own", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    return small_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("own"))).mapInArrow(run, schema)
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -296,47 +303,74 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return small_batches(texts.select("node", "text")).mapInArrow(run, "node long, set array<long>")
 
 
-def same_row(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_text"] == b["_text"])
+def with_shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v, shared, either: sizes of the intersection and the union of the pairs' sets."""
+    for name, kept in (("u", "a"), ("v", "b")):
+        counts = pairs.groupBy(name).agg(F.count("*").alias("n"))
+        pairs = spread_join(pairs, sets.select(F.col("node").alias(name), F.col("set").alias(kept)), [name], counts)
+    shared = F.size(F.array_intersect("a", "b"))
+    return pairs.select("u", "v", shared.alias("shared"), (F.size("a") + F.size("b")).alias("sizes")).select("u", "v", "shared", (F.col("sizes") - F.col("shared")).alias("either"))
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) whose sets have a Jaccard similarity of ``percent`` or more, exactly."""
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
+def alike(percent: int) -> Column:
+    """A Jaccard similarity of ``percent`` or more."""
+    return 100 * F.col("shared") >= percent * F.col("either")
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(u, v): verified links between ``nodes`` (node, doc_id, _text, bands) that share a bucket of a band.
-
-    All pairs of a bucket of up to ALL_PAIRS nodes are tested. Of a larger one every node is tested against
-    a few of them; those that are like none go on to the next round among themselves, with twice as many, until
-    none is left. So two nodes of a large bucket are not compared if one is like a tested node and the other is not."""
+    """(u, v): verified links between ``nodes`` (node, doc_id, own, bands) that share a bucket of a band; they connect
+    all that such links connect.
+
+    All pairs of a bucket of up to ALL_PAIRS nodes are tested. In a larger one every node is tested against a few
+    leads; nodes that are like none go on to the next round among themselves, with twice as many leads, until none
+    is left. Jaccard distance is a metric, so a node can be linked to one that a lead holds only if it is within twice
+    the radius of that lead and within one radius of the ring that the held one lies on: such nodes of other
+    components are tested against those of the ring, as in a tree of distances to its nodes' parents."""
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
-    members = checkpointed(buckets.join(shared, "bucket"))
-    chosen = nodes.select("node", "doc_id", "_text").join(members.select("node").distinct(), "node")
-    keyed = texts.select("doc_id", "text", F.xxhash64("text").alias("_text"))
-    wanted = keyed.join(chosen, same_row(keyed, chosen)).select(chosen["node"], keyed["text"]).dropDuplicates(["node"])
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = checkpointed(spread_join(buckets.where(in_slots(seen_slots(shared, "bucket"), "bucket")), shared.select("bucket"), ["bucket"], shared))
+    chosen = nodes.select("node", F.col("doc_id").alias("doc"), "own").join(members.select("node").distinct(), "node")
+    keyed = texts.select("doc_id", "text", F.xxhash64("text").alias("_own")).where(in_slots(seen_slots(chosen, "own"), "_own"))
+    wanted = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["doc"]) & (keyed["_own"] == chosen["own"])).select("node", "text").dropDuplicates(["node"])
     sets = checkpointed(shingle_sets(wanted, shingle))
-    order, out, leads = F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("node")), None, 2
+    order, out, tested, leads = F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("node")), None, None, 2
+    distance, radius = 1 - F.col("shared") / F.col("either"), 1 - percent / 100
     while True:
-        sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(order)["node"].alias("low"), F.max(order)["node"].alias("high")).where("n > 1")
-        sized = members.join(sizes, "bucket")
+        sizes = checkpointed(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(order)["node"].alias("low"), F.max(order)["node"].alias("high")).where("n > 1"))
+        sized = spread_join(members, sizes, ["bucket"], sizes)
         small = sized.where(F.col("n") <= ALL_PAIRS).groupBy("bucket").agg(F.array_sort(F.collect_list("node")).alias("all"))
         tails = F.flatten(F.transform("all", lambda u, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda v: F.struct(u.alias("u"), v.alias("v")))))
-        picked = F.col("node").isin(F.col("low"), F.col("high")) | (F.pmod(F.xxhash64("node", F.lit(leads)), F.ceil(F.col("n") / (leads - 1))) == 0) if leads > 2 else F.col("node").isin(F.col("low"), F.col("high"))
+        ends = F.col("node").isin(F.col("low"), F.col("high"))
+        picked = ends | (F.pmod(F.xxhash64("node", F.lit(leads)), F.ceil(F.col("n") / (leads - 1))) == 0) if leads > 2 else ends
         large = checkpointed(sized.where(F.col("n") > ALL_PAIRS).select("bucket", "node", picked.alias("picked")))
         lead = large.where("picked").select("bucket", F.col("node").alias("lead"))
-        led = large.join(lead, "bucket").where("node < lead or node > lead and not picked").select("bucket", "node", F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
-        found = checkpointed(similar(small.select(F.explode(tails).alias("p")).select("p.u", "p.v").unionByName(led.select("u", "v")).distinct(), sets, percent))
-        out = found if out is None else out.unionByName(found)
+        led = spread_join(large, lead, ["bucket"], sizes).where("node <> lead").select("bucket", "node", "lead", F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
+        pairs = checkpointed(small.select(F.explode(tails).alias("p")).select("p.u", "p.v").unionByName(led.select("u", "v")).distinct())
+        found = checkpointed(with_shared(pairs, sets).where(alike(max(0, 2 * percent - 100))))
+        links_ = found.where(alike(percent)).select("u", "v")
+        out = links_ if out is None else out.unionByName(links_)
         if large.isEmpty():
-            return out
-        ready = led.join(found, ["u", "v"], "left_semi").select("bucket", "node").distinct()
+            break
+        held = checkpointed(led.join(found, ["u", "v"]).select("bucket", "node", "lead", alike(percent).alias("linked"), distance.alias("d")))
+        tested = held if tested is None else tested.unionByName(held)
+        ready = held.where("linked").select("bucket", "node").distinct()
         members = checkpointed(large.where("not picked").join(ready, ["bucket", "node"], "left_anti").select("bucket", "node"))
         leads *= 2
+    if tested is None:
+        return out
+    out = checkpointed(out.distinct())
+    roots = components(out)
+    open_ = tested.where("not linked")
+    for name in ("node", "lead"):
+        counts = open_.groupBy(name).agg(F.count("*").alias("n"))
+        open_ = spread_join(open_, roots.select(F.col("node").alias(name), F.col("root").alias(f"r_{name}")), [name], counts, "left")
+    open_ = checkpointed(open_.where(F.coalesce("r_node", "node") != F.coalesce("r_lead", "lead")).select("bucket", "lead", "node", "d"))
+    if open_.isEmpty():
+        return out
+    ring = tested.where("linked").select("bucket", "lead", F.col("node").alias("other"), F.col("d").alias("d_other"))
+    near = spread_join(ring, open_, ["bucket", "lead"], ring.groupBy("bucket", "lead").agg(F.count("*").alias("n"))).where(F.col("d_other") >= F.col("d") - radius - 1e-9)
+    pairs = checkpointed(near.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct())
+    return out.unionByName(with_shared(pairs, sets).where(alike(percent)).select("u", "v"))
 
 
 def representatives(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -344,12 +378,16 @@ def representatives(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     Near copies share ``percent`` or more of their different shingles. Candidates come from bands of
     smallest hashes, since 64 bits of a SimHash differ in about ten at this similarity."""
-    rows = with_bands(docs, shingle)
-    best = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_text"))
+    rows = checkpointed(with_bands(docs, shingle))
+    best = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "own"))
     nodes = checkpointed(rows.groupBy("words").agg(best.alias("best"), F.first("bands").alias("bands")).select(F.monotonically_increasing_id().alias("node"), "best", "bands"))
-    flat = nodes.select("node", "best.doc_id", "best._text", "bands")
+    flat = nodes.select("node", "best.doc_id", "best.own", "bands")
     roots = components(similar_links(flat, docs, shingle, percent))
     named = nodes.select("node", "best").join(roots, "node", "left")
-    won = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best.doc_id", "best._text")
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    return keyed.join(won, same_row(keyed, won), "left_semi").dropDuplicates(["doc_id", "_text"]).select(docs.columns)
+    won = checkpointed(named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("doc"), "best.own"))
+    keyed = docs.select(packed(docs), F.xxhash64("text").alias("_own"))
+    out = keyed.join(won, field("doc_id").eqNullSafe(won["doc"]) & (keyed["_own"] == won["own"]), "left_semi")
+    # only where rows of one doc_id and text are there twice do the rows kept need another look
+    if not rows.groupBy("doc_id", "own").count().where("count > 1").isEmpty():
+        out = out.withColumn("_doc", field("doc_id")).dropDuplicates(["_doc", "_own"])
+    return out.select(*(field(c).alias(c) for c in docs.columns))

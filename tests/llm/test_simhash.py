@@ -113,18 +113,43 @@ def test_one_row_a_component(spark):
     assert got == sorted([(1, text), (1, "quite another text"), (None, "a b"), (None, "c d")], key=str)
 
 
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
 def test_large_buckets_are_tested_in_rounds(spark, monkeypatch):
-    """Buckets of many nodes of several groups: every node meets its like."""
+    """All nodes in one bucket: the components are those of all pairs, chains and near misses included."""
     r = random.Random(4)
     texts = []
-    for _ in range(6):
-        words = [f"w{r.getrandbits(40)}" for _ in range(200)]
-        for k in range(12):
-            texts.append(" ".join([*words[:100], f"x{k}", *words[101:]]))
+    for g in range(6):
+        words = [f"w{r.getrandbits(40)}" for _ in range(120)]
+        for k in range(14):
+            for _ in range(g):  # a walk: the further apart, the less alike
+                words[r.randrange(120)] = f"x{r.getrandbits(40)}"
+            texts.append(" ".join(words))
+    texts = list(dict.fromkeys(texts))
+    label = list(range(len(texts)))
+    find = lambda i: i if label[i] == i else find(label[i])
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
     monkeypatch.setattr(S, "ALL_PAIRS", 2)
-    monkeypatch.setattr(S, "min_hashes", lambda h: np.arange(S.BANDS))  # all in one bucket of each band
+    monkeypatch.setattr("gridweave.llm.shared.HOT_ROWS", 20)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    bands = spark.range(len(texts)).select(S.F.col("id").alias("node"), S.F.col("id").alias("doc_id"), S.F.array(S.F.lit(1).cast("long")).alias("bands"))
-    nodes = bands.join(docs.select("doc_id", S.F.xxhash64("text").alias("_text")), "doc_id").select("node", "doc_id", "_text", "bands")
+    nodes = docs.select(S.F.col("doc_id").alias("node"), "doc_id", S.F.xxhash64("text").alias("own"), S.F.array(S.F.lit(1).cast("long")).alias("bands"))
     roots = {x.node: x.root for x in S.components(S.similar_links(nodes, docs, 5, 80)).collect()}
-    assert [roots.get(i, i) for i in range(len(texts))] == [i // 12 * 12 for i in range(len(texts))]
+    assert [roots.get(i, i) for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+    assert 8 < len({find(i) for i in range(len(texts))}) < 60
+
+
+def test_clashing_columns_long_and_empty(spark):
+    names = ["_in", "_own", "own", "doc", "node", "best", "bands", "words", "_doc", "fp", "root"]
+    long = " ".join(f"word{i}" for i in range(50_000))
+    docs = spark.createDataFrame([(i, t, *(f"{c}{i}" for c in names)) for i, t in enumerate([long, long + " end", "short one"])], ["doc_id", "text", *names])
+    got = {x.doc_id: x for x in S.representatives(docs).collect()}
+    assert sorted(got) == [0, 2] and all(got[i][c] == f"{c}{i}" for i in got for c in names)
+    assert S.representatives(docs.limit(0)).count() == 0
+    assert len({x.component_id for x in S.near_duplicates(docs).collect()}) == 2
