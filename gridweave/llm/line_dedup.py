@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.shared import WORD_SPACE, checkpointed, field, in_slots, packed, seen_slots, spread_join
+from gridweave.llm.shared import WORD_SPACE, back, checkpointed, in_slots, renamed, seen_slots, spread_join
 
 WINDOW = 2  #: line hashes in the rolling hash
 BASE = 31
@@ -82,25 +82,27 @@ def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the text that stays, and removed_chunks."""
     docs = docs.drop("removed_chunks")
     gone = removals(docs)
-    own = docs.select(packed(docs), F.xxhash64("text").alias("_own"))
-    both = own.join(gone, field("doc_id").eqNullSafe(gone["doc"]) & (own["_own"] == gone["own"]), "left").select("_in", "gone")
+    d, own = renamed(docs)
+    d = d.withColumn("this", F.xxhash64(own["text"]))
+    both = d.join(gone, d[own["doc_id"]].eqNullSafe(gone["doc"]) & (d["this"] == gone["own"]), "left").select(*own.values(), "gone")
+    rest = [*own.values()]
     once = lambda d, keep, name, value: d.select(*keep, F.explode(F.array(value)).alias(name))  # noqa: E731  evaluated once, not at each use
-    d = once(both, ["_in", "gone"], "lines", F.when(F.col("gone").isNotNull(), F.split(field("text"), "\n", -1)))
+    d = once(both, [*rest, "gone"], "lines", F.when(F.col("gone").isNotNull(), F.split(own["text"], "\n", -1)))
     # runs of adjacent lines of windows: chunks
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("gone", lambda w: F.sequence(w["place"], w["place"] + w["size"] - 1)))))
-    d = once(d, ["_in", "lines"], "at", covered)
+    d = once(d, [*rest, "lines"], "at", covered)
     begins = F.filter("at", lambda x, k: (k == 0) | (F.get("at", k - 1) < x - 1))
     ends = F.filter("at", lambda x, k: (k == F.size("at") - 1) | (F.get("at", k + 1) > x + 1))
     part = lambda a, n: F.array_join(F.slice("lines", a + 1, n), "\n")
     chunks = F.filter(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda c: F.length(part(c["a"], c["b"] - c["a"] + 1)) >= min_chars)
-    d = once(d, ["_in", "lines"], "chunks", chunks)
+    d = once(d, [*rest, "lines"], "chunks", chunks)
     # what lies between the chunks
     froms = F.concat(F.array(F.lit(0)), F.transform("chunks", lambda c: c["b"] + 1))
     tos = F.concat(F.transform("chunks", lambda c: c["a"]), F.array(F.size("lines")))
     kept = F.filter(F.arrays_zip(froms.alias("a"), tos.alias("b")), lambda c: c["b"] > c["a"])
     left = F.array_join(F.transform(kept, lambda c: part(c["a"], c["b"] - c["a"])), "\n")
-    text = F.when(F.coalesce(F.size("chunks"), F.lit(0)) > 0, left).otherwise(field("text"))
-    return d.select(*(text.alias("text") if c == "text" else field(c).alias(c) for c in docs.columns), F.greatest(F.lit(0), F.coalesce(F.size("chunks"), F.lit(0))).cast("long").alias("removed_chunks"))
+    text = F.when(F.coalesce(F.size("chunks"), F.lit(0)) > 0, left).otherwise(F.col(own["text"]))
+    return d.select(*back(own, text=text), F.greatest(F.lit(0), F.coalesce(F.size("chunks"), F.lit(0))).cast("long").alias("removed_chunks"))
 
 
 ORACLE = rf"""

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm import spans
-from gridweave.llm.shared import WORD_SPACE, checkpointed, field, in_slots, packed, seen_slots, text_or_empty
+from gridweave.llm.shared import WORD_SPACE, back, checkpointed, in_slots, renamed, seen_slots, text_or_empty
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
@@ -130,10 +130,12 @@ def confident(docs: DataFrame, instances: DataFrame, rounds: int = ROUNDS) -> Da
 def found_spans(docs: DataFrame) -> DataFrame:
     """``docs`` without text, with base_spans and spans: arrays of (kind, start, end, value), in order."""
     docs = docs.drop(*RESULTS)
-    rest, text = [c for c in docs.columns if c != "text"], text_or_empty()
-    seen = docs.select(packed(docs), F.explode(F.array(F.struct(base_spans(text).alias("base"), token_words(text).alias("words")))).alias("_s"))
-    seen = seen.select(F.struct(F.lit(0).alias("_"), *(field(c).alias(c) for c in rest)).alias("_in"), F.col("_s.base").alias("_base"), seeds(F.col("_s.base"), F.col("_s.words")).alias("_seeds"), F.explode(F.array(token_spans(F.col("_s.words")))).alias("_tokens"))
-    rows = seen.select("_in", "_base", "_seeds", spans.outside(F.col("_tokens"), F.col("_base")).alias("_tokens"))
+    d, own = renamed(docs)
+    text = text_or_empty(own.pop("text"))
+    rest = [*own.values()]
+    seen = d.select(*rest, F.explode(F.array(F.struct(base_spans(text).alias("base"), token_words(text).alias("words")))).alias("_s"))
+    seen = seen.select(*rest, F.col("_s.base").alias("_base"), seeds(F.col("_s.base"), F.col("_s.words")).alias("_seeds"), F.explode(F.array(token_spans(F.col("_s.words")))).alias("_tokens"))
+    rows = seen.select(*rest, "_base", "_seeds", spans.outside(F.col("_tokens"), F.col("_base")).alias("_tokens"))
     rows = checkpointed(rows.withColumn("_row", F.monotonically_increasing_id()))
 
     tokens = rows.select("_row", F.explode("_tokens").alias("s")).where("s.context is not null")
@@ -142,7 +144,8 @@ def found_spans(docs: DataFrame) -> DataFrame:
     plain = F.struct("s.kind", "s.start", "s.end", "s.value")
     new = tokens.withColumn("context", F.col("s.context")).join(good, "context").groupBy("_row").agg(F.collect_list(plain).alias("_new"))
     out = rows.join(new, "_row", "left")
-    return out.select(*(field(c).alias(c) for c in rest), spans.ordered(F.col("_base"), KINDS).alias("base_spans"), spans.ordered(F.concat("_base", F.coalesce("_new", spans.none())), KINDS).alias("spans"))
+    both = out.select(*rest, spans.ordered(F.col("_base"), KINDS).alias("_old"), spans.ordered(F.concat("_base", F.coalesce("_new", spans.none())), KINDS).alias("_all"))
+    return both.select(*back(own), F.col("_old").alias("base_spans"), F.col("_all").alias("spans"))
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -154,9 +157,10 @@ def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in capitals and angle brackets, as in <EMAIL>."""
     found = found_spans(docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("own"), "text")).where(F.size("spans") > 0)
     found = found.groupBy("doc", "own").agg(F.first("spans").alias("spans"))  # equal for equal texts
-    keyed = docs.select(packed(docs), F.xxhash64("text").alias("_own"))
-    joined = keyed.join(found, field("doc_id").eqNullSafe(found["doc"]) & (keyed["_own"] == found["own"]), "left").select("_in", "spans")
-    whole = field("text")
+    d, own = renamed(docs)
+    d = d.withColumn("this", F.xxhash64(own["text"]))
+    joined = d.join(found, d[own["doc_id"]].eqNullSafe(found["doc"]) & (d["this"] == found["own"]), "left").select(*own.values(), "spans")
+    whole = F.col(own["text"])
 
     def step(acc: Column, s: Column) -> Column:
         more = s["end"] > acc["at"]
@@ -168,4 +172,4 @@ def redacted(docs: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(whole, acc["at"] + 1, F.length(whole)))
     text = F.when(F.col("spans").isNull(), whole).otherwise(F.aggregate("spans", start, step, end))
-    return joined.select(*(text.alias("text") if c == "text" else field(c).alias(c) for c in docs.columns))
+    return joined.select(*back(own, text=text))

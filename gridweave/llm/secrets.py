@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm import spans
-from gridweave.llm.shared import field, packed, text_or_empty
+from gridweave.llm.shared import back, renamed, text_or_empty
 
 
 def any_case(word: str) -> str:
@@ -110,11 +110,12 @@ def uncovered(runs: Column, base: Column) -> Column:
 
 def with_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with base_spans and spans: arrays of (kind, start, end, value), in order."""
-    docs = docs.drop("base_spans", "spans")
-    seen = docs.select(packed(docs), base_spans(text_or_empty()).alias("_base"), spans.matches(text_or_empty(), CANDIDATE, "entropy").alias("_runs"))
+    d, own = renamed(docs.drop("base_spans", "spans"))
+    text = text_or_empty(own["text"])
+    seen = d.select(*own.values(), base_spans(text).alias("_base"), spans.matches(text, CANDIDATE, "entropy").alias("_runs"))
     extra = F.filter(uncovered(F.col("_runs"), F.col("_base")), lambda s: suspicious(s["value"]))
-    both = seen.select("_in", F.struct(spans.ordered(F.col("_base"), KINDS).alias("base_spans"), spans.ordered(F.concat("_base", extra), KINDS).alias("spans")).alias("_out"))
-    return both.select(*(field(c).alias(c) for c in docs.columns), "_out.*")
+    both = seen.select(*own.values(), spans.ordered(F.col("_base"), KINDS).alias("_old"), spans.ordered(F.concat("_base", extra), KINDS).alias("_all"))
+    return both.select(*back(own), F.col("_old").alias("base_spans"), F.col("_all").alias("spans"))
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -23,13 +23,15 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def packed(docs: DataFrame) -> Column:
-    """All columns of ``docs`` in one struct ``_in``, so that no name of theirs meets one made here."""
-    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_in")
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns _0, _1, ... and what each was called, so that no name of theirs meets one made here."""
+    own = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*own.values()), own
 
 
-def field(name: str, of: str = "_in") -> Column:
-    return F.col(of)[name]
+def back(own: dict[str, str], **new: Column) -> list[Column]:
+    """The columns of ``renamed`` under their own names, some replaced."""
+    return [new.get(c, F.col(x)).alias(c) for c, x in own.items()]
 
 
 def shared_dir(spark: SparkSession) -> str:

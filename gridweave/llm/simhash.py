@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridweave.llm.bpe import slices, small_batches
-from gridweave.llm.shared import checkpointed, field, in_slots, packed, partitions, seen_slots, spread_join
+from gridweave.llm.shared import back, checkpointed, in_slots, partitions, renamed, seen_slots, spread_join
 
 SHARD_AIM = 1_000  #: fingerprints that a shard would have if bits were even
 SHARD_MOST = 5_000  #: above this it is cut again
@@ -385,9 +385,10 @@ def representatives(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     roots = components(similar_links(flat, docs, shingle, percent))
     named = nodes.select("node", "best").join(roots, "node", "left")
     won = checkpointed(named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("doc"), "best.own"))
-    keyed = docs.select(packed(docs), F.xxhash64("text").alias("_own"))
-    out = keyed.join(won, field("doc_id").eqNullSafe(won["doc"]) & (keyed["_own"] == won["own"]), "left_semi")
+    d, own = renamed(docs)
+    d = d.withColumn("this", F.xxhash64(own["text"]))
+    out = d.join(won, d[own["doc_id"]].eqNullSafe(won["doc"]) & (d["this"] == won["own"]), "left_semi")
     # only where rows of one doc_id and text are there twice do the rows kept need another look
     if not rows.groupBy("doc_id", "own").count().where("count > 1").isEmpty():
-        out = out.withColumn("_doc", field("doc_id")).dropDuplicates(["_doc", "_own"])
-    return out.select(*(field(c).alias(c) for c in docs.columns))
+        out = out.dropDuplicates([own["doc_id"], "this"])
+    return out.select(*back(own))

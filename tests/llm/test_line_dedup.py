@@ -123,7 +123,7 @@ def test_corpus_and_oracle(spark):
 
 
 def test_clashing_columns_and_empty(spark):
-    names = ["gone", "lines", "at", "chunks", "own", "doc", "_in", "_own", "place", "size", "hash", "first", "n", "removed_chunks"]
+    names = ["_0", "_1", "this", "gone", "lines", "at", "chunks", "own", "doc", "_in", "_own", "place", "size", "hash", "first", "n", "removed_chunks"]
     p = passage(1, 5)
     docs = spark.createDataFrame([(i, p, *(f"{c}{i}" for c in names)) for i in range(3)], ["doc_id", "text", *names])
     out = {r.doc_id: r for r in L.deduplicated(docs).collect()}

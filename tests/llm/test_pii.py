@@ -143,7 +143,7 @@ def test_redacted_and_empty(spark):
 
 
 def test_clashing_columns(spark):
-    names = ["_text", "_row", "_base", "_tokens", "_seeds", "_s", "_in", "_own", "_new", "context", "own", "doc", "spans", "base_spans", "s"]
+    names = ["_0", "_1", "this", "_text", "_row", "_base", "_tokens", "_seeds", "_s", "_in", "_own", "_new", "context", "own", "doc", "spans", "base_spans", "s"]
     docs = spark.createDataFrame([(i, "to a.b@c.de and 1.2.3.4!", *(f"{c}{i}" for c in names)) for i in range(2)], ["doc_id", "text", *names])
     for out, lost in ((pii.found_spans(docs), {"spans", "base_spans"}), (pii.redacted(docs), set())):
         rows = out.collect()

@@ -60,7 +60,7 @@ def test_corpus(spark):
 
 
 def test_clashing_columns(spark):
-    names = ["_base", "_runs", "_in", "_seen", "spans", "base_spans", "kind", "start"]
+    names = ["_0", "_1", "this", "_base", "_runs", "_in", "_seen", "spans", "base_spans", "kind", "start"]
     docs = spark.createDataFrame([(None, TEXTS[3], *names)], f"doc_id long, text string, {', '.join(f'{c} string' for c in names)}")
     row = secrets.with_secrets(docs).first()
     assert row.doc_id is None and row.text == TEXTS[3] and len(row.base_spans) == 2 and all(row[c] == c for c in names if c not in ("spans", "base_spans"))

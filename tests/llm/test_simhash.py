@@ -146,7 +146,7 @@ def test_large_buckets_are_tested_in_rounds(spark, monkeypatch):
 
 
 def test_clashing_columns_long_and_empty(spark):
-    names = ["_in", "_own", "own", "doc", "node", "best", "bands", "words", "_doc", "fp", "root"]
+    names = ["_0", "_1", "this", "_in", "_own", "own", "doc", "node", "best", "bands", "words", "_doc", "fp", "root"]
     long = " ".join(f"word{i}" for i in range(50_000))
     docs = spark.createDataFrame([(i, t, *(f"{c}{i}" for c in names)) for i, t in enumerate([long, long + " end", "short one"])], ["doc_id", "text", *names])
     got = {x.doc_id: x for x in S.representatives(docs).collect()}
