@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.shared import WORD_SPACE, back, checkpointed, in_slots, renamed, seen_slots, spread_join
+from gridweave.llm.shared import WORD_SPACE, back, checkpointed, hot_slots, in_slots, renamed, seen_slots, spread_join
 
 WINDOW = 2  #: line hashes in the rolling hash
 BASE = 31
@@ -68,7 +68,7 @@ def removals(docs: DataFrame) -> DataFrame:
     maybe = found.where(in_slots(seen_slots(repeated, "size", "hash"), "size", "hash"))
     bytes_of = maybe.groupBy("size", "hash").agg((F.min("text") == F.max("text")).alias("same"))
     mixed = checkpointed(bytes_of.where("not same").select("size", "hash"))
-    marked = spread_join(maybe.drop("text"), repeated.join(mixed, ["size", "hash"], "left_anti"), ["size", "hash"], repeated).where(later()).select(*KEY, "place", "size")
+    marked = spread_join(maybe.drop("text"), repeated.join(mixed, ["size", "hash"], "left_anti"), ["size", "hash"], hot_slots(repeated, "size", "hash")).where(later()).select(*KEY, "place", "size")
     # hashes that different texts share, if there are any: by the texts themselves
     if not mixed.isEmpty():
         shared = maybe.join(mixed, ["size", "hash"], "left_semi")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space that words are cut at.
 WORD_SPACE = r"\x20\x09-\x0D"
-SLOTS = 1 << 18  #: of the bitmaps that keys are tested against before a shuffle
+SLOTS = 1 << 18  #: bits of the bitmaps that keys are tested against before a shuffle
+HOT_SLOTS = 1 << 12  #: bits of the bitmaps of hot keys
 HOT_ROWS = 1_000  #: rows of a key from which a join deals them to SALTS places
 SALTS = 32
 
@@ -67,32 +68,41 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def slot(*keys: str) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
+Slots = list[int]  #: a bitmap, as whole numbers of 32 bits
 
 
-def seen_slots(keys: DataFrame, *names: str) -> bytes:
-    """A byte a slot, 1 where a key of ``keys`` falls: what comes to the driver is at most a number for 32 slots."""
-    parts = keys.select(slot(*names).alias("s")).groupBy(F.floor(F.col("s") / 32).alias("w")).agg(F.expr("bit_or(shiftleft(1L, s % 32))").alias("bits"))
-    out = bytearray(SLOTS)
+def slot(keys: tuple[str, ...], size: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(size)).cast("int")
+
+
+def seen_slots(keys: DataFrame, *names: str, size: int = SLOTS) -> Slots:
+    """A bitmap of where the keys of ``keys`` fall: what comes to the driver is at most a number for 32 of its bits."""
+    parts = keys.select(slot(names, size).alias("s")).groupBy(F.floor(F.col("s") / 32).alias("w")).agg(F.expr("bit_or(shiftleft(1L, s % 32))").alias("bits"))
+    out = [0] * (size // 32)
     for w, bits in parts.collect():
-        for k in range(32):
-            out[32 * w + k] = bits >> k & 1
-    return bytes(out)
+        out[w] = bits
+    return out
 
 
-def in_slots(slots: bytes, *names: str) -> Column:
+def in_slots(slots: Slots, *names: str) -> Column:
     """True for every key that went into ``slots``, and for few others."""
-    return F.substring(F.lit(slots), slot(*names) + 1, F.lit(1)) == F.lit(b"\x01")
+    at = slot(names, 32 * len(slots))
+    word = F.get(F.expr(f"array({','.join(f'{x}L' for x in slots)})"), F.floor(at / 32).cast("int"))
+    return F.expr("1L") == F.getbit(word, at % 32).cast("long")
+
+
+def hot_slots(counts: DataFrame, *keys: str) -> Slots | None:
+    """Where the keys fall that have HOT_ROWS rows and more by ``counts`` (keys, n); None if there is none."""
+    hot = seen_slots(counts.where(F.col("n") >= HOT_ROWS), *keys, size=HOT_SLOTS)
+    return hot if any(hot) else None
 
 
-def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``one``, a table of few rows a key; ``counts``: keys, n (how many of ``rows`` have them).
+def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], hot: Slots | None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``one``, a table of few rows a key; ``hot``: of the keys that very many of ``rows`` have.
 
-    Rows of keys of HOT_ROWS and more are dealt to SALTS places, and those keys' rows of ``one`` to each of them,
-    so that no task gets all rows of a key."""
-    hot = seen_slots(counts.where(F.col("n") >= HOT_ROWS), *keys)
-    if not any(hot):
+    Rows of hot keys are dealt to SALTS places, and those keys' rows of ``one`` to each of them, so that no task gets
+    all rows of a key."""
+    if hot is None:
         return rows.join(one, keys, how)
     salted = rows.withColumn("_salt", F.when(in_slots(hot, *keys), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     dealt = one.withColumn("_salt", F.explode(F.when(in_slots(hot, *keys), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))

@@ -35,13 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridweave.llm.bpe import slices, small_batches
-from gridweave.llm.shared import back, checkpointed, in_slots, partitions, renamed, seen_slots, spread_join
+from gridweave.llm.shared import back, checkpointed, hot_slots, in_slots, partitions, renamed, seen_slots, spread_join
 
 SHARD_AIM = 1_000  #: fingerprints that a shard would have if bits were even
 SHARD_MOST = 5_000  #: above this it is cut again
 SLAB_ROWS = 20_000  #: rows of whole shards handled at once
 
 BANDS, ROWS = 20, 5  #: two texts of similarity s share a band with 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8
+FIRST_LEADS = 8  #: nodes of a larger bucket that all others are tested against in the first round
 ALL_PAIRS = 16  #: nodes of a bucket whose pairs are all tested at once
 FACTORS, SHIFTS = (np.random.default_rng(k).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1) for k in (42, 43))
 
@@ -243,7 +244,7 @@ def components(edges: DataFrame) -> DataFrame:
         # each node's larger neighbours go to its smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = spread_join(both.where("v > u"), least.drop("n"), ["u"], least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = spread_join(both.where("v > u"), least.drop("n"), ["u"], hot_slots(least, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # then its smaller ones: each node has few, since all were given the smallest of a neighbourhood
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
@@ -260,8 +261,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     roots = components(links(nodes, radius))
     nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    named = spread_join(nodes, ids.drop("n"), ["root"], ids).select("fp", "component_id")
-    return spread_join(rows, named, ["fp"], rows.groupBy("fp").agg(F.count("*").alias("n"))).select("doc_id", "fp", "component_id")
+    named = spread_join(nodes, ids.drop("n"), ["root"], hot_slots(ids, "root")).select("fp", "component_id")
+    return spread_join(rows, named, ["fp"], hot_slots(rows.groupBy("fp").agg(F.count("*").alias("n")), "fp")).select("doc_id", "fp", "component_id")
 
 
 # -- near copies by similarity ---------------------------------------------------------------------
@@ -305,9 +306,9 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
 
 def with_shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """u, v, shared, either: sizes of the intersection and the union of the pairs' sets."""
+    hot = {name: hot_slots(pairs.groupBy(name).agg(F.count("*").alias("n")), name) for name in "uv"}
     for name, kept in (("u", "a"), ("v", "b")):
-        counts = pairs.groupBy(name).agg(F.count("*").alias("n"))
-        pairs = spread_join(pairs, sets.select(F.col("node").alias(name), F.col("set").alias(kept)), [name], counts)
+        pairs = spread_join(pairs, sets.select(F.col("node").alias(name), F.col("set").alias(kept)), [name], hot[name])
     shared = F.size(F.array_intersect("a", "b"))
     return pairs.select("u", "v", shared.alias("shared"), (F.size("a") + F.size("b")).alias("sizes")).select("u", "v", "shared", (F.col("sizes") - F.col("shared")).alias("either"))
 
@@ -322,29 +323,29 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int
     all that such links connect.
 
     All pairs of a bucket of up to ALL_PAIRS nodes are tested. In a larger one every node is tested against a few
-    leads; nodes that are like none go on to the next round among themselves, with twice as many leads, until none
+    leads; nodes that are like none go on to the next round among themselves, with four times as many leads, until none
     is left. Jaccard distance is a metric, so a node can be linked to one that a lead holds only if it is within twice
     the radius of that lead and within one radius of the ring that the held one lies on: such nodes of other
     components are tested against those of the ring, as in a tree of distances to its nodes' parents."""
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = checkpointed(spread_join(buckets.where(in_slots(seen_slots(shared, "bucket"), "bucket")), shared.select("bucket"), ["bucket"], shared))
+    hot = hot_slots(shared, "bucket")
+    members = checkpointed(spread_join(buckets.where(in_slots(seen_slots(shared, "bucket"), "bucket")), shared.select("bucket"), ["bucket"], hot))
     chosen = nodes.select("node", F.col("doc_id").alias("doc"), "own").join(members.select("node").distinct(), "node")
     keyed = texts.select("doc_id", "text", F.xxhash64("text").alias("_own")).where(in_slots(seen_slots(chosen, "own"), "_own"))
     wanted = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["doc"]) & (keyed["_own"] == chosen["own"])).select("node", "text").dropDuplicates(["node"])
     sets = checkpointed(shingle_sets(wanted, shingle))
-    order, out, tested, leads = F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("node")), None, None, 2
+    order, out, tested, leads = F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("node")), None, None, FIRST_LEADS
     distance, radius = 1 - F.col("shared") / F.col("either"), 1 - percent / 100
     while True:
         sizes = checkpointed(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(order)["node"].alias("low"), F.max(order)["node"].alias("high")).where("n > 1"))
-        sized = spread_join(members, sizes, ["bucket"], sizes)
+        sized = spread_join(members, sizes, ["bucket"], hot)
         small = sized.where(F.col("n") <= ALL_PAIRS).groupBy("bucket").agg(F.array_sort(F.collect_list("node")).alias("all"))
         tails = F.flatten(F.transform("all", lambda u, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda v: F.struct(u.alias("u"), v.alias("v")))))
-        ends = F.col("node").isin(F.col("low"), F.col("high"))
-        picked = ends | (F.pmod(F.xxhash64("node", F.lit(leads)), F.ceil(F.col("n") / (leads - 1))) == 0) if leads > 2 else ends
+        picked = F.col("node").isin(F.col("low"), F.col("high")) | (F.pmod(F.xxhash64("node", F.lit(leads)), F.ceil(F.col("n") / leads)) == 0)
         large = checkpointed(sized.where(F.col("n") > ALL_PAIRS).select("bucket", "node", picked.alias("picked")))
         lead = large.where("picked").select("bucket", F.col("node").alias("lead"))
-        led = spread_join(large, lead, ["bucket"], sizes).where("node <> lead").select("bucket", "node", "lead", F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
+        led = spread_join(large, lead, ["bucket"], hot).where("node <> lead").select("bucket", "node", "lead", F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
         pairs = checkpointed(small.select(F.explode(tails).alias("p")).select("p.u", "p.v").unionByName(led.select("u", "v")).distinct())
         found = checkpointed(with_shared(pairs, sets).where(alike(max(0, 2 * percent - 100))))
         links_ = found.where(alike(percent)).select("u", "v")
@@ -355,7 +356,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int
         tested = held if tested is None else tested.unionByName(held)
         ready = held.where("linked").select("bucket", "node").distinct()
         members = checkpointed(large.where("not picked").join(ready, ["bucket", "node"], "left_anti").select("bucket", "node"))
-        leads *= 2
+        leads *= 4
     if tested is None:
         return out
     out = checkpointed(out.distinct())
@@ -363,12 +364,12 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int
     open_ = tested.where("not linked")
     for name in ("node", "lead"):
         counts = open_.groupBy(name).agg(F.count("*").alias("n"))
-        open_ = spread_join(open_, roots.select(F.col("node").alias(name), F.col("root").alias(f"r_{name}")), [name], counts, "left")
+        open_ = spread_join(open_, roots.select(F.col("node").alias(name), F.col("root").alias(f"r_{name}")), [name], hot_slots(counts, name), "left")
     open_ = checkpointed(open_.where(F.coalesce("r_node", "node") != F.coalesce("r_lead", "lead")).select("bucket", "lead", "node", "d"))
     if open_.isEmpty():
         return out
     ring = tested.where("linked").select("bucket", "lead", F.col("node").alias("other"), F.col("d").alias("d_other"))
-    near = spread_join(ring, open_, ["bucket", "lead"], ring.groupBy("bucket", "lead").agg(F.count("*").alias("n"))).where(F.col("d_other") >= F.col("d") - radius - 1e-9)
+    near = spread_join(ring, open_, ["bucket", "lead"], hot_slots(ring.groupBy("bucket", "lead").agg(F.count("*").alias("n")), "bucket", "lead")).where(F.col("d_other") >= F.col("d") - radius - 1e-9)
     pairs = checkpointed(near.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct())
     return out.unionByName(with_shared(pairs, sets).where(alike(percent)).select("u", "v"))
 
