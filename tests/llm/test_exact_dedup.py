@@ -29,3 +29,14 @@ def test_cases(spark):
         assert (r.group_size, r.keep_id) == (len(same), min(same)[1])
     assert sum(r.kept for r in got) == len({sha256(norm(t).encode()).digest() for _, t, _ in rows})
     assert X.exact_groups(spark.createDataFrame([], docs.schema)).count() == 0
+
+
+def test_clashing_columns_nulls_and_long(spark, monkeypatch):
+    monkeypatch.setattr("gridweave.llm.shared.HOT_ROWS", 4)
+    names = ["_0", "_1", "this", "_len", "_prefix", "_row", "_in", "_out", "len", "prefix", "full", "row", "norm", "chars", "rest", "best", "n", "_salt"]
+    long = "x y" * 200_000
+    rows = [(None, long, *names), (None, long + "z", *names), (3, long + " ", *names), *((i, "same", *names) for i in range(10, 20)), (None, "same", *names)]
+    got = X.exact_groups(spark.createDataFrame(rows, f"doc_id long, text string, {', '.join(f'{c} string' for c in names)}")).collect()
+    assert len(got) == len(rows) and all(r[c] == c for r in got for c in names)
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in got if r.group_size < 5) == [("3", "3", 2, True), ("None", "3", 2, False), ("None", "None", 1, True)]
+    assert sum(r.group_size == 11 and r.keep_id is None for r in got) == 11 and sum(r.kept for r in got) == 3
