@@ -6,7 +6,7 @@ offset indexes let a reader fetch a range of doc_id, or the lengths alone, witho
 the number of the file in doc_id order and ``before`` the ids of earlier rows of the file, so that the
 place of a document in the whole stream is ``before`` and a sum over earlier files.
 
-Defined results: a null or empty text is the end id alone; rows of equal doc_id are ordered by a hash
+Defined results: a null or empty text is the end id alone; a very long text is one row of all its ids; rows of equal doc_id are ordered by a hash
 of the text; null doc_ids come first; an empty table gives no row; other columns are left out.
 """
 
@@ -25,11 +25,12 @@ from pyspark.sql import Window as W
 
 from gridweave.llm.bpe import codec, slices, small_batches
 from gridweave.llm.packing import with_end
-from gridweave.llm.shared import partitions, text_or_empty
+from gridweave.llm.shared import checkpointed, partitions, text_or_empty
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
+FILES_MOST = 100_000  #: files whose starts (two numbers each) are sent to all tasks; with more, they are joined
 
 
 def encode_rows(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
@@ -76,7 +77,8 @@ def file_starts(rows: DataFrame) -> DataFrame:
 def read_token_files(spark: SparkSession, out: str) -> DataFrame:
     """doc_id, start, n_tokens, ids."""
     rows = spark.read.parquet(out)
-    return rows.join(file_starts(rows), "part").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids")
+    starts = checkpointed(file_starts(rows))
+    return rows.join(F.broadcast(starts) if starts.count() <= FILES_MOST else starts, "part").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
 def with_crc(rows: DataFrame) -> DataFrame:

@@ -38,6 +38,13 @@ def test_layout(spark, tmp_path, encoding):
     assert "ReadSchema: struct<part:bigint,before:bigint,n_tokens:bigint>" in plan  # lengths are read without ids
 
 
+def test_very_long_text_and_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(TF, "FILES_MOST", 1)
+    docs = spark.createDataFrame([(1, "word " * 300_000), (2, "a b"), (3, None)], "doc_id long, text string")
+    TF.write_token_files(docs, PATH, f"{tmp_path}/l", files=3)
+    assert [(r.start, r.n_tokens) for r in TF.read_token_files(spark, f"{tmp_path}/l").orderBy("doc_id").collect()] == [(0, 300_001), (300_001, 3), (300_004, 1)]
+
+
 def test_edges(spark, tmp_path):
     schema = "doc_id long, text string, part string"
     TF.write_token_files(spark.createDataFrame([(None, "a", "x"), (2, None, "x"), (1, "", "x"), (1, "b c", "x"), (1, "b c", "x")], schema), PATH, f"{tmp_path}/a")
