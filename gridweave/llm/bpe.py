@@ -6,8 +6,13 @@ has a segment tree whose leaves are the ranks of its adjacent pairs; the root is
 the lowest rank; a merge changes three leaves and their paths to the root. This goes on until no root
 holds a mergeable pair. Words of the same padded width share one array of trees.
 
-Defined results: a null text counts as empty; an empty text has no ids; strings of added tokens
-become their ids; extra columns of the input are ignored by the query and kept by ``with_tokens``.
+Files whose normaliser, cutting or model settings are not those that this codec follows are refused.
+
+Defined results: a null text counts as empty; an empty text has no ids; a very long text is handled alone, in
+memory in proportion to it, and a very long word in steps of its length times the logarithm of it; repeated rows
+give equal results each; an empty table gives no row; strings of added tokens become their ids; doc_id may be of
+any type; extra columns of the input are ignored by the query and kept by ``with_tokens``, where those named like
+a result are replaced.
 """
 
 from __future__ import annotations
@@ -42,6 +47,25 @@ _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
 
 
+#: What a file must say of itself, by its end-of-word suffix.
+SETTINGS = {
+    "": (None, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}),
+    "</w>": (["NFC", "Replace", "Lowercase"], {"type": "Sequence", "pretokenizers": ["Split", "ByteLevel"]}),
+}
+
+
+def check_settings(spec: dict) -> None:
+    """Raises if the file asks for anything that this codec does not do."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    suffix = model.get("end_of_word_suffix") or ""
+    steps = None if spec.get("normalizer") is None else [n["type"] for n in spec["normalizer"].get("normalizers", [])]
+    got = {k: [x["type"] for x in v] if k == "pretokenizers" else v for k, v in cut.items() if k != "trim_offsets"}
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    flags = any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if model.get("type") != "BPE" or suffix not in SETTINGS or SETTINGS[suffix] != (steps, got) or not plain or flags:
+        raise ValueError("this vocabulary file's normaliser, cutting or model settings are not supported")
+
+
 def byte_names() -> list[str]:
     """The printable character that byte-level vocabularies write for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -156,6 +180,7 @@ class BpeCodec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_settings(spec)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -354,7 +379,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``; its session's Arrow batches are held to a number of rows that suits long texts."""
+    """``df``; its session's Arrow batches are held to a number of rows that suits long texts. The setting is read
+    when the plan runs, so it stays set for the session's later queries, whose results it does not change."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df
 
@@ -391,4 +417,5 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)

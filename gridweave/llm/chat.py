@@ -9,6 +9,9 @@ so that every turn can be read back. Texts and roles cannot imitate the markers,
 ``[INST]``: a backslash is doubled, and one is put after each ``<``, ``[`` and ``|``. ``loss`` lists
 the places (code points, end exclusive) of the assistant's texts in the formatted string.
 
+A conversation becomes one string, so it is gathered into one row: a task's memory is a few times the longest
+conversation, and a value of Spark holds 2 GB. Conversations are many and short next to that.
+
 Defined results: a null text or role counts as empty; turns of equal number are ordered by role and
 text; null turn numbers come first; repeated rows are turns each; rows of null conv_id form one
 conversation; an empty table gives no row; other columns are left out.

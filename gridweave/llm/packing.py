@@ -6,7 +6,8 @@ may spill) and streams it: a segment tree indexed by remaining capacity finds th
 that is open. A task holds the open windows' fill levels only, never the pieces. Every shard leaves a
 few windows part-filled, which is all the padding that sharding costs.
 
-Defined results: a null or empty text is a document of the end id alone; repeated rows are packed as
+Defined results: a null or empty text is a document of the end id alone; a very long text is encoded alone and
+cut into full windows and a rest; a null doc_id is carried like any other; repeated rows are packed as
 often as they occur; an empty table gives no piece; columns beside those named are carried by
 ``best_fit`` and left out by ``cut``.
 """

@@ -1,3 +1,4 @@
+import json
 import random
 from hashlib import sha256
 
@@ -53,6 +54,21 @@ def test_columns_and_empty(spark):
     assert bpe.token_digests(spark.createDataFrame([], schema), P.path(FILES[1])).count() == 0
 
 
+def test_other_ids_and_repeated_rows(spark):
+    for kind, ids in (("int", [1, 1, None]), ("string", ["a", "a", None])):
+        docs = spark.createDataFrame([(i, "some text") for i in ids], f"doc_id {kind}, text string")
+        rows = bpe.token_digests(docs, P.path(FILES[0])).collect()
+        assert len(rows) == 3 and len({tuple(r)[1:] for r in rows}) == 1 and sorted(str(r.doc_id) for r in rows) == sorted(map(str, ids))
+
+
+def test_other_files_are_refused():
+    for file in FILES:
+        spec = json.load(open(P.path(file), encoding="utf-8"))
+        for change in ({"normalizer": {"type": "NFKC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {**spec["model"], "byte_fallback": True}}, {"model": {**spec["model"], "end_of_word_suffix": "@@"}}):
+            with pytest.raises(ValueError):
+                bpe.check_settings({**spec, **change})
+
+
 def test_slices(monkeypatch):
     monkeypatch.setattr(bpe, "SLICE_BYTES", 10)
     texts = ["aaaa", "bbbb", "c" * 30, None, "", "dd", "e" * 9]

@@ -39,6 +39,13 @@ def test_cases(spark):
     ])
 
 
+def test_null_keys(spark):
+    """Null turns come first; rows of null conv_id are one conversation."""
+    rows = [(None, 1, "user", "b"), (None, None, "user", "a"), (5, 2, "assistant", "y"), (5, None, "user", "x"), (5, None, "user", "w")]
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.read_back(chat.formatted(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert got == {None: [("user", "a"), ("user", "b")], 5: [("user", "w"), ("user", "x"), ("assistant", "y")]}
+
+
 def test_many_turns(spark):
     check(spark, [(7, i, ("user", "assistant", "assistant")[i % 3], f"t{i}<") for i in range(2_000)])
 

@@ -51,6 +51,8 @@ def test_edges(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "word " * 9_000, "x")], schema)
     lib = Tokenizer.from_file(PATH)
     check(packing.pack(docs, PATH).collect(), {i: [*lib.encode(t or "", add_special_tokens=False).ids, 1] for i, t, _ in docs.collect()}, 2048)
+    none = packing.pack(spark.createDataFrame([(None, "a b", "x"), (None, "c", "x")], schema), PATH).collect()
+    assert [r.doc_id for r in none] == [None, None] and {r.length for r in none} == {2, 3}
     twice = packing.pack(spark.createDataFrame([(7, "a b", "x")] * 3, schema), PATH).collect()
     assert len(twice) == 3 and sorted(r.offset for r in twice) == [0, 3, 6]
     assert packing.pack(spark.createDataFrame([], schema), PATH).count() == 0
