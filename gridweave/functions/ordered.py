@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
@@ -95,5 +94,16 @@ def with_lagged(df: DataFrame, new: dict[str, tuple[str, int]], step: int, chunk
     return d.where(F.col("_k") == F.floor(F.col("s") / chunk)).drop("_k")
 
 
-def numeric(schema: T.StructType, name: str) -> bool:
-    return isinstance(schema[name].dataType, T.NumericType)
+def with_ahead(df: DataFrame, column: str, delays: list[int], step: int, chunk: int) -> DataFrame:
+    """``df`` with ahead_k: ``column`` of the row k steps later, null unless it and all rows between are there.
+
+    One window over chunks for all delays; rows near a chunk's begin are also dealt to the one before."""
+    reach = max(delays) * step
+    if reach > chunk:
+        raise ValueError("chunks must be longer than the reach")
+    own = F.floor(F.col("s") / chunk)
+    d = df.withColumn("_k", F.explode(F.array_distinct(F.array(own, F.floor((F.col("s") - reach) / chunk)))))
+    w = W.partitionBy("_k").orderBy("s")
+    d = d.withColumns({f"_v{k}": F.first(column).over(w.rangeBetween(k * step, k * step)) for k in delays} | {f"_n{k}": F.count("*").over(w.rangeBetween(0, k * step)) for k in delays})
+    d = d.withColumns({f"ahead_{k}": F.when(F.col(f"_n{k}") == k + 1, F.col(f"_v{k}")) for k in delays})
+    return d.where(F.col("_k") == own).drop("_k", *(f"_{x}{k}" for k in delays for x in "vn"))

@@ -11,16 +11,35 @@ from pyspark.sql import functions as F
 
 from gridweave.functions import ordered as O
 from gridweave.functions.special import chi2_tail
+from gridweave.operators import stats as S
 from gridweave.operators import vecm as V
 
 
-def cross_correlation(df: DataFrame, x: str, y: str, lags: int, run: str = "run") -> DataFrame:
-    """lag, n, corr of x at t with y at t - lag, within runs; lag > 0: y leads. Lags of both signs in one pass."""
-    w = W.partitionBy(run).orderBy("s")
-    shift = lambda k: F.lag(y, k).over(w) if k >= 0 else F.lead(y, -k).over(w)
-    d = df.select(F.col(x).alias("x"), *(shift(k).alias(f"y{i}") for i, k in enumerate(range(-lags, lags + 1))))
-    each = F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"y{i}").alias("y")) for i, k in enumerate(range(-lags, lags + 1))))
-    return d.select("x", F.explode(each).alias("e")).where("x is not null and e.y is not null").groupBy("e.lag").agg(F.count("*").alias("n"), F.corr("x", "e.y").alias("corr"))
+def cross_correlations(df: DataFrame, pairs: list[tuple[str, str]], lags: int, step: int, chunk: int, run: str = "run") -> DataFrame:
+    """leads, follows, lag, n, corr of ``follows`` at t with ``leads`` at t - lag, within runs (stretches of rows a step
+    apart), for all (follows, leads) of ``pairs``. Lags of both signs, all from one window over chunks."""
+    names = list(dict.fromkeys(c for p in pairs for c in p))
+    d = df.select("s", F.struct(F.col(run).alias("run"), *names).alias("v"))
+    d = O.with_lagged(d, {f"v{k + lags}": ("v", k) for k in range(-lags, lags + 1)}, step, chunk)
+    each = F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"v{k + lags}").alias("o")) for k in range(-lags, lags + 1)))
+    rows = d.select("v", F.explode(each).alias("e")).where("e.o.run = v.run")
+    both = [(F.col(f"v.{x}"), F.col(f"e.o.{y}")) for x, y in pairs]
+    there = [x.isNotNull() & y.isNotNull() for x, y in both]
+    sums = rows.groupBy("e.lag").agg(*(F.count_if(t).alias(f"n{i}") for i, t in enumerate(there)), *(S.corr(F.when(t, x), F.when(t, y)).alias(f"c{i}") for i, ((x, y), t) in enumerate(zip(both, there, strict=True))))
+    out = F.array(*(F.struct(F.lit(y).alias("leads"), F.lit(x).alias("follows"), "lag", F.col(f"n{i}").alias("n"), F.col(f"c{i}").alias("corr")) for i, (x, y) in enumerate(pairs)))
+    return sums.select(F.explode(out).alias("r")).select("r.*").where("n > 0")
+
+
+def cross_correlation(df: DataFrame, x: str, y: str, lags: int, step: int, chunk: int, run: str = "run") -> DataFrame:
+    """lag, n, corr of x at t with y at t - lag; lag > 0: y leads."""
+    return cross_correlations(df, [(x, y)], lags, step, chunk, run).select("lag", "n", "corr")
+
+
+def lead_lag_table(ccf: DataFrame, horizons: list[int]) -> DataFrame:
+    """leads, follows, horizon, corr_leads, corr_follows, asymmetry at a few horizons."""
+    up = ccf.where(F.col("lag").isin(horizons)).select("leads", "follows", F.col("lag").alias("horizon"), F.col("corr").alias("corr_leads"))
+    down = ccf.where((-F.col("lag")).isin(horizons)).select("leads", "follows", (-F.col("lag")).alias("horizon"), F.col("corr").alias("corr_follows"))
+    return up.join(down, ["leads", "follows", "horizon"]).withColumn("asymmetry", F.col("corr_leads") - F.col("corr_follows"))
 
 
 def asymmetry(ccf: DataFrame, most: int) -> DataFrame:
@@ -48,48 +67,76 @@ def with_placebo(df: DataFrame, leg: str, days: int) -> DataFrame:
     return df.join(other, "s").withColumn(f"dx_{leg}", F.col("_other")).drop("_other")
 
 
-def extended(rows: DataFrame, p: int, step: int, chunk: int, ok, group, least: int) -> DataFrame:
-    """The design with lags of the basis beside those of the legs."""
-    return V.design(rows, p, step, chunk, ok, group, least, basis_lags=p)
+BEYOND_BOUNCE = 2  #: first lag that a price's own quotation noise does not reach
+
+
+def block_test(g: np.ndarray, names: list[str], model: list[str], block: list[str], target: np.ndarray, covariance: np.ndarray, first_lag: int = 1) -> dict[str, float]:
+    """Does ``block``, a part of ``model``, help to explain ``target`` (weights on dx_a, dx_b, dx_c)?
 
+    From sums of products: the gain in explained variation, its share and size, where on the lags the block's weight
+    lies, and a chi-square test of its coefficients with the given covariance (robust to serial correlation)."""
+    xty, yty = targeted(g, names, target)
 
-def block_test(g: np.ndarray, names: list[str], base: list[str], block: list[str], target: np.ndarray) -> dict[str, float]:
-    """Does ``block`` help beyond ``base`` to explain ``target`` (weights on dx_a, dx_b, dx_c)?
+    def rss(columns: list[str]) -> tuple[float, np.ndarray]:
+        b, ix = least_squares(g, names, columns, xty)
+        return yty - float(b @ xty[ix]), b
 
-    From sums of products alone: the gain in explained variation, its share, and a chi-square test of the
-    block's coefficients."""
-    full = [*base, *(c for c in block if c not in base)]
+    small, (large, b) = rss([c for c in model if c not in block])[0], rss(model)
+    n, k, m = g[0, 0], len(model), len(block)
+    gain, at = max(0.0, small - large), b[[model.index(c) for c in block]]
+    try:
+        wald = float(at @ np.linalg.solve(covariance, at))
+    except np.linalg.LinAlgError:
+        wald = float("nan")
+    size = np.abs(at)
+    horizon = float(np.arange(first_lag, first_lag + m) @ size / size.sum()) if size.sum() > 0 else float("nan")
+    return {"n": int(n), "df": m, "wald": wald, "p": chi2_tail(wald, m) if math.isfinite(wald) else float("nan"), "delta_r2": gain / yty if yty > 0 else float("nan"), "gain": math.sqrt(gain / max(1, n - k)), "resid_sd": math.sqrt(max(0.0, large) / max(1, n - k)), "horizon": horizon}
+
+
+def targeted(g: np.ndarray, names: list[str], target: np.ndarray) -> tuple[np.ndarray, float]:
+    """Sums of products of all regressors with a target, and of the target with itself."""
     y = np.zeros(len(g))
     y[len(names) :] = target
-    xty, yty = g @ y, float(y @ g @ y)
+    return g @ y, float(y @ g @ y)
+
 
-    def rss(columns: list[str]) -> tuple[float, np.ndarray, np.ndarray]:
-        ix = [names.index(c) for c in columns]
-        b = np.linalg.solve(g[np.ix_(ix, ix)], xty[ix])
-        return yty - float(b @ xty[ix]), b, ix
+def least_squares(g: np.ndarray, names: list[str], columns: list[str], xty: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    ix = [names.index(c) for c in columns]
+    return np.linalg.solve(g[np.ix_(ix, ix)], xty[ix]), ix
 
-    small, _, _ = rss(base)
-    large, b, ix = rss(full)
-    n, k, m = g[0, 0], len(full), len(block)
-    gain = small - large
+
+def functional(g: np.ndarray, names: list[str], model: list[str], block: list[str], target: np.ndarray) -> V.Functional:
+    """The block's coefficients in the model, as a functional whose covariance ``vecm.long_run`` takes."""
+    xty, _ = targeted(g, names, target)
+    b, ix = least_squares(g, names, model, xty)
     inverse = np.linalg.inv(g[np.ix_(ix, ix)])
-    at = [full.index(c) for c in block]
-    wald = float(b[at] @ np.linalg.solve(inverse[np.ix_(at, at)] * large / (n - k), b[at]))
-    return {"n": n, "df": m, "wald": wald, "p": chi2_tail(wald, m), "delta_r2": gain / yty, "gain": math.sqrt(max(0.0, gain) / (n - k)), "resid_sd": math.sqrt(large / (n - k))}
+    beta, q = np.zeros(len(names)), np.zeros((len(names), len(block)))
+    beta[ix] = b
+    q[ix] = inverse[:, [model.index(c) for c in block]]
+    return V.Functional(np.asarray(target, float), beta, q, len(model))
+
 
+def leg_tests(d: DataFrame, p: int, step: int, chunk: int, block: int = 31, legs: tuple[str, ...] = V.LEGS, full: bool = True) -> list[dict]:
+    """For each leg: do its lags help to explain the gap's change beyond the gap and its own changes (all lags, and
+    those from BEYOND_BOUNCE on), and, ``full``, each other leg and the gap beyond the whole system?
 
-def leg_tests(d: DataFrame, p: int, first_lag: int = 1) -> list[dict]:
-    """For each leg: do its lags help to explain the basis beyond the gap and the basis's own lags, and each leg beyond all else?"""
+    ``d``: a design with p lags of the legs and of the gap, and runs. One pass for sums, one for all covariances."""
     names = V.regressors(p, p)
     g = V.gram(d, [*names, *(f"dx_{x}" for x in V.LEGS)])
-    lags = {x: [f"dx_{x}_{i}" for i in range(first_lag, p + 1)] for x in V.LEGS}
-    memory = ["const", "z1", *(f"dz_{i}" for i in range(1, p + 1))]
-    out = [{"from": x, "to": "basis", "conditioning": "own memory"} | block_test(g, names, memory, lags[x], np.array(V.WEIGHTS)) for x in V.LEGS]
-    everything = V.regressors(p)
-    for x in V.LEGS:
-        rest = [c for c in everything if c not in lags[x]]
-        out += [{"from": x, "to": to, "conditioning": "full system"} | block_test(g, names, rest, lags[x], np.eye(3)[e]) for e, to in enumerate(V.LEGS) if to != x]
-    return out
+    if g[0, 0] <= 4 * len(names):
+        raise ValueError(f"{int(g[0, 0])} rows are too few for {len(names)} regressors")
+    lags = lambda x, first=1: [f"dx_{x}_{i}" for i in range(first, p + 1)]
+    memory, system, gap = ["const", "z1", *(f"dz_{i}" for i in range(1, p + 1))], V.regressors(p), np.array(V.WEIGHTS)
+    jobs = [(x, "basis", "own memory" if first == 1 else "own memory, beyond bounce", [*memory, *lags(x)], lags(x, first), gap, first) for x in legs for first in (1, BEYOND_BOUNCE) if first <= p]
+    if full:
+        targets = {**{e: np.eye(3)[k] for k, e in enumerate(V.LEGS)}, "basis": gap}
+        jobs += [(x, to, "full system", system, lags(x), t, 1) for to, t in targets.items() for x in legs if x != to]
+    wanted = [functional(g, names, model, tested, target) for _, _, _, model, tested, target, _ in jobs]
+    covariances = V.long_run(d, names, wanted, block, step, chunk, int(g[0, 0]))
+    return [{"from": x, "to": to, "conditioning": what} | block_test(g, names, model, tested, target, s, first) for (x, to, what, model, tested, target, first), s in zip(jobs, covariances, strict=True)]
+
+
+TESTS = "from string, to string, conditioning string, n long, df int, wald double, p double, delta_r2 double, gain double, resid_sd double, horizon double"
 
 
 def increments_in_runs(panel: DataFrame, step: int, chunk: int) -> DataFrame:

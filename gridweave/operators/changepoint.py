@@ -3,18 +3,22 @@
 Models: M0 one segment; M1 one change; M2 two changes with equal outer segments; M3 two changes, three
 segments. A segment's evidence is that of a normal with a normal-inverse-gamma prior, from prefix sums of
 the whitened series; all placements with segments of at least ``least`` buckets are enumerated by an
-inequality join of the prefix table with itself (a row a bucket), for each autocorrelation of a grid.
+inequality join of the prefix table with itself (a row a bucket), for each autocorrelation of a grid. Many series
+(variants, simulated ones) are handled side by side, told apart by ``key``, each with its own settings.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridweave.functions import ordered as O
+from gridweave.functions.tables import small, stored
+from gridweave.operators import stats as S
 
 #: Prior: weight of the mean, shape; the scale follows from the variance of the series.
 K0, A0 = 0.01, 2.0
@@ -22,7 +26,8 @@ RHOS = tuple(0.9 * i / 7 for i in range(8))
 
 
 def bucket_features(panel: DataFrame, value: str, bucket: int, step: int, shut: tuple[int, int] | None, chunk: int) -> DataFrame:
-    """s, n, mad, iqr, move_share, coverage, moves of each bucket; rows in ``shut`` (seconds of the day) are left out."""
+    """s, n, mad, iqr, move_share, rho1, roll_c, coverage, moves of each bucket; rows in ``shut`` (seconds of the day)
+    are left out. rho1 and roll_c are of a bucket's increments, those that are missing closed up."""
     from gridweave.operators import runs
 
     d = O.with_previous(panel.select("s", F.col(value).alias("v")), {"prev_s": "s", "_pv": "v"}, chunk)
@@ -35,17 +40,47 @@ def bucket_features(panel: DataFrame, value: str, bucket: int, step: int, shut:
         F.count("*").alias("n"), (1.4826 * F.median(F.abs(F.col("v") - F.col("_m")))).alias("mad"), (F.percentile("v", F.lit(0.75)) - F.percentile("v", F.lit(0.25))).alias("iqr"),
         F.count_if(F.col("dv") != 0).alias("moves"), F.count("dv").alias("_d"),
     )
+    before = F.lag("dv").over(W.partitionBy("b").orderBy("s"))  # within a bucket
+    pairs = d.where("dv is not null").select("b", "dv", before.alias("_pd"))
+    pair = F.col("_pd").isNotNull()
+    x = F.when(pair, F.col("dv"))
+    serial = pairs.groupBy("b").agg(S.corr(x, F.col("_pd")).alias("_r"), F.covar_samp(x, "_pd").alias("_c"), F.count("*").alias("_k"))
+    g = g.join(serial, "b", "left")
+    rho = F.when(F.col("_k") > 2, F.col("_r"))
+    roll = F.when((F.col("_k") >= 3) & (F.col("_c") < 0), F.sqrt(-F.col("_c")))
     room = F.lit(bucket / step)
     if shut:
         lo = F.pmod(F.col("b"), F.lit(86_400))
         room = (bucket - F.greatest(F.lit(0), F.least(lo + bucket, F.lit(shut[1])) - F.greatest(lo, F.lit(shut[0])))) / step
-    return g.select(F.col("b").alias("s"), "n", "mad", "iqr", F.try_divide("moves", F.col("_d").cast("double")).alias("move_share"), F.try_divide("n", room).alias("coverage"), "moves")
+    return g.select(F.col("b").alias("s"), "n", "mad", "iqr", F.try_divide("moves", F.col("_d").cast("double")).alias("move_share"), rho.alias("rho1"), roll.alias("roll_c"), F.try_divide("n", room).alias("coverage"), "moves")
 
 
-def admitted(buckets: DataFrame, coverage: float, moves: int) -> DataFrame:
+def refusals(buckets: DataFrame, coverage: float, moves: int) -> DataFrame:
+    """One row: how many buckets there are, how many fail each test, and how many pass all."""
+    tests = {"coverage": F.col("coverage") >= coverage, "mad": F.col("mad") > 0, "iqr": F.col("iqr") > 0, "moves": F.col("moves") >= moves}
+    every = F.lit(True)
+    for t in tests.values():
+        every = every & F.coalesce(t, F.lit(False))
+    return buckets.agg(F.count("*").alias("buckets"), *(F.count_if(~F.coalesce(t, F.lit(False))).alias(f"fail_{n}") for n, t in tests.items()), F.count_if(every).alias("admitted"))
+
+
+def admitted(buckets: DataFrame, coverage: float, moves: int, refuse: bool = False) -> DataFrame:
+    """Buckets that pass all tests; with ``refuse`` an error that says how many fail each where none does."""
+    if refuse and not (counts := refusals(buckets, coverage, moves).first()).admitted:
+        raise ValueError(f"no bucket is admitted: {counts.asDict()}")
     return buckets.where((F.col("coverage") >= coverage) & (F.col("mad") > 0) & (F.col("iqr") > 0) & (F.col("moves") >= moves))
 
 
+def persistence(rho: Column) -> Column:
+    """arctanh of an autocorrelation, kept from the ends."""
+    return F.atanh(F.greatest(F.lit(-0.999), F.least(F.lit(0.999), rho)))
+
+
+def ended_before(buckets: DataFrame, bucket: int, event: int) -> DataFrame:
+    """Buckets that end at or before a time."""
+    return buckets.where(F.col("s") + bucket <= event)
+
+
 def deseasoned(buckets: DataFrame, value: str, slot: Column, bucket: int, settled: int, chunk: int) -> DataFrame:
     """``value`` less the median of its slot of the day, then less that of its session age (``settled`` and beyond are 0)."""
     from gridweave.operators import runs
@@ -59,78 +94,104 @@ def deseasoned(buckets: DataFrame, value: str, slot: Column, bucket: int, settle
     return d.join(F.broadcast(bands), "band").withColumn("y", F.col("_r") - F.col("_b")).drop("_p", "_r", "_b")
 
 
-def whitened(series: DataFrame, step: int, rhos: tuple[float, ...], chunk: int) -> DataFrame:
-    """rho, i, and of bucket i the weights and values (w, z) after a neighbour, and (w1, z1) as the first of a segment."""
-    d = O.with_previous(series.select("s", "y"), {"prev_s": "s", "_py": "y"}, chunk)
-    d = d.withColumn("_adj", O.adjacent(step))
-    d = O.with_running(d, {"i": F.lit(1).cast("long")}, chunk)
-    d = d.select("i", "s", "y", "_py", "_adj", F.explode(F.array(*(F.lit(float(r)) for r in rhos))).alias("rho"))
-    first = F.sqrt(1 - F.col("rho") * F.col("rho"))
-    near = F.col("_adj")
-    w, z = F.when(near, 1 - F.col("rho")).otherwise(first), F.when(near, F.col("y") - F.col("rho") * F.col("_py")).otherwise(F.col("y") * first)
-    return d.select("rho", "i", "s", w.alias("w"), z.alias("z"), first.alias("w1"), (F.col("y") * first).alias("z1"))
+#: Settings of a series: seconds of its buckets, shortest segment, weight of the prior's mean, autocorrelations.
+def settings(step: int, least: int, k0: float = K0, rhos: tuple[float, ...] = RHOS) -> dict:
+    return {"step": step, "least": least, "k0": k0, "rhos": [float(r) for r in rhos]}
 
 
+SETTINGS = "key string, step long, least long, k0 double, rhos array<double>"
 SUMS = ("ww", "wz", "zz")
+BROADCAST_ROWS = 100_000  #: rows of the prefix table that are sent to all tasks; a larger one is joined
 
 
-def prefix(rows: DataFrame) -> DataFrame:
-    """Per rho and i the sums before i (p_ww, p_wz, p_zz) and what changes when i begins a segment (d_ww, d_wz, d_zz).
+def parameters(series: DataFrame, each: dict[str, dict]) -> DataFrame:
+    """A row a key: its settings, n and the prior (m0, b0) from its values."""
+    own = series.sparkSession.createDataFrame([(k, v["step"], v["least"], v["k0"], v["rhos"]) for k, v in each.items()], SETTINGS)
+    stats = series.groupBy("key").agg(F.count("y").alias("n"), F.avg("y").alias("m0"), F.var_samp("y").alias("_v"))
+    return stats.join(F.broadcast(own), "key").withColumn("b0", (A0 - 1) * F.col("_v")).drop("_v")
+
 
-    A window a rho: the table has a row a bucket, some thousands."""
-    w = W.partitionBy("rho").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+def whitened(series: DataFrame, params: DataFrame) -> DataFrame:
+    """key, rho, i, and of bucket i the weights and values (w, z) after a neighbour, and (w1, z1) as the first of a segment.
+
+    A window a series: it has a row a bucket, some thousands."""
+    order = W.partitionBy("key").orderBy("s")
+    d = series.select("key", "s", "y", F.lag("s").over(order).alias("_ps"), F.lag("y").over(order).alias("_py"), F.row_number().over(order).cast("long").alias("i"))
+    d = d.join(F.broadcast(params.select("key", "step", "rhos")), "key")  # a row a key
+    d = d.select("key", "i", "s", "y", "_py", F.coalesce(F.col("s") - F.col("_ps") == F.col("step"), F.lit(False)).alias("near"), F.explode("rhos").alias("rho"))
+    first = F.sqrt(1 - F.col("rho") * F.col("rho"))
+    w, z = F.when(F.col("near"), 1 - F.col("rho")).otherwise(first), F.when(F.col("near"), F.col("y") - F.col("rho") * F.col("_py")).otherwise(F.col("y") * first)
+    return d.select("key", "rho", "i", "s", w.alias("w"), z.alias("z"), first.alias("w1"), (F.col("y") * first).alias("z1"))
+
+
+def prefix(rows: DataFrame) -> DataFrame:
+    """Per key, rho and i the sums before i (p_ww, p_wz, p_zz) and what changes when i begins a segment (d_ww, d_wz, d_zz)."""
+    w = W.partitionBy("key", "rho").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
     x = {"ww": (F.col("w") * F.col("w"), F.col("w1") * F.col("w1")), "wz": (F.col("w") * F.col("z"), F.col("w1") * F.col("z1")), "zz": (F.col("z") * F.col("z"), F.col("z1") * F.col("z1"))}
-    d = rows.select("rho", "i", "s", *(v[0].alias(k) for k, v in x.items()), *((v[1] - v[0]).alias(f"d_{k}") for k, v in x.items()))
-    return d.select("rho", "i", "s", *(F.coalesce(F.sum(k).over(w), F.lit(0.0)).alias(f"p_{k}") for k in SUMS), *(f"d_{k}" for k in SUMS))
+    d = rows.select("key", "rho", "i", *(v[0].alias(k) for k, v in x.items()), *((v[1] - v[0]).alias(f"d_{k}") for k, v in x.items()))
+    return d.select("key", "rho", "i", *(F.coalesce(F.sum(k).over(w), F.lit(0.0)).alias(f"p_{k}") for k in SUMS), *(f"d_{k}" for k in SUMS))
 
 
-def prior(series: DataFrame, k0: float = K0, a0: float = A0) -> dict[str, float]:
-    n, m, v = series.agg(F.count("y"), F.avg("y"), F.var_samp("y")).first()
-    return {"n": n, "k0": k0, "a0": a0, "m0": m, "b0": (a0 - 1) * v}
+def log_gamma(x: Column) -> Column:
+    """ln gamma(x) for x > 0, by Stirling's series at x + 8 and the recurrence back from there."""
+    y = x + 8.0
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5.0)))
+    return series - F.log(reduce(lambda a, k: a * (x + float(k)), range(1, 8), x))
 
 
-def log_gamma(a0: float, n: int) -> Column:
-    """ln gamma(a0 + n / 2) for n up to ``n`` buckets, as an array to be looked up by n."""
-    return F.array(*(F.lit(math.lgamma(a0 + i / 2)) for i in range(n + 1)))
+def evidence(n: Column, ww: Column, wz: Column, zz: Column) -> Column:
+    """Log evidence of one segment from its sums and the prior's columns k0, m0, b0."""
+    k0, m0, b0 = F.col("w.k0"), F.col("w.m0"), F.col("w.b0")
+    kn, an = ww + k0, n / 2 + A0
+    mn = (wz + k0 * m0) / kn
+    bn = F.greatest(F.lit(1e-300), (zz + k0 * m0 * m0 - kn * mn * mn) / 2 + b0)
+    return log_gamma(an) + A0 * F.log(b0) - math.lgamma(A0) - an * F.log(bn) + (F.log(k0) - F.log(kn)) / 2 - n / 2 * math.log(2 * math.pi)
 
 
-def evidence(n: Column, ww: Column, wz: Column, zz: Column, p: dict[str, float], gammas: Column) -> Column:
-    """Log evidence of one segment from its sums."""
-    kn, an = ww + p["k0"], n / 2 + p["a0"]
-    mn = (wz + p["k0"] * p["m0"]) / kn
-    bn = F.greatest(F.lit(1e-300), (zz + p["k0"] * p["m0"] ** 2 - kn * mn * mn) / 2 + p["b0"])
-    fixed = p["a0"] * math.log(p["b0"]) - math.lgamma(p["a0"])
-    return F.get(gammas, n) + fixed - an * F.log(bn) + (math.log(p["k0"]) - F.log(kn)) / 2 - n / 2 * math.log(2 * math.pi)
+MODELS = ("M0", "M1", "M2", "M3")
 
 
-def placements(series: DataFrame, step: int, least: int, rhos: tuple[float, ...], chunk: int) -> DataFrame:
-    """rho, model, t1, t2 (first bucket of a later segment, 1-based; null where there is none) and ll, for all placements."""
-    p = prior(series)
-    n = p["n"]
-    white = whitened(series, step, rhos, chunk).cache()
-    rows = prefix(white).cache()
-    whole = white.groupBy("rho").agg(F.sum(F.col("w") * F.col("w")).alias("t_ww"), F.sum(F.col("w") * F.col("z")).alias("t_wz"), F.sum(F.col("z") * F.col("z")).alias("t_zz"))
-    gammas = log_gamma(p["a0"], n)
+def all_placements(series: DataFrame, each: dict[str, dict], models: tuple[str, ...] = MODELS) -> DataFrame:
+    """key, rho, model, t1, t2 (first bucket of a later segment, 1-based; null where there is none) and ll, for all
+    placements of every series (key, s, y) with its ``settings``."""
+    params = small(parameters(series, each))  # a row a key
+    white = stored(whitened(series, params), "whitened")
+    rows = stored(prefix(white), "prefix")
+    total = white.groupBy("key", "rho").agg(F.sum(F.col("w") * F.col("w")).alias("t_ww"), F.sum(F.col("w") * F.col("z")).alias("t_wz"), F.sum(F.col("z") * F.col("z")).alias("t_zz"))
+    whole = total.join(F.broadcast(params.select("key", "n", "least", "k0", "m0", "b0")), "key")
     at = lambda d, x: {k: F.col(f"{d}.p_{k}") for k in SUMS} if x else {k: F.col(f"{d}.d_{k}") for k in SUMS}
-    ev = lambda size, s: evidence(size, s["ww"], s["wz"], s["zz"], p, gammas)
-    t = {k: F.col(f"w.t_{k}") for k in SUMS}
-    w = F.broadcast(whole).alias("w")  # a row a rho
+    ev = lambda size, s: evidence(size, s["ww"], s["wz"], s["zz"])
+    t, n, least = {k: F.col(f"w.t_{k}") for k in SUMS}, F.col("w.n"), F.col("w.least")
+    none = F.lit(None).cast("long")
+    w = whole.alias("w")
+    ids = [F.col("w.key").alias("key"), F.col("w.rho").alias("rho")]
     # no change
-    m0 = whole.alias("w").select("rho", F.lit("M0").alias("model"), F.lit(None).cast("long").alias("t1"), F.lit(None).cast("long").alias("t2"), ev(F.lit(n), t).alias("ll"))
+    m0 = w.select(*ids, F.lit("M0").alias("model"), none.alias("t1"), none.alias("t2"), ev(n, t).alias("ll"))
     # one change
-    x = rows.where((F.col("i") > least) & (F.col("i") <= n - least + 1)).alias("x")
+    first = rows.alias("x").join(F.broadcast(w), (F.col("x.key") == F.col("w.key")) & (F.col("x.rho") == F.col("w.rho")))  # a row a key and rho
+    first = first.where((F.col("x.i") > least) & (F.col("x.i") <= n - least + 1))
+    i = F.col("x.i")
     px, dx = at("x", True), at("x", False)
-    one = x.join(w, "rho").select("rho", F.lit("M1").alias("model"), F.col("x.i").alias("t1"), F.lit(None).cast("long").alias("t2"), (ev(F.col("x.i") - 1, px) + ev(n - F.col("x.i") + 1, {k: t[k] - px[k] + dx[k] for k in SUMS})).alias("ll"))
-    # two changes
-    y = rows.where(F.col("i") <= n - least + 1).alias("y")
-    both = x.join(y, (F.col("x.rho") == F.col("y.rho")) & (F.col("y.i") - F.col("x.i") >= least)).join(w, F.col("x.rho") == F.col("w.rho"))
+    one = first.select(*ids, F.lit("M1").alias("model"), i.alias("t1"), none.alias("t2"), (ev(i - 1, px) + ev(n - i + 1, {k: t[k] - px[k] + dx[k] for k in SUMS})).alias("ll"))
+    # two changes: pairs are dealt by their first change, so that few series make many tasks too
+    y = rows.alias("y")
+    y = F.broadcast(y) if rows.count() <= BROADCAST_ROWS else y
+    j = F.col("y.i")
+    dealt = first.repartition("x.key", "x.rho", "x.i")
+    both = dealt.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rho") == F.col("y.rho")) & (j - i >= least) & (j <= n - least + 1))
     py, dy = at("y", True), at("y", False)
-    n1, n2, n3 = F.col("x.i") - 1, F.col("y.i") - F.col("x.i"), n - F.col("y.i") + 1
+    n1, n2, n3 = i - 1, j - i, n - j + 1
     middle = ev(n2, {k: py[k] - px[k] + dx[k] for k in SUMS})
     last = {k: t[k] - py[k] + dy[k] for k in SUMS}
-    cols = [F.col("x.rho").alias("rho"), F.col("x.i").alias("t1"), F.col("y.i").alias("t2")]
-    two = both.select(*cols, F.explode(F.array(F.struct(F.lit("M2").alias("model"), (middle + ev(n1 + n3, {k: px[k] + last[k] for k in SUMS})).alias("ll")), F.struct(F.lit("M3").alias("model"), (middle + ev(n1, px) + ev(n3, last)).alias("ll")))).alias("m"))
-    return m0.unionByName(one).unionByName(two.select("rho", "m.model", "t1", "t2", "m.ll"))
+    two = both.select(*ids, i.alias("t1"), j.alias("t2"), F.explode(F.array(*(F.struct(F.lit(m).alias("model"), e.alias("ll")) for m, e in (("M2", middle + ev(n1 + n3, {k: px[k] + last[k] for k in SUMS})), ("M3", middle + ev(n1, px) + ev(n3, last)))))).alias("m"))
+    parts = {"M0": m0, "M1": one, "two": two.select("key", "rho", "m.model", "t1", "t2", "m.ll").where(F.col("model").isin(*models))}
+    out = [d for n, d in parts.items() if n in models or n == "two" and {"M2", "M3"} & set(models)]
+    return stored(reduce(DataFrame.unionByName, out), "placements")
+
+
+def placements(series: DataFrame, step: int, least: int, rhos: tuple[float, ...] = RHOS) -> DataFrame:
+    """The placements of one series (s, y)."""
+    return all_placements(series.withColumn("key", F.lit("")), {"": settings(step, least, K0, rhos)})
 
 
 def log_sum(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -139,23 +200,34 @@ def log_sum(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     return df.join(top, keys).groupBy(*keys, "_m").agg(F.sum(F.exp(F.col(value) - F.col("_m"))).alias("_s"), F.count("*").alias("configs")).select(*keys, (F.col("_m") + F.log("_s")).alias(name), "configs")
 
 
-def models(placed: DataFrame, rhos: int) -> DataFrame:
-    """model, configs, log_z (mean over placements and rhos), posterior (equal weights)."""
-    z = log_sum(placed, ["model", "rho"], "ll", "lz").withColumn("lz", F.col("lz") - F.log(F.col("configs").cast("double")))
-    each = log_sum(z.select("model", "rho", "lz", F.col("configs").alias("c")), ["model"], "lz", "log_z")
-    c = z.groupBy("model").agg(F.max("configs").alias("configs"))
-    out = each.select("model", (F.col("log_z") - math.log(rhos)).alias("log_z")).join(c, "model")
-    top = F.max("log_z").over(W.partitionBy())  # four rows
-    w = F.exp(F.col("log_z") - top)
-    return out.withColumn("posterior", w / F.sum(w).over(W.partitionBy()))
+def models(placed: DataFrame) -> DataFrame:
+    """key, model, configs, log_z (mean over placements and rhos), posterior (equal weights)."""
+    z = log_sum(placed, ["key", "model", "rho"], "ll", "lz").withColumn("lz", F.col("lz") - F.log(F.col("configs").cast("double")))
+    each = log_sum(z.select("key", "model", "rho", "lz"), ["key", "model"], "lz", "log_z")
+    c = z.groupBy("key", "model").agg(F.max("configs").alias("configs"))
+    out = each.select("key", "model", (F.col("log_z") - F.log(F.col("configs").cast("double"))).alias("log_z")).join(c, ["key", "model"])
+    by = W.partitionBy("key")  # four rows
+    w = F.exp(F.col("log_z") - F.max("log_z").over(by))
+    return out.withColumn("posterior", w / F.sum(w).over(by))
+
+
+def weights(placed: DataFrame) -> DataFrame:
+    """``placed`` with w: posterior weights within a key and model, up to a factor."""
+    top = placed.groupBy("key", "model").agg(F.max("ll").alias("_m"))
+    return placed.join(F.broadcast(top), ["key", "model"]).withColumn("w", F.exp(F.col("ll") - F.col("_m"))).drop("_m")  # four rows a key
+
+
+def change_marginals(placed: DataFrame) -> DataFrame:
+    """key, model, which (t1 or t2), at, prob: posterior of each change, rhos weighted by their evidence."""
+    w = weights(placed.where("t1 is not null")).groupBy("key", "model", "t1", "t2").agg(F.sum("w").alias("w"))
+    each = w.select("key", "model", "w", F.explode(F.array(F.struct(F.lit("t1").alias("which"), F.col("t1").alias("at")), F.struct(F.lit("t2").alias("which"), F.col("t2").alias("at")))).alias("e")).where("e.at is not null")
+    g = each.groupBy("key", "model", "e.which", "e.at").agg(F.sum("w").alias("w"))
+    return g.select("key", "model", "which", "at", (F.col("w") / F.sum("w").over(W.partitionBy("key", "model", "which"))).alias("prob"))  # a row a bucket
 
 
 def change_marginal(placed: DataFrame, model: str, which: str) -> DataFrame:
-    """``which`` (t1 or t2) and its posterior probability under a model, rhos weighted by their evidence."""
-    d = placed.where(F.col("model") == model)
-    top = d.agg(F.max("ll").alias("_m"))
-    w = d.crossJoin(F.broadcast(top)).groupBy(which).agg(F.sum(F.exp(F.col("ll") - F.col("_m"))).alias("_w"))  # one row
-    return w.select(F.col(which).alias("at"), (F.col("_w") / F.sum("_w").over(W.partitionBy())).alias("prob"))  # a row a bucket
+    """at, prob of one series."""
+    return change_marginals(placed.where(F.col("model") == model)).where(F.col("which") == which).select("at", "prob")
 
 
 def credible(marginal: DataFrame, mass: float = 0.95) -> DataFrame:
@@ -169,12 +241,107 @@ def credible(marginal: DataFrame, mass: float = 0.95) -> DataFrame:
     return point.crossJoin(shortest).select("mode", "median", F.col("w.lo").alias("lo"), F.col("w.hi").alias("hi"))  # one row each
 
 
+def bracket(series: DataFrame, window: DataFrame, step: int) -> DataFrame:
+    """after, until, spans_gap: what the shortest window (lo, hi) says of when the change was: after the bucket before
+    ``lo`` ended and by the start of bucket ``hi``; ``spans_gap`` if buckets are missing in between."""
+    order = W.orderBy("s")  # a row a bucket
+    d = series.select("s", F.row_number().over(order).alias("i"), F.lag("s").over(order).alias("_ps"))
+    d = d.crossJoin(F.broadcast(window.select("lo", "hi")))  # one row
+    out = d.agg(
+        F.max(F.when(F.col("i") == F.col("lo"), F.coalesce(F.col("_ps") + step, F.col("s")))).alias("after"), F.max(F.when(F.col("i") == F.col("hi"), F.col("s"))).alias("until"),
+        F.bool_or((F.col("i") >= F.col("lo")) & (F.col("i") <= F.col("hi")) & ~F.coalesce(F.col("s") - F.col("_ps") == step, F.lit(False))).alias("spans_gap"),
+    )
+    return out
+
+
+def segment_probabilities(placed: DataFrame, sizes: DataFrame, models: tuple[str, ...] = ("M1", "M2", "M3")) -> DataFrame:
+    """key, model, i, p: array with the probability of each segment's label at bucket i, from running sums over the ends.
+
+    M1 has two labels; M2 two as well, its outer segments sharing the first; M3 three. ``sizes``: key, n."""
+    m = change_marginals(placed)
+    ends = m.groupBy("key", "model", F.col("at").alias("i")).agg(F.sum(F.when(F.col("which") == "t1", F.col("prob"))).alias("b"), F.sum(F.when(F.col("which") == "t2", F.col("prob"))).alias("e"))
+    full = sizes.select("key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i")).select("key", "i", F.explode(F.array(*map(F.lit, models))).alias("model"))
+    w = W.partitionBy("key", "model").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    run = lambda c: F.sum(F.coalesce(c, F.lit(0.0))).over(w)
+    d = full.join(ends, ["key", "model", "i"], "left").select("key", "model", "i", run("b").alias("b"), run("e").alias("e"))
+    b, e = F.col("b"), F.col("e")
+    return d.select("key", "model", "i", F.when(F.col("model") == "M1", F.array(1 - b, b)).when(F.col("model") == "M2", F.array(1 - b + e, b - e)).otherwise(F.array(1 - b, b - e, e)).alias("p"))
+
+
 def middle_probability(placed: DataFrame, n: int, model: str = "M2") -> DataFrame:
-    """i, p: probability that bucket i lies in the middle segment, by a running sum over signed ends."""
-    d = placed.where(F.col("model") == model)
-    top = d.agg(F.max("ll").alias("_m"))
-    w = d.crossJoin(F.broadcast(top)).select("t1", "t2", F.exp(F.col("ll") - F.col("_m")).alias("w"))  # one row
-    ends = w.select(F.explode(F.array(F.struct(F.col("t1").alias("i"), F.col("w").alias("w"), F.col("w").alias("all")), F.struct(F.col("t2").alias("i"), (-F.col("w")).alias("w"), F.lit(0.0).alias("all")))).alias("e")).groupBy("e.i").agg(F.sum("e.w").alias("w"), F.sum("e.all").alias("all"))
-    full = d.sparkSession.range(1, n + 1).select(F.col("id").alias("i")).join(ends, "i", "left")
-    order = W.orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    return full.select("i", (F.sum(F.coalesce("w", F.lit(0.0))).over(order) / F.sum(F.coalesce("all", F.lit(0.0))).over(W.partitionBy())).alias("p"))
+    """i, p: probability that bucket i of one series lies in the middle segment."""
+    sizes = placed.select("key").distinct().withColumn("n", F.lit(n).cast("long"))
+    return segment_probabilities(placed.where(F.col("model") == model), sizes, (model,)).select("i", F.get("p", 1).alias("p"))
+
+
+def fits(series: DataFrame, placed: DataFrame, force: str | None = None) -> DataFrame:
+    """key, best, posterior, log_bf (M2 against M0), rho, onset, back, ratio of every series: the chosen model (or
+    ``force``), its modal changes, and the size of the shift they make: exp of the mean of the highest segment less
+    that of the rest (outer segments of M2 are one)."""
+    z = models(placed)
+    by = lambda m: F.max(F.when(F.col("model") == m, F.col("log_z")))
+    chosen = z.groupBy("key").agg(F.lit(force).alias("best") if force else F.max_by("model", "log_z").alias("best"), F.max_by("posterior", F.when(F.col("model") == force, 1) if force else F.col("log_z")).alias("posterior"), (by("M2") - by("M0")).alias("log_bf"))
+    lz = log_sum(placed, ["key", "model", "rho"], "ll", "lz").groupBy("key", "model").agg(F.max_by("rho", F.struct("lz", -F.col("rho"))).alias("rho")).withColumnRenamed("model", "best")
+    m = change_marginals(placed).groupBy("key", F.col("model").alias("best"), "which").agg(F.max_by("at", F.struct(F.round("prob", 12), -F.col("at"))).alias("at"))
+    at = m.groupBy("key", "best").agg(F.max(F.when(F.col("which") == "t1", F.col("at"))).alias("onset"), F.max(F.when(F.col("which") == "t2", F.col("at"))).alias("back"))
+    f = chosen.join(lz, ["key", "best"]).join(at, ["key", "best"], "left")
+    i = F.row_number().over(W.partitionBy("key").orderBy("s"))
+    rows = series.withColumn("i", i).join(F.broadcast(f.select("key", "best", "onset", "back")), "key")  # a row a key
+    label = F.when(F.col("i") < F.col("onset"), 0).when(F.col("back").isNull() | (F.col("i") < F.col("back")), 1).otherwise(F.when(F.col("best") == "M3", 2).otherwise(0))
+    seg = rows.where("onset is not null").groupBy("key", label.alias("label")).agg(F.count("*").alias("n"), F.sum("y").alias("t"))
+    hot = seg.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("t").alias("t"), F.max_by(F.struct("n", "t"), F.struct(F.col("t") / F.col("n"), -F.col("label"))).alias("h"))
+    ratio = F.exp(F.col("h.t") / F.col("h.n") - (F.col("t") - F.col("h.t")) / (F.col("n") - F.col("h.n")))
+    return f.join(hot.where("labels > 1").select("key", ratio.alias("ratio")), "key", "left").select("key", "best", "posterior", "log_bf", "rho", "onset", "back", "ratio")
+
+
+def null_series(series: DataFrame, rho: float, sd: float, step: int, replicates: int) -> DataFrame:
+    """key (1, 2, ...), s, y: series without a change at the times of ``series`` (s, a row a bucket): autoregressive paths
+    that start anew after a gap, one a replicate, made where Spark groups the replicate's times."""
+    import numpy as np
+    import pandas as pd
+
+    def path(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("s")
+        s, e = g["s"].to_numpy(), np.random.default_rng([7, int(g["key"].iloc[0])]).normal(size=len(g))
+        y, near = np.empty(len(g)), np.append(False, np.diff(s) == step)
+        for i, x in enumerate(e):
+            y[i] = rho * y[i - 1] + math.sqrt(1 - rho * rho) * x if near[i] else x
+        return pd.DataFrame({"key": g["key"].to_numpy(), "s": s, "y": sd * y})
+
+    times = F.broadcast(series.select("s"))  # a row a bucket, some thousands
+    ids = series.sparkSession.range(1, replicates + 1).select(F.col("id").cast("string").alias("key"))
+    return ids.crossJoin(times).groupBy("key").applyInPandas(path, "key string, s long, y double")
+
+
+def null_calibration(series: DataFrame, step: int, least: int, replicates: int) -> DataFrame:
+    """key, best, log_bf, ratio of the series (key ``observed``) and of simulated ones without a change: the model picked
+    and M2 against M0 at the same shortest segment, and the shift of M2, forced, with segments as long as the one
+    observed, so that every replicate gives one."""
+    own = small(series.withColumn("key", F.lit("observed")).select("key", "s", "y"))  # a row a bucket
+    placed = all_placements(own, {"observed": settings(step, least)})
+    f = fits(own, placed).first()
+    p = segment_probabilities(placed.where(F.col("model") == f.best), own.groupBy("key").agg(F.count("*").alias("n")), (f.best,)) if f.best != "M0" else None
+    d = own.withColumn("i", F.row_number().over(W.partitionBy("key").orderBy("s")).cast("long"))
+    label = d.join(p, ["key", "i"]).withColumn("label", F.array_position("p", F.array_max("p"))) if p is not None else d.withColumn("label", F.lit(1))
+    mean = label.groupBy("label").agg(F.avg("y").alias("_m"))
+    sd = label.join(F.broadcast(mean), "label").agg(F.stddev_samp(F.col("y") - F.col("_m"))).first()[0]  # three rows
+    length = max(least, f.back - f.onset) if f.back else least
+    sim = stored(null_series(own, f.rho, sd, step, replicates), "null")
+    each = {str(i): settings(step, least) for i in range(1, replicates + 1)}
+    free = fits(sim, all_placements(sim, each)).select("key", "best", "log_bf")
+    forced = fits(sim, all_placements(sim, {k: v | {"least": length} for k, v in each.items()}), "M2").select("key", "ratio")
+    observed = own.sparkSession.createDataFrame([("observed", f.best, f.log_bf, f.ratio)], "key string, best string, log_bf double, ratio double")
+    return observed.unionByName(free.join(forced, "key", "left"))
+
+
+def null_summary(table: DataFrame) -> DataFrame:
+    """One row: replicates, share that picks a change, share that picks M2, the 95 % quantiles of log_bf and ratio, the
+    observed ones, and how many replicates those exceed. A row a replicate comes in."""
+    null = table.where("key <> 'observed'")
+    seen = table.where("key = 'observed'").select(F.col("log_bf").alias("seen_bf"), F.col("ratio").alias("seen_ratio"))
+    d = null.crossJoin(F.broadcast(seen))  # one row
+    return d.groupBy("seen_bf", "seen_ratio").agg(
+        F.count("*").alias("replicates"), F.avg((F.col("best") != "M0").cast("int")).alias("any_change"), F.avg((F.col("best") == "M2").cast("int")).alias("excursion"),
+        F.percentile("log_bf", F.lit(0.95)).alias("bf95"), F.median("ratio").alias("ratio50"), F.percentile("ratio", F.lit(0.95)).alias("ratio95"),
+        F.avg((F.col("seen_bf") > F.col("log_bf")).cast("int")).alias("bf_exceeds"), F.avg((F.col("seen_ratio") > F.col("ratio")).cast("int")).alias("ratio_exceeds"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridweave.functions import ordered as O
-from gridweave.operators import runs
+from gridweave.functions import quantiles as Q
 
 
 def pieces(df: DataFrame, value: str, threshold: Column, step: int, chunk: int) -> DataFrame:
@@ -85,10 +85,12 @@ def attribution(df: DataFrame, eps: DataFrame, value: str, legs: dict[str, tuple
 
 
 def attribution_table(parts: DataFrame, legs: list[str]) -> DataFrame:
-    """Per phase the pooled share of each leg (their sum is 1), and medians."""
+    """Per phase the pooled share of each leg (their sum is 1), and medians and quartiles of the episodes' own. A row an
+    episode and phase comes in."""
     aggs = [F.count("*").alias("episodes"), F.median("travel").alias("travel")]
     for n in legs:
-        aggs += [(F.sum(f"c_{n}") / F.sum("move")).alias(f"share_{n}"), F.median(F.col(f"c_{n}") / F.col("move")).alias(f"median_{n}")]
+        part = F.col(f"c_{n}") / F.col("move")
+        aggs += [(F.sum(f"c_{n}") / F.sum("move")).alias(f"share_{n}"), F.median(part).alias(f"median_{n}"), F.percentile(part, F.lit(0.25)).alias(f"q25_{n}"), F.percentile(part, F.lit(0.75)).alias(f"q75_{n}")]
     return parts.groupBy("phase").agg(*aggs)
 
 
@@ -96,9 +98,17 @@ def top(eps: DataFrame, k: int) -> DataFrame:
     return eps.orderBy(F.desc(F.abs("peak")), "lo").limit(k)
 
 
-def spread_ranks(df: DataFrame, value: str) -> DataFrame:
-    """``rank``: descending, equal values share the smallest. For tables of a row a day."""
-    return df.withColumn("rank", F.rank().over(W.orderBy(F.desc(value))))
+def threshold(df: DataFrame, value: str, share: float) -> DataFrame:
+    """One row: the quantile of |value|."""
+    return Q.quantiles(df, [], F.abs(value), {"level": share}).select("level")
 
 
-open_rows = runs.open_rows
+def after_reopening(eps: DataFrame, closures: DataFrame) -> DataFrame:
+    """Episodes that begin on a day on which a closure ended."""
+    day = F.floor(F.col("hi") / 86_400).alias("_day")
+    return eps.withColumn("_day", F.floor(F.col("lo") / 86_400)).join(closures.select(day).distinct(), "_day", "left_semi").drop("_day")
+
+
+def exceedance(df: DataFrame, value: str, level: Column, span: int) -> DataFrame:
+    """s (begin of a span), n, share of rows beyond the level."""
+    return df.groupBy((F.floor(F.col("s") / span) * span).alias("s")).agg(F.count("*").alias("n"), F.avg((F.abs(value) > level).cast("int")).alias("share"))

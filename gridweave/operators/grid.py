@@ -83,10 +83,11 @@ def step_counts(df: DataFrame, chunk: int) -> DataFrame:
 
 def checked_grid(df: DataFrame, step: int, chunk: int) -> DataFrame:
     """``df``, or an error if its times repeat or under half of its neighbours are a step apart."""
-    counts = {r.step: r.n for r in step_counts(df, chunk).orderBy(F.desc("n")).limit(1000).collect()}
-    repeated = df.count() - df.select("s").distinct().count()
-    if repeated or (counts and counts.get(step, 0) < 0.5 * sum(counts.values())):
-        top = sorted(counts.items(), key=lambda x: -x[1])[:3]
+    counts = step_counts(df, chunk)
+    total, right = counts.agg(F.sum("n"), F.sum(F.when(F.col("step") == step, F.col("n")))).first()
+    repeated = df.agg(F.count("*") - F.count_distinct("s")).first()[0]
+    if repeated or (right or 0) < 0.5 * (total or 0):
+        top = [tuple(r) for r in counts.orderBy(F.desc("n"), "step").limit(3).collect()]
         raise ValueError(f"no grid of {step} s: {repeated} repeated times, most common steps {top}")
     return df
 

@@ -24,12 +24,17 @@ def exit_code(checked: DataFrame) -> int:
     return 2 if not n else int(bad > 0)
 
 
+BOUNDS_MOST = 10_000
+
+
 def sweep(cells: DataFrame, bounds: DataFrame, least: int) -> DataFrame:
     """onset, back, inside, days, n, within, between, share: variance split inside and outside of each window of cells.
 
-    ``cells``: cell, n, z, zz (power sums, made once); ``bounds``: onset, back, a few hundred rows at most, broadcast."""
-    b = bounds.limit(10_000)  # a proven bound for the broadcast; the sweep itself has a row a boundary pair
-    rows = cells.crossJoin(F.broadcast(b)).withColumn("inside", (F.col("cell") >= F.col("onset")) & (F.col("cell") < F.col("back")))
+    ``cells``: cell, n, z, zz (power sums, made once); ``bounds``: onset, back. Up to BOUNDS_MOST boundary pairs are
+    broadcast; more are refused, as every cell meets every pair."""
+    if (n := bounds.count()) > BOUNDS_MOST:
+        raise ValueError(f"{n} boundary pairs are more than {BOUNDS_MOST}")
+    rows = cells.crossJoin(F.broadcast(bounds)).withColumn("inside", (F.col("cell") >= F.col("onset")) & (F.col("cell") < F.col("back")))
     sized = rows.groupBy("onset", "back", "inside").agg(F.sum("n").alias("rows")).where(F.col("rows") >= least).groupBy("onset", "back").count().where("count = 2").select("onset", "back")
     return S.split_variance(rows.join(sized, ["onset", "back"], "left_semi"), ["onset", "back", "inside"])
 
@@ -47,3 +52,43 @@ def widest(df: DataFrame, key: str, value: str) -> DataFrame:
     n, top = F.count("*").over(W.partitionBy()), F.max_by(key, F.struct("mad", key)).over(W.partitionBy())
     role = F.when(F.col(key) == top, "stress").when(n <= 2, "calm").when(F.col(key) < top, "pre").otherwise("post")
     return m.withColumn("role", role)  # a row a segment
+
+
+def boundary_counts(days: DataFrame, starts: int, ends: int, episodes: int) -> DataFrame:
+    """One row: sessions by class (the full ones have the most rows, the late ones the fewest, those that close early the
+    number in between), sessions with an opening and a closing row, and expected beside observed episodes that touch
+    them, if episodes began and ended evenly over all rows. ``days``: n, rows of each session."""
+    sizes = days.agg(F.max("n").alias("full"), F.min("n").alias("late"))
+    d = days.crossJoin(F.broadcast(sizes))  # one row
+    kind = F.when(F.col("n") == F.col("full"), "full").when(F.col("n") == F.col("late"), "late").otherwise("other")
+    g = d.withColumn("kind", kind).agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("full", "other", "late")), F.count("*").alias("sessions"), F.sum("n").alias("rows"))
+    opens, closes = F.col("sessions") - F.col("other"), F.col("sessions") - F.col("late")
+    return g.select(
+        "sessions", "full", "other", "late", "rows", opens.alias("with_open"), closes.alias("with_close"), F.lit(episodes).cast("long").alias("episodes"),
+        (episodes * opens / F.col("rows")).alias("expected_starts"), F.lit(starts).cast("long").alias("observed_starts"), (episodes * closes / F.col("rows")).alias("expected_ends"), F.lit(ends).cast("long").alias("observed_ends"),
+    )
+
+
+def routes(rows: DataFrame) -> DataFrame:
+    """route, a column for each role, calmest and the stressed role's multiple of it, from (route, role, value)."""
+    wide = rows.groupBy("route").pivot("role", ["pre", "stress", "post"]).agg(F.first("value"))
+    calmest = F.least("pre", "post")
+    return wide.withColumns({"calmest": calmest, "multiple": F.try_divide(F.col("stress"), calmest)})
+
+
+def named_windows(panel: DataFrame, windows: list[tuple[str, int, int]], value: str, cell: Column, least: int) -> DataFrame:
+    """name, days, n, share of variance between cells inside, the same outside, and how many times wider inside is:
+    ratios of pooled deviation, of the deviation within cells, and of the pooled median distance (no power sum)."""
+    out = None
+    for name, lo, hi in windows:
+        inside = (F.col("s") >= lo) & (F.col("s") < hi)
+        d = panel.select("s", F.col(value).alias("v"), cell.alias("cell"), inside.alias("inside"))
+        x = F.col("v")
+        cells = d.groupBy("inside", "cell").agg(F.count("*").alias("n"), F.sum(x).alias("z"), F.sum(x * x).alias("zz")).where(F.col("n") >= least)
+        parts = S.split_variance(cells, ["inside"]).join(S.mad(d, ["inside"], "v").drop("n"), "inside")
+        side = lambda c, f: F.max(F.when(F.col("inside") == f, F.col(c)))
+        pooled = parts.withColumn("total", F.col("within") + F.col("between"))
+        ratio = lambda c, root=True: (F.sqrt(side(c, True) / side(c, False)) if root else side(c, True) / side(c, False))
+        one = pooled.agg(F.lit(name).alias("name"), side("days", True).alias("days"), side("n", True).alias("n"), side("share", True).alias("share"), side("share", False).alias("calm_share"), ratio("total").alias("sd_ratio"), ratio("within").alias("within_ratio"), ratio("mad", False).alias("mad_ratio"))
+        out = one if out is None else out.unionByName(one)
+    return out

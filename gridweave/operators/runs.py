@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridweave.functions import ordered as O
@@ -109,8 +108,5 @@ def session_age(buckets: DataFrame, step: int, chunk: int) -> DataFrame:
 
 
 def decimated(df: DataFrame, step: int) -> DataFrame:
+    """Rows at multiples of ``step``; neighbours are then adjacent at that step."""
     return df.where(F.pmod(F.col("s"), F.lit(step)) == 0)
-
-
-def partition_window(*keys: str):
-    return W.partitionBy(*keys).orderBy("s")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.functions import ordered as O
+from gridweave.functions.tables import small, stored
 from gridweave.operators import bounds as B
 from gridweave.operators import changepoint as C
 from gridweave.operators import episodes as E
@@ -36,13 +37,13 @@ SHUT, LEVEL, GAP, LEAST = (61_200, 63_000), 0.97, 1_800, 1_200
 
 
 def open_panel(spark: SparkSession, sf: str) -> DataFrame:
-    return G.events_panel(spark, sf).where(~R.in_window(*SHUT)).withColumn("z", F.col("c_mid") - F.col("b_mid")).cache()
+    return stored(G.events_panel(spark, sf).where(~R.in_window(*SHUT)).withColumn("z", F.col("c_mid") - F.col("b_mid")), "open")
 
 
 def found(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     p = open_panel(spark, sf)
-    level = p.agg(F.percentile(F.abs("z"), F.lit(LEVEL)).alias("level"))
-    p = p.crossJoin(F.broadcast(level)).cache()  # one row; used more than once
+    level = E.threshold(p, "z", LEVEL)
+    p = p.crossJoin(F.broadcast(small(level)))  # one row
     return p, E.episodes(p, "z", F.col("level"), STEP, GAP, LEAST, DAY)
 
 
@@ -88,7 +89,7 @@ LEGS = {"c": ("c_mid", 1.0), "b": ("b_mid", -1.0)}
               UNION ALL SELECT lo, 'closing', peak_s, (SELECT min(y.s) FROM ar y WHERE y.lo = x.lo AND y.half AND y.s > y.peak_s), -1, peak, sign FROM (SELECT DISTINCT lo, peak, peak_s, sign FROM ar) x),
        mv AS (SELECT ph.phase, ph.peak, abs(b.z - a.z) AS move, ph.sign * way * (b.c_mid - a.c_mid) AS c, -ph.sign * way * (b.b_mid - a.b_mid) AS b
               FROM ph JOIN ar a ON a.lo = ph.lo AND a.s = x_s JOIN ar b ON b.lo = ph.lo AND b.s = y_s)
-       SELECT phase, count(*) AS episodes, round(median((abs(c) + abs(b)) / move), 6) AS travel, round(sum(c) / sum(move), 6) AS share_c, round(median(c / move), 6) AS median_c, round(sum(b) / sum(move), 6) AS share_b, round(median(b / move), 6) AS median_b
+       SELECT phase, count(*) AS episodes, round(median((abs(c) + abs(b)) / move), 6) AS travel, {', '.join(f'round(sum({g}) / sum(move), 6) AS share_{g}, round(median({g} / move), 6) AS median_{g}, round(quantile_cont({g} / move, 0.25), 6) AS q25_{g}, round(quantile_cont({g} / move, 0.75), 6) AS q75_{g}' for g in 'cb')}
        FROM mv WHERE move >= 0.25 * abs(peak) GROUP BY phase""")
 def attribution(spark: SparkSession, sf: str) -> DataFrame:
     p, e = found(spark, sf)
@@ -125,7 +126,7 @@ def boundary_audit(spark: SparkSession, sf: str) -> DataFrame:
 # -- cost bands -------------------------------------------------------------------------------------
 def banded(spark: SparkSession, sf: str) -> DataFrame:
     d = B.with_edges(R.quote_ages(G.lineitem_panel(spark, sf), DAY, MONTHS))
-    return d.withColumn("era", F.floor(F.col("s") / DAY / 365)).cache()  # used more than once
+    return stored(d.withColumn("era", F.floor(F.col("s") / DAY / 365)), "banded")
 
 
 BANDED = f"""{LINEITEM}, ag AS (SELECT *, row_number() OVER (ORDER BY s) AS rn FROM p),
@@ -140,36 +141,45 @@ def round_trip_edge(spark: SparkSession, sf: str) -> DataFrame:
     return banded(spark, sf).select(O.stamp("s").alias("t"), "z", "e_rich", "e_cheap", "edge", "rich")
 
 
-@query(f"""WITH {BANDED} SELECT era, count(*) AS n, count(*) FILTER (max_age <= 1) AS admitted, round(quantile_cont(CASE WHEN max_age <= 1 THEN band END, 0.1), 6) AS band10, round(median(CASE WHEN max_age <= 1 THEN band END), 6) AS band50,
-       round(quantile_cont(CASE WHEN max_age <= 1 THEN band END, 0.9), 6) AS band90, round(median(abs(z)), 6) AS gap, round(max(CASE WHEN max_age <= 1 THEN edge END), 6) AS best_edge, count(*) FILTER (max_age <= 1 AND edge > 0) AS positive,
-       round(median(CASE WHEN max_age <= 1 THEN band END) / median(abs(z)), 6) AS ratio,
-       bool_and(abs(band - ((c_ask - c_bid) + a_mid * (b_ask - b_bid) + b_mid * (a_ask - a_bid))) < 1e-9 * greatest(1, abs(band))) AS exact FROM bf GROUP BY era""")
+FRESH = 1  #: oldest quote that is admitted, in days
+
+
+@query(f"""WITH {BANDED}, ok AS (SELECT * FROM bf WHERE max_age <= {FRESH}), m AS (SELECT era, median(z) AS m FROM ok GROUP BY 1), ma AS (SELECT era, median(z) AS m FROM bf GROUP BY 1),
+       al AS (SELECT era, 1.4826 * median(abs(z - m)) AS gap_all FROM bf JOIN ma USING (era) GROUP BY 1), ex AS (SELECT era, bool_and(abs(band - ((c_ask - c_bid) + a_mid * (b_ask - b_bid) + b_mid * (a_ask - a_bid))) < 1e-9 * greatest(1, abs(band))) AS exact FROM bf GROUP BY 1)
+       SELECT era, count(*) AS n, count(*) * 24.0::DOUBLE AS hours, any_value(exact) AS exact, count(*) FILTER (edge > 0) AS positive, round(quantile_cont(band, 0.1), 6) AS band10, round(median(band), 6) AS band50, round(quantile_cont(band, 0.9), 6) AS band90,
+       round(1.4826 * median(abs(z - m)), 6) AS gap, round(any_value(gap_all), 6) AS gap_all, round(max(abs(z)), 6) AS widest, round(max(edge), 6) AS best_edge, round(median(c_rich), 6) AS c_rich, round(median(c_cheap), 6) AS c_cheap,
+       round(median(band) / (1.4826 * median(abs(z - m))), 6) AS ratio FROM ok JOIN m USING (era) JOIN al USING (era) JOIN ex USING (era) GROUP BY era""")
 def band_decomposition(spark: SparkSession, sf: str) -> DataFrame:
     d = banded(spark, sf)
     parts = F.col("band_a") + F.col("band_b") + F.col("band_c")
     exact = d.groupBy("era").agg(F.bool_and(F.abs(F.col("band") - parts) < 1e-9 * F.greatest(F.lit(1.0), F.abs("band"))).alias("exact"))
-    h = B.headline(d, ["era"], F.col("max_age") <= 1).join(exact, "era")
-    return h.select("era", "n", "admitted", "positive", "exact", *(r6(c, c) for c in ("band10", "band50", "band90", "gap", "best_edge", "ratio")))
+    h = B.headline(d, "era", F.col("max_age") <= FRESH, DAY).join(exact, "era")
+    return h.select("era", "n", "hours", "exact", "positive", *(r6(c, c) for c in ("band10", "band50", "band90", "gap", "gap_all", "widest", "best_edge", "c_rich", "c_cheap", "ratio")))
+
+
+GATES, DELAYS = [0, 1, 2, 5, 60, None], [0, 1, 2, 5]
+COUNTED = "count(*) AS eligible, count(*) FILTER (got > 0) AS positive, round(count(*) FILTER (got > 0) / count(*), 6) AS share, round(max(got), 6) AS best, round(median(-got), 6) AS shortfall"
 
 
-GATES, DELAYS = [0, 1, 2, 5, None], [0, 1, 2, 5]
+def counted(d: DataFrame, *keys: str) -> DataFrame:
+    return d.select(*keys, "eligible", "positive", *(r6(c, c) for c in ("share", "best", "shortfall")))
 
 
-@query(f"""WITH {BANDED}, gs AS (SELECT unnest([0, 1, 2, 5, -1]) AS gate), ds AS (SELECT unnest([0, 1, 2, 5]) AS delay),
-       fw AS (SELECT x.era, gate, delay, CASE WHEN x.rich THEN y.e_rich ELSE y.e_cheap END AS got FROM bf x, gs, ds, bf y WHERE y.s = x.s + delay * 86400 AND y.era = x.era AND x.edge > 0 AND (gate = -1 OR x.max_age <= gate))
-       SELECT era, gate, delay, count(*) AS n, count(*) FILTER (got > 0) AS paid, round(sum(got), 6) AS total FROM fw GROUP BY 1, 2, 3""")
+@query(f"""WITH {BANDED}, gs AS (SELECT unnest([0, 1, 2, 5, 60, -1]) AS gate), ds AS (SELECT unnest([0, 1, 2, 5]) AS delay),
+       fw AS (SELECT x.era, gate, delay, CASE WHEN x.rich THEN y.e_rich ELSE y.e_cheap END AS got FROM bf x, gs, ds, bf y WHERE y.s = x.s + delay * 86400 AND y.era = x.era AND (gate = -1 OR x.max_age <= gate))
+       SELECT era, gate, delay, {COUNTED} FROM fw GROUP BY 1, 2, 3""")
 def latency_ladder(spark: SparkSession, sf: str) -> DataFrame:
-    d = B.ladder(banded(spark, sf), GATES, DELAYS, DAY, MONTHS, ["era"])
-    return d.select("era", "gate", "delay", "n", "paid", r6("total", "total"))
+    return counted(B.ladder(banded(spark, sf), GATES, DELAYS, DAY, MONTHS, "era", F.lit(True)), "era", "gate", "delay")
 
 
 CUTS = [1.0, 0.75, 0.5, 0.33, 0.25, 0.1, 0.05]
 
 
-@query(f"""WITH {BANDED}, ks AS (SELECT unnest({CUTS})::DOUBLE AS k), h AS (SELECT era, k, greatest(z - k * c_rich, -z - k * c_cheap) AS edge FROM bf, ks)
-       SELECT era, k, count(*) AS n, count(*) FILTER (edge > 0) AS positive, round(max(edge), 6) AS best FROM h GROUP BY 1, 2""")
+@query(f"""WITH {BANDED}, ks AS (SELECT unnest({CUTS})::DOUBLE AS k),
+       h AS (SELECT x.era, k, CASE WHEN x.z - k * x.c_rich >= -x.z - k * x.c_cheap THEN y.z - k * y.c_rich ELSE -y.z - k * y.c_cheap END AS got FROM bf x JOIN bf y ON y.s = x.s + 86400 AND y.era = x.era, ks WHERE x.max_age <= {FRESH})
+       SELECT era, k, {COUNTED} FROM h GROUP BY 1, 2""")
 def haircut_ladder(spark: SparkSession, sf: str) -> DataFrame:
-    return B.haircuts(banded(spark, sf), CUTS, ["era"]).select("era", "k", "n", "positive", r6("best", "best"))
+    return counted(B.haircuts(banded(spark, sf), CUTS, 1, DAY, MONTHS, "era", F.col("max_age") <= FRESH), "era", "k")
 
 
 @query(f"""WITH {BANDED}, tr AS (SELECT x.edge, greatest(abs(x.a_mid - y.a_mid) * x.b_mid, abs(x.b_mid - y.b_mid) * x.a_mid, abs(x.c_mid - y.c_mid)) AS travel FROM bf x JOIN bf y ON y.s = x.s - 86400),
@@ -187,8 +197,8 @@ def edge_velocity(spark: SparkSession, sf: str) -> DataFrame:
        SELECT make_timestamp(lo * 1000000) AS opens, make_timestamp(s * 1000000) AS widest, abs(z) AS required, CASE WHEN z > 0 THEN c_rich ELSE c_cheap END AS cost, abs(z) > CASE WHEN z > 0 THEN c_rich ELSE c_cheap END AS pays FROM w WHERE r = 1""")
 def breakeven(spark: SparkSession, sf: str) -> DataFrame:
     d = banded(spark, sf)
-    level = d.agg(F.percentile(F.abs("z"), F.lit(0.95)).alias("level"))
-    d = d.crossJoin(F.broadcast(level)).cache()  # one row
+    level = E.threshold(d, "z", 0.95)
+    d = d.crossJoin(F.broadcast(small(level)))  # one row
     e = E.episodes(d, "z", F.col("level"), DAY, 2 * DAY, 2 * DAY, MONTHS).select("lo", "hi")
     b = B.breakeven(E.in_intervals(d.select("s", "z", "c_rich", "c_cheap"), e, MONTHS))
     return b.select(O.stamp("lo").alias("opens"), O.stamp("at").alias("widest"), "required", "cost", "pays")
@@ -196,12 +206,15 @@ def breakeven(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- changepoints -----------------------------------------------------------------------------------
 @query(f"""WITH {EVENTS}, d AS (SELECT s, basis AS v, CASE WHEN s - lag(s) OVER w = 600 THEN basis - lag(basis) OVER w END AS dv FROM p WINDOW w AS (ORDER BY s)),
-       o AS (SELECT *, s // 7200 * 7200 AS b FROM d WHERE s % 86400 NOT BETWEEN 61200 AND 62999), m AS (SELECT b, median(v) AS m FROM o GROUP BY b)
+       o AS (SELECT *, s // 7200 * 7200 AS b FROM d WHERE s % 86400 NOT BETWEEN 61200 AND 62999), m AS (SELECT b, median(v) AS m FROM o GROUP BY b),
+       sp AS (SELECT b, dv, lag(dv) OVER (PARTITION BY b ORDER BY s) AS pd FROM o WHERE dv IS NOT NULL),
+       sr AS (SELECT b, count(*) AS k, corr(dv, pd) AS r, covar_samp(dv, pd) AS c FROM sp GROUP BY b)
        SELECT make_timestamp(b * 1000000) AS t, count(*) AS n, round(1.4826 * median(abs(v - m)), 6) AS mad, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr, round(count(*) FILTER (dv <> 0) / nullif(count(dv), 0), 6) AS move_share,
-       round(count(*) / ((7200 - greatest(0, least(b % 86400 + 7200, 63000) - greatest(b % 86400, 61200))) / 600), 6) AS coverage, count(*) FILTER (dv <> 0) AS moves FROM o JOIN m USING (b) GROUP BY b""")
+       round(count(*) / ((7200 - greatest(0, least(b % 86400 + 7200, 63000) - greatest(b % 86400, 61200))) / 600), 6) AS coverage, count(*) FILTER (dv <> 0) AS moves,
+       round(any_value(CASE WHEN k > 2 AND NOT isnan(r) THEN r END), 6) AS rho1, round(any_value(CASE WHEN k >= 3 AND c < 0 THEN sqrt(-c) END), 6) AS roll_c FROM o JOIN m USING (b) LEFT JOIN sr USING (b) GROUP BY b""")
 def bucket_features(spark: SparkSession, sf: str) -> DataFrame:
     d = C.bucket_features(G.events_panel(spark, sf), "basis", 7_200, STEP, SHUT, DAY)
-    return d.select(O.stamp("s").alias("t"), "n", *(r6(c, c) for c in ("mad", "iqr", "move_share", "coverage")), "moves")
+    return d.select(O.stamp("s").alias("t"), "n", *(r6(c, c) for c in ("mad", "iqr", "move_share", "coverage", "rho1", "roll_c")), "moves")
 
 
 @query(f"""WITH {EVENTS}, k2 AS (SELECT s // 7200 * 7200 AS s, median(abs(basis)) AS v FROM p WHERE s % 86400 NOT BETWEEN 0 AND 7199 GROUP BY 1), l AS (SELECT s, ln(v) AS y FROM k2 WHERE v > 0),
@@ -236,31 +249,37 @@ def _ev3(n: str, expr: str) -> str:
     return _ev(n, *(expr.replace("#", k) for k in ("ww", "wz", "zz")))
 
 
-PLACED = f"""
-od AS (SELECT epoch_us(o_orderdate) // 86400000000 AS d, sum(o_totalprice) AS v FROM orders GROUP BY 1), oy AS (SELECT d, ln(v / 1e6) AS y FROM od),
-ob AS (SELECT d // {SPAN} * {SPAN} * 86400 AS s, stddev_samp(y) AS v FROM oy GROUP BY 1), sr AS (SELECT s, ln(v) AS y FROM ob WHERE v > 0),
+def placed_sql(series: str, step: int, least: int) -> str:
+    """pl: all placements of the series ``sr`` (s, y) that ``series`` ends with."""
+    return f"""{series},
 pa AS (SELECT count(*) AS n, 0.01 AS k0, 2.0 AS a0, avg(y) AS m0, var_samp(y) AS b0 FROM sr), lgs AS (SELECT list(lgamma(2.0 + i / 2.0) ORDER BY i) AS lg FROM pa, unnest(generate_series(0, (SELECT n FROM pa))) t(i)),
-ad AS (SELECT *, row_number() OVER (ORDER BY s) AS i, lag(y) OVER (ORDER BY s) AS py, coalesce(s - lag(s) OVER (ORDER BY s) = {SPAN * 86400}, false) AS adj FROM sr),
+ad AS (SELECT *, row_number() OVER (ORDER BY s) AS i, lag(y) OVER (ORDER BY s) AS py, coalesce(s - lag(s) OVER (ORDER BY s) = {step}, false) AS adj FROM sr),
 rh AS (SELECT unnest([{', '.join(repr(r) for r in C.RHOS)}])::DOUBLE AS rho),
 wh AS (SELECT rho, i, CASE WHEN adj THEN 1 - rho ELSE sqrt(1 - rho * rho) END AS w, CASE WHEN adj THEN y - rho * py ELSE y * sqrt(1 - rho * rho) END AS z, sqrt(1 - rho * rho) AS w1, y * sqrt(1 - rho * rho) AS z1 FROM ad, rh),
 px AS (SELECT rho, i, coalesce(sum(w * w) OVER v, 0) AS p_ww, coalesce(sum(w * z) OVER v, 0) AS p_wz, coalesce(sum(z * z) OVER v, 0) AS p_zz, w1 * w1 - w * w AS d_ww, w1 * z1 - w * z AS d_wz, z1 * z1 - z * z AS d_zz FROM wh WINDOW v AS (PARTITION BY rho ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 tt AS (SELECT rho, sum(w * w) AS t_ww, sum(w * z) AS t_wz, sum(z * z) AS t_zz FROM wh GROUP BY rho),
 pl AS (SELECT rho, 'M0' AS model, NULL::BIGINT AS t1, NULL::BIGINT AS t2, {_ev3('n', 't_#')} AS ll FROM tt, pa
-  UNION ALL SELECT rho, 'M1', x.i, NULL, {_ev3('x.i - 1', 'x.p_#')} + {_ev3('n - x.i + 1', 't_# - x.p_# + x.d_#')} FROM px x JOIN tt USING (rho), pa WHERE x.i > {MIN_SEGMENT} AND x.i <= n - {MIN_SEGMENT} + 1
-  UNION ALL SELECT x.rho, 'M2', x.i, y.i, {_ev3('y.i - x.i', 'y.p_# - x.p_# + x.d_#')} + {_ev3('x.i - 1 + n - y.i + 1', 'x.p_# + t_# - y.p_# + y.d_#')} FROM px x JOIN px y ON x.rho = y.rho AND y.i - x.i >= {MIN_SEGMENT} JOIN tt ON tt.rho = x.rho, pa WHERE x.i > {MIN_SEGMENT} AND y.i <= n - {MIN_SEGMENT} + 1
-  UNION ALL SELECT x.rho, 'M3', x.i, y.i, {_ev3('y.i - x.i', 'y.p_# - x.p_# + x.d_#')} + {_ev3('x.i - 1', 'x.p_#')} + {_ev3('n - y.i + 1', 't_# - y.p_# + y.d_#')} FROM px x JOIN px y ON x.rho = y.rho AND y.i - x.i >= {MIN_SEGMENT} JOIN tt ON tt.rho = x.rho, pa WHERE x.i > {MIN_SEGMENT} AND y.i <= n - {MIN_SEGMENT} + 1)
+  UNION ALL SELECT rho, 'M1', x.i, NULL, {_ev3('x.i - 1', 'x.p_#')} + {_ev3('n - x.i + 1', 't_# - x.p_# + x.d_#')} FROM px x JOIN tt USING (rho), pa WHERE x.i > {least} AND x.i <= n - {least} + 1
+  UNION ALL SELECT x.rho, 'M2', x.i, y.i, {_ev3('y.i - x.i', 'y.p_# - x.p_# + x.d_#')} + {_ev3('x.i - 1 + n - y.i + 1', 'x.p_# + t_# - y.p_# + y.d_#')} FROM px x JOIN px y ON x.rho = y.rho AND y.i - x.i >= {least} JOIN tt ON tt.rho = x.rho, pa WHERE x.i > {least} AND y.i <= n - {least} + 1
+  UNION ALL SELECT x.rho, 'M3', x.i, y.i, {_ev3('y.i - x.i', 'y.p_# - x.p_# + x.d_#')} + {_ev3('x.i - 1', 'x.p_#')} + {_ev3('n - y.i + 1', 't_# - y.p_# + y.d_#')} FROM px x JOIN px y ON x.rho = y.rho AND y.i - x.i >= {least} JOIN tt ON tt.rho = x.rho, pa WHERE x.i > {least} AND y.i <= n - {least} + 1)
 """
 
 
+TURNOVER = f"""
+od AS (SELECT epoch_us(o_orderdate) // 86400000000 AS d, sum(o_totalprice) AS v FROM orders GROUP BY 1), oy AS (SELECT d, ln(v / 1e6) AS y FROM od),
+ob AS (SELECT d // {SPAN} * {SPAN} * 86400 AS s, stddev_samp(y) AS v FROM oy GROUP BY 1), sr AS (SELECT s, ln(v) AS y FROM ob WHERE v > 0)"""
+PLACED = placed_sql(TURNOVER, SPAN * 86_400, MIN_SEGMENT)
+
+
 def placed(spark: SparkSession, sf: str) -> DataFrame:
-    return C.placements(turnover(spark, sf), SPAN * DAY, MIN_SEGMENT, C.RHOS, 40 * SPAN * DAY).cache()
+    return C.placements(turnover(spark, sf), SPAN * DAY, MIN_SEGMENT)
 
 
 @query(f"""WITH {PLACED}, mx AS (SELECT rho, model, max(ll) AS m, count(*) AS c FROM pl GROUP BY 1, 2), lz AS (SELECT rho, model, any_value(m) + ln(sum(exp(ll - m))) - ln(any_value(c)) AS lz, any_value(c) AS c FROM pl JOIN mx USING (rho, model) GROUP BY 1, 2),
        mm AS (SELECT model, max(lz) AS m FROM lz GROUP BY 1), z AS (SELECT model, any_value(m) + ln(sum(exp(lz - m))) - ln(8) AS log_z, max(c) AS configs FROM lz JOIN mm USING (model) GROUP BY 1)
        SELECT model, configs, round(log_z, 6) AS log_z, round(exp(log_z - (SELECT max(log_z) FROM z)) / sum(exp(log_z - (SELECT max(log_z) FROM z))) OVER (), 6) AS posterior FROM z""")
 def changepoint_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return C.models(placed(spark, sf), len(C.RHOS)).select("model", "configs", r6("log_z", "log_z"), r6("posterior", "posterior"))
+    return C.models(placed(spark, sf)).select("model", "configs", r6("log_z", "log_z"), r6("posterior", "posterior"))
 
 
 @query(f"""WITH {PLACED}, w AS (SELECT t1 AS bucket, sum(exp(ll - (SELECT max(ll) FROM pl WHERE model = 'M1'))) AS w FROM pl WHERE model = 'M1' GROUP BY t1), q AS (SELECT bucket, w / sum(w) OVER () AS prob FROM w),

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.functions import ordered as O
+from gridweave.functions import quantiles as Q
+from gridweave.functions.tables import shared_folder, stored
 from gridweave.operators import causality as K
 from gridweave.operators import changepoint as C
 from gridweave.operators import episodes as E
@@ -20,7 +20,7 @@ from gridweave.operators import stats as S
 from gridweave.operators import vecm as V
 from gridweave.plans import dislocation_queries as D
 from gridweave.plans.dislocation_queries import BANDED, STRETCH
-from gridweave.plans.panel_queries import DAY, IMPLIED, MONTH, MONTHS, STEP, month, r6
+from gridweave.plans.panel_queries import AGES, DAY, IMPLIED, MONTH, MONTHS, STEP, month, r6
 from gridweave.plans.panel_sql import EVENTS, LINEITEM
 from gridweave.sources import panels as P
 from gridweave.streaming import ticks as ST
@@ -45,11 +45,15 @@ YEAR = 365
 
 def model_rows(spark: SparkSession, sf: str) -> DataFrame:
     p = G.lineitem_panel(spark, sf).withColumn("cell", F.floor(F.col("s") / DAY / YEAR))
-    return V.with_logs(p, DAY, MONTHS).cache()
+    return stored(V.with_logs(p, DAY, MONTHS), "rows")
+
 
+BLOCK = 31  #: rows of a block sum
+LAGS = 3  #: lags of the whole-sample models
 
-def designed(rows: DataFrame, p: int, basis_lags: int = 0, least: int = 50) -> DataFrame:
-    return V.design(rows, p, DAY, MONTHS, F.col("z").isNotNull(), F.col("cell"), least, basis_lags).cache()
+
+def designed(rows: DataFrame, p: int, basis_lags: int = 0, least: int = 50, with_runs: bool = False) -> DataFrame:
+    return V.design(rows, p, DAY, MONTHS, F.col("z").isNotNull(), F.col("cell"), least, basis_lags, with_runs=with_runs).transform(stored)
 
 
 LOGS = f"""{LINEITEM}, lg AS (SELECT s, s // 86400 // 365 AS cell, ln(a_mid) AS xa, ln(b_mid) AS xb, ln(c_mid) AS xc FROM p),
@@ -84,54 +88,64 @@ def vecm_full(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def hac_errors(spark: SparkSession, sf: str) -> DataFrame:
-    """Adjustment coefficients with robust errors, and the speed of closing with its own."""
-    d = designed(model_rows(spark, sf), 3)
-    f = V.fit(d, 3)
-    s = V.hac(d, f, 31)
-    w = np.array(V.WEIGHTS)
-    rows = [(g, float(a), float(np.sqrt(s[k, k])), float(a / np.sqrt(s[k, k]))) for k, (g, a) in enumerate(zip(V.LEGS, f.alpha, strict=True))]
-    se = float(np.sqrt(w @ s @ w))
-    return frame(spark, [*rows, ("lambda", f.lam, se, f.lam / se)], "term string, coef double, se double, t double")
+    """Adjustment coefficients with robust intervals, whether their signs close a gap, and the speed of closing."""
+    d = designed(model_rows(spark, sf), LAGS, with_runs=True)
+    return frame(spark, V.exogeneity(d, V.fit(d, LAGS), "all", BLOCK, DAY, MONTHS), V.EXOGENEITY)
 
 
 @query()
 def residual_acf(spark: SparkSession, sf: str) -> DataFrame:
-    d = designed(model_rows(spark, sf), 3)
-    return V.residual_acf(d, V.fit(d, 3), 20)
+    d = designed(model_rows(spark, sf), LAGS, with_runs=True)
+    return V.residual_acf(d, V.fit(d, LAGS), 20, DAY, MONTHS)
 
 
-@query()
-def lag_selection(spark: SparkSession, sf: str) -> DataFrame:
-    lags = [1, 2, 3, 5]
-    return spark.createDataFrame(V.select_lag(designed(model_rows(spark, sf), max(lags)), lags))
+#: The model without lags has one slope an equation, which SQL can write down.
+SLOPES = f"""{LOGS}, rw AS (SELECT x.s, x.cell, y.z AS z1, x.da, x.db, x.dc FROM dx x JOIN dx y ON y.s = x.s - 86400 WHERE y.cell = x.cell), ad AS (SELECT *, count(*) OVER (PARTITION BY cell) AS size FROM rw),
+ce AS (SELECT s, cell, z1 - avg(z1) OVER c AS z1, da - avg(da) OVER c AS a, db - avg(db) OVER c AS b, dc - avg(dc) OVER c AS c FROM ad WHERE size >= 50 WINDOW c AS (PARTITION BY cell)),
+sl AS (SELECT count(*) AS n, sum(z1 * z1) AS zz, sum(z1 * a) / sum(z1 * z1) AS aa, sum(z1 * b) / sum(z1 * z1) AS ab, sum(z1 * c) / sum(z1 * z1) AS ac FROM ce),
+us AS (SELECT s, cell, z1, a - aa * z1 AS a, b - ab * z1 AS b, c - ac * z1 AS c FROM ce, sl)"""
+
+
+def slopes(spark: SparkSession, sf: str) -> tuple[DataFrame, V.Fit]:
+    d = designed(model_rows(spark, sf), 0, with_runs=True)
+    return d, V.fit(d, 0)
+
+
+@query(f"""WITH {SLOPES}, lg1 AS (SELECT unnest(generate_series(1, 10)) AS lag), pr AS (SELECT lag, x.a, x.b, x.c, y.a AS pa, y.b AS pb, y.c AS pc FROM us x, lg1, us y WHERE y.s = x.s - lag * 86400 AND y.cell = x.cell)
+       {' UNION ALL '.join(f"SELECT '{g}' AS leg, lag::INT AS lag, round(corr({g}, p{g}), 6) AS acf, count(*) AS pairs FROM pr GROUP BY lag" for g in 'abc')}""")
+def residual_acf_slopes(spark: SparkSession, sf: str) -> DataFrame:
+    d, f = slopes(spark, sf)
+    return V.residual_acf(d, f, 10, DAY, MONTHS).select("leg", "lag", r6("acf", "acf"), "pairs")
+
+
+@query(f"""WITH {SLOPES}, bl AS (SELECT count(*) OVER w AS k, sum(z1 / zz * a) OVER w AS a, sum(z1 / zz * b) OVER w AS b, sum(z1 / zz * c) OVER w AS c FROM us, sl WINDOW w AS (PARTITION BY cell ORDER BY s RANGE BETWEEN {(BLOCK - 1) * 86400} PRECEDING AND CURRENT ROW)),
+       va AS (SELECT sum(a * a) / {BLOCK} * n / (n - 2) AS a, sum(b * b) / {BLOCK} * n / (n - 2) AS b, sum(c * c) / {BLOCK} * n / (n - 2) AS c, sum((c - a - b) * (c - a - b)) / {BLOCK} * n / (n - 2) AS l FROM bl, sl WHERE k = {BLOCK} GROUP BY n)
+       SELECT 'a' AS term, round(aa, 6) AS coef, round(sqrt(a), 6) AS se FROM va, sl UNION ALL SELECT 'b', round(ab, 6), round(sqrt(b), 6) FROM va, sl UNION ALL SELECT 'c', round(ac, 6), round(sqrt(c), 6) FROM va, sl
+       UNION ALL SELECT 'lambda', round(ac - aa - ab, 6), round(sqrt(l), 6) FROM va, sl""")
+def hac_slopes(spark: SparkSession, sf: str) -> DataFrame:
+    d, f = slopes(spark, sf)
+    s, w = V.hac(d, f, BLOCK, DAY, MONTHS), np.array(V.WEIGHTS)
+    rows = [(g, float(a), float(np.sqrt(s[k, k]))) for k, (g, a) in enumerate(zip(V.LEGS, f.alpha, strict=True))]
+    return frame(spark, [*rows, ("lambda", f.lam, float(np.sqrt(w @ s @ w)))], "term string, coef double, se double").select("term", r6("coef", "coef"), r6("se", "se"))
+
+
+@query(f"""WITH {LOGS}, bl AS (SELECT s, count(*) OVER w AS k, sum(z) OVER w AS z, sum(z * z) OVER w AS zz FROM dx WINDOW w AS (PARTITION BY cell ORDER BY s RANGE BETWEEN 2592000 PRECEDING AND CURRENT ROW))
+       SELECT s // 86400 AS day, round(z, 2) AS z, round(zz / 1e6, 4) AS zz FROM bl WHERE k = 31""")
+def block_sums(spark: SparkSession, sf: str) -> DataFrame:
+    d = model_rows(spark, sf).select("s", F.col("cell").alias("run"), "z", (F.col("z") * F.col("z")).alias("zz"))
+    return V.block_sums(d, ["z", "zz"], BLOCK, DAY, MONTHS).select(F.floor(F.col("s") / DAY).alias("day"), F.round("z", 2).alias("z"), F.round(F.col("zz") / 1e6, 4).alias("zz"))
 
 
 @query()
 def daily_vecm(spark: SparkSession, sf: str) -> DataFrame:
+    """A fit for each cell; on this panel of days a cell is a year."""
     return V.daily(designed(model_rows(spark, sf), 1), 1, 100)
 
 
 @query()
 def block_granger(spark: SparkSession, sf: str) -> DataFrame:
-    tests = K.leg_tests(designed(model_rows(spark, sf), 2, basis_lags=2), 2)
-    t = spark.createDataFrame(pd.DataFrame(tests))
-    return K.holm(t, "p")
-
-
-@query()
-def placebo_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    """Measured gains of the legs beside those of legs shifted in time, and the largest of these."""
-    rows, out = model_rows(spark, sf), []
-    for days in (0, -14, 14):
-        for leg in V.LEGS:
-            d = K.with_placebo(rows, leg, days) if days else rows
-            t = next(x for x in K.leg_tests(designed(d, 1, 1, 0), 1) if x["from"] == leg and x["to"] == "basis")
-            out.append((leg, days, "measured" if not days else "placebo", float(t["delta_r2"])))
-            if not days and leg == "c":
-                break
-    t = frame(spark, out, "leg string, days int, family string, delta_r2 double")
-    top = t.where("family = 'placebo'").groupBy("leg").agg(F.max("delta_r2").alias("threshold"))
-    return t.join(top, "leg")
+    tests = K.leg_tests(designed(model_rows(spark, sf), 2, basis_lags=2, with_runs=True), 2, DAY, MONTHS, BLOCK)
+    return K.holm(spark.createDataFrame(pd.DataFrame(tests)), "p")
 
 
 @query(f"""WITH {LOGS}, rn AS (SELECT *, 0.0 + -1 * da + -1 * db + dc AS dz FROM dx), lgs AS (SELECT unnest(generate_series(-10, 10)) AS lag)
@@ -139,7 +153,7 @@ def placebo_threshold(spark: SparkSession, sf: str) -> DataFrame:
 def lead_lag(spark: SparkSession, sf: str) -> DataFrame:
     p = G.lineitem_panel(spark, sf)
     d = K.increments_in_runs(p, DAY, MONTHS).withColumn("dz", -F.col("dx_a") - F.col("dx_b") + F.col("dx_c"))
-    return K.cross_correlation(d, "dz", "dx_a", 10).select("lag", "n", r6("corr", "corr"))
+    return K.cross_correlation(d, "dz", "dx_a", 10, DAY, MONTHS).select("lag", "n", r6("corr", "corr"))
 
 
 @query(f"""WITH {LOGS}, rn AS (SELECT *, 0.0 + -1 * da + -1 * db + dc AS dz FROM dx), lgs AS (SELECT unnest(generate_series(-10, 10)) AS lag),
@@ -148,7 +162,7 @@ def lead_lag(spark: SparkSession, sf: str) -> DataFrame:
 def lead_lag_asymmetry(spark: SparkSession, sf: str) -> DataFrame:
     p = G.lineitem_panel(spark, sf)
     d = K.increments_in_runs(p, DAY, MONTHS).withColumn("dz", -F.col("dx_a") - F.col("dx_b") + F.col("dx_c"))
-    return K.asymmetry(K.cross_correlation(d, "dz", "dx_a", 10), 10).select("lag", "n", *(r6(c, c) for c in ("diff", "band", "wide_band")))
+    return K.asymmetry(K.cross_correlation(d, "dz", "dx_a", 10, DAY, MONTHS), 10).select("lag", "n", *(r6(c, c) for c in ("diff", "band", "wide_band")))
 
 
 @query("""WITH t AS (SELECT event_type, dayofweek(ts)::INT + 1 AS d, avg(value) / 500 AS p FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (ORDER BY p, event_type, d) AS r, count(*) OVER () AS m FROM t)
@@ -179,65 +193,13 @@ def normalisation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- segments and sweeps ------------------------------------------------------------------------------
-@query()
-def null_calibration(spark: SparkSession, sf: str, replicates: int = 40) -> DataFrame:
-    """log Bayes factor of one change against none, on the series and on simulated series without changes."""
-    series = D.turnover(spark, sf).cache()
-    p = C.prior(series)
-    rho = S.ar1(series, [], "y", D.SPAN * DAY, 40 * D.SPAN * DAY).first().rho or 0.0
-    n, mean, sd, least = p["n"], p["m0"], p["b0"] ** 0.5, D.MIN_SEGMENT
-    observed = [r.y for r in series.orderBy("s").collect()]  # a row a bucket
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        rep = int(g["id"].iloc[0])
-        if rep:
-            rng, y = np.random.default_rng(rep), np.empty(n)
-            y[0] = rng.normal(0, sd)
-            for i in range(1, n):
-                y[i] = rho * y[i - 1] + rng.normal(0, sd * (1 - rho * rho) ** 0.5)
-            y += mean
-        else:
-            y = np.array(observed)
-        return pd.DataFrame({"replicate": [rep], "log_bf": [log_bf(y, least)]})
-
-    return spark.range(replicates + 1).repartition(min(replicates + 1, 64), "id").groupBy("id").applyInPandas(one, "replicate long, log_bf double")
-
-
-def log_bf(y: np.ndarray, least: int) -> float:
-    """ln of the mean evidence with one change over that with none, whitened by each autocorrelation of the grid."""
-    from math import lgamma, log, pi
-
-    n, b0, m0, k0, a0 = len(y), (C.A0 - 1) * float(np.var(y, ddof=1)), float(np.mean(y)), C.K0, C.A0
-    gammas = np.array([lgamma(a0 + i / 2) for i in range(n + 1)])
-
-    def ev(size, ww, wz, zz):
-        kn = k0 + ww
-        bn = np.maximum(1e-300, b0 + (zz + k0 * m0 * m0 - (wz + k0 * m0) ** 2 / kn) / 2)
-        return gammas[size] - lgamma(a0) + a0 * log(b0) - (a0 + size / 2) * np.log(bn) + (log(k0) - np.log(kn)) / 2 - size / 2 * log(2 * pi)
-
-    none, some = [], []
-    for rho in C.RHOS:
-        first = (1 - rho * rho) ** 0.5
-        w, z = np.full(n, 1 - rho), np.append(y[0] * first, y[1:] - rho * y[:-1])
-        w[0] = first
-        sums = [np.append(0, np.cumsum(v)) for v in (w * w, w * z, z * z)]
-        t = np.arange(least, n - least + 1)
-        shift = [first * first - w[t] * w[t], first * first * y[t] - w[t] * z[t], first * first * y[t] ** 2 - z[t] * z[t]]
-        none.append(ev(n, *(s[n] for s in sums)))
-        ll = ev(t, *(s[t] for s in sums)) + ev(n - t, *(s[n] - s[t] + d for s, d in zip(sums, shift, strict=True)))
-        some.append(np.logaddexp.reduce(ll) - log(len(t)))
-    return float(np.logaddexp.reduce(some) - np.logaddexp.reduce(none))
+REPLICATES = 100
 
 
 @query()
-def changepoint_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
-    """The best model under other shortest segments and without autocorrelation."""
-    series, out = D.turnover(spark, sf).cache(), None
-    for name, least, rhos in (("base", 12, C.RHOS), ("long", 18, C.RHOS), ("white", 12, (0.0,))):
-        m = C.models(C.placements(series, D.SPAN * DAY, least, rhos, 40 * D.SPAN * DAY), len(rhos))
-        one = m.agg(F.max_by("model", "log_z").alias("best"), F.max("log_z").alias("log_z"), F.max("posterior").alias("posterior")).withColumn("variant", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+def null_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    """The series and simulated ones without a change: the model picked, M2 against M0, and the size of M2's shift."""
+    return C.null_calibration(D.turnover(spark, sf), D.SPAN * DAY, D.MIN_SEGMENT, REPLICATES)
 
 
 CELLS = f"{LINEITEM}, ce AS (SELECT s // 86400 // 30 AS cell, count(*) AS n, sum(basis) AS z, sum(basis * basis) AS zz FROM p GROUP BY 1)"
@@ -248,7 +210,7 @@ CELLS = f"{LINEITEM}, ce AS (SELECT s // 86400 // 30 AS cell, count(*) AS n, sum
        SELECT onset, back, inside, days, n, round(w / n, 6) AS within, round(greatest(0, q / n - pow(z / n, 2)), 6) AS between, round(greatest(0, q / n - pow(z / n, 2)) / (w / n + greatest(0, q / n - pow(z / n, 2))), 6) AS share FROM t WHERE days >= 2""")
 def boundary_sweep(spark: SparkSession, sf: str) -> DataFrame:
     x = F.col("basis")
-    cells = G.lineitem_panel(spark, sf).groupBy(F.floor(F.col("s") / DAY / 30).alias("cell")).agg(F.count("*").alias("n"), F.sum(x).alias("z"), F.sum(x * x).alias("zz")).cache()
+    cells = G.lineitem_panel(spark, sf).groupBy(F.floor(F.col("s") / DAY / 30).alias("cell")).agg(F.count("*").alias("n"), F.sum(x).alias("z"), F.sum(x * x).alias("zz")).transform(stored)
     i, j = spark.range(8).select(F.col("id").alias("i")), spark.range(4).select(F.col("id").alias("j"))
     onset = F.col("c") + 10 + 2 * F.col("i")
     bounds = cells.agg(F.min("cell").alias("c")).crossJoin(i).crossJoin(j).select(onset.alias("onset"), (onset + 20 + 5 * F.col("j")).alias("back"))  # 32 rows
@@ -290,56 +252,59 @@ def freshness_extremes(spark: SparkSession, sf: str) -> DataFrame:
        CASE WHEN t.mad / e.mad > t.band / e.band THEN 'gap grew more than cost' ELSE 'cost grew at least as much' END AS reading FROM e, t WHERE e.era <> t.era""")
 def band_gap_ratios(spark: SparkSession, sf: str) -> DataFrame:
     d = D.banded(spark, sf)
-    e = S.mad(d, ["era"], "z").join(d.groupBy("era").agg(F.median("band").alias("band")), "era").select("era", "mad", "band").cache()
+    e = S.mad(d, ["era"], "z").join(Q.median(d, ["era"], "band", "band").drop("n"), "era").select("era", "mad", "band").transform(stored)
     t = e.orderBy(F.desc("mad"), "era").limit(1).select(F.col("era").alias("wide_era"), F.col("mad").alias("_m"), F.col("band").alias("_b"))
     both = e.crossJoin(F.broadcast(t)).where("era <> wide_era")  # one row
     mr, br = F.col("_m") / F.col("mad"), F.col("_b") / F.col("band")
     return both.select("wide_era", F.col("era").alias("other_era"), r6(mr, "mad_ratio"), r6(br, "band_ratio"), r6(mr / br, "ratio_of_ratios"), F.when(mr > br, "gap grew more than cost").otherwise("cost grew at least as much").alias("reading"))
 
 
-VARIANTS = [("base", 1, True), ("any age", -1, True), ("fresh", 0, True), ("with Sundays", 1, False), ("loose", 5, False)]
-
-
-@query(f"WITH {BANDED} " + " UNION ALL ".join(f"SELECT '{n}' AS variant, era, round(median(band), 6) AS band, count(*) AS eligible, count(*) FILTER (edge > 0) AS positive FROM bf WHERE ({g} = -1 OR max_age <= {g}) AND ({not m} OR dayofweek(make_timestamp(s * 1000000)) <> 0) GROUP BY era" for n, g, m in VARIANTS))
-def bound_variants(spark: SparkSession, sf: str) -> DataFrame:
-    d, sunday = D.banded(spark, sf), F.dayofweek(O.stamp("s")) == 1
-    tests = F.array(*(F.struct(F.lit(n).alias("variant"), ((F.lit(g == -1) | (F.col("max_age") <= g)) & (F.lit(not m) | ~sunday)).alias("in")) for n, g, m in VARIANTS))
-    rows = d.select("era", "band", "edge", F.explode(tests).alias("v")).where("v.in")
-    return rows.groupBy("v.variant", "era").agg(r6(F.median("band"), "band"), F.count("*").alias("eligible"), F.count_if(F.col("edge") > 0).alias("positive"))
+GAP_MOST, BIAS_MOST = 100.0, 1.0
 
 
-GAP_MOST, BIAS_MOST = 100.0, 1.0
+STALE, LIVELY = 600, 60  #: rows without a change that are an outage, if the others changed within so many
 
 
-@query(f"""WITH {EVENTS}, st AS (SELECT s - lag(s) OVER (ORDER BY s) AS d FROM p), cv AS (SELECT s // 86400 AS d, avg(a_fresh::INT) AS a, avg(b_fresh::INT) AS b, avg(c_fresh::INT) AS c FROM p WHERE dayofweek(make_timestamp(s * 1000000)) BETWEEN 1 AND 5 GROUP BY 1)
+@query(f"""WITH {AGES}, st AS (SELECT s - lag(s) OVER (ORDER BY s) AS d FROM p), cv AS (SELECT s // 86400 AS d, avg(a_fresh::INT) AS a, avg(b_fresh::INT) AS b, avg(c_fresh::INT) AS c FROM p WHERE dayofweek(make_timestamp(s * 1000000)) BETWEEN 1 AND 5 GROUP BY 1),
+       bi AS ({' UNION ALL '.join(f"SELECT s // 86400 AS d, abs(median({x})) AS bias FROM p GROUP BY 1 HAVING count(*) >= 100" for x in IMPLIED.values())}),
+       iso AS (SELECT {' + '.join(f"count(*) FILTER ({g}_age > {STALE} AND greatest({', '.join(f'{o}_age' for o in 'abc' if o != g)}) < {LIVELY})" for g in 'abc')} AS n FROM v)
        SELECT 'grid holes' AS "check", count(*)::DOUBLE AS value, count(*) = 0 AS passed FROM st WHERE d <> 600 UNION ALL SELECT 'worst weekday coverage', round(min(least(a, b, c)), 6), min(least(a, b, c)) >= 0.05 FROM cv
+       UNION ALL SELECT 'isolated outage', n::DOUBLE, n = 0 FROM iso UNION ALL SELECT 'worst daily bias', round(max(bias), 6), max(bias) <= {BIAS_MOST} FROM bi
        UNION ALL SELECT 'implied gap', round(quantile_cont(abs(c_mid / a_mid - b_mid), 0.999), 6), quantile_cont(abs(c_mid / a_mid - b_mid), 0.999) <= {GAP_MOST} FROM p
        UNION ALL SELECT 'repeated times', (count(*) - count(DISTINCT s))::DOUBLE, count(*) = count(DISTINCT s) FROM p""")
 def quality_gate(spark: SparkSession, sf: str) -> DataFrame:
-    p = G.events_panel(spark, sf).cache()
+    p = stored(G.events_panel(spark, sf), "panel")
     holes = O.with_previous(p.select("s"), {"prev_s": "s"}, DAY).where(F.col("s") - F.col("prev_s") != STEP).agg(F.count("*").alias("value"))
     weekday = F.dayofweek(O.stamp("s")).between(2, 6)
     cover = p.where(weekday).groupBy(F.floor(F.col("s") / DAY)).agg(F.least(*(F.avg(F.col(f"{g}_fresh").cast("int")) for g in "abc")).alias("w")).agg(F.round(F.min("w"), 6).alias("value"))
-    gap = p.agg(F.round(F.percentile(F.abs(F.expr(IMPLIED["b"])), F.lit(0.999)), 6).alias("value"))
+    alone = R.isolated(p, DAY, STALE, LIVELY).agg(sum((F.count_if(f"{g}_isolated") for g in "abc"), F.lit(0)).alias("value"))
+    each = p.select((F.floor(F.col("s") / DAY)).alias("d"), F.explode(F.array(*(F.struct(F.lit(g).alias("leg"), F.expr(x).alias("gap")) for g, x in IMPLIED.items()))).alias("x")).select("d", "x.*")
+    bias = each.groupBy("leg", "d").agg(F.count("*").alias("n"), F.abs(F.median("gap")).alias("m")).where("n >= 100").agg(F.round(F.max("m"), 6).alias("value"))
+    gap = Q.quantiles(p, [], F.abs(F.expr(IMPLIED["b"])), {"q": 0.999}).select(F.round("q", 6).alias("value"))
     repeats = p.agg((F.count("*") - F.count_distinct("s")).alias("value"))
     v = F.col("value")
-    return X.gate([("grid holes", holes, v == 0), ("worst weekday coverage", cover, v >= 0.05), ("implied gap", gap, v <= GAP_MOST), ("repeated times", repeats, v == 0)])
+    return X.gate([("grid holes", holes, v == 0), ("worst weekday coverage", cover, v >= 0.05), ("isolated outage", alone, v == 0), ("worst daily bias", bias, v <= BIAS_MOST), ("implied gap", gap, v <= GAP_MOST), ("repeated times", repeats, v == 0)])
 
 
 @query(f"""WITH {LINEITEM}, x AS ({' UNION ALL '.join(f'''SELECT '{g}' AS leg, s // 86400 // 365 AS era, {g}_mid AS v FROM p''' for g in 'abc')}) PIVOT (SELECT leg, era, round(median(v), 6) AS v FROM x GROUP BY 1, 2) ON leg IN ('a', 'b', 'c') USING max(v) GROUP BY era""")
 def median_pivot(spark: SparkSession, sf: str) -> DataFrame:
     p = G.lineitem_panel(spark, sf)
     each = p.select(F.floor(F.col("s") / DAY / YEAR).alias("era"), F.explode(F.array(*(F.struct(F.lit(g).alias("leg"), F.col(f"{g}_mid").alias("v")) for g in "abc"))).alias("x")).select("era", "x.*")
-    return each.groupBy("era").pivot("leg", ["a", "b", "c"]).agg(F.round(F.median("v"), 6))
+    return Q.median(each, ["leg", "era"], "v", "m").groupBy("era").pivot("leg", ["a", "b", "c"]).agg(F.round(F.first("m"), 6))
 
 
 # -- streams ----------------------------------------------------------------------------------------------
 def drained(df: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives once all its input is read."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """What a stream gives once all its input is read. Batches are written as Parquet (in complete mode each replaces
+    the one before), and its state is kept in the shared folder."""
+    at = shared_folder(df.sparkSession, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={0 if mode == 'complete' else number}")
+
+    q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{at}/out").select(df.columns)
 
 
 @query("""WITH e AS (SELECT event_type, epoch_us(ts) // 3600000000 AS h, value, ts, event_id FROM events)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.functions import ordered as O
+from gridweave.functions import quantiles as Q
 from gridweave.operators import grid as G
 from gridweave.operators import runs as R
 from gridweave.operators import stats as S
@@ -52,7 +53,7 @@ def grid_locf(spark: SparkSession, sf: str) -> DataFrame:
        SELECT month, count(*) AS n, round(1.4826 * median(abs(basis - mid)), 6) AS mad FROM m JOIN c USING (month) GROUP BY 1""")
 def grid_locf_basis_mad(spark: SparkSession, sf: str) -> DataFrame:
     p = G.lineitem_panel(spark, sf).select(month().alias("month"), "basis")
-    return S.mad(p, ["month"], "basis").select("month", "n", r6("mad", "mad"))
+    return S.mad(p, ["month"], "basis", many=True).select("month", "n", r6("mad", "mad"))
 
 
 @query("""WITH e AS (SELECT event_type AS leg, epoch_us(ts) // 1000000 // 3600 * 3600 AS s, value AS mid, ts, event_id, event_id % 3 = 0 AS spare FROM events WHERE event_type IN ('click', 'view', 'purchase')),
@@ -84,10 +85,9 @@ def tick_audit(spark: SparkSession, sf: str) -> DataFrame:
 def quote_spread_union(spark: SparkSession, sf: str) -> DataFrame:
     p, out = G.lineitem_panel(spark, sf), None
     for g in "abc":
-        d = F.col(f"{g}_ask") - F.col(f"{g}_bid")
-        one = p.where(f"{g}_fresh").agg(F.lit(g).alias("leg"), F.count("*").alias("n"), r6(F.median(d), "median"), r6(F.percentile(d, F.lit(0.99)), "p99"))
+        one = p.where(f"{g}_fresh").select(F.lit(g).alias("leg"), (F.col(f"{g}_ask") - F.col(f"{g}_bid")).alias("spread"))
         out = one if out is None else out.unionByName(one)
-    return out
+    return Q.quantiles(out, ["leg"], "spread", {"median": 0.5, "p99": 0.99}).select("leg", "n", r6("median", "median"), r6("p99", "p99"))
 
 
 @query(f"""WITH {EVENTS} SELECT {T.replace('s *', 's // 86400 * 86400 *')} AS day, count(*) FILTER (NOT a_fresh AND NOT b_fresh AND NOT c_fresh) AS silent, count(*) FILTER (a_fresh AND b_fresh AND c_fresh) AS full_rows
@@ -113,7 +113,7 @@ IMPLIED = {"a": "c_mid / b_mid - a_mid", "b": "c_mid / a_mid - b_mid", "c": "a_m
 def implied_gap_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     p = G.lineitem_panel(spark, sf)
     each = p.select(F.explode(F.array(*(F.struct(F.lit(g).alias("leg"), F.abs(F.expr(x)).alias("gap")) for g, x in IMPLIED.items()))).alias("x")).select("x.*")
-    return each.groupBy("leg").agg(r6(F.median("gap"), "median"), r6(F.percentile("gap", F.lit(0.99)), "p99"), r6(F.percentile("gap", F.lit(0.999)), "p999"))
+    return Q.quantiles(each, ["leg"], "gap", {"median": 0.5, "p99": 0.99, "p999": 0.999}).select("leg", *(r6(c, c) for c in ("median", "p99", "p999")))
 
 
 @query(f"WITH {LINEITEM}, x AS ({' UNION ALL '.join(f'''SELECT '{g}' AS leg, {MONTH} AS month, {x} AS gap FROM p''' for g, x in IMPLIED.items())}) SELECT leg, month, count(*) AS n, round(median(gap), 6) AS bias, abs(median(gap)) > 0.1 AS breach FROM x GROUP BY 1, 2 HAVING count(*) >= 20")

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +26,16 @@ def read_ticks(spark: SparkSession, pattern: str) -> DataFrame:
     return raw.select(F.to_timestamp_ntz("stamp", F.lit("yyyyMMdd HHmmssSSS")).alias("ts"), "bid", "ask")
 
 
+def numbered(frame: DataFrame, path: str) -> DataFrame:
+    """``frame`` (read from ``path``) with ``line``, the row's number in the file: partitions are in the file's order, and
+    so are rows inside them, so a count of rows a partition and a number inside it give the place."""
+    d = frame.withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id()})
+    counts = d.groupBy("_part").agg(F.count("*").alias("n"), F.min("_in").alias("_first"))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row a partition
+    starts = counts.select("_part", "_first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    return d.join(F.broadcast(starts), "_part").withColumn("line", F.col("_in") - F.col("_first") + F.col("_before")).drop("_part", "_in", "_first", "_before")
+
+
 def read_sided_ticks(spark: SparkSession, bid_path: str, ask_path: str, hours: int = 4) -> DataFrame:
     """Two files of one side each (ISO-8601 UTC time, ..., Close), aligned by row, on a clock ``hours`` behind UTC.
 
@@ -34,10 +43,7 @@ def read_sided_ticks(spark: SparkSession, bid_path: str, ask_path: str, hours: i
 
     def side(path: str, name: str) -> DataFrame:
         frame = spark.read.csv(path, header=True)
-        rows = frame.select(F.col(frame.columns[0]).alias("at"), F.col("Close").cast("double").alias(name))
-        # the order of rows in a file is that of Spark's splits and of rows within them
-        numbered = rows.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1]))
-        return spark.createDataFrame(numbered, f"line long, at string, {name} double")
+        return numbered(frame.select(F.col(f"`{frame.columns[0]}`").alias("at"), F.col("Close").cast("double").alias(name)), path)
 
     bid, ask = side(bid_path, "bid"), side(ask_path, "ask").drop("at")
     if (a := bid.count()) != (b := ask.count()):
@@ -46,13 +52,55 @@ def read_sided_ticks(spark: SparkSession, bid_path: str, ask_path: str, hours: i
     return bid.join(ask, "line").select(ts.alias("ts"), "bid", "ask", "line")
 
 
-def require(path: str, stage: str) -> str:
-    """The path, or an error that names the stage that writes it."""
-    if "://" not in path and not os.path.exists(path):
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a pattern names, in order, in any store that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found) if found else []
+
+
+def read_paired_ticks(spark: SparkSession, bid_pattern: str, ask_pattern: str, hours: int = 4) -> DataFrame | None:
+    """All files of two patterns, paired in the order of their names, with ``file``; None where there are none, an error
+    where there are more of one side. The last row in the order of (file, line) is the latest of equal times."""
+    bids, asks = listed(spark, bid_pattern), listed(spark, ask_pattern)
+    if len(bids) != len(asks):
+        raise ValueError(f"{len(bids)} bid files and {len(asks)} ask files")
+    out = None
+    for i, (bid, ask) in enumerate(zip(bids, asks, strict=True)):
+        one = read_sided_ticks(spark, bid, ask, hours).withColumn("file", F.lit(i))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def require(spark: SparkSession, path: str, stage: str) -> str:
+    """The path, or an error that names the stage that writes it; for any store that Spark reads."""
+    if not listed(spark, path):
         raise FileNotFoundError(f"{path} is missing; run {stage} first")
     return path
 
 
+# -- stages' tables --------------------------------------------------------------------------------
+def write_grid(panel: DataFrame, path: str, span: int = DAY) -> None:
+    """Writes a panel as Parquet (Snappy), a folder for each ``span`` of time, ordered by time inside."""
+    part = F.floor(F.col("s") / span).alias("part")
+    panel.select("*", part).repartition("part").sortWithinPartitions("s").write.mode("overwrite").partitionBy("part").option("compression", "snappy").parquet(path)
+
+
+def read_grid(spark: SparkSession, path: str, columns: list[str] | None = None, older: str | None = None, name: str | None = None) -> DataFrame:
+    """A stored panel, or the one at ``older`` where that is missing: the columns asked for and always ``s``, ordered by
+    time within partitions; ``name`` registers it as a view for SQL. Missing columns are an error that names them."""
+    at = path if listed(spark, path) or older is None else older
+    d = spark.read.parquet(require(spark, at, "the grid stage"))
+    if columns is not None:
+        if lost := [c for c in columns if c not in d.columns]:
+            raise KeyError(f"{at} has no {', '.join(lost)}")
+        d = d.select("s", *(c for c in columns if c != "s"))
+    d = d.sortWithinPartitions("s")
+    if name:
+        d.createOrReplaceTempView(name)
+    return d
+
+
 # -- adapters of the tables ------------------------------------------------------------------------
 ROW = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus")
 ROLES = {"A": "a", "R": "b", "N": "c"}

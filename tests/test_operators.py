@@ -8,14 +8,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridweave.functions import ordered as O
+from gridweave.functions import quantiles as Q
 from gridweave.functions.special import chi2_tail
 from gridweave.operators import causality as K
+from gridweave.operators import changepoint as C
 from gridweave.operators import episodes as E
 from gridweave.operators import grid as G
+from gridweave.operators import labels as L
 from gridweave.operators import reconcile as X
 from gridweave.operators import stats as S
 from gridweave.operators import vecm as V
-from gridweave.plans.model_queries import drained, log_bf
+from gridweave.plans.model_queries import drained
 from gridweave.sources import panels as P
 from gridweave.sources import reports
 from gridweave.streaming import ticks as ST
@@ -60,14 +63,82 @@ def test_gram_and_blocks_are_least_squares(spark):
     np.testing.assert_allclose(g, full.T @ full, rtol=1e-9)
     sql = {(r.i, r.j): r.v for r in V.gram_sql(d, cols).collect()}
     assert all(abs(v - g[cols.index(i), cols.index(j)]) < 1e-8 for (i, j), v in sql.items())
-    t = K.block_test(g, cols[:4], ["const", "z1"], ["q1", "q2"], np.array([1.0, 0, 0]))
+    names, model, block, target = cols[:4], cols[:4], ["q1", "q2"], np.array([1.0, 0, 0])
+    iid = lambda: np.linalg.inv(full[:, :4].T @ full[:, :4])[2:, 2:] * rss(full[:, :4]) / (n - 4)
 
     def rss(a):
         return float(((full[:, 4] - a @ np.linalg.lstsq(a, full[:, 4], rcond=None)[0]) ** 2).sum())
 
+    t = K.block_test(g, names, model, block, target, iid())
     small, large = rss(full[:, :2]), rss(full[:, :4])
     assert t["delta_r2"] == pytest.approx((small - large) / (full[:, 4] @ full[:, 4]), rel=1e-9)
     assert t["wald"] == pytest.approx((small - large) / (large / (n - 4)), rel=1e-8)
+    b = np.abs(np.linalg.lstsq(full[:, :4], full[:, 4], rcond=None)[0][2:])
+    assert t["horizon"] == pytest.approx((b[0] + 2 * b[1]) / b.sum())
+
+
+@pytest.mark.parametrize("most", [5, 40, 10**6])
+def test_quantiles_do_not_depend_on_rounds(spark, most):
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.lognormal(0, 3, 700), np.repeat(2.5, 200), [np.nan]])
+    pdf = pd.DataFrame({"k": np.arange(901) % 3, "v": v})
+    got = Q.quantiles(frame(spark, pdf), ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.999}, most).toPandas().set_index("k")
+    want = pdf.dropna().groupby("k").v.quantile([0.1, 0.5, 0.999]).unstack()
+    np.testing.assert_allclose(got.loc[want.index, ["a", "b", "c"]].to_numpy(), want.to_numpy(), rtol=1e-12)
+    assert Q.median(frame(spark, pdf), [], "v", "m", most).first().m == pytest.approx(np.nanmedian(v))
+
+
+def test_survival_is_the_count(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.lognormal(0, 1, 500), np.zeros(20), [3.0, 3.0]])
+    got = S.survival(frame(spark, pd.DataFrame({"x": x * rng.choice([-1, 1], len(x))})), "x", 60).orderBy("i").toPandas()
+    pos = x[x > 0]
+    np.testing.assert_allclose(got.u, np.median(pos) * (pos.max() / np.median(pos)) ** (np.arange(60) / 59), rtol=1e-12)
+    np.testing.assert_allclose(got.share[:-1], [(pos > u).mean() for u in got.u[:-1]])
+
+
+def hac_brute(x, y, run, block):
+    """Newey and West by block sums, as a loop."""
+    n, k = x.shape
+    beta, inv = np.linalg.lstsq(x, y, rcond=None)[0], np.linalg.inv(x.T @ x)
+    phi = (x @ inv[:, [1]]) * (y - x @ beta)
+    sums = [phi[i : i + block].sum(axis=0) for i in range(n - block + 1) if run[i] == run[i + block - 1]]
+    return np.array(sums).T @ np.array(sums) / block * n / (n - k)
+
+
+def test_robust_covariances(spark):
+    rng = np.random.default_rng(7)
+    n = 300
+    pdf = pd.DataFrame(rng.normal(size=(n, 4)), columns=["z1", "dx_a", "dx_b", "dx_c"])
+    pdf["run"] = np.where(np.arange(n) < 140, 1, 2)
+    pdf["s"] = np.arange(n) * 10 + np.where(pdf.run == 2, 500, 0)
+    d, names = frame(spark, pdf), ["const", "z1"]
+    f = V.fit(d, 0)
+    x, y = np.column_stack([np.ones(n), pdf.z1]), pdf[["dx_a", "dx_b", "dx_c"]].to_numpy()
+    want = hac_brute(x, y, pdf.run.to_numpy(), 7)
+    np.testing.assert_allclose(V.hac(d, f, 7, 10, 200), want, rtol=1e-8)
+    one = [V.Functional(np.eye(3)[e], f.coef[:, e], np.linalg.inv(f.xtx)[:, [1]], 2) for e in range(3)]
+    got = V.long_run(d, names, one, 7, 10, 200, n)
+    np.testing.assert_allclose([m[0, 0] for m in got], np.diag(want), rtol=1e-8)
+    acf = V.residual_acf(d, f, 3, 10, 200).where("leg = 'b'").orderBy("lag").toPandas()
+    u = y[:, 1] - x @ f.coef[:, 1]
+    for k, r in zip((1, 2, 3), acf.itertuples(), strict=True):
+        same = pdf.run.to_numpy()[k:] == pdf.run.to_numpy()[:-k]
+        assert r.acf == pytest.approx(np.corrcoef(u[k:][same], u[:-k][same])[0, 1]) and r.pairs == same.sum()
+    assert V.audit(d, f) == [] and len(V.audit(d.withColumn("dx_a", F.lit(float("nan"))), f)) == 1
+
+
+def test_decay_by_roots_is_the_iteration():
+    rng = np.random.default_rng(8)
+    m = V.companion(rng.normal(0, 0.1, (2 + 6, 3)), 2)
+    state, want = np.eye(len(m))[0], [1.0]
+    for _ in range(40):
+        state = m @ state
+        want.append(state[0])
+    np.testing.assert_allclose(V.decay(m, 40), want, atol=1e-10)
+    jordan = np.array([[0.5, 1.0], [0.0, 0.5]])
+    assert V.decay(jordan, 3)[3] == pytest.approx(0.125)
+    assert V.first_half(np.array([1, 0.8, 0.4])) == pytest.approx(1.75) and V.first_half(np.array([1, 0.9])) is None
 
 
 def leading_panel(n=3_000, seed=4):
@@ -83,14 +154,57 @@ def leading_panel(n=3_000, seed=4):
 
 def test_recovery_of_a_planted_lead(spark):
     rows = V.with_logs(frame(spark, leading_panel()), 60, 36_000).cache()
-    d = V.design(rows, 2, 60, 36_000, F.col("z").isNotNull(), F.col("cell"), 0, 2).cache()
-    tests = {x["from"]: x for x in K.leg_tests(d, 2) if x["to"] == "basis"}
-    assert tests["a"]["delta_r2"] > 0.2 and max(tests["b"]["delta_r2"], tests["a"]["p"]) < 0.01
+    d = V.design(rows, 2, 60, 36_000, F.col("z").isNotNull(), F.col("cell"), 0, 2, with_runs=True).cache()
+    tests = K.leg_tests(d, 2, 60, 36_000)
+    own = {x["from"]: x for x in tests if x["conditioning"] == "own memory"}
+    assert own["a"]["delta_r2"] > 0.2 and max(own["b"]["delta_r2"], own["a"]["p"]) < 0.01 < own["b"]["p"] and own["a"]["horizon"] < 1.3
+    assert len(tests) == 6 + 9 and all(x["p"] > 1e-4 for x in tests if x["conditioning"] == "full system" and x["to"] == "b")
+    beyond = {x["from"]: x for x in tests if x["conditioning"].endswith("bounce")}
+    assert beyond["a"]["df"] == 1 and beyond["a"]["delta_r2"] < own["a"]["delta_r2"]
+    ccf = K.cross_correlations(K.increments_in_runs(frame(spark, leading_panel()), 60, 36_000).withColumn("dz", -F.col("dx_a") - F.col("dx_b") + F.col("dx_c")), [("dz", "dx_a"), ("dz", "dx_b")], 3, 60, 36_000)
+    table = {(r.leads, r.horizon): r.asymmetry for r in K.lead_lag_table(ccf, [1, 2]).collect()}
+    assert table["dx_a", 1] > 0.3 > abs(table["dx_b", 1])
     f = V.fit(V.design(rows, 1, 60, 36_000, F.col("z").isNotNull(), F.col("cell"), 0).cache(), 1)
     assert sum(V.closure_shares(f).values()) == pytest.approx(1) and f.lam == pytest.approx(-0.2, abs=0.05)
     assert f.half_life == pytest.approx(math.log(0.5) / math.log(0.8), rel=0.3)
 
 
+def test_lag_choice_and_stored_coefficients(spark):
+    rows = V.with_logs(frame(spark, leading_panel()), 60, 36_000).cache()
+    d = V.design(rows, 3, 60, 36_000, F.col("z").isNotNull(), F.col("cell"), 0).cache()
+    t = V.select_lag({"x": d, "y": d}, (1, 2, 3))
+    assert t.best.sum() == 1 and t.p[t.best].iloc[0] == 1 and t.n.iloc[0] == 2 * d.count()
+    coefs = spark.createDataFrame(V.coefficients(V.fit(d, 3), "x"), V.TERMS)
+    assert [tuple(r) for r in V.lag_order(coefs).collect()] == [("x", 3)]
+    assert all(r.agrees and r.worst == 0 for r in V.compared(coefs, coefs).collect())
+    off = V.compared(coefs, coefs.where("term <> 'const' or equation <> 'a'").withColumn("coef", F.col("coef") * F.when(F.col("equation") == "b", 1.1).otherwise(1.0)))
+    assert {r.equation: r.agrees for r in off.collect()} == {"a": False, "b": False, "c": True}
+
+
+def test_labels(spark):
+    panel = frame(spark, pd.DataFrame({"s": np.arange(0, 100, 5)}))
+    post = spark.createDataFrame([(20, [0.9, 0.1]), (40, [0.2, 0.8])], "s long, p array<double>")
+    lab = L.labelled(panel, post, 20).cache()
+    got = {r.s: r.regime for r in lab.collect()}
+    assert [got[s] for s in (0, 15, 20, 39 // 5 * 5, 40, 60, 95)] == [0, 0, 0, 0, 1, 1, 1]  # from the next, then from the last
+    assert L.with_labels(panel, lab).where(L.sure(0.85)).count() == 8
+    with pytest.raises(ValueError, match="1 rows have no label"):
+        L.with_labels(panel, lab.where("s <> 5"))
+    moved = L.relabelled(lab, 0, 10, 1)
+    assert {(r.regime, r.rows, r.blocks) for r in L.stretches(moved, 30).collect()} == {(0, 6, 1), (1, 14, 2)} and L.relabelled(lab, 0, 10).count() == 18
+    ties = frame(spark, pd.DataFrame({"k": [1, 1, 1, 1], "v": [3, 2, 2, 3]}))
+    assert L.modes(ties, "k", "v").first().mode == 2
+
+
+def test_grid_checks(spark):
+    many = frame(spark, pd.DataFrame({"s": np.cumsum(np.concatenate([np.arange(2, 1_502), np.ones(300)])).astype(int)}))
+    with pytest.raises(ValueError, match="no grid"):
+        G.checked_grid(many, 1, 10_000)
+    assert G.checked_grid(frame(spark, pd.DataFrame({"s": range(10)})), 1, 100).count() == 10
+    with pytest.raises(ValueError, match="more than"):
+        X.sweep(frame(spark, pd.DataFrame({"cell": [1], "n": [1], "z": [1.0], "zz": [1.0]})), spark.range(10_001).select(F.col("id").alias("onset"), F.col("id").alias("back")), 1)
+
+
 def test_holm_and_chi2(spark):
     p = [0.001, 0.02, 0.5, 0.9, float("nan")]
     got = K.holm(frame(spark, pd.DataFrame({"i": range(5), "p": p})), "p").orderBy("i").toPandas().p_holm
@@ -108,10 +222,21 @@ def test_variance_shares_and_gate(spark):
     assert [X.exit_code(X.gate([("x", v, t)])) for t in (F.col("value") == 1, F.col("value") == 2)] == [0, 1]
 
 
-def test_changes_are_found():
+def test_changes_are_found_and_calibrated(spark):
     rng = np.random.default_rng(3)
-    flat = rng.normal(size=80)
-    assert log_bf(flat + np.repeat([0, 4], 40), 10) > 10 > 3 > log_bf(flat, 10)
+    y = rng.normal(size=60)
+    y[20:40] += 4
+    series = frame(spark, pd.DataFrame({"s": np.arange(60) * 10, "y": y}))
+    t = C.null_calibration(series, 10, 8, 6).cache()
+    rows = {r.key: r for r in t.collect()}
+    assert len(rows) == 7 and rows["observed"].best == "M2" and rows["observed"].log_bf > 10 and rows["observed"].ratio > 20
+    one = C.null_summary(t).first()
+    assert one.replicates == 6 and one.bf_exceeds == one.ratio_exceeds == 1 and one.ratio95 < 20
+    flat = C.null_series(series, 0.9, 1.0, 10, 200).toPandas()
+    assert flat.groupby("key").size().eq(60).all() and 0.7 < np.corrcoef(flat.y[1:60], flat.y[:59])[0, 1] < 1
+    empty = spark.createDataFrame([], "s long, n long, mad double, iqr double, coverage double, moves long")
+    with pytest.raises(ValueError, match="no bucket is admitted"):
+        C.admitted(empty, 0.9, 1, refuse=True)
 
 
 def test_files(spark, tmp_path):
@@ -126,12 +251,25 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError, match="differ"):
         P.read_sided_ticks(spark, f"{tmp_path}/b.csv", f"{tmp_path}/a.csv")
     with pytest.raises(FileNotFoundError, match="run the first stage"):
-        P.require(f"{tmp_path}/none", "the first stage")
+        P.require(spark, f"{tmp_path}/none", "the first stage")
+    (tmp_path / "a.csv").write_text("time,Close\n2024-07-01T04:00:00Z,1.2\n2024-07-01T04:00:00Z,1.3\n")
+    pair = P.read_paired_ticks(spark, f"{tmp_path}/b*.csv", f"{tmp_path}/a*.csv").orderBy("line").collect()
+    assert [(r.file, r.line, r.bid) for r in pair] == [(0, 0, 1.0), (0, 1, 1.1)] and P.read_paired_ticks(spark, f"{tmp_path}/no*", f"{tmp_path}/no*") is None
+    with pytest.raises(ValueError, match="1 bid files and 0 ask"):
+        P.read_paired_ticks(spark, f"{tmp_path}/b*.csv", f"{tmp_path}/none*.csv")
+    panel = frame(spark, pd.DataFrame({"s": [86_400, 5, 3], "v": [3.0, 2.0, 1.0], "w": [0, 0, 0]}))
+    P.write_grid(panel, f"{tmp_path}/grid")
+    back = P.read_grid(spark, f"{tmp_path}/missing", ["v"], older=f"{tmp_path}/grid", name="stored_grid")
+    assert back.columns == ["s", "v"] and sorted(r.s for r in spark.sql("SELECT s FROM stored_grid").collect()) == [3, 5, 86_400]
+    with pytest.raises(KeyError, match="nothing"):
+        P.read_grid(spark, f"{tmp_path}/grid", ["nothing"])
     table = frame(spark, pd.DataFrame({"a_b": ["1,234", "x"], "v": [1.5, None]}))
     cells = reports.save_table(table, str(tmp_path), "r", "c", "l")
-    assert cells[1][1] == reports.MISSING and "nan" not in (tmp_path / "r.tex").read_text()
+    assert cells[1][1] == reports.MISSING and not reports.undefined_cells(cells) and reports.undefined_cells([["nan", "nano", "-inf"]]) == ["nan", "-inf"]
+    tex = "".join(r.value for r in spark.read.text(f"{tmp_path}/r.tex").collect())
+    assert "tabular" in tex and "nan" not in tex
     assert [r.n for r in reports.read_table(spark, str(tmp_path), "r").select(reports.cell("a_b").alias("n")).collect()] == [1234.0, None]
-    assert reports.p_value(1e-13) == "< 1e-12" and reports.verdict(7, 2) == "clears (3.5x)" and reports.interval(None, 1) == reports.MISSING
+    assert reports.p_value(1e-13) == "< 1e-12" and reports.verdict(7, 2) == "clears (3.5x)" and reports.verdict(1, 2) == "below (0.5x)" and reports.verdict(1, 0) == "clears" and reports.verdict(None, 1) == reports.MISSING and reports.interval(None, 1) == reports.MISSING
 
 
 def test_streams(spark, tmp_path):
