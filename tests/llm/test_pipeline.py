@@ -132,7 +132,7 @@ def test_stages_are_the_brute_forms(spark, tmp_path):
 @pytest.mark.parametrize("name", [n for n, _ in C.STAGES])
 def test_edges_of_stages(spark, name):
     """Empty tables, tables of nulls, and extra columns with the names used inside."""
-    stage, clash = dict(C.STAGES)[name], ["own", "doc", "this", "gone", "lines", "spans", "node", "score", "_0", "_row", "chars"]
+    stage, clash = dict(C.STAGES)[name], ["own", "doc", "this", "gone", "lines", "spans", "node", "score", "removed_chunks", "_0", "_row", "chars"]
     schema = f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(f'{c} string' for c in clash)}"
     assert stage(spark, spark.createDataFrame([], schema), SF).count() == 0
     text = " ".join(f"w{i} mail a{i}@b.org" for i in range(60))
