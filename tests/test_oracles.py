@@ -29,7 +29,7 @@ def plain(v):
 QUICK = (
     "grid_locf", "grid_locf_basis_mad", "splice_priority", "repaired_buckets", "tick_audit", "quote_spread_union", "coverage_by_day", "implied_gap_quantiles", "isolated_outage", "closure_runs", "moments",
     "acf1_roll", "survival_curve", "variance_decomposition", "usable_rows", "nearest_asof", "round_trip_edge", "haircut_ladder", "bucket_features", "changepoint_onset", "regime_summary", "holm", "placebo_shift", "boundary_sweep", "quality_gate",
-    "second_labels", "regime_table", "bound_variants", "lead_lag_matrix", "hac_slopes", "residual_acf_slopes", "block_sums", "named_boundaries", "change_bracket", "latency_ladder", "band_decomposition", "report_stamps", "boundary_expected", "vecm_gram_p1",
+    "second_labels", "bound_variants", "lead_lag_matrix", "hac_slopes", "residual_acf_slopes", "block_sums", "named_boundaries", "latency_ladder", "report_stamps",
 )
 
 
