@@ -42,7 +42,7 @@ SHARD_MOST = 5_000  #: above this it is cut again
 SLAB_ROWS = 20_000  #: rows of whole shards handled at once
 
 BANDS, ROWS = 20, 5  #: two texts of similarity s share a band with 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8
-FIRST_LEADS = 8  #: nodes of a larger bucket that all others are tested against in the first round
+FIRST_LEADS = 8  #: nodes of a larger bucket that all others are tested against in the second round
 ALL_PAIRS = 16  #: nodes of a bucket whose pairs are all tested at once
 FACTORS, SHIFTS = (np.random.default_rng(k).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1) for k in (42, 43))
 
@@ -323,7 +323,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int
     all that such links connect.
 
     All pairs of a bucket of up to ALL_PAIRS nodes are tested. In a larger one every node is tested against a few
-    leads; nodes that are like none go on to the next round among themselves, with four times as many leads, until none
+    leads, two at first; nodes that are like none go on to the next round among themselves, with four times as many leads, until none
     is left. Jaccard distance is a metric, so a node can be linked to one that a lead holds only if it is within twice
     the radius of that lead and within one radius of the ring that the held one lies on: such nodes of other
     components are tested against those of the ring, as in a tree of distances to its nodes' parents."""
@@ -335,17 +335,21 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int
     keyed = texts.select("doc_id", "text", F.xxhash64("text").alias("_own")).where(in_slots(seen_slots(chosen, "own"), "_own"))
     wanted = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["doc"]) & (keyed["_own"] == chosen["own"])).select("node", "text").dropDuplicates(["node"])
     sets = checkpointed(shingle_sets(wanted, shingle))
-    order, out, tested, leads = F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("node")), None, None, FIRST_LEADS
+    order, out, tested, leads = F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("node")), None, None, FIRST_LEADS // 4
     distance, radius = 1 - F.col("shared") / F.col("either"), 1 - percent / 100
     while True:
         sizes = checkpointed(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(order)["node"].alias("low"), F.max(order)["node"].alias("high")).where("n > 1"))
         sized = spread_join(members, sizes, ["bucket"], hot)
         small = sized.where(F.col("n") <= ALL_PAIRS).groupBy("bucket").agg(F.array_sort(F.collect_list("node")).alias("all"))
         tails = F.flatten(F.transform("all", lambda u, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda v: F.struct(u.alias("u"), v.alias("v")))))
-        picked = F.col("node").isin(F.col("low"), F.col("high")) | (F.pmod(F.xxhash64("node", F.lit(leads)), F.ceil(F.col("n") / leads)) == 0)
-        large = checkpointed(sized.where(F.col("n") > ALL_PAIRS).select("bucket", "node", picked.alias("picked")))
-        lead = large.where("picked").select("bucket", F.col("node").alias("lead"))
-        led = spread_join(large, lead, ["bucket"], hot).where("node <> lead").select("bucket", "node", "lead", F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
+        ends = F.col("node").isin(F.col("low"), F.col("high"))
+        picked = ends if tested is None else ends | (F.pmod(F.xxhash64("node", F.lit(leads)), F.ceil(F.col("n") / leads)) == 0)
+        large = checkpointed(sized.where(F.col("n") > ALL_PAIRS).select("bucket", "node", "low", "high", picked.alias("picked")))
+        if tested is None:  # the two nodes at the ends of an order that all buckets share: few different pairs, and no join
+            led = large.select("bucket", "node", F.explode(F.array("low", "high")).alias("lead"))
+        else:
+            led = spread_join(large.select("bucket", "node"), large.where("picked").select("bucket", F.col("node").alias("lead")), ["bucket"], hot)
+        led = led.where("node <> lead").select("bucket", "node", "lead", F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
         pairs = checkpointed(small.select(F.explode(tails).alias("p")).select("p.u", "p.v").unionByName(led.select("u", "v")).distinct())
         found = checkpointed(with_shared(pairs, sets).where(alike(max(0, 2 * percent - 100))))
         links_ = found.where(alike(percent)).select("u", "v")
