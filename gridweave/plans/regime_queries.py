@@ -232,7 +232,7 @@ def variants(panel: DataFrame, event: int, bucket: int = 6 * HOURS) -> tuple[Dat
         return d.select("s", F.col("v").alias("y")) if raw else C.deseasoned(d, "v", F.floor(R.time_of_day() / size), size, settled, 4 * DAY).select("s", "y")
 
     f, mad, least = features(), F.log("mad"), 4
-    base = series(f, mad)
+    base = small(series(f, mad))
     own = lambda size=bucket, n=least, **more: C.settings(size, n, **more)
     each = {
         "base": (base, own()), "no diurnal adjustment": (series(f, mad, raw=True), own()), "log IQR": (series(f, F.log("iqr")), own()), "no reopening adjustment": (series(f, mad, settled=0), own()),
@@ -243,7 +243,7 @@ def variants(panel: DataFrame, event: int, bucket: int = 6 * HOURS) -> tuple[Dat
     }
     out = None
     for name, (d, _) in each.items():
-        one = d.select(F.lit(name).alias("key"), "s", "y")
+        one = small(d.select(F.lit(name).alias("key"), "s", "y"))  # a row a bucket
         out = one if out is None else out.unionByName(one)
     return out, {k: v for k, (_, v) in each.items()}
 
