@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import bpe, chat, exact_dedup, line_dedup, packing, pii, quality, secrets, simhash, token_files
+from gridweave.llm import bpe, centroids, chat, exact_dedup, line_dedup, packing, phrases, pii, quality, secrets, simhash, token_files, warc
 from gridweave.llm.shared import new_path, table
 
 
@@ -60,6 +60,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.found_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, out = table(spark, sf_dir, "pages"), new_path(spark, "archives")
+    warc.write_archives(pages, out)
+    return warc.page_records(warc.read_archives(spark, out), pages.schema["page_id"].dataType.simpleString())
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state, centres = centroids.clustered(centroids.whole_vectors(table(spark, sf_dir, "embeddings")))
+    return centroids.described(state, centres)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
@@ -71,5 +86,8 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
+    "op11_phrases": op11_phrases,
+    "op12_warc": op12_warc,
+    "op13_centroids": op13_centroids,
 }
-ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE, "op8_chat": chat.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE, "op8_chat": chat.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op11_phrases": phrases.ORACLE, "op12_warc": warc.ORACLE, "op13_centroids": centroids.ORACLE}
