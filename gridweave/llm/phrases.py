@@ -1,13 +1,15 @@
 """Operator 11: collocations, counted in sorted streams.
 
 1. Words are counted. A word has a 64-bit id, the hash of its language and bytes; that no two words share an id is
-   tested over all words, with another seed if two do, so ids are as good as the words.
+   tested over all words, with another seed if two do, so ids are as good as the words. Up to KNOWN_MOST frequent words
+   are sent to all tasks, as places in order of their counts; with more, windows are of ids, and a bitmap of bounded
+   size tells most rare words.
 2. Each place of a text gives the window of up to five words that begins there. Tasks sort and count their windows and
    deal them, packed, to ranges of the order of windows; the bounds of the ranges come from a sample and decide only how
    even the ranges are. A range merges its parts into one stream in prefix order, where all occurrences of a phrase
    of two to five words stand together: its count is the sum over that stretch, without a table of phrases. Only
    phrases that touch an end of a range (at most eight a range) need to be summed over ranges. Words that are too rare
-   end windows early; a bitmap of bounded size tells most of them.
+   end windows early.
 3. The frequent phrases are two streams: by first words for left counts, by last words for right counts; each is
    merge-joined with the counts of those parts, and the longest parts give the extension counts.
 
@@ -37,8 +39,9 @@ TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abc
 CHUNK_TOKENS = 1 << 21  #: words that a task sorts at a time
 BLOCK_BYTES = 4 << 20  #: bytes of a text that are cut into words at a time
 DISTINCT_MOST = 1 << 20  #: different words that a task holds at a time
+KNOWN_MOST = 1 << 20  #: frequent words that are sent to all tasks (8 bytes each)
 RANGE_TOKENS = 1 << 21  #: words for which there is a range
-SAMPLED, SAMPLES = 0.02, 20  #: share of documents that the bounds of ranges are sampled from, and windows a range
+SAMPLED, SAMPLES = 0.02, 40  #: share of documents that the bounds of ranges are sampled from, and windows a range
 BITS_LEAST, BITS_MOST = 1 << 16, 1 << 27  #: bits of the bitmap of frequent words
 
 
@@ -54,21 +57,24 @@ def texts_by_lang(part: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
 
 def word_id(lang: str, seed: int):
     """A function from a word's bytes to its id."""
-    front = lang.encode() + b"\0"
-    return lambda word: xxhash.xxh64_intdigest(front + word, seed)
+    front = f"{seed}\0{lang}\0".encode()
+    return lambda word: xxhash.xxh64_intdigest(front + word, 42)
 
 
-def word_counts(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """lang, word, id, n of all words."""
+def id_of(lang: str, word: str, seed: int) -> Column:
+    """``word_id`` of columns, as a signed number."""
+    return F.xxhash64(F.concat(F.lit(f"{seed}\0"), F.col(lang), F.lit("\0"), F.col(word)))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """lang, word, n of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = defaultdict(Counter)
 
         def given() -> Iterator[pa.RecordBatch]:
             for lang, counts in held.items():
-                words, of = list(counts), word_id(lang, seed)
-                ids = np.fromiter(map(of, words), np.uint64, len(words)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(words, pa.binary()).cast(pa.string()), pa.array(ids), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts)), pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
             held.clear()
 
         for part in slices(batches):
@@ -78,30 +84,48 @@ def word_counts(docs: DataFrame, seed: int = 0) -> DataFrame:
                 yield from given()
         yield from given()
 
-    parts = small_batches(docs.select("lang", "text")).mapInArrow(run, "lang string, word string, id long, n long")
-    return parts.groupBy("lang", "word", "id").agg(F.sum("n").alias("n"))
+    parts = small_batches(docs.select("lang", "text")).mapInArrow(run, "lang string, word string, n long")
+    return parts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def checked_counts(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``word_counts`` and the first seed that gives all words different ids."""
+    """lang, word, n, id of all words, and the first seed that gives them different ids."""
+    counts = stored(word_counts(docs), "words")
     for seed in range(100):
-        words = stored(word_counts(docs, seed), "words")
+        words = counts.withColumn("id", id_of("lang", "word", seed))
         if words.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id = 0").isEmpty():
             return words, seed
     raise ValueError("no seed gives all words different ids")
 
 
-def bitmap(ids: DataFrame) -> np.ndarray:
-    """Bytes with a bit set for each id; their number follows that of the ids, up to BITS_MOST."""
-    size = BITS_LEAST
-    n = ids.count()
-    while size < BITS_MOST and size < 32 * n:
-        size *= 2
-    at = ids.select(F.col("id").bitwiseAND(F.lit(size - 1)).alias("b"))
-    found = at.groupBy(F.shiftright("b", 3).alias("at")).agg(F.expr("bit_or(shiftleft(1, cast(b % 8 as int)))").alias("bits")).toArrow()
-    out = np.zeros(size // 8, np.uint8)
-    out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
-    return out
+class Frequent:
+    """What tasks know of the frequent words: their ids in order of counts, or, beyond KNOWN_MOST, a bitmap of ids."""
+
+    def __init__(self, words: DataFrame):
+        """``words``: id, n."""
+        self.ids, self.bits, n = None, None, words.count()
+        if n <= KNOWN_MOST:
+            found = words.orderBy(F.desc("n"), "id").select("id").toArrow().column("id").to_numpy().view(np.uint64)
+            self.ids = np.concatenate([np.zeros(1, np.uint64), found])
+            self.order = np.argsort(self.ids).astype(np.int32)
+            self.ascending = self.ids[self.order]
+            return
+        size = BITS_LEAST
+        while size < BITS_MOST and size < 32 * n:
+            size *= 2
+        at = words.select(F.col("id").bitwiseAND(F.lit(size - 1)).alias("b"))
+        found = at.groupBy(F.shiftright("b", 3).alias("at")).agg(F.expr("bit_or(shiftleft(1, cast(b % 8 as int)))").alias("bits")).toArrow()
+        self.bits = np.zeros(size // 8, np.uint8)
+        self.bits[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """The place of each id (0: none or rare), and the ids of the places in ascending order, None where all tasks know them."""
+        if self.ids is not None:
+            at = np.minimum(np.searchsorted(self.ascending, h), len(self.ascending) - 1)
+            return np.where(self.ascending[at] == h, self.order[at], 0).astype(np.int32), None
+        h = np.where(has_bit(self.bits, h), h, np.uint64(0))
+        values, rank = np.unique(np.append(h, np.uint64(0)), return_inverse=True)  # 0 comes first
+        return rank[:-1].astype(np.int32), values
 
 
 def has_bit(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -136,21 +160,19 @@ def blocks(text: bytes) -> Iterator[tuple[bytes, bool]]:
     yield text[begin:], True
 
 
-Chunk = tuple[np.ndarray, list[np.ndarray], np.ndarray]
+Chunk = tuple[np.ndarray | None, list[np.ndarray], np.ndarray]
 
 
-def sorted_chunk(ids: dict[str, dict], runs: list[tuple[str, np.ndarray]], seed: int, frequent: np.ndarray, starts_to: int | None) -> Chunk | None:
-    """(ids in ascending order, columns of their places, counts): the different windows of runs of words, in order. Place
-    0 stands for no word. ``starts_to``: only windows that begin before that many words of the end."""
+def sorted_chunk(ids: dict[str, dict], runs: list[tuple[str, np.ndarray]], seed: int, frequent: Frequent, starts_to: int | None) -> Chunk | None:
+    """(ids of places or None, columns of places, counts): the different windows of runs of words, in order. Place 0 stands
+    for no word. ``starts_to``: only windows that begin before that many words of the end."""
     base, hashes, size = {}, [], 0
     for lang, d in ids.items():
         base[lang], size = size, size + len(d)
         hashes.append(np.fromiter(map(word_id(lang, seed), d), np.uint64, len(d)))
         hashes[-1][:2] = 0
-    h = np.concatenate(hashes)
-    h[~has_bit(frequent, h)] = 0
-    values, rank = np.unique(np.append(h, np.uint64(0)), return_inverse=True)  # 0 comes first
-    x = rank.astype(np.int32)[np.concatenate([run + base[lang] for lang, run in runs] + [np.full(MOST_WORDS, size)])]
+    rank, values = frequent.places(np.concatenate([*hashes, np.zeros(1, np.uint64)]))
+    x = rank[np.concatenate([run + base[lang] for lang, run in runs] + [np.full(MOST_WORDS, size)])]
     n = len(x) - MOST_WORDS
     at = np.flatnonzero((x[:n] > 0) & (x[1 : n + 1] > 0))
     at = at if starts_to is None else at[at < n - starts_to]
@@ -159,14 +181,14 @@ def sorted_chunk(ids: dict[str, dict], runs: list[tuple[str, np.ndarray]], seed:
     columns = [x[at], x[at + 1]]
     for k in range(2, MOST_WORDS):
         columns.append(np.where(columns[-1] > 0, x[at + k], 0))
-    order, keys = order_of(columns, len(values))
+    order, keys = order_of(columns, int(x.max()))
     new = np.ones(len(at), bool)
     new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     first = np.flatnonzero(new)
     return values, [c[order][first] for c in columns], np.diff(np.append(first, len(at)))
 
 
-def windows(batches: Iterator[pa.RecordBatch], seed: int, frequent: np.ndarray) -> Iterator[Chunk]:
+def windows(batches: Iterator[pa.RecordBatch], seed: int, frequent: Frequent) -> Iterator[Chunk]:
     """Sorted chunks of all windows. A text that is longer than a chunk goes on in the next one, which begins with the words
     whose windows reach over the cut."""
     ids: dict[str, defaultdict] = {}
@@ -208,15 +230,15 @@ def windows(batches: Iterator[pa.RecordBatch], seed: int, frequent: np.ndarray)
     yield from given()
 
 
-def as_bytes(values: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
-    """Windows as strings of bytes whose order is that of their ids."""
+def as_bytes(values: np.ndarray | None, columns: list[np.ndarray]) -> np.ndarray:
+    """Windows as strings of bytes whose order is that of their ids, or of their places where all tasks know these."""
     out = np.empty((len(columns[0]), MOST_WORDS), ">u8")
     for k, c in enumerate(columns):
-        out[:, k] = values[c]
+        out[:, k] = c if values is None else values[c]
     return out.view(f"S{8 * MOST_WORDS}")[:, 0]
 
 
-def range_bounds(docs: DataFrame, seed: int, frequent: np.ndarray, ranges: int, tokens: int) -> np.ndarray:
+def range_bounds(docs: DataFrame, seed: int, frequent: Frequent, ranges: int, tokens: int) -> np.ndarray:
     """Bounds of ranges of windows, from a sample of about SAMPLES windows a range, as Spark's own ranges are found."""
     for share in (SAMPLED, 1.0):
         step = max(1, int(tokens * share / (SAMPLES * ranges)))
@@ -234,26 +256,26 @@ def range_bounds(docs: DataFrame, seed: int, frequent: np.ndarray, ranges: int,
     return np.unique(seen[np.linspace(0, len(seen), ranges + 1)[1:-1].astype(np.int64)]) if len(seen) >= ranges > 1 else seen[:0]
 
 
-def packed_part(values: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> bytes:
-    """Windows as their different ids, columns of places among these, and counts, compressed."""
-    places, rank = np.unique(np.concatenate(columns), return_inverse=True)
-    width = np.uint16 if len(places) < 1 << 16 else np.uint32
-    raw = b"".join((values[places].astype("<u8").tobytes(), rank.astype(width).tobytes(), counts.astype("<u4").tobytes()))
-    sizes = np.array([len(counts), len(places), len(raw)], "<u4").tobytes()
-    return sizes + pa.compress(raw, codec="zstd", asbytes=True)
+def packed_part(values: np.ndarray | None, columns: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """Windows as columns of places and counts, and the ids of the places where tasks do not know them, byte by byte of
+    equal weight, compressed."""
+    places, rank = np.zeros(0, np.int64), np.concatenate(columns)
+    if values is not None:
+        places, rank = np.unique(rank, return_inverse=True)
+    numbers = np.concatenate([rank, counts]).astype("<u4")
+    raw = numbers.view(np.uint8).reshape(-1, 4).T.tobytes() + (b"" if values is None else values[places].astype("<u8").tobytes())
+    return np.array([len(counts), len(places), len(raw)], "<u4").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpacked_part(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids, columns (a row each), counts of ``packed_part``."""
     n, ids, size = (int(v) for v in np.frombuffer(data, "<u4", 3))
     raw = pa.decompress(memoryview(data)[12:], decompressed_size=size, codec="zstd", asbytes=True)
-    width = np.uint16 if ids < 1 << 16 else np.uint32
-    values = np.frombuffer(raw, "<u8", ids)
-    rank = np.frombuffer(raw, width, MOST_WORDS * n, 8 * ids)
-    return values, rank.reshape(MOST_WORDS, n), np.frombuffer(raw, "<u4", n, size - 4 * n)
+    numbers = np.ascontiguousarray(np.frombuffer(raw, np.uint8, size - 8 * ids).reshape(4, -1).T).view("<u4").reshape(MOST_WORDS + 1, n)
+    return np.frombuffer(raw, "<u8", ids, size - 8 * ids), numbers[:MOST_WORDS], numbers[MOST_WORDS]
 
 
-def dealt_windows(docs: DataFrame, seed: int, frequent: np.ndarray, bounds: np.ndarray) -> DataFrame:
+def dealt_windows(docs: DataFrame, seed: int, frequent: Frequent, bounds: np.ndarray) -> DataFrame:
     """range, part: packed windows of each chunk and range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,14 +288,17 @@ def dealt_windows(docs: DataFrame, seed: int, frequent: np.ndarray, bounds: np.n
     return small_batches(docs.select("lang", "text")).mapInArrow(run, "range int, part binary")
 
 
-def merged(table: pa.Table, least: int) -> pa.Table:
+def merged(packed: list[bytes], frequent: Frequent, least: int) -> pa.RecordBatch:
     """words, n, partial of the phrases of a range in prefix order: those that occur ``least`` times, and, as
     partial, those at the ends of the range, which may go on in the next one."""
-    parts = [unpacked_part(p) for p in table.column("part").to_pylist()]
-    values = np.unique(np.concatenate([p[0] for p in parts] + [np.zeros(1, np.uint64)]))
-    places = [np.searchsorted(values, p[0]) for p in parts]
-    columns = [np.concatenate([at[p[1][k]] for at, p in zip(places, parts, strict=True)]).astype(np.int32) for k in range(MOST_WORDS)]
+    parts = [unpacked_part(p) for p in packed]
+    values = frequent.ids
+    if values is None:
+        values = np.unique(np.concatenate([p[0] for p in parts] + [np.zeros(1, np.uint64)]))
+    at = [p[1] if frequent.ids is not None else np.searchsorted(values, p[0])[p[1]] for p in parts]
+    columns = [np.concatenate([x[k] for x in at]).astype(np.int32) for k in range(MOST_WORDS)]
     counts = np.concatenate([p[2] for p in parts]).astype(np.int64)
+    del parts, at
     order, _ = order_of(columns, len(values))
     columns, counts = [c[order] for c in columns], counts[order]
     new = np.zeros(len(counts), bool)
@@ -295,17 +320,31 @@ def merged(table: pa.Table, least: int) -> pa.Table:
         partial.append(edge[wanted])
     offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(words).view(np.int64)))
-    return pa.table([lists, pa.array(np.concatenate(totals)), pa.array(np.concatenate(partial))], ["words", "n", "partial"])
+    return pa.RecordBatch.from_arrays([lists, pa.array(np.concatenate(totals)), pa.array(np.concatenate(partial))], ["words", "n", "partial"])
+
+
+def merged_ranges(dealt: DataFrame, ranges: int, frequent: Frequent, least: int) -> DataFrame:
+    """``merged`` of every range; a partition is a range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = defaultdict(list)
+        for batch in batches:
+            for r, part in zip(batch.column("range").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                held[r].append(part)
+        while held:
+            yield merged(held.popitem()[1], frequent, least)
+
+    return dealt.repartitionById(ranges, "range").mapInArrow(run, "words array<long>, n long, partial boolean")
 
 
 def frequent_phrases(docs: DataFrame, words: DataFrame, seed: int, least: int) -> DataFrame:
     """words array<long> (ids), n of all phrases of two to five words that occur ``least`` times."""
-    bits = bitmap(words.where(F.col("n") >= least).select("id"))
+    frequent = Frequent(words.where(F.col("n") >= least).select("id", "n"))
     tokens = words.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, round(tokens / RANGE_TOKENS))
-    bounds = range_bounds(docs, seed, bits, ranges, tokens) if ranges > 1 else np.array([], f"S{8 * MOST_WORDS}")
-    dealt = dealt_windows(docs, seed, bits, bounds)
-    found = stored(dealt.groupBy("range").applyInArrow(lambda t: merged(t, least), "words array<long>, n long, partial boolean"), "phrases")
+    bounds = range_bounds(docs, seed, frequent, ranges, tokens) if ranges > 1 else np.array([], f"S{8 * MOST_WORDS}")
+    dealt = dealt_windows(docs, seed, frequent, bounds)
+    found = stored(merged_ranges(dealt, len(bounds) + 1, frequent, least), "phrases")
     whole = found.where("not partial").select("words", "n")
     edges = found.where("partial").groupBy("words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return whole.unionByName(edges)

@@ -59,16 +59,18 @@ def corpus(seed=1, docs=60):
     return rows + [(None, "en"), ("", "en"), (" . ;\t", "fr"), ("one", None)]
 
 
-@pytest.mark.parametrize("share", [100, 60])
-def test_against_brute_force(spark, share):
+@pytest.mark.parametrize(("share", "known"), [(100, 1 << 20), (60, 3)])
+def test_against_brute_force(spark, monkeypatch, share, known):
+    monkeypatch.setattr(P, "KNOWN_MOST", known)
     rows = corpus()
     got = result(spark, rows, 5, share)
     assert len(got) > 100 and got == brute(rows, 5, share)
 
 
-def test_many_ranges_and_chunks(spark, monkeypatch):
+@pytest.mark.parametrize("known", [1 << 20, 3])
+def test_many_ranges_and_chunks(spark, monkeypatch, known):
     """Phrases that touch the ends of ranges, and texts longer than a chunk."""
-    for name, value in {"CHUNK_TOKENS": 50, "BLOCK_BYTES": 40, "RANGE_TOKENS": 90, "SAMPLED": 0.5}.items():
+    for name, value in {"KNOWN_MOST": known, "CHUNK_TOKENS": 50, "BLOCK_BYTES": 40, "RANGE_TOKENS": 90, "SAMPLED": 0.5}.items():
         monkeypatch.setattr(P, name, value)
     rows = corpus(2)
     rows.append((" ".join(t or "" for t, _ in rows), "en"))
@@ -90,10 +92,11 @@ def test_ties_and_most(spark):
 
 
 def test_words_that_share_an_id_get_another_seed(spark, monkeypatch):
-    real = P.word_id
-    monkeypatch.setattr(P, "word_id", lambda lang, seed: (lambda w: 77) if seed < 2 else real(lang, seed))
-    words, seed = P.checked_counts(spark.createDataFrame([(1, "a b a", "en", 0, "")], SCHEMA))
-    assert seed == 2 and sorted((r.word, r.n) for r in words.collect()) == [("a", 2), ("b", 1)]
+    real = P.id_of
+    monkeypatch.setattr(P, "id_of", lambda lang, word, seed: P.F.lit(77).cast("long") if seed < 2 else real(lang, word, seed))
+    words, seed = P.checked_counts(spark.createDataFrame([(1, "a b É a", "en", 0, "")], SCHEMA))
+    assert seed == 2 and sorted((r.word, r.n) for r in words.collect()) == [("a", 2), ("b", 1), ("É", 1)]
+    assert all(P.word_id("en", 2)(r.word.encode()) == r.id % (1 << 64) for r in words.collect())
 
 
 def test_empty_table(spark):
@@ -101,13 +104,15 @@ def test_empty_table(spark):
     assert result(spark, [("a b", "en")], 2) == []
 
 
-def test_parts_keep_windows():
+@pytest.mark.parametrize("size", [50, 70_000])
+def test_parts_keep_windows(size):
     rng = np.random.default_rng(0)
-    for size in (50, 70_000):
-        values = np.concatenate([[0], np.sort(rng.integers(1, 1 << 63, size, dtype=np.uint64))])
-        columns = [rng.integers(0, size + 1, 2 * size).astype(np.int32) for _ in range(5)]
-        ids, places, counts = P.unpacked_part(P.packed_part(values, columns, np.arange(2 * size)))
-        assert all((ids[places[k]] == values[columns[k]]).all() for k in range(5)) and (counts == np.arange(2 * size)).all()
+    values = np.concatenate([[0], np.sort(rng.integers(1, 1 << 63, size, dtype=np.uint64))])
+    columns = [rng.integers(0, size + 1, 2 * size).astype(np.int32) for _ in range(5)]
+    ids, places, counts = P.unpacked_part(P.packed_part(values, columns, np.arange(2 * size)))
+    assert all((ids[places[k]] == values[columns[k]]).all() for k in range(5)) and (counts == np.arange(2 * size)).all()
+    ids, places, counts = P.unpacked_part(P.packed_part(None, columns, np.arange(2 * size)))
+    assert not len(ids) and all((places[k] == columns[k]).all() for k in range(5)) and (counts == np.arange(2 * size)).all()
 
 
 def test_exact_beyond_64_bits():
