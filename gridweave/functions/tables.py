@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SMALL_MOST = 20_000  #: rows of a table that is held in the plan
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder where ``spark.checkpoint.dir`` is; only where that is unset, on one machine, a temporary one."""
@@ -28,5 +30,7 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` of a few thousand rows at most (a row a bucket, a key, a label), computed once and held in the plan."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    """``df``, computed once: held in the plan if it has up to SMALL_MOST rows (a row a bucket, a key, a label), else
+    written."""
+    rows = df.limit(SMALL_MOST + 1).coalesce(1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= SMALL_MOST else stored(df)

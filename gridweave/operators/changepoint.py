@@ -2,16 +2,20 @@
 
 Models: M0 one segment; M1 one change; M2 two changes with equal outer segments; M3 two changes, three
 segments. A segment's evidence is that of a normal with a normal-inverse-gamma prior, from prefix sums of
-the whitened series; all placements with segments of at least ``least`` buckets are enumerated by an
-inequality join of the prefix table with itself (a row a bucket), for each autocorrelation of a grid. Many series
-(variants, simulated ones) are handled side by side, told apart by ``key``, each with its own settings.
+the whitened series, for each autocorrelation of a grid. All placements with segments of at least ``least`` buckets are
+enumerated, but none is kept: a task gets the prefix sums of a series and a block of first changes, and gives back log
+sums over the placements of each first change, each second change and of all, which add up over blocks. What leaves the
+tasks is a few rows a bucket. Many series (variants, simulated ones) are handled side by side, told apart by ``key``,
+each with its own settings.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,7 +105,7 @@ def settings(step: int, least: int, k0: float = K0, rhos: tuple[float, ...] = RH
 
 SETTINGS = "key string, step long, least long, k0 double, rhos array<double>"
 SUMS = ("ww", "wz", "zz")
-BROADCAST_ROWS = 100_000  #: rows of the prefix table that are sent to all tasks; a larger one is joined
+CELLS = 1 << 19  #: placements that a task looks at side by side
 
 
 def parameters(series: DataFrame, each: dict[str, dict]) -> DataFrame:
@@ -125,73 +129,109 @@ def whitened(series: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def prefix(rows: DataFrame) -> DataFrame:
-    """Per key, rho and i the sums before i (p_ww, p_wz, p_zz) and what changes when i begins a segment (d_ww, d_wz, d_zz)."""
+    """Per key, rho and i the sums before i (p_ww, p_wz, p_zz), its own (x_) and what changes when i begins a segment (d_)."""
     w = W.partitionBy("key", "rho").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
     x = {"ww": (F.col("w") * F.col("w"), F.col("w1") * F.col("w1")), "wz": (F.col("w") * F.col("z"), F.col("w1") * F.col("z1")), "zz": (F.col("z") * F.col("z"), F.col("z1") * F.col("z1"))}
-    d = rows.select("key", "rho", "i", *(v[0].alias(k) for k, v in x.items()), *((v[1] - v[0]).alias(f"d_{k}") for k, v in x.items()))
-    return d.select("key", "rho", "i", *(F.coalesce(F.sum(k).over(w), F.lit(0.0)).alias(f"p_{k}") for k in SUMS), *(f"d_{k}" for k in SUMS))
+    d = rows.select("key", "rho", "i", *(v[0].alias(f"x_{k}") for k, v in x.items()), *((v[1] - v[0]).alias(f"d_{k}") for k, v in x.items()))
+    return d.select("key", "rho", "i", *(F.coalesce(F.sum(f"x_{k}").over(w), F.lit(0.0)).alias(f"p_{k}") for k in SUMS), *(f"{x}_{k}" for x in "dx" for k in SUMS))
 
 
-def log_gamma(x: Column) -> Column:
-    """ln gamma(x) for x > 0, by Stirling's series at x + 8 and the recurrence back from there."""
-    y = x + 8.0
-    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5.0)))
-    return series - F.log(reduce(lambda a, k: a * (x + float(k)), range(1, 8), x))
-
-
-def evidence(n: Column, ww: Column, wz: Column, zz: Column) -> Column:
-    """Log evidence of one segment from its sums and the prior's columns k0, m0, b0."""
-    k0, m0, b0 = F.col("w.k0"), F.col("w.m0"), F.col("w.b0")
-    kn, an = ww + k0, n / 2 + A0
+def evidence(count: np.ndarray, sums: np.ndarray, prior: tuple[float, float, float], gammas: np.ndarray) -> np.ndarray:
+    """Log evidence of segments of so many buckets from their sums (ww, wz, zz). ``prior``: k0, m0, b0; ``gammas``: ln
+    gamma(A0 + i / 2) for every i up to the largest count."""
+    k0, m0, b0 = prior
+    ww, wz, zz = sums
+    kn, an = ww + k0, count / 2 + A0
     mn = (wz + k0 * m0) / kn
-    bn = F.greatest(F.lit(1e-300), (zz + k0 * m0 * m0 - kn * mn * mn) / 2 + b0)
-    return log_gamma(an) + A0 * F.log(b0) - math.lgamma(A0) - an * F.log(bn) + (F.log(k0) - F.log(kn)) / 2 - n / 2 * math.log(2 * math.pi)
+    bn = np.maximum(1e-300, (zz + k0 * m0 * m0 - kn * mn * mn) / 2 + b0)
+    with np.errstate(invalid="ignore"):  # cells that are no placement
+        return gammas[count] + A0 * math.log(b0) - math.lgamma(A0) - an * np.log(bn) + (math.log(k0) - np.log(kn)) / 2 - count / 2 * math.log(2 * math.pi)
 
 
-MODELS = ("M0", "M1", "M2", "M3")
+def log_sum_exp(x: np.ndarray, axis: int | None = None) -> np.ndarray:
+    """ln of the sum of exp(x), minus infinity where there is nothing to add."""
+    top = np.max(x, axis=axis, keepdims=True, initial=-np.inf)
+    total = np.sum(np.exp(x - np.where(np.isfinite(top), top, 0)), axis=axis, keepdims=True)
+    with np.errstate(divide="ignore"):
+        return np.squeeze(top + np.log(total), axis=axis) if axis is not None else (top + np.log(total)).reshape(())[()]
 
 
-def all_placements(series: DataFrame, each: dict[str, dict], models: tuple[str, ...] = MODELS) -> DataFrame:
-    """key, rho, model, t1, t2 (first bucket of a later segment, 1-based; null where there is none) and ll, for all
-    placements of every series (key, s, y) with its ``settings``."""
+MODELS = ("M0", "M1", "M2", "M3")
+FOLDED = "key string, rho double, model string, which string, at long, lz double, configs long"
+
+
+def fold_block(n: int, least: int, prior: tuple[float, float, float], p: np.ndarray, d: np.ndarray, t: np.ndarray, lo: int, hi: int, models: tuple[str, ...]) -> Iterator[tuple[str, str, int | None, float, int]]:
+    """(model, which, at, lz, configs) of the placements whose first change is in [lo, hi), counted from 0: by first and
+    second change (``at`` is counted from 1) and over ``all``. ``p``, ``d``, ``t``: rows ww, wz, zz of the sums before each
+    bucket, of what its beginning a segment changes, and of the whole series."""
+    gammas = np.array([math.lgamma(A0 + i / 2) for i in range(n + 1)])
+    if lo == 0 and "M0" in models:
+        yield "M0", "all", None, float(evidence(np.array([n]), t[:, None], prior, gammas)[0]), 1
+    i = np.arange(max(lo, least), min(hi, n - least + 1))
+    if not len(i):
+        return
+    after = t[:, None] - p + d  # of the buckets from each one on
+    head, tail = evidence(i, p[:, i], prior, gammas), evidence(n - np.arange(n), after, prior, gammas)
+    if "M1" in models:
+        one = head + tail[i]
+        yield from (("M1", "t1", int(at) + 1, float(v), 1) for at, v in zip(i, one, strict=True))
+        yield "M1", "all", None, float(log_sum_exp(one)), len(one)
+    j = np.arange(i[0] + least, n - least + 1)
+    if not len(j) or not {"M2", "M3"} & set(models):
+        return
+    span = j[None, :] - i[:, None]
+    there = span >= least
+    span = np.where(there, span, least)
+    middle = evidence(span, (p[:, None, j] - p[:, i, None]) + d[:, i, None], prior, gammas)
+    outer = {"M2": lambda: evidence(n - span, p[:, i, None] + after[:, None, j], prior, gammas), "M3": lambda: head[:, None] + tail[None, j]}
+    first, second = there.sum(axis=1), there.sum(axis=0)
+    for model in ("M2", "M3"):
+        if model in models:
+            ll = np.where(there, middle + outer[model](), -np.inf)
+            yield from ((model, "t1", int(at) + 1, float(v), int(c)) for at, v, c in zip(i, log_sum_exp(ll, 1), first, strict=True) if c)
+            yield from ((model, "t2", int(at) + 1, float(v), int(c)) for at, v, c in zip(j, log_sum_exp(ll, 0), second, strict=True) if c)
+            yield model, "all", None, float(log_sum_exp(ll)), int(there.sum())
+
+
+def folds(series: DataFrame, each: dict[str, dict], models: tuple[str, ...] = MODELS) -> DataFrame:
+    """key, rho, model, which, at, lz, configs: log sums of the evidence of all placements of every series (key, s, y) with
+    its ``settings``, by first change (``t1``, 1-based bucket that begins a segment), second (``t2``) and over ``all``."""
     params = small(parameters(series, each))  # a row a key
-    white = stored(whitened(series, params), "whitened")
-    rows = stored(prefix(white), "prefix")
-    total = white.groupBy("key", "rho").agg(F.sum(F.col("w") * F.col("w")).alias("t_ww"), F.sum(F.col("w") * F.col("z")).alias("t_wz"), F.sum(F.col("z") * F.col("z")).alias("t_zz"))
-    whole = total.join(F.broadcast(params.select("key", "n", "least", "k0", "m0", "b0")), "key")
-    at = lambda d, x: {k: F.col(f"{d}.p_{k}") for k in SUMS} if x else {k: F.col(f"{d}.d_{k}") for k in SUMS}
-    ev = lambda size, s: evidence(size, s["ww"], s["wz"], s["zz"])
-    t, n, least = {k: F.col(f"w.t_{k}") for k in SUMS}, F.col("w.n"), F.col("w.least")
-    none = F.lit(None).cast("long")
-    w = whole.alias("w")
-    ids = [F.col("w.key").alias("key"), F.col("w.rho").alias("rho")]
-    # no change
-    m0 = w.select(*ids, F.lit("M0").alias("model"), none.alias("t1"), none.alias("t2"), ev(n, t).alias("ll"))
-    # one change
-    first = rows.alias("x").join(F.broadcast(w), (F.col("x.key") == F.col("w.key")) & (F.col("x.rho") == F.col("w.rho")))  # a row a key and rho
-    first = first.where((F.col("x.i") > least) & (F.col("x.i") <= n - least + 1))
-    i = F.col("x.i")
-    px, dx = at("x", True), at("x", False)
-    one = first.select(*ids, F.lit("M1").alias("model"), i.alias("t1"), none.alias("t2"), (ev(i - 1, px) + ev(n - i + 1, {k: t[k] - px[k] + dx[k] for k in SUMS})).alias("ll"))
-    # two changes: pairs are dealt by their first change, so that few series make many tasks too
-    y = rows.alias("y")
-    y = F.broadcast(y) if rows.count() <= BROADCAST_ROWS else y
-    j = F.col("y.i")
-    dealt = first.repartition("x.key", "x.rho", "x.i")
-    both = dealt.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rho") == F.col("y.rho")) & (j - i >= least) & (j <= n - least + 1))
-    py, dy = at("y", True), at("y", False)
-    n1, n2, n3 = i - 1, j - i, n - j + 1
-    middle = ev(n2, {k: py[k] - px[k] + dx[k] for k in SUMS})
-    last = {k: t[k] - py[k] + dy[k] for k in SUMS}
-    two = both.select(*ids, i.alias("t1"), j.alias("t2"), F.explode(F.array(*(F.struct(F.lit(m).alias("model"), e.alias("ll")) for m, e in (("M2", middle + ev(n1 + n3, {k: px[k] + last[k] for k in SUMS})), ("M3", middle + ev(n1, px) + ev(n3, last)))))).alias("m"))
-    parts = {"M0": m0, "M1": one, "two": two.select("key", "rho", "m.model", "t1", "t2", "m.ll").where(F.col("model").isin(*models))}
-    out = [d for n, d in parts.items() if n in models or n == "two" and {"M2", "M3"} & set(models)]
-    return stored(reduce(DataFrame.unionByName, out), "placements")
-
-
-def placements(series: DataFrame, step: int, least: int, rhos: tuple[float, ...] = RHOS) -> DataFrame:
-    """The placements of one series (s, y)."""
-    return all_placements(series.withColumn("key", F.lit("")), {"": settings(step, least, K0, rhos)})
+    rows = prefix(stored(whitened(series, params), "whitened"))
+    columns = [f"{x}_{k}" for x in "pd" for k in SUMS]
+    whole = rows.groupBy("key", "rho").agg(F.array_sort(F.collect_list(F.struct("i", *columns, *(f"x_{k}" for k in SUMS)))).alias("r"))  # a series: a row a bucket
+    arrays = [F.col("r")[c].alias(c) for c in columns]
+    total = [(F.element_at("r", -1)[f"p_{k}"] + F.element_at("r", -1)[f"x_{k}"]).alias(f"t_{k}") for k in SUMS]
+    d = whole.join(F.broadcast(params.select("key", "n", "least", "k0", "m0", "b0")), "key").select("key", "rho", "n", "least", "k0", "m0", "b0", *arrays, *total)
+    size = F.greatest(F.lit(1), F.floor(F.lit(CELLS) / F.col("n")))
+    d = d.select("*", size.alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, size)).alias("lo")).repartition("key", "rho", "lo")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                r = {c: batch.column(c)[at] for c in batch.schema.names}
+                value = lambda c, r=r: r[c].as_py()
+                p, diff = (np.stack([r[f"{x}_{k}"].values.to_numpy(zero_copy_only=False) for k in SUMS]) for x in "pd")
+                t, prior = np.array([value(f"t_{k}") for k in SUMS]), (value("k0"), value("m0"), value("b0"))
+                out = list(fold_block(value("n"), value("least"), prior, p, diff, t, value("lo"), value("lo") + value("size"), models))
+                if out:
+                    model, which, place, lz, configs = zip(*out, strict=True)
+                    same = [pa.array([value("key")] * len(out)), pa.array([value("rho")] * len(out))]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(model), pa.array(which), pa.array(place, pa.int64()), pa.array(lz), pa.array(configs, pa.int64())], ["key", "rho", "model", "which", "at", "lz", "configs"])
+
+    parts = d.mapInArrow(run, FOLDED).groupBy("key", "rho", "model", "which", "at").agg(F.collect_list("lz").alias("parts"), F.sum("configs").alias("configs"))  # a value a block
+    return stored(parts.select("key", "rho", "model", "which", "at", added("parts").alias("lz"), "configs"), "folds")
+
+
+def added(parts: str) -> Column:
+    """ln of the sum of exp of an array."""
+    top = F.array_max(parts)
+    return top + F.log(F.aggregate(parts, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+
+
+def fold(series: DataFrame, step: int, least: int, rhos: tuple[float, ...] = RHOS) -> DataFrame:
+    """The log sums of one series (s, y)."""
+    return folds(series.withColumn("key", F.lit("")), {"": settings(step, least, K0, rhos)})
 
 
 def log_sum(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -200,9 +240,9 @@ def log_sum(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     return df.join(top, keys).groupBy(*keys, "_m").agg(F.sum(F.exp(F.col(value) - F.col("_m"))).alias("_s"), F.count("*").alias("configs")).select(*keys, (F.col("_m") + F.log("_s")).alias(name), "configs")
 
 
-def models(placed: DataFrame) -> DataFrame:
+def models(folded: DataFrame) -> DataFrame:
     """key, model, configs, log_z (mean over placements and rhos), posterior (equal weights)."""
-    z = log_sum(placed, ["key", "model", "rho"], "ll", "lz").withColumn("lz", F.col("lz") - F.log(F.col("configs").cast("double")))
+    z = folded.where("which = 'all'").select("key", "model", "rho", "configs", (F.col("lz") - F.log(F.col("configs").cast("double"))).alias("lz"))
     each = log_sum(z.select("key", "model", "rho", "lz"), ["key", "model"], "lz", "log_z")
     c = z.groupBy("key", "model").agg(F.max("configs").alias("configs"))
     out = each.select("key", "model", (F.col("log_z") - F.log(F.col("configs").cast("double"))).alias("log_z")).join(c, ["key", "model"])
@@ -211,23 +251,17 @@ def models(placed: DataFrame) -> DataFrame:
     return out.withColumn("posterior", w / F.sum(w).over(by))
 
 
-def weights(placed: DataFrame) -> DataFrame:
-    """``placed`` with w: posterior weights within a key and model, up to a factor."""
-    top = placed.groupBy("key", "model").agg(F.max("ll").alias("_m"))
-    return placed.join(F.broadcast(top), ["key", "model"]).withColumn("w", F.exp(F.col("ll") - F.col("_m"))).drop("_m")  # four rows a key
-
-
-def change_marginals(placed: DataFrame) -> DataFrame:
+def change_marginals(folded: DataFrame) -> DataFrame:
     """key, model, which (t1 or t2), at, prob: posterior of each change, rhos weighted by their evidence."""
-    w = weights(placed.where("t1 is not null")).groupBy("key", "model", "t1", "t2").agg(F.sum("w").alias("w"))
-    each = w.select("key", "model", "w", F.explode(F.array(F.struct(F.lit("t1").alias("which"), F.col("t1").alias("at")), F.struct(F.lit("t2").alias("which"), F.col("t2").alias("at")))).alias("e")).where("e.at is not null")
-    g = each.groupBy("key", "model", "e.which", "e.at").agg(F.sum("w").alias("w"))
+    d = folded.where("at is not null")
+    top = d.groupBy("key", "model").agg(F.max("lz").alias("_m"))
+    g = d.join(F.broadcast(top), ["key", "model"]).groupBy("key", "model", "which", "at").agg(F.sum(F.exp(F.col("lz") - F.col("_m"))).alias("w"))  # three rows a key
     return g.select("key", "model", "which", "at", (F.col("w") / F.sum("w").over(W.partitionBy("key", "model", "which"))).alias("prob"))  # a row a bucket
 
 
-def change_marginal(placed: DataFrame, model: str, which: str) -> DataFrame:
+def change_marginal(folded: DataFrame, model: str, which: str) -> DataFrame:
     """at, prob of one series."""
-    return change_marginals(placed.where(F.col("model") == model)).where(F.col("which") == which).select("at", "prob")
+    return change_marginals(folded.where(F.col("model") == model)).where(F.col("which") == which).select("at", "prob")
 
 
 def credible(marginal: DataFrame, mass: float = 0.95) -> DataFrame:
@@ -254,11 +288,11 @@ def bracket(series: DataFrame, window: DataFrame, step: int) -> DataFrame:
     return out
 
 
-def segment_probabilities(placed: DataFrame, sizes: DataFrame, models: tuple[str, ...] = ("M1", "M2", "M3")) -> DataFrame:
+def segment_probabilities(folded: DataFrame, sizes: DataFrame, models: tuple[str, ...] = ("M1", "M2", "M3")) -> DataFrame:
     """key, model, i, p: array with the probability of each segment's label at bucket i, from running sums over the ends.
 
     M1 has two labels; M2 two as well, its outer segments sharing the first; M3 three. ``sizes``: key, n."""
-    m = change_marginals(placed)
+    m = change_marginals(folded)
     ends = m.groupBy("key", "model", F.col("at").alias("i")).agg(F.sum(F.when(F.col("which") == "t1", F.col("prob"))).alias("b"), F.sum(F.when(F.col("which") == "t2", F.col("prob"))).alias("e"))
     full = sizes.select("key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i")).select("key", "i", F.explode(F.array(*map(F.lit, models))).alias("model"))
     w = W.partitionBy("key", "model").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
@@ -268,21 +302,33 @@ def segment_probabilities(placed: DataFrame, sizes: DataFrame, models: tuple[str
     return d.select("key", "model", "i", F.when(F.col("model") == "M1", F.array(1 - b, b)).when(F.col("model") == "M2", F.array(1 - b + e, b - e)).otherwise(F.array(1 - b, b - e, e)).alias("p"))
 
 
-def middle_probability(placed: DataFrame, n: int, model: str = "M2") -> DataFrame:
+def chosen(folded: DataFrame) -> DataFrame:
+    """key, model: that of the largest evidence, of equals the simplest."""
+    return models(folded).groupBy("key").agg(F.max_by("model", F.struct(F.round("log_z", 9), -F.substring("model", 2, 1).cast("int"))).alias("model"))
+
+
+def chosen_probabilities(folded: DataFrame, sizes: DataFrame) -> DataFrame:
+    """key, model, i, p under the chosen model: as many labels as it has different segments, one where nothing changes."""
+    one = chosen(folded).transform(small)  # a row a key
+    flat = sizes.join(one.where("model = 'M0'"), "key").select("key", "model", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"), F.array(F.lit(1.0)).alias("p"))
+    return segment_probabilities(folded, sizes).join(F.broadcast(one), ["key", "model"]).select("key", "model", "i", "p").unionByName(flat)
+
+
+def middle_probability(folded: DataFrame, n: int, model: str = "M2") -> DataFrame:
     """i, p: probability that bucket i of one series lies in the middle segment."""
-    sizes = placed.select("key").distinct().withColumn("n", F.lit(n).cast("long"))
-    return segment_probabilities(placed.where(F.col("model") == model), sizes, (model,)).select("i", F.get("p", 1).alias("p"))
+    sizes = folded.select("key").distinct().withColumn("n", F.lit(n).cast("long"))
+    return segment_probabilities(folded.where(F.col("model") == model), sizes, (model,)).select("i", F.get("p", 1).alias("p"))
 
 
-def fits(series: DataFrame, placed: DataFrame, force: str | None = None) -> DataFrame:
+def fits(series: DataFrame, folded: DataFrame, force: str | None = None) -> DataFrame:
     """key, best, posterior, log_bf (M2 against M0), rho, onset, back, ratio of every series: the chosen model (or
     ``force``), its modal changes, and the size of the shift they make: exp of the mean of the highest segment less
     that of the rest (outer segments of M2 are one)."""
-    z = models(placed)
+    z = models(folded)
     by = lambda m: F.max(F.when(F.col("model") == m, F.col("log_z")))
     chosen = z.groupBy("key").agg(F.lit(force).alias("best") if force else F.max_by("model", "log_z").alias("best"), F.max_by("posterior", F.when(F.col("model") == force, 1) if force else F.col("log_z")).alias("posterior"), (by("M2") - by("M0")).alias("log_bf"))
-    lz = log_sum(placed, ["key", "model", "rho"], "ll", "lz").groupBy("key", "model").agg(F.max_by("rho", F.struct("lz", -F.col("rho"))).alias("rho")).withColumnRenamed("model", "best")
-    m = change_marginals(placed).groupBy("key", F.col("model").alias("best"), "which").agg(F.max_by("at", F.struct(F.round("prob", 12), -F.col("at"))).alias("at"))
+    lz = folded.where("which = 'all'").groupBy("key", "model").agg(F.max_by("rho", F.struct("lz", -F.col("rho"))).alias("rho")).withColumnRenamed("model", "best")
+    m = change_marginals(folded).groupBy("key", F.col("model").alias("best"), "which").agg(F.max_by("at", F.struct(F.round("prob", 12), -F.col("at"))).alias("at"))
     at = m.groupBy("key", "best").agg(F.max(F.when(F.col("which") == "t1", F.col("at"))).alias("onset"), F.max(F.when(F.col("which") == "t2", F.col("at"))).alias("back"))
     f = chosen.join(lz, ["key", "best"]).join(at, ["key", "best"], "left")
     i = F.row_number().over(W.partitionBy("key").orderBy("s"))
@@ -297,7 +343,6 @@ def fits(series: DataFrame, placed: DataFrame, force: str | None = None) -> Data
 def null_series(series: DataFrame, rho: float, sd: float, step: int, replicates: int) -> DataFrame:
     """key (1, 2, ...), s, y: series without a change at the times of ``series`` (s, a row a bucket): autoregressive paths
     that start anew after a gap, one a replicate, made where Spark groups the replicate's times."""
-    import numpy as np
     import pandas as pd
 
     def path(g: pd.DataFrame) -> pd.DataFrame:
@@ -318,9 +363,9 @@ def null_calibration(series: DataFrame, step: int, least: int, replicates: int)
     and M2 against M0 at the same shortest segment, and the shift of M2, forced, with segments as long as the one
     observed, so that every replicate gives one."""
     own = small(series.withColumn("key", F.lit("observed")).select("key", "s", "y"))  # a row a bucket
-    placed = all_placements(own, {"observed": settings(step, least)})
-    f = fits(own, placed).first()
-    p = segment_probabilities(placed.where(F.col("model") == f.best), own.groupBy("key").agg(F.count("*").alias("n")), (f.best,)) if f.best != "M0" else None
+    folded = folds(own, {"observed": settings(step, least)})
+    f = fits(own, folded).first()
+    p = segment_probabilities(folded.where(F.col("model") == f.best), own.groupBy("key").agg(F.count("*").alias("n")), (f.best,)) if f.best != "M0" else None
     d = own.withColumn("i", F.row_number().over(W.partitionBy("key").orderBy("s")).cast("long"))
     label = d.join(p, ["key", "i"]).withColumn("label", F.array_position("p", F.array_max("p"))) if p is not None else d.withColumn("label", F.lit(1))
     mean = label.groupBy("label").agg(F.avg("y").alias("_m"))
@@ -328,8 +373,8 @@ def null_calibration(series: DataFrame, step: int, least: int, replicates: int)
     length = max(least, f.back - f.onset) if f.back else least
     sim = stored(null_series(own, f.rho, sd, step, replicates), "null")
     each = {str(i): settings(step, least) for i in range(1, replicates + 1)}
-    free = fits(sim, all_placements(sim, each)).select("key", "best", "log_bf")
-    forced = fits(sim, all_placements(sim, {k: v | {"least": length} for k, v in each.items()}), "M2").select("key", "ratio")
+    free = fits(sim, folds(sim, each)).select("key", "best", "log_bf")
+    forced = fits(sim, folds(sim, {k: v | {"least": length} for k, v in each.items()}), "M2").select("key", "ratio")
     observed = own.sparkSession.createDataFrame([("observed", f.best, f.log_bf, f.ratio)], "key string, best string, log_bf double, ratio double")
     return observed.unionByName(free.join(forced, "key", "left"))
 

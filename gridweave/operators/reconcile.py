@@ -70,9 +70,11 @@ def boundary_counts(days: DataFrame, starts: int, ends: int, episodes: int) -> D
 
 
 def routes(rows: DataFrame) -> DataFrame:
-    """route, a column for each role, calmest and the stressed role's multiple of it, from (route, role, value)."""
-    wide = rows.groupBy("route").pivot("role", ["pre", "stress", "post"]).agg(F.first("value"))
-    calmest = F.least("pre", "post")
+    """route, a column for each role, calmest and the stressed role's multiple of it, from (route, role, value). Where two
+    segments have one role, its value is that of the calmer one."""
+    others = ("pre", "post", "calm")
+    wide = rows.groupBy("route").pivot("role", ["stress", *others]).agg(F.min("value"))
+    calmest = F.least(*others)
     return wide.withColumns({"calmest": calmest, "multiple": F.try_divide(F.col("stress"), calmest)})
 
 

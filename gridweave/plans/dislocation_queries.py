@@ -272,7 +272,7 @@ PLACED = placed_sql(TURNOVER, SPAN * 86_400, MIN_SEGMENT)
 
 
 def placed(spark: SparkSession, sf: str) -> DataFrame:
-    return C.placements(turnover(spark, sf), SPAN * DAY, MIN_SEGMENT)
+    return C.fold(turnover(spark, sf), SPAN * DAY, MIN_SEGMENT)
 
 
 @query(f"""WITH {PLACED}, mx AS (SELECT rho, model, max(ll) AS m, count(*) AS c FROM pl GROUP BY 1, 2), lz AS (SELECT rho, model, any_value(m) + ln(sum(exp(ll - m))) - ln(any_value(c)) AS lz, any_value(c) AS c FROM pl JOIN mx USING (rho, model) GROUP BY 1, 2),

@@ -57,11 +57,18 @@ def dispersion(panel: DataFrame) -> DataFrame:
 def posterior(series: DataFrame, model: str = "M3") -> DataFrame:
     """s, p of each bucket under a model."""
     own = small(series.withColumn("key", F.lit("")))  # a row a bucket
-    placed = C.all_placements(own, {"": C.settings(BUCKET, SEGMENT)}, (model,))
+    placed = C.folds(own, {"": C.settings(BUCKET, SEGMENT)}, (model,))
     p = C.segment_probabilities(placed, own.groupBy("key").agg(F.count("*").alias("n")), (model,))
     return own.withColumn("i", F.row_number().over(C.W.partitionBy("key").orderBy("s")).cast("long")).join(p, ["key", "i"]).select("s", "p").transform(small)
 
 
+def chosen_posterior(series: DataFrame, step: int, least: int, models: tuple[str, ...] = C.MODELS) -> DataFrame:
+    """s, model, p of each bucket under the one of ``models`` with the largest evidence."""
+    own = small(series.withColumn("key", F.lit("")))  # a row a bucket
+    p = C.chosen_probabilities(C.folds(own, {"": C.settings(step, least)}, models), own.groupBy("key").agg(F.count("*").alias("n")))
+    return own.withColumn("i", F.row_number().over(C.W.partitionBy("key").orderBy("s")).cast("long")).join(p, ["key", "i"]).select("s", "model", "p").transform(small)
+
+
 def labels(panel: DataFrame) -> DataFrame:
     return L.labelled(panel, posterior(dispersion(panel)), BUCKET)
 
@@ -112,6 +119,62 @@ def label_modes(spark: SparkSession, sf: str) -> DataFrame:
     return L.modes(d, "year", "regime")
 
 
+def chosen_sql(series: str, step: int, least: int) -> str:
+    """cp: s, model and p (array) of each bucket of ``sr`` under the model of the largest evidence."""
+    return f"""{D.placed_sql(series, step, least)}, mx AS (SELECT rho, model, max(ll) AS m, count(*) AS c FROM pl GROUP BY 1, 2), lz AS (SELECT rho, model, any_value(m) + ln(sum(exp(ll - m))) - ln(any_value(c)) AS lz FROM pl JOIN mx USING (rho, model) GROUP BY 1, 2),
+mm AS (SELECT model, max(lz) AS m FROM lz GROUP BY 1), zz AS (SELECT model, any_value(m) + ln(sum(exp(lz - m))) AS log_z FROM lz JOIN mm USING (model) GROUP BY 1), bw AS (SELECT arg_max(model, (round(log_z, 9), -substr(model, 2, 1)::INT)) AS model FROM zz),
+wb AS (SELECT t1, t2, exp(ll - (SELECT max(ll) FROM pl JOIN bw USING (model))) AS w FROM pl JOIN bw USING (model)),
+be AS (SELECT s, i, coalesce((SELECT sum(w) FROM wb WHERE t1 <= ad.i), 0) / (SELECT sum(w) FROM wb) AS b, coalesce((SELECT sum(w) FROM wb WHERE t2 <= ad.i), 0) / (SELECT sum(w) FROM wb) AS e FROM ad),
+cp AS (SELECT s, model, CASE model WHEN 'M0' THEN [1.0] WHEN 'M1' THEN [1 - b, b] WHEN 'M2' THEN [1 - b + e, b - e] ELSE [1 - b, b - e, e] END AS p FROM be, bw)"""
+
+
+def _chosen(d: DataFrame) -> DataFrame:
+    return d.select(O.stamp("s").alias("t"), "model", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("label"), F.size("p").alias("labels"), *(F.round(F.get("p", i), 5).alias(f"p{i}") for i in range(3)))
+
+
+_CHOSEN = "make_timestamp(s * 1000000) AS t, model, (list_position(p, list_max(p)) - 1)::INT AS label, len(p)::INT AS labels, round(p[1], 5) AS p0, round(p[2], 5) AS p1, round(p[3], 5) AS p2 FROM cp"
+EARLY = 5  #: of so many parts of the series, the first
+
+
+@query(f"WITH {chosen_sql(SERIES, BUCKET, SEGMENT)} SELECT {_CHOSEN}")
+def chosen_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of buckets whose number follows from the evidence."""
+    return _chosen(chosen_posterior(dispersion(G.lineitem_panel(spark, sf)), BUCKET, SEGMENT))
+
+
+STEPPED = "st AS (SELECT s, y + CASE WHEN i * 5 <= n THEN 6 ELSE 0 END AS y FROM (SELECT *, row_number() OVER (ORDER BY s) AS i, count(*) OVER () AS n FROM sr))"
+
+
+@query(f"WITH {chosen_sql(SERIES + ', ' + STEPPED, BUCKET, SEGMENT).replace('FROM sr),', 'FROM st),').replace('FROM sr)', 'FROM sr)').replace('AS adj FROM sr', 'AS adj FROM st')} SELECT {_CHOSEN}")
+def chosen_labels_of_a_step(spark: SparkSession, sf: str) -> DataFrame:
+    """The same where the first fifth is six units higher: one change."""
+    return _chosen(chosen_posterior(stepped(dispersion(G.lineitem_panel(spark, sf))), BUCKET, SEGMENT))
+
+
+def stepped(series: DataFrame) -> DataFrame:
+    d = small(series)  # a row a bucket
+    i = F.row_number().over(C.W.orderBy("s"))
+    return d.withColumn("i", i).crossJoin(F.broadcast(d.agg(F.count("*").alias("n")))).select("s", (F.col("y") + F.when(F.col("i") * EARLY <= F.col("n"), 6).otherwise(0)).alias("y"))  # one row
+
+
+CHOSEN_ROWS = f"""{chosen_sql(SERIES, BUCKET, SEGMENT)}, gb AS (SELECT unnest(generate_series((SELECT min(s) // {BUCKET} * {BUCKET} FROM p), (SELECT max(s) // {BUCKET} * {BUCKET} FROM p), {BUCKET})) AS s), gf AS (SELECT gb.s, cp.p AS q FROM gb LEFT JOIN cp USING (s)),
+gl AS (SELECT s AS bucket, coalesce(last_value(q IGNORE NULLS) OVER (ORDER BY s), first_value(q IGNORE NULLS) OVER (ORDER BY s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM gf),
+la AS (SELECT p.*, (list_position(q, list_max(q)) - 1)::INT AS label FROM p JOIN gl ON bucket = s // {BUCKET} * {BUCKET}), lm AS (SELECT label, median(basis) AS m FROM la GROUP BY 1),
+ld AS (SELECT label, count(*) AS rows, 1.4826 * median(abs(basis - m)) AS mad FROM la JOIN lm USING (label) GROUP BY 1), lt AS (SELECT arg_max(label, (mad, label)) AS top, count(*) AS k FROM ld)"""
+
+
+@query(f"WITH {CHOSEN_ROWS} SELECT label, rows, round(mad, 6) AS mad, CASE WHEN label = top THEN 'stress' WHEN k <= 2 THEN 'calm' WHEN label < top THEN 'pre' ELSE 'post' END AS role FROM ld, lt")
+def chosen_roles(spark: SparkSession, sf: str) -> DataFrame:
+    """The labels that the evidence gives, and what each is: the widest one is under stress."""
+    p = stored(G.lineitem_panel(spark, sf), "panel")
+    d = L.with_labels(p, chosen(p)).withColumn("label", F.col("regime").cast("int"))
+    return X.widest(d, "label", "basis").select("label", F.col("n").alias("rows"), r6("mad", "mad"), "role")
+
+
+def chosen(panel: DataFrame, models: tuple[str, ...] = C.MODELS) -> DataFrame:
+    return L.labelled(panel, chosen_posterior(dispersion(panel), BUCKET, SEGMENT, models).select("s", "p"), BUCKET)
+
+
 LO, HI = 800_000_000, 900_000_000
 
 
@@ -255,26 +318,51 @@ def changepoint_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     lo, hi = p.agg(F.min("s"), F.max("s")).first()
     d, each = variants(p, (lo + hi) // 2)
     d = small(d)  # a row a bucket and variant
-    f = C.fits(d, C.all_placements(d, each))
+    f = C.fits(d, C.folds(d, each))
     names = spark.createDataFrame([(k,) for k in each], "key string")
     return names.join(f, "key", "left").select(F.col("key").alias("variant"), "best", "posterior", "ratio", "rho", "onset", "back")
 
 
+FINE, FINE_SEGMENT, REPLICATES = 3 * DAY, 120, 100
+
+
+@query()
+def null_calibration_fine(spark: SparkSession, sf: str) -> DataFrame:
+    """What the evidence of about 850 buckets of three days says of a hundred series without a change, beside the one observed."""
+    p = G.lineitem_panel(spark, sf).select((F.floor(F.col("s") / FINE) * FINE).alias("b"), "basis")
+    series = S.mad(p, ["b"], "basis", many=True).where("mad > 0").select(F.col("b").alias("s"), F.log("mad").alias("y"))
+    return C.null_calibration(series, FINE, FINE_SEGMENT, REPLICATES)
+
+
 # -- models by label --------------------------------------------------------------------------------
-ROLES = ("pre", "stress", "post")
+def by_role(spark: SparkSession, sf: str) -> DataFrame:
+    """The panel with the labels that the evidence gives among models with a change, as segments are to be compared, and
+    the role of each label."""
+    p = stored(G.lineitem_panel(spark, sf), "panel")
+    d = stored(L.with_labels(p, chosen(p, C.MODELS[1:])), "labelled")
+    roles = small(X.widest(d, "regime", "basis").select("regime", "role"))  # three rows at most
+    return d.join(F.broadcast(roles), "regime")
 
 
 def regime_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Log gaps and increments with ``group`` (label), ``cell`` (label and year) and ``ok`` (more likely than not)."""
-    d = labelled_panel(spark, sf)
+    """Log gaps and increments with ``group`` (label), its ``role``, ``cell`` (label and year) and ``ok`` (more likely than not)."""
+    d = by_role(spark, sf)
     d = d.withColumns({"group": F.col("regime").cast("long"), "cell": F.col("regime") * 100 + F.floor(F.col("s") / DAY / 365), "ok": L.sure(0.5)})
-    return stored(V.with_logs(d, DAY, MONTHS), "rows")
+    roles = small(d.select(F.col("regime").cast("long").alias("group"), "role").distinct())  # three rows at most
+    return stored(V.with_logs(d, DAY, MONTHS).join(F.broadcast(roles), "group"), "rows")
+
+
+def role_names(rows: DataFrame) -> dict[int, str]:
+    """The role of each label, with the label where two have one role."""
+    found = dict(sorted(tuple(r) for r in rows.select("group", "role").distinct().collect()))  # three rows at most
+    return {g: r if list(found.values()).count(r) == 1 else f"{r} {g}" for g, r in found.items()}
 
 
 def designs(rows: DataFrame, p: int, basis_lags: int = 0, with_runs: bool = True, least: int = 20) -> dict[str, DataFrame]:
     d = V.design(rows, p, DAY, MONTHS, F.col("ok") & F.col("z").isNotNull(), F.col("group"), least, basis_lags, with_runs=with_runs).transform(stored)
     sizes = {r[0]: r[1] for r in d.groupBy((F.floor(F.col("cell") / 100)).alias("g")).agg(F.count("*")).collect()}  # three labels
-    return {ROLES[g]: d.where(F.floor(F.col("cell") / 100) == g) for g in sorted(sizes) if sizes[g] > 4 * len(V.regressors(p, basis_lags))}
+    roles = role_names(rows)
+    return {roles[g]: d.where(F.floor(F.col("cell") / 100) == g) for g in sorted(sizes) if sizes[g] > 4 * len(V.regressors(p, basis_lags))}
 
 
 def regime_fits(rows: DataFrame, p: int = M.LAGS) -> dict[str, tuple[DataFrame, V.Fit]]:
@@ -342,17 +430,19 @@ def placebo_threshold(spark: SparkSession, sf: str) -> DataFrame:
 def persistence(spark: SparkSession, sf: str) -> DataFrame:
     """route, role, value, low, high, n: half-lives in days by routes that share no machinery."""
     rows = regime_rows(spark, sf)
-    out = []
+    roles, out = F.broadcast(small(rows.select(F.col("group").cast("int").alias("label"), "role").distinct())), []  # three rows at most
+    plain = {name: name.split(" ")[0] for name in role_names(rows).values()}
     for name, (d, f) in regime_fits(rows).items():
+        name = plain[name]
         out += [("pooled fit", name, f.half_life, None, None, f.n), ("pooled fit, one step", name, f.one_step, None, None, f.n)]
-    each = V.daily(designs_one(rows), 1, 60).withColumn("role", F.element_at(F.array(*map(F.lit, ROLES)), (F.floor(F.col("cell") / 100) + 1).cast("int")))
+    each = V.daily(designs_one(rows), 1, 60).withColumn("label", F.floor(F.col("cell") / 100).cast("int")).join(roles, "label")
     by = lambda d, route, v: d.where(F.col(v).isNotNull() & ~F.isnan(v)).groupBy("role").agg(F.median(v).alias("value"), F.percentile(v, F.lit(0.25)).alias("low"), F.percentile(v, F.lit(0.75)).alias("high"), F.count("*").alias("n")).select(F.lit(route).alias("route"), "role", "value", "low", "high", "n")
-    p = labelled_panel(spark, sf)
+    p = by_role(spark, sf)
     cut = E.threshold(p, "basis", 0.95)
     eps = E.episodes(p.crossJoin(F.broadcast(cut)), "basis", F.col("level"), DAY, 2 * DAY, DAY, MONTHS)  # one row
     ruler = E.ruler(p, eps, "basis", 30 * DAY, DAY, MONTHS).join(p.select(F.col("s").alias("peak_s"), "regime"), "peak_s")
-    ruler = ruler.select(F.element_at(F.array(*map(F.lit, ROLES)), F.col("regime").cast("int") + 1).alias("role"), (F.col("half_life") / DAY).alias("v"))
-    level = S.ar1(p, ["regime"], "basis", DAY, MONTHS).select(F.lit("AR(1) of the level").alias("route"), F.element_at(F.array(*map(F.lit, ROLES)), F.col("regime").cast("int") + 1).alias("role"), S.half_life(F.col("rho")).alias("value"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.col("pairs").alias("n"))
+    ruler = ruler.join(roles, F.col("regime") == F.col("label")).select("role", (F.col("half_life") / DAY).alias("v"))
+    level = S.ar1(p, ["regime"], "basis", DAY, MONTHS).join(roles, F.col("regime") == F.col("label")).select(F.lit("AR(1) of the level").alias("route"), "role", S.half_life(F.col("rho")).alias("value"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.col("pairs").alias("n"))
     schema = "route string, role string, value double, low double, high double, n long"
     return spark.createDataFrame(out, schema).unionByName(by(each, "cell by cell", "half_life")).unionByName(by(ruler, "episode ruler", "v")).unionByName(level)
 
@@ -462,7 +552,8 @@ def decimated_months(spark: SparkSession, sf: str) -> DataFrame:
 def quotes_uncrossed(spark: SparkSession, sf: str) -> DataFrame:
     """The panel after the check that no bid is at or above its ask."""
     p = G.checked_quotes(stored(G.lineitem_panel(spark, sf)))
-    return p.agg(F.count("*").alias("rows"), F.lit(0).cast("long").alias("crossed"))
+    crossed = [F.col(f"{x}_bid") >= F.col(f"{x}_ask") for x in "abc"]
+    return p.agg(F.count("*").alias("rows"), F.count_if(crossed[0] | crossed[1] | crossed[2]).alias("crossed"))
 
 
 

@@ -77,7 +77,7 @@ def test_gram_and_blocks_are_least_squares(spark):
     assert t["horizon"] == pytest.approx((b[0] + 2 * b[1]) / b.sum())
 
 
-@pytest.mark.parametrize("most", [40, 10**6])
+@pytest.mark.parametrize("most", [1, 5, 40, 10**6])
 def test_quantiles_do_not_depend_on_rounds(spark, most):
     rng = np.random.default_rng(5)
     v = np.concatenate([rng.lognormal(0, 3, 700), np.repeat(2.5, 200), [np.nan]])
@@ -88,6 +88,36 @@ def test_quantiles_do_not_depend_on_rounds(spark, most):
     assert Q.median(frame(spark, pdf), [], "v", "m", most).first().m == pytest.approx(np.nanmedian(v))
 
 
+INF, TINY = float("inf"), 5e-324
+
+
+@pytest.mark.parametrize("most", [1, 7])
+def test_radix_selection_of_hard_values(spark, most):
+    """Ties at either end, infinities, both zeros, subnormals, null keys, small groups beside large ones: to the bit."""
+    rng = np.random.default_rng(8)
+    groups = {
+        "top": [0.0] * 5 + [1.0] * 395, "bottom": [-1.0] * 395 + [7.0] * 5, "all": [3.25] * 50, "infinite": [-INF] * 20 + [INF] * 20 + [1.0], "zeros": [0.0, -0.0] * 20 + [TINY, -TINY, 3 * TINY],
+        "wide": [float(x) for x in rng.normal(size=60) * 10.0 ** rng.integers(-320, 300, 60)], "close": [1.0 + i * 2.0**-52 for i in range(30)], "pair": [1.0, 2.0], "nan": [float("nan")] * 9 + [4.0, 1.5], None: [1e308, -1e308] * 9 + [2.0],
+    }
+    d = spark.createDataFrame([(k, "x", v) for k, vs in groups.items() for v in vs] + [("nan", "x", None)], "k string, j string, v double")
+    wanted = {"low": 0.0, "a": 0.01, "b": 0.25, "m": 0.5, "c": 0.77, "top": 1.0}
+    bits = lambda rows: {(r.k, r.j): (r.n, *(None if r[c] is None else (r[c] or 0.0).hex() for c in wanted)) for r in rows}
+    small = Q.quantiles(d, ["k", "j"], "v", wanted, 10**6).collect()
+    assert len(small) == len(groups) and bits(Q.quantiles(d, ["k", "j"], "v", wanted, most).collect()) == bits(small)
+
+
+def test_image_is_that_of_the_bits(spark):
+    import struct
+
+    rng = np.random.default_rng(2)
+    xs = np.frombuffer(rng.bytes(8 * 4000)).tolist() + [2.0**e for e in range(-1074, 1024)] + [float(np.nextafter(2.0**e, 0)) for e in range(-1022, 1024)] + [0.0, -0.0, INF, -INF, TINY, 1.7976931348623157e308]
+    xs = [x for x in xs if x == x]
+    d = spark.createDataFrame([(x,) for x in xs], "x double").select("x", Q.image(Q.F.col("x")).alias("i"))
+    for x, i in d.collect():
+        bits = struct.unpack("<q", struct.pack("<d", abs(x)))[0]
+        assert i == (-bits if x < 0 else bits)
+
+
 def test_survival_is_the_count(spark):
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.lognormal(0, 1, 500), np.zeros(20), [3.0, 3.0]])
@@ -239,6 +269,103 @@ def test_changes_are_found_and_calibrated(spark):
         C.admitted(empty, 0.9, 1, refuse=True)
 
 
+def enumerated(series, step, least, rhos):
+    """Evidence of every placement of (s, y) rows, as loops: {(model, rho): {(t1, t2): ll}}."""
+    s, y = zip(*sorted(series))
+    n, m0, b0, k0, a0 = len(y), float(np.mean(y)), float(np.var(y, ddof=1)), 0.01, 2.0
+    out = {}
+    for rho in rhos:
+        def ll(parts, rho=rho):
+            ww = wz = zz = 0.0
+            count = 0
+            for lo, hi in parts:
+                for i in range(lo, hi):
+                    near = i > lo and s[i] - s[i - 1] == step
+                    w, z = (1 - rho, y[i] - rho * y[i - 1]) if near else (math.sqrt(1 - rho * rho), y[i] * math.sqrt(1 - rho * rho))
+                    ww, wz, zz, count = ww + w * w, wz + w * z, zz + z * z, count + 1
+            kn, an = ww + k0, count / 2 + a0
+            mn = (wz + k0 * m0) / kn
+            bn = (zz + k0 * m0 * m0 - kn * mn * mn) / 2 + b0
+            return math.lgamma(an) + a0 * math.log(b0) - math.lgamma(a0) - an * math.log(bn) + math.log(k0 / kn) / 2 - count / 2 * math.log(2 * math.pi)
+        out["M0", rho] = {(None, None): ll([(0, n)])}
+        out["M1", rho] = {(i + 1, None): ll([(0, i)]) + ll([(i, n)]) for i in range(least, n - least + 1)}
+        pairs = [(i, j) for i in range(least, n) for j in range(i + least, n - least + 1)]
+        out["M2", rho] = {(i + 1, j + 1): ll([(i, j)]) + ll([(0, i), (j, n)]) for i, j in pairs}
+        out["M3", rho] = {(i + 1, j + 1): ll([(0, i)]) + ll([(i, j)]) + ll([(j, n)]) for i, j in pairs}
+    return out
+
+
+def best_of(placed, rhos):
+    """(log_z by model, best model)."""
+    z = {m: np.logaddexp.reduce([np.logaddexp.reduce(list(placed[m, r].values())) - math.log(len(placed[m, r])) for r in rhos]) - math.log(len(rhos)) for m in C.MODELS}
+    return z, max(z, key=lambda m: z[m])
+
+
+@pytest.mark.parametrize("cells", [60, 1 << 19])
+def test_folded_evidence_is_that_of_all_placements(spark, monkeypatch, cells):
+    """Two series with gaps, each with its own settings, in one block and in many."""
+    monkeypatch.setattr(C, "CELLS", cells)
+    rng, rhos = np.random.default_rng(9), (0.0, 0.45)
+    times = [10 * i + 30 * (i > 7) for i in range(22)]
+    data = {"a": [(t, float(v)) for t, v in zip(times, rng.normal(size=22) + 3 * (np.arange(22) > 12))], "b": [(t, float(v)) for t, v in zip(times[:17], rng.normal(size=17))]}
+    each = {"a": C.settings(10, 3, rhos=rhos), "b": C.settings(10, 5, rhos=rhos)}
+    f = C.folds(spark.createDataFrame([(k, *r) for k, rows in data.items() for r in rows], "key string, s long, y double"), each).cache()
+    z = {(r.key, r.model): r for r in C.models(f).collect()}
+    m = {(r.key, r.model, r.which, r["at"]): r.prob for r in C.change_marginals(f).collect()}
+    picked = dict(tuple(r) for r in C.chosen(f).collect())
+    for key, rows in data.items():
+        placed = enumerated(rows, 10, each[key]["least"], rhos)
+        want, best = best_of(placed, rhos)
+        assert picked[key] == best
+        for model in C.MODELS:
+            assert z[key, model].log_z == pytest.approx(want[model], abs=1e-9) and z[key, model].configs == len(placed[model, 0.0])
+            if model == "M0":
+                continue
+            everything = [(t, math.exp(v - want[model])) for r in rhos for t, v in placed[model, r].items()]
+            for k, which in enumerate(("t1", "t2")):
+                for at in {t[k] for t, _ in everything} - {None}:
+                    assert m[key, model, which, at] == pytest.approx(sum(w for t, w in everything if t[k] == at) / sum(w for _, w in everything), abs=1e-9)
+
+
+def test_null_replicates_against_loops(spark):
+    rng = np.random.default_rng(4)
+    series = frame(spark, pd.DataFrame({"s": np.arange(26) * 10, "y": rng.normal(size=26) + 3.0 * ((np.arange(26) > 8) & (np.arange(26) < 17))}))
+    rows = {r.key: r for r in C.null_calibration(series, 10, 4, 3).collect()}
+    placed = enumerated([tuple(r) for r in series.collect()], 10, 4, C.RHOS)
+    z, best = best_of(placed, C.RHOS)
+    assert rows["observed"].best == best and rows["observed"].log_bf == pytest.approx(z["M2"] - z["M0"], abs=1e-8)
+    f = C.fits(series.withColumn("key", F.lit("")), C.fold(series, 10, 4)).first()
+    label = np.zeros(26, int)
+    label[f.onset - 1 : f.back - 1 if f.back else 26] = 1
+    y = np.array([r.y for r in series.orderBy("s").collect()])
+    if f.back and best == "M3":
+        label[f.back - 1 :] = 2
+    sd = np.std(y - np.array([y[label == k].mean() for k in label]), ddof=1)
+    sim = C.null_series(series, f.rho, float(sd), 10, 3).collect()
+    for k in "123":
+        z, best = best_of(enumerated([(r.s, r.y) for r in sim if r.key == k], 10, 4, C.RHOS), C.RHOS)
+        assert rows[k].best == best and rows[k].log_bf == pytest.approx(z["M2"] - z["M0"], abs=1e-2)
+
+
+def test_the_number_of_labels_and_their_roles_follow_from_the_series(spark):
+    """One change gives two labels; of three segments the widest is under stress wherever it is."""
+    rng = np.random.default_rng(6)
+    noise = rng.normal(size=45) * 0.3
+    i = np.arange(45)
+    shapes = {"none": 0 * i, "one": 4.0 * (i >= 20), "back": 4.0 * ((i >= 15) & (i < 30)), "stairs": 4.0 * (i >= 15) + 5.0 * (i >= 30)}
+    series = spark.createDataFrame([(k, int(10 * a), float(y)) for k, shape in shapes.items() for a, y in zip(i, shape + noise)], "key string, s long, y double").cache()
+    f = C.folds(series, {k: C.settings(10, 8, rhos=(0.0, 0.3)) for k in shapes}).cache()
+    p = C.chosen_probabilities(f, series.groupBy("key").agg(F.count("*").alias("n"))).collect()
+    labels = {k: [int(np.argmax(r.p)) for r in sorted((r for r in p if r.key == k), key=lambda r: r.i)] for k in shapes}
+    assert {r.key: len(r.p) for r in p} == {"none": 1, "one": 2, "back": 2, "stairs": 3}
+    assert labels["none"] == [0] * 45 and labels["one"] == [0] * 20 + [1] * 25 and labels["back"] == [0] * 15 + [1] * 15 + [0] * 15 and labels["stairs"] == [0] * 15 + [1] * 15 + [2] * 15
+    wide = {0: 5.0, 1: 1.0, 2: 2.0}
+    rows = frame(spark, pd.DataFrame({"label": np.repeat([0, 1, 2], 40), "v": np.concatenate([rng.normal(size=40) * wide[k] for k in range(3)])}))
+    assert {r.label: r.role for r in X.widest(rows, "label", "v").collect()} == {0: "stress", 1: "post", 2: "post"}
+    t = X.routes(spark.createDataFrame([("r", "stress", 6.0), ("r", "post", 3.0), ("r", "post", 2.0)], "route string, role string, value double")).first()
+    assert t.calmest == 2.0 and t.multiple == 3.0
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "t_1.csv").write_text("20240701 000000123,1.5,1.6,0\n20240701 000001000,1.7,1.7,0\n")
     rows = G.valid_ticks(P.read_ticks(spark, f"{tmp_path}/t_*.csv")).collect()
