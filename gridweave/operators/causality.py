@@ -10,24 +10,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridweave.functions import ordered as O
+from gridweave.functions.lagged import lag_correlations
 from gridweave.functions.special import chi2_tail
-from gridweave.operators import stats as S
 from gridweave.operators import vecm as V
 
 
 def cross_correlations(df: DataFrame, pairs: list[tuple[str, str]], lags: int, step: int, chunk: int, run: str = "run") -> DataFrame:
     """leads, follows, lag, n, corr of ``follows`` at t with ``leads`` at t - lag, within runs (stretches of rows a step
-    apart), for all (follows, leads) of ``pairs``. Lags of both signs, all from one window over chunks."""
-    names = list(dict.fromkeys(c for p in pairs for c in p))
-    d = df.select("s", F.struct(F.col(run).alias("run"), *names).alias("v"))
-    d = O.with_lagged(d, {f"v{k + lags}": ("v", k) for k in range(-lags, lags + 1)}, step, chunk)
-    each = F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"v{k + lags}").alias("o")) for k in range(-lags, lags + 1)))
-    rows = d.select("v", F.explode(each).alias("e")).where("e.o.run = v.run")
-    both = [(F.col(f"v.{x}"), F.col(f"e.o.{y}")) for x, y in pairs]
-    there = [x.isNotNull() & y.isNotNull() for x, y in both]
-    sums = rows.groupBy("e.lag").agg(*(F.count_if(t).alias(f"n{i}") for i, t in enumerate(there)), *(S.corr(F.when(t, x), F.when(t, y)).alias(f"c{i}") for i, ((x, y), t) in enumerate(zip(both, there, strict=True))))
-    out = F.array(*(F.struct(F.lit(y).alias("leads"), F.lit(x).alias("follows"), "lag", F.col(f"n{i}").alias("n"), F.col(f"c{i}").alias("corr")) for i, (x, y) in enumerate(pairs)))
-    return sums.select(F.explode(out).alias("r")).select("r.*").where("n > 0")
+    apart), for all (follows, leads) of ``pairs``. Lags of both signs."""
+    found = lag_correlations(df, pairs, list(range(-lags, lags + 1)), step, chunk, run)
+    name = lambda k: F.get(F.array(*(F.lit(p[k]) for p in pairs)), F.col("pair"))
+    return found.select(name(1).alias("leads"), name(0).alias("follows"), "lag", "n", "corr")
 
 
 def cross_correlation(df: DataFrame, x: str, y: str, lags: int, step: int, chunk: int, run: str = "run") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridweave.functions import ordered as O
+from gridweave.functions.tables import stored
 from gridweave.operators import stats as S
 
 
@@ -24,19 +26,29 @@ def exit_code(checked: DataFrame) -> int:
     return 2 if not n else int(bad > 0)
 
 
-BOUNDS_MOST = 10_000
-
-
-def sweep(cells: DataFrame, bounds: DataFrame, least: int) -> DataFrame:
-    """onset, back, inside, days, n, within, between, share: variance split inside and outside of each window of cells.
-
-    ``cells``: cell, n, z, zz (power sums, made once); ``bounds``: onset, back. Up to BOUNDS_MOST boundary pairs are
-    broadcast; more are refused, as every cell meets every pair."""
-    if (n := bounds.count()) > BOUNDS_MOST:
-        raise ValueError(f"{n} boundary pairs are more than {BOUNDS_MOST}")
-    rows = cells.crossJoin(F.broadcast(bounds)).withColumn("inside", (F.col("cell") >= F.col("onset")) & (F.col("cell") < F.col("back")))
-    sized = rows.groupBy("onset", "back", "inside").agg(F.sum("n").alias("rows")).where(F.col("rows") >= least).groupBy("onset", "back").count().where("count = 2").select("onset", "back")
-    return S.split_variance(rows.join(sized, ["onset", "back"], "left_semi"), ["onset", "back", "inside"])
+def sweep(cells: DataFrame, bounds: DataFrame, least: int, chunk: int = 10_000) -> DataFrame:
+    """onset, back, inside, days, n, within, between, share: variance split inside and outside of each window of cells, for
+    windows with ``least`` rows on both sides.
+
+    ``cells``: cell, n, z, zz (power sums, made once); ``bounds``: onset, back. A window's sums are the difference of two
+    running sums over cells, so that a pair of bounds costs two lookups whatever lies between; chunks of cells hand
+    their sums over."""
+    n, z, zz = F.col("n"), F.col("z"), F.col("zz")
+    parts = {"days": F.lit(1), "n": n, "z": z, "w": F.greatest(F.lit(0.0), zz - z * z / n), "q": z * z / n}
+    kinds = {k: "long" if k in ("days", "n") else "double" for k in parts}
+    here = cells.select(F.col("cell").cast("long").alias("s"), *(c.cast(kinds[k]).alias(k) for k, c in parts.items()))
+    edges = bounds.select(F.explode(F.array(F.col("onset").cast("long"), F.col("back").cast("long"))).alias("s")).select("s", *(F.lit(0).cast(kinds[k]).alias(k) for k in parts))
+    points = here.unionByName(edges).groupBy("s").agg(*(F.sum(k).alias(k) for k in parts))
+    before = stored(O.with_running(points, {f"_{k}": F.col(k) for k in parts}, chunk).select("s", *((F.col(f"_{k}") - F.col(k)).alias(k) for k in parts)), "running")
+    at = lambda side: before.select(F.col("s").alias(side), F.struct(*parts).alias(f"_{side}"))
+    whole = here.agg(F.struct(*(F.coalesce(F.sum(k), F.lit(0).cast(kinds[k])).alias(k) for k in parts)).alias("_t"))
+    both = bounds.select(F.col("onset").cast("long").alias("onset"), F.col("back").cast("long").alias("back")).join(at("onset"), "onset").join(at("back"), "back").crossJoin(F.broadcast(whole))  # one row
+    # a window that ends before it begins holds nothing
+    inner = {k: F.when(F.col("back") > F.col("onset"), F.col(f"_back.{k}") - F.col(f"_onset.{k}")).otherwise(0) for k in parts}
+    sides = F.array(F.struct(F.lit(True).alias("inside"), *(c.alias(k) for k, c in inner.items())), F.struct(F.lit(False).alias("inside"), *((F.col(f"_t.{k}") - c).alias(k) for k, c in inner.items())))
+    rows = both.select("onset", "back", sides.alias("sides")).where(F.forall("sides", lambda x: x["n"] >= least)).select("onset", "back", F.explode("sides").alias("x")).select("onset", "back", "x.*")
+    within, between = F.greatest(F.lit(0.0), F.col("w")) / n, F.greatest(F.lit(0.0), F.col("q") / n - F.pow(z / n, F.lit(2.0)))
+    return rows.where("days >= 2").select("onset", "back", "inside", "days", "n", within.alias("within"), between.alias("between"), (between / (within + between)).alias("share"))
 
 
 def extremes(df: DataFrame, value: str, k: int) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridweave.functions import ordered as O
+from gridweave.functions.lagged import lag_correlations
 from gridweave.operators import stats as S
 
 LEGS = ("a", "b", "c")
@@ -221,12 +222,8 @@ def residuals(d: DataFrame, f: Fit) -> DataFrame:
 
 def residual_acf(d: DataFrame, f: Fit, lags: int, step: int, chunk: int) -> DataFrame:
     """leg, lag, acf, pairs: correlations of residuals with those of rows ``lag`` steps before in the same run."""
-    u = residuals(d, f).select("s", F.struct("run", *(f"u_{g}" for g in LEGS)).alias("u"))
-    u = O.with_lagged(u, {f"l{k}": ("u", k) for k in range(1, lags + 1)}, step, chunk)
-    pairs = F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"l{k}").alias("v")) for k in range(1, lags + 1)))
-    rows = u.select("u", F.explode(pairs).alias("e")).where("e.v.run = u.run")
-    g = rows.groupBy("e.lag").agg(F.count("*").alias("pairs"), *(S.corr(F.col(f"u.u_{x}"), F.col(f"e.v.u_{x}")).alias(x) for x in LEGS))
-    return g.select(F.explode(F.array(*(F.struct(F.lit(x).alias("leg"), "lag", F.col(x).alias("acf"), "pairs") for x in LEGS))).alias("r")).select("r.*")
+    found = lag_correlations(residuals(d, f), [(f"u_{g}", f"u_{g}") for g in LEGS], list(range(1, lags + 1)), step, chunk, "run")
+    return found.select(F.get(F.array(*map(F.lit, LEGS)), F.col("pair")).alias("leg"), "lag", F.col("corr").alias("acf"), F.col("n").alias("pairs"))
 
 
 def block_sums(d: DataFrame, columns: list[str], block: int, step: int, chunk: int) -> DataFrame:
@@ -252,6 +249,42 @@ def hac(d: DataFrame, f: Fit, block: int, step: int, chunk: int, functional: np.
     return s / block * f.n / (f.n - len(f.names))
 
 
+def hac_by_lags(d: DataFrame, f: Fit, block: int, step: int, chunk: int) -> np.ndarray:
+    """What ``hac`` gives for z1, from products of rows k steps apart instead of block sums: a pair of rows of a run counts
+    once for each whole block that holds both."""
+    q = np.linalg.solve(f.xtx, np.eye(len(f.names))[1])
+    h = sum((float(q[k]) * (F.lit(1.0) if c == "const" else F.col(c)) for k, c in enumerate(f.names)), F.lit(0.0))
+    r = residuals(d, f).select("s", "run", *((h * F.col(f"u_{g}")).alias(f"h_{g}") for g in LEGS))
+    runs = r.groupBy("run").agg(F.min("s").alias("_lo"), F.count("*").alias("_n"))
+    r = r.join(runs, "run").select("s", F.struct("run", "_n", ((F.col("s") - F.col("_lo")) / step).alias("at"), *(f"h_{g}" for g in LEGS)).alias("v"))
+    r = O.with_lagged(r, {f"l{k}": ("v", k) for k in range(1, block)}, step, chunk)
+    at, n = F.col("v.at"), F.col("v._n")
+    held = lambda k: F.greatest(F.lit(0), F.least(at - k, n - block) - F.greatest(F.lit(0), at - block + 1) + 1)
+    before = {g: sum((F.when(F.col(f"l{k}.run") == F.col("v.run"), held(k) * F.col(f"l{k}.h_{g}")).otherwise(0.0) for k in range(1, block)), F.lit(0.0)) for g in LEGS}
+    r = r.select(*(F.col(f"v.h_{g}").alias(f"h_{g}") for g in LEGS), held(0).alias("_w"), *(c.alias(f"b_{g}") for g, c in before.items()))
+    sums = r.agg(*(F.sum(F.col("_w") * F.col(f"h_{x}") * F.col(f"h_{y}")).alias(f"s_{x}_{y}") for x in LEGS for y in LEGS), *(F.sum(F.col(f"h_{x}") * F.col(f"b_{y}")).alias(f"c_{x}_{y}") for x in LEGS for y in LEGS)).first()
+    own, cross = (np.array([[sums[f"{k}_{x}_{y}"] for y in LEGS] for x in LEGS], float) for k in "sc")
+    return (own + cross + cross.T) / block * f.n / (f.n - len(f.names))
+
+
+def fingerprint(d: DataFrame, p: int) -> tuple:
+    """rows, a sum of hashes of what a design holds as it is (times, lags), and sums of what it centres."""
+    raw = ["s", *(f"dx_{g}_{i}" for i in range(1, p + 1) for g in LEGS)]
+    row = d.agg(F.count("*"), F.sum(F.xxhash64(*raw).cast("decimal(38,0)")), *(F.sum(F.abs(c)) for c in ("z1", *(f"dx_{g}" for g in LEGS)))).first()
+    return tuple(row)
+
+
+def audit_tests(d: DataFrame, other: DataFrame, f: Fit, p: int, block: int, step: int, chunk: int) -> list[tuple[str, float, bool]]:
+    """(check, value, passed) of what block tests rest on: the robust covariance built in two ways, the designs ``d`` and
+    ``other`` of two stages, and shares of closing that add up to one."""
+    one, two = hac(d, f, block, step, chunk), hac_by_lags(d, f, block, step, chunk)
+    gap = float(np.abs(one - two).max() / np.abs(one).max())
+    a, b = fingerprint(d, p), fingerprint(other, p)
+    apart = max(abs(x - y) / max(abs(x), 1e-300) for x, y in zip(a[2:], b[2:], strict=True)) if a[0] and b[0] else float("inf")
+    shares = abs(sum(closure_shares(f).values()) - 1)
+    return [("robust covariance", gap, gap <= 1e-8), ("same rows", float(abs(a[0] - b[0])), a[:2] == b[:2]), ("same centring", apart, apart <= 1e-9), ("closing shares", shares, shares <= 1e-9)]
+
+
 @dataclass
 class Functional:
     """Linear functionals Q'beta of a model for the target ``weight`` (on dx_a, dx_b, dx_c): ``beta`` has K and

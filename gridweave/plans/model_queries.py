@@ -218,6 +218,27 @@ def boundary_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("onset", "back", "inside", "days", "n", r6("within", "within"), r6("between", "between"), r6("share", "share"))
 
 
+DAYS = f"{LINEITEM}, ce AS (SELECT s // 86400 // 4 AS cell, count(*) AS n, sum(basis) AS z, sum(basis * basis) AS zz FROM p GROUP BY 1)"
+EVERY = 2  #: cells of four days between boundaries
+
+
+@query(f"""WITH {DAYS}, bo AS (SELECT a.cell AS onset, b.cell AS back FROM ce a JOIN ce b ON a.cell < b.cell WHERE a.cell % {EVERY} = 0 AND b.cell % {EVERY} = 0),
+       ru AS (SELECT cell, count(*) OVER w AS days, sum(n) OVER w AS n, sum(z) OVER w AS z, sum(greatest(0, zz - z * z / n)) OVER w AS w, sum(z * z / n) OVER w AS q FROM ce WINDOW w AS (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+       ex AS (SELECT cell, days - 1 AS days, ru.n - ce.n AS n, ru.z - ce.z AS z, ru.w - greatest(0, ce.zz - ce.z * ce.z / ce.n) AS w, ru.q - ce.z * ce.z / ce.n AS q FROM ru JOIN ce USING (cell)), tt AS (SELECT count(*) AS days, sum(n) AS n, sum(z) AS z, sum(greatest(0, zz - z * z / n)) AS w, sum(z * z / n) AS q FROM ce),
+       sd AS (SELECT onset, back, true AS inside, y.days - x.days AS days, y.n - x.n AS n, y.z - x.z AS z, y.w - x.w AS w, y.q - x.q AS q FROM bo JOIN ex x ON x.cell = onset JOIN ex y ON y.cell = back
+              UNION ALL SELECT onset, back, false, tt.days - y.days + x.days, tt.n - y.n + x.n, tt.z - y.z + x.z, tt.w - y.w + x.w, tt.q - y.q + x.q FROM bo JOIN ex x ON x.cell = onset JOIN ex y ON y.cell = back, tt),
+       ok AS (SELECT onset, back FROM sd GROUP BY 1, 2 HAVING min(n) >= 40)
+       SELECT onset, back, inside, days, n::BIGINT AS n, round(greatest(0, w) / n, 4) AS within, round(greatest(0, q / n - pow(z / n, 2)), 4) AS between FROM sd JOIN ok USING (onset, back) WHERE days >= 2""")
+def boundary_sweep_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The sweep over all pairs of boundaries eight days apart, some fifty thousand."""
+    x = F.col("basis")
+    cells = G.lineitem_panel(spark, sf).groupBy(F.floor(F.col("s") / DAY / 4).alias("cell")).agg(F.count("*").alias("n"), F.sum(x).alias("z"), F.sum(x * x).alias("zz")).transform(stored)
+    at = cells.where(F.col("cell") % EVERY == 0)
+    bounds = at.select(F.col("cell").alias("onset")).join(at.select(F.col("cell").alias("back")), F.col("onset") < F.col("back"))  # the pairs are what is asked for
+    s = X.sweep(cells, bounds, 40)
+    return s.select("onset", "back", "inside", "days", "n", F.round("within", 4).alias("within"), F.round("between", 4).alias("between"))
+
+
 @query(f"""WITH {LINEITEM}, m AS (SELECT {MONTH} AS month, count(*) AS n, stddev_samp(basis) AS sd FROM p GROUP BY 1 HAVING count(*) >= 20), r AS (SELECT *, rank() OVER (ORDER BY sd DESC) AS rank FROM m)
        SELECT month, n, round(sd, 6) AS sd, rank::INT AS rank, 'top' AS "end" FROM (SELECT * FROM r ORDER BY sd DESC LIMIT 5) UNION ALL SELECT month, n, round(sd, 6), rank::INT, 'bottom' FROM (SELECT * FROM r ORDER BY sd LIMIT 5)""")
 def daily_extremes(spark: SparkSession, sf: str) -> DataFrame:

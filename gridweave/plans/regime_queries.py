@@ -407,6 +407,17 @@ def granger_regimes(spark: SparkSession, sf: str) -> DataFrame:
     return K.holm(tests_frame(spark, tests), "p")
 
 
+@query()
+def granger_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """What the tests of each role rest on, checked: see ``audit_tests``."""
+    rows, out = regime_rows(spark, sf), []
+    models = designs(rows, 2)
+    for name, d in designs(rows, 2, 2).items():
+        f = V.fit(d, 2)
+        out += [(name, *c) for c in V.audit_tests(d, models[name], f, 2, M.BLOCK, DAY, MONTHS)]
+    return spark.createDataFrame(out, "regime string, check string, value double, passed boolean")
+
+
 OFFSETS = (-7, -3, 3, 7)
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridweave.functions import ordered as O
+from gridweave.functions.tables import stored
 
 DAY, TEN_MINUTES, HOUR = 86_400, 600, 3_600
 
@@ -26,30 +29,24 @@ def read_ticks(spark: SparkSession, pattern: str) -> DataFrame:
     return raw.select(F.to_timestamp_ntz("stamp", F.lit("yyyyMMdd HHmmssSSS")).alias("ts"), "bid", "ask")
 
 
-def numbered(frame: DataFrame, path: str) -> DataFrame:
-    """``frame`` (read from ``path``) with ``line``, the row's number in the file: partitions are in the file's order, and
-    so are rows inside them, so a count of rows a partition and a number inside it give the place."""
-    d = frame.withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id()})
-    counts = d.groupBy("_part").agg(F.count("*").alias("n"), F.min("_in").alias("_first"))
-    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row a partition
-    starts = counts.select("_part", "_first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    return d.join(F.broadcast(starts), "_part").withColumn("line", F.col("_in") - F.col("_first") + F.col("_before")).drop("_part", "_in", "_first", "_before")
+def numbered(frame: DataFrame) -> DataFrame:
+    """``frame``, a scan of files, with ``path`` and ``line``, the row's number in its file.
+
+    Rows of a block of a file are in order in one partition: the number inside the block, and the rows of earlier blocks
+    of the file, give the place. One scan numbers the rows of all files."""
+    at = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "[+]", "%2B")), "^([a-z0-9]+):/+", "$1:/")
+    d = frame.select("*", at.alias("path"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_in", F.monotonically_increasing_id())
+    blocks = d.groupBy("path", "_block").agg(F.count("*").alias("n"), F.min("_in").alias("_first"))
+    earlier = W.partitionBy("path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)  # a row a block
+    starts = blocks.select("path", "_block", "_first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    return d.join(starts, ["path", "_block"]).withColumn("line", F.col("_in") - F.col("_first") + F.col("_before")).drop("_block", "_in", "_first", "_before")
 
 
 def read_sided_ticks(spark: SparkSession, bid_path: str, ask_path: str, hours: int = 4) -> DataFrame:
     """Two files of one side each (ISO-8601 UTC time, ..., Close), aligned by row, on a clock ``hours`` behind UTC.
 
     ``line`` is the row's number in the file; files of unequal length are an error."""
-
-    def side(path: str, name: str) -> DataFrame:
-        frame = spark.read.csv(path, header=True)
-        return numbered(frame.select(F.col(f"`{frame.columns[0]}`").alias("at"), F.col("Close").cast("double").alias(name)), path)
-
-    bid, ask = side(bid_path, "bid"), side(ask_path, "ask").drop("at")
-    if (a := bid.count()) != (b := ask.count()):
-        raise ValueError(f"bid and ask files differ in length: {a} and {b} rows")
-    ts = F.to_timestamp_ntz(F.regexp_replace("at", r"Z$|\+00:00$", "")) - F.expr(f"INTERVAL '{hours}' HOUR")
-    return bid.join(ask, "line").select(ts.alias("ts"), "bid", "ask", "line")
+    return read_paired_ticks(spark, bid_path, ask_path, hours).drop("file")
 
 
 def listed(spark: SparkSession, pattern: str) -> list[str]:
@@ -65,11 +62,23 @@ def read_paired_ticks(spark: SparkSession, bid_pattern: str, ask_pattern: str, h
     bids, asks = listed(spark, bid_pattern), listed(spark, ask_pattern)
     if len(bids) != len(asks):
         raise ValueError(f"{len(bids)} bid files and {len(asks)} ask files")
-    out = None
-    for i, (bid, ask) in enumerate(zip(bids, asks, strict=True)):
-        one = read_sided_ticks(spark, bid, ask, hours).withColumn("file", F.lit(i))
-        out = one if out is None else out.unionByName(one)
-    return out
+    if not bids:
+        return None
+
+    def side(files: list[str], name: str) -> DataFrame:
+        frame = spark.read.csv(files, header=True)
+        places = spark.createDataFrame([(re.sub("^([a-z0-9]+):/+", r"\1:/", p), i) for i, p in enumerate(files)], "path string, file int")  # a row a file
+        rows = numbered(frame.select(F.col(f"`{frame.columns[0]}`").alias("at"), F.col("Close").cast("double").alias(name), "_metadata"))
+        return rows.drop("_metadata").join(F.broadcast(places), "path").drop("path")
+
+    both = side(bids, "bid").withColumn("_b", F.lit(True)).join(side(asks, "ask").drop("at").withColumn("_a", F.lit(True)), ["file", "line"], "full")
+    both = stored(both, "paired")
+    uneven = both.where("_a is null or _b is null").groupBy("file").agg(F.count("_b").alias("b"), F.count("_a").alias("a")).orderBy("file").limit(1).collect()
+    if uneven:
+        r = uneven[0]
+        raise ValueError(f"bid and ask files differ in length: {bids[r.file]} has {r.b} rows and {asks[r.file]} {r.a} that the other lacks")
+    ts = F.to_timestamp_ntz(F.regexp_replace("at", r"Z$|\+00:00$", "")) - F.expr(f"INTERVAL '{hours}' HOUR")
+    return both.select(ts.alias("ts"), "bid", "ask", "line", "file")
 
 
 def require(spark: SparkSession, path: str, stage: str) -> str:

@@ -1,4 +1,4 @@
-"""Structured Streaming forms: last tick of a bucket, sessions beyond a threshold, last known values."""
+"""Structured Streaming forms: last tick of a bucket, splice of two sources, sessions beyond a threshold, last known values."""
 
 from __future__ import annotations
 
@@ -16,6 +16,20 @@ def last_of_window(ticks: DataFrame, time: str, keys: list[str], values: list[st
     return w.agg(F.max_by(F.struct(*values), time).alias("v")).select(F.col("w.start").alias("start"), *keys, "v.*")
 
 
+def spliced(primary: DataFrame, backup: DataFrame, time: str, keys: list[str], values: list[str], step: str, late: str, names: tuple[str, str] = ("primary", "backup")) -> DataFrame:
+    """Per key and window the last whole row of the primary stream where there is one, else of the backup, with
+    ``source``. The state of a window is one row, which a primary tick replaces until the watermark, ``late`` behind the
+    latest tick of either stream, closes the window; a backup tick never replaces a primary one."""
+
+    def one(d: DataFrame, rank: int) -> DataFrame:
+        whole = d.select(time, *keys, *values).dropna(subset=values)
+        return whole.select(time, *keys, F.struct(F.lit(rank).alias("rank"), F.col(time).alias("at"), *values, F.lit(names[0] if rank else names[1]).alias("source")).alias("v"))
+
+    both = one(primary, 1).unionByName(one(backup, 0)).withWatermark(time, late)
+    w = both.groupBy(F.window(time, step).alias("w"), *keys).agg(F.max_by("v", F.struct("v.rank", "v.at")).alias("v"))
+    return w.select(F.col("w.start").alias("start"), *keys, *(f"v.{c}" for c in (*values, "source")))
+
+
 def sessions(ticks: DataFrame, time: str, keys: list[str], beyond: Column, value: str, gap: str, late: str) -> DataFrame:
     """Per key spans of ticks beyond a threshold that are less than ``gap`` apart."""
     w = ticks.withWatermark(time, late).where(beyond).groupBy(F.session_window(time, gap).alias("w"), *keys)
