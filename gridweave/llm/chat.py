@@ -24,6 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.llm.spans import gathered
+
 SPECIAL = "<[|"
 OPEN, CLOSE, NEXT, END = "<|", "|>", "<|+|>", "<|end|>"
 TRAINED = "assistant"
@@ -53,19 +55,18 @@ def formatted(turns: DataFrame) -> DataFrame:
     h = once(t, ["conv_id", "t"], heads=heads)
     runs = F.transform("heads", lambda i, k: F.slice("t", i + 1, F.coalesce(F.get("heads", k + 1), F.size("t")) - i))
     block = lambda r: F.concat(F.lit(OPEN), F.get(r, 0)["role"], F.lit(CLOSE), F.array_join(F.transform(r, lambda x: x["text"]), NEXT), F.lit(END))
-    b = once(h, ["conv_id"], runs=runs)
+    b = once(h, ["conv_id", "t"], runs=runs)
     text = F.array_join(F.transform("runs", block), "")
 
-    def place(acc: Column, r: Column) -> Column:
-        begin = acc["at"] + F.length(F.get(r, 0)["role"]) + len(OPEN) + len(CLOSE)
-        inner = F.aggregate(
-            r,
-            F.struct(begin.alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
-            lambda a, x: F.struct((a["at"] + F.length(x["text"]) + len(NEXT)).alias("at"), F.when(x["loss"], F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(x["text"])).alias("end"))))).otherwise(a["out"]).alias("out")),
-        )
-        return F.struct((inner["at"] - len(NEXT) + len(END)).alias("at"), F.concat(acc["out"], inner["out"]).alias("out"))
+    def place(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        """Where a text stands, from the end of the one before it."""
+        opened = F.when(x["was"].isNull(), 0).otherwise(len(END)) + len(OPEN) + F.length(x["t"]["role"]) + len(CLOSE)
+        start = acc["at"] + F.when(x["was"].eqNullSafe(x["t"]["role"]), len(NEXT)).otherwise(opened)
+        end = start + F.length(x["t"]["text"])
+        return {"at": end}, F.struct(start.alias("start"), end.alias("end"), x["t"]["loss"].alias("loss"))
 
-    loss = F.aggregate("runs", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")), place, lambda a: a["out"])
+    places = gathered(F.arrays_zip(before.alias("was"), F.col("t").alias("t")), {"at": F.lit(0)}, "array<struct<start:int,end:int,loss:boolean>>", place)
+    loss = F.transform(F.filter(places, lambda x: x["loss"]), lambda x: F.struct(x["start"], x["end"]))
     return b.select("conv_id", text.alias("formatted"), loss.alias("loss"))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm import spans
-from gridweave.llm.shared import WORD_SPACE, back, checkpointed, in_slots, renamed, seen_slots, text_or_empty
+from gridweave.llm.shared import WORD_SPACE, back, checkpointed, hot_slots, in_slots, renamed, seen_slots, spread_join, text_or_empty
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
@@ -116,14 +116,15 @@ def confident(docs: DataFrame, instances: DataFrame, rounds: int = ROUNDS) -> Da
     support = edges.groupBy("context").agg(F.count("*").alias("values")).where(F.col("values") >= MIN_VALUES)
     patterns = checkpointed(support.select("context"))
     occ = checkpointed(occurrences(docs, patterns))
-    edges = checkpointed(edges.join(occ, "context"))
+    hot = {c: hot_slots(edges.groupBy(c).agg(F.count("*").alias("n")), c) for c in ("context", "value")}
+    edges = checkpointed(spread_join(edges, occ, ["context"], hot["context"]))
     scores = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"))
     for _ in range(rounds):
-        gain = edges.join(scores, "value").groupBy("context", "occ").agg(F.sum(F.col("n") * F.col("score")).alias("gain"))
+        gain = spread_join(edges, scores, ["value"], hot["value"]).groupBy("context", "occ").agg(F.sum(F.col("n") * F.col("score")).alias("gain"))
         # several entities of one word share its context, hence the bound
         conf = checkpointed(gain.select("context", F.least(F.lit(1.0), F.col("gain") / F.col("occ")).alias("confidence")))
         doubt = F.sum(F.col("n") * F.log(F.lit(1.0) - F.least(F.col("confidence"), F.lit(0.999))))
-        scores = edges.join(conf, "context").groupBy("value").agg(F.when(F.max("seed"), 1.0).otherwise(F.lit(1.0) - F.exp(doubt)).alias("score"))
+        scores = spread_join(edges, conf, ["context"], hot["context"]).groupBy("value").agg(F.when(F.max("seed"), 1.0).otherwise(F.lit(1.0) - F.exp(doubt)).alias("score"))
     return conf
 
 
@@ -142,7 +143,8 @@ def found_spans(docs: DataFrame) -> DataFrame:
     instances = [d.select("s.context", F.lower("s.value").alias("value"), F.lit(seed).alias("seed")) for d, seed in ((rows.select(F.explode("_seeds").alias("s")), True), (tokens, False))]
     good = confident(docs, instances[0].unionByName(instances[1])).where(F.col("confidence") >= LEAST_CONFIDENCE).select("context")
     plain = F.struct("s.kind", "s.start", "s.end", "s.value")
-    new = tokens.withColumn("context", F.col("s.context")).join(good, "context").groupBy("_row").agg(F.collect_list(plain).alias("_new"))
+    named = tokens.withColumn("context", F.col("s.context"))
+    new = spread_join(named, good, ["context"], hot_slots(named.groupBy("context").agg(F.count("*").alias("n")), "context")).groupBy("_row").agg(F.collect_list(plain).alias("_new"))
     out = rows.join(new, "_row", "left")
     both = out.select(*rest, spans.ordered(F.col("_base"), KINDS).alias("_old"), spans.ordered(F.concat("_base", F.coalesce("_new", spans.none())), KINDS).alias("_all"))
     return both.select(*back(own), F.col("_old").alias("base_spans"), F.col("_all").alias("spans"))
@@ -162,14 +164,11 @@ def redacted(docs: DataFrame) -> DataFrame:
     joined = d.join(found, d[own["doc_id"]].eqNullSafe(found["doc"]) & (d["this"] == found["own"]), "left").select(*own.values(), "spans")
     whole = F.col(own["text"])
 
-    def step(acc: Column, s: Column) -> Column:
-        more = s["end"] > acc["at"]
-        fresh = s["start"] >= acc["at"]
-        mark = F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        part = F.when(fresh, F.array(F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), mark)).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.when(more, s["end"]).otherwise(acc["at"]).alias("at"), F.concat(acc["out"], part).alias("out"))
+    def step(acc: Column, s: Column) -> tuple[dict[str, Column], Column]:
+        before = F.concat(F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+        return {"at": F.greatest(acc["at"], s["end"])}, F.when(s["start"] >= acc["at"], before).otherwise("")
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(whole, acc["at"] + 1, F.length(whole)))
-    text = F.when(F.col("spans").isNull(), whole).otherwise(F.aggregate("spans", start, step, end))
+    parts = spans.gathered(F.col("spans"), {"at": F.lit(0)}, "array<string>", step)
+    last = F.array_max(F.transform("spans", lambda s: s["end"]))
+    text = F.when(F.col("spans").isNull(), whole).otherwise(F.concat(F.array_join(parts, ""), F.substring(whole, last + 1, F.length(whole))))
     return joined.select(*back(own, text=text))

@@ -44,6 +44,7 @@ SLAB_ROWS = 20_000  #: rows of whole shards handled at once
 BANDS, ROWS = 20, 5  #: two texts of similarity s share a band with 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8
 FIRST_LEADS = 8  #: nodes of a larger bucket that all others are tested against in the second round
 ALL_PAIRS = 16  #: nodes of a bucket whose pairs are all tested at once
+LEADS_MOST = 2_000_000  #: shingles of leads (8 bytes each) that are sent to all tasks
 FACTORS, SHIFTS = (np.random.default_rng(k).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1) for k in (42, 43))
 
 
@@ -305,14 +306,33 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def with_shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v, shared, either: sizes of the intersection and the union of the pairs' sets."""
-    hot = {name: hot_slots(pairs.groupBy(name).agg(F.count("*").alias("n")), name) for name in "uv"}
-    for name, kept in (("u", "a"), ("v", "b")):
-        pairs = spread_join(pairs, sets.select(F.col("node").alias(name), F.col("set").alias(kept)), [name], hot[name])
+    """u, v, shared, either of the pairs (u, v, lead; lead is one of the two): sizes of the intersection and the union of
+    their sets. The sets of leads are sent to all tasks where they are few and small together, so that no pair is
+    shuffled with a set."""
+    pairs = pairs.withColumn("other", F.when(F.col("lead") == F.col("u"), F.col("v")).otherwise(F.col("u")))
+    hot = {name: hot_slots(pairs.groupBy(name).agg(F.count("*").alias("n")), name) for name in ("lead", "other")}
+    leads = checkpointed(sets.join(pairs.select(F.col("lead").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("lead"), F.col("set").alias("a")))
+    pairs = spread_join(pairs, sets.select(F.col("node").alias("other"), F.col("set").alias("b")), ["other"], hot["other"])
+    if (leads.agg(F.sum(F.size("a") + 2)).first()[0] or 0) <= LEADS_MOST:
+        pairs = pairs.join(F.broadcast(leads), "lead")
+    else:
+        pairs = spread_join(pairs, leads, ["lead"], hot["lead"])
     shared = F.size(F.array_intersect("a", "b"))
     return pairs.select("u", "v", shared.alias("shared"), (F.size("a") + F.size("b")).alias("sizes")).select("u", "v", "shared", (F.col("sizes") - F.col("shared")).alias("either"))
 
 
+def coverage(sets: DataFrame) -> DataFrame:
+    """node, len, cov: the size of each set, and how many of its members another set has too."""
+    alone = sets.select("node", F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    own = alone.groupBy("node").agg(F.count("*").alias("alone"))
+    return sets.select("node", F.size("set").cast("long").alias("len")).join(own, "node", "left").select("node", "len", (F.col("len") - F.coalesce("alone", F.lit(0))).alias("cov"))
+
+
+def possible(percent: int, cov: Column, one: Column, other: Column) -> Column:
+    """Two sets of these sizes can be alike if ``cov`` members of one are all that the other can share with it."""
+    return percent * (one + other) <= (100 + percent) * cov
+
+
 def alike(percent: int) -> Column:
     """A Jaccard similarity of ``percent`` or more."""
     return 100 * F.col("shared") >= percent * F.col("either")
@@ -322,8 +342,9 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int
     """(u, v): verified links between ``nodes`` (node, doc_id, own, bands) that share a bucket of a band; they connect
     all that such links connect.
 
-    All pairs of a bucket of up to ALL_PAIRS nodes are tested. In a larger one every node is tested against a few
-    leads, two at first; nodes that are like none go on to the next round among themselves, with four times as many leads, until none
+    A node leaves a bucket if what it shares with any other node at all is too little to be alike even the shortest of
+    the bucket: texts with passages of their own around a common one go without a test. All pairs of what is left of a
+    bucket of up to ALL_PAIRS nodes are tested. In a larger one every node is tested against a few leads, two at first; nodes that are like none go on to the next round among themselves, with four times as many leads, until none
     is left. Jaccard distance is a metric, so a node can be linked to one that a lead holds only if it is within twice
     the radius of that lead and within one radius of the ring that the held one lies on: such nodes of other
     components are tested against those of the ring, as in a tree of distances to its nodes' parents."""
@@ -335,22 +356,27 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int
     keyed = texts.select("doc_id", "text", F.xxhash64("text").alias("_own")).where(in_slots(seen_slots(chosen, "own"), "_own"))
     wanted = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["doc"]) & (keyed["_own"] == chosen["own"])).select("node", "text").dropDuplicates(["node"])
     sets = checkpointed(shingle_sets(wanted, shingle))
+    members = checkpointed(members.join(coverage(sets), "node"))
+    shortest = members.groupBy("bucket").agg(F.min("len").alias("short"), F.count("*").alias("n"))
+    members = spread_join(members, shortest, ["bucket"], hot).where(possible(percent, F.col("cov"), F.col("len"), F.col("short"))).select("bucket", "node", "len", "cov")
+    members = checkpointed(members)
     order, out, tested, leads = F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("node")), None, None, FIRST_LEADS // 4
     distance, radius = 1 - F.col("shared") / F.col("either"), 1 - percent / 100
     while True:
         sizes = checkpointed(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(order)["node"].alias("low"), F.max(order)["node"].alias("high")).where("n > 1"))
         sized = spread_join(members, sizes, ["bucket"], hot)
-        small = sized.where(F.col("n") <= ALL_PAIRS).groupBy("bucket").agg(F.array_sort(F.collect_list("node")).alias("all"))
-        tails = F.flatten(F.transform("all", lambda u, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda v: F.struct(u.alias("u"), v.alias("v")))))
+        small = sized.where(F.col("n") <= ALL_PAIRS).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("node", "len", "cov"))).alias("all"))
+        fits = lambda u, v: possible(percent, F.least(u["cov"], v["cov"]), u["len"], v["len"])
+        tails = F.flatten(F.transform("all", lambda u, i: F.transform(F.filter(F.slice("all", i + 2, F.size("all")), lambda v: fits(u, v)), lambda v: F.struct(u["node"].alias("u"), v["node"].alias("v"), u["node"].alias("lead")))))
         ends = F.col("node").isin(F.col("low"), F.col("high"))
         picked = ends if tested is None else ends | (F.pmod(F.xxhash64("node", F.lit(leads)), F.ceil(F.col("n") / leads)) == 0)
-        large = checkpointed(sized.where(F.col("n") > ALL_PAIRS).select("bucket", "node", "low", "high", picked.alias("picked")))
+        large = checkpointed(sized.where(F.col("n") > ALL_PAIRS).select("bucket", "node", "len", "cov", "low", "high", picked.alias("picked")))
         if tested is None:  # the two nodes at the ends of an order that all buckets share: few different pairs, and no join
             led = large.select("bucket", "node", F.explode(F.array("low", "high")).alias("lead"))
         else:
             led = spread_join(large.select("bucket", "node"), large.where("picked").select("bucket", F.col("node").alias("lead")), ["bucket"], hot)
         led = led.where("node <> lead").select("bucket", "node", "lead", F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
-        pairs = checkpointed(small.select(F.explode(tails).alias("p")).select("p.u", "p.v").unionByName(led.select("u", "v")).distinct())
+        pairs = checkpointed(small.select(F.explode(tails).alias("p")).select("p.*").unionByName(led.select("u", "v", "lead")).groupBy("u", "v").agg(F.min("lead").alias("lead")))
         found = checkpointed(with_shared(pairs, sets).where(alike(max(0, 2 * percent - 100))))
         links_ = found.where(alike(percent)).select("u", "v")
         out = links_ if out is None else out.unionByName(links_)
@@ -359,7 +385,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int
         held = checkpointed(led.join(found, ["u", "v"]).select("bucket", "node", "lead", alike(percent).alias("linked"), distance.alias("d")))
         tested = held if tested is None else tested.unionByName(held)
         ready = held.where("linked").select("bucket", "node").distinct()
-        members = checkpointed(large.where("not picked").join(ready, ["bucket", "node"], "left_anti").select("bucket", "node"))
+        members = checkpointed(large.where("not picked").join(ready, ["bucket", "node"], "left_anti").select("bucket", "node", "len", "cov"))
         leads *= 4
     if tested is None:
         return out
@@ -374,7 +400,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int
         return out
     ring = tested.where("linked").select("bucket", "lead", F.col("node").alias("other"), F.col("d").alias("d_other"))
     near = spread_join(ring, open_, ["bucket", "lead"], hot_slots(ring.groupBy("bucket", "lead").agg(F.count("*").alias("n")), "bucket", "lead")).where(F.col("d_other") >= F.col("d") - radius - 1e-9)
-    pairs = checkpointed(near.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct())
+    pairs = checkpointed(near.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct().withColumn("lead", F.col("u")))
     return out.unionByName(with_shared(pairs, sets).where(alike(percent)).select("u", "v"))
 
 

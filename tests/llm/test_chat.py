@@ -65,3 +65,16 @@ def test_empty_and_oracle(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}'")
     assert got == sorted(con.execute(chat.ORACLE).fetchall())
+
+
+def test_a_conversation_of_many_turns(spark):
+    """Twenty thousand turns of one role, and as many in turn: places follow from one pass."""
+    import time
+
+    rows = [(1, i, "assistant", f"t{i}") for i in range(20_000)] + [(2, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(20_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    began = time.time()
+    out = {r.conv_id: r for r in chat.formatted(turns).collect()}
+    assert time.time() - began < 60
+    for k, own in ((1, range(20_000)), (2, range(1, 20_000, 2))):
+        assert [out[k].formatted[s.start : s.end] for s in out[k].loss] == [f"t{i}" for i in own]

@@ -158,3 +158,19 @@ def test_every_pattern_is_scored(spark):
     docs = spark.createDataFrame([(" ".join(f"{c} {v}" for c, v, _ in rows),)], "text string")
     got = {r.context: r.confidence for r in pii.confident(docs, spark.createDataFrame(rows, "context string, value string, seed boolean")).collect()}
     assert len(got) == 10_002 and got["mail me:"] == 1.0
+
+
+def test_hot_contexts_and_values_are_dealt(spark, monkeypatch):
+    """One context and one value in all documents: the same spans wherever their rows are dealt to."""
+    texts = [f"ref code AB{i:05d}x and phone call +1 555 010 {i:04d} or my id QQ777777 mail a{i}@b.example" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    read = lambda: sorted((r.doc_id, [tuple(s) for s in r.spans]) for r in pii.found_spans(docs).collect())
+    plain = read()
+    monkeypatch.setattr("gridweave.llm.shared.HOT_ROWS", 2)
+    assert read() == plain
+
+
+def test_many_spans_of_one_text_are_redacted_in_line(spark):
+    text = " ".join(f"a{i}@b.example," for i in range(3_000))
+    docs = spark.createDataFrame([(1, text), (2, "x"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.redacted(docs).collect()} == {1: " ".join(["<EMAIL>,"] * 3_000), 2: "x", 3: None}

@@ -153,3 +153,22 @@ def test_clashing_columns_long_and_empty(spark):
     assert sorted(got) == [0, 2] and all(got[i][c] == f"{c}{i}" for i in got for c in names)
     assert S.representatives(docs.limit(0)).count() == 0
     assert len({x.component_id for x in S.near_duplicates(docs).collect()}) == 2
+
+
+def test_texts_around_a_common_passage_are_not_tested_in_pairs(spark, monkeypatch):
+    """300 texts that share 400 words and have 60 of their own are alike to 0.76: none is linked, and hardly a pair is
+    tested; of those among them with fewer words of their own every group is found."""
+    tested = []
+    real = S.with_shared
+    monkeypatch.setattr(S, "with_shared", lambda pairs, sets: tested.append(pairs.count()) or real(pairs, sets))
+    common = " ".join(f"c{i}" for i in range(400))
+    own = lambda k, n: " ".join(f"o{k}x{i}" for i in range(n))
+    texts = [f"{own(k, 30)} {common} {own(k + 1000, 30)}" for k in range(300)]
+    docs = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    assert S.representatives(docs(texts)).count() == 300
+    assert sum(tested) <= 300 * 9  # n log n
+    tested.clear()
+    near = [f"{own(5000 + k, 20)} {common} {own(6000 + k, 20)}" for k in range(60)]
+    assert S.representatives(docs(texts + near)).count() == 301
+    # the 60 are alike each other to 0.83, and to the rest to 0.798
+    assert sum(tested) <= 360 * 60
