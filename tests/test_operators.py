@@ -231,8 +231,9 @@ def test_grid_checks(spark):
     with pytest.raises(ValueError, match="no grid"):
         G.checked_grid(many, 1, 10_000)
     assert G.checked_grid(frame(spark, pd.DataFrame({"s": range(10)})), 1, 100).count() == 10
-    with pytest.raises(ValueError, match="more than"):
-        X.sweep(frame(spark, pd.DataFrame({"cell": [1], "n": [1], "z": [1.0], "zz": [1.0]})), spark.range(10_001).select(F.col("id").alias("onset"), F.col("id").alias("back")), 1)
+    # any number of boundary pairs is taken: each of these windows holds two of the three cells
+    cells = frame(spark, pd.DataFrame({"cell": [1, 2, 30_000], "n": [1, 1, 1], "z": [1.0, 2.0, 3.0], "zz": [1.0, 4.0, 9.0]}))
+    assert X.sweep(cells, spark.range(3, 20_003).select(F.lit(0).alias("onset"), F.col("id").alias("back")), 1).where("inside and days = 2 and n = 2").count() == 20_000
 
 
 def test_holm_and_chi2(spark):
