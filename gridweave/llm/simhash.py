@@ -42,9 +42,11 @@ SHARD_MOST = 5_000  #: above this it is cut again
 SLAB_ROWS = 20_000  #: rows of whole shards handled at once
 
 BANDS, ROWS = 20, 5  #: two texts of similarity s share a band with 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8
-FIRST_LEADS = 8  #: nodes of a larger bucket that all others are tested against in the second round
 ALL_PAIRS = 16  #: nodes of a bucket whose pairs are all tested at once
 LEADS_MOST = 2_000_000  #: shingles of leads (8 bytes each) that are sent to all tasks
+LEAST_BLOCKS, BLOCK_LEAST = 8, 64  #: a bucket is cut in so many blocks where they keep so many nodes, so that many tasks share it
+BLOCK_MOST, BLOCK_SHINGLES = 1_000, 250_000  #: nodes and shingles of a block, on average at most
+COLUMNS = 1_024  #: shingles that are counted in one product of matrices
 FACTORS, SHIFTS = (np.random.default_rng(k).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1) for k in (42, 43))
 
 
@@ -338,16 +340,63 @@ def alike(percent: int) -> Column:
     return 100 * F.col("shared") >= percent * F.col("either")
 
 
+def block_links(rows: pa.Table, percent: int) -> pa.Table:
+    """(u, v): each node of ``rows`` (node, side, set), and the node that stands for what links join it to, by links
+    between side 0 and side 1 (within side 0 if there is no other). Shared shingles are counted as a product of
+    matrices of zeros and ones."""
+    node, side, sets = rows["node"].to_numpy(), rows["side"].to_numpy(), rows["set"].combine_chunks()
+    flat, size = sets.flatten().to_numpy(), np.diff(sets.offsets.to_numpy())
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    right = right if len(right) else left
+    _, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    common = n[at] > 1  # what one set alone holds is not shared
+    column, owner = (np.cumsum(n > 1) - 1)[at[common]], np.repeat(np.arange(len(node)), size)[common]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        held = np.zeros((len(node), COLUMNS), np.float32)
+        held[owner[a:b], column[a:b] - first] = 1
+        shared += held[left] @ held[right].T
+    one, other = np.nonzero((100 + percent) * shared >= percent * (size[left][:, None] + size[right]))
+    one, other, label = left[one], right[other], np.arange(len(node))
+    while True:
+        low, now = np.minimum(label[one], label[other]), label.copy()
+        np.minimum.at(now, label[one], low)
+        np.minimum.at(now, label[other], low)
+        now = now[now]
+        if (now == label).all():
+            break
+        label = now
+    found = np.flatnonzero(label != np.arange(len(node)))
+    return pa.table({"u": node[found], "v": node[label[found]]})
+
+
+def open_links(large: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): what links between the nodes of the buckets of ``large`` (bucket, node, len) join, in buckets that
+    ``linked`` leaves in several components. A bucket's nodes are dealt to blocks and every two blocks meet in a task,
+    so that no task gets a bucket, and no pair is a row."""
+    roots = components(linked).withColumnRenamed("root", "r")
+    rooted = checkpointed(large.select("bucket", "node", "len").join(roots, "node", "left").withColumn("r", F.coalesce("r", "node")))  # a node is in BANDS buckets at most
+    counts = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("len").alias("shingles"), F.min("r").alias("low"), F.max("r").alias("high"))
+    blocks = F.greatest(F.least(F.lit(LEAST_BLOCKS), F.ceil(F.col("n") / BLOCK_LEAST)), F.ceil(F.col("n") / BLOCK_MOST), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    counts = checkpointed(counts.where("low <> high").select("bucket", "n", blocks.cast("int").alias("blocks")))
+    dealt = spread_join(rooted.select("bucket", "node"), counts.drop("n"), ["bucket"], hot_slots(counts, "bucket"))
+    dealt = dealt.join(sets, "node").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = dealt.select("bucket", "node", "set", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    met = met.select("bucket", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "node", (F.col("i") > F.col("j")).cast("int").alias("side"), "set")
+    return met.groupBy("bucket", "a", "b").applyInArrow(lambda rows: block_links(rows, percent), "u long, v long")
+
+
 def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(u, v): verified links between ``nodes`` (node, doc_id, own, bands) that share a bucket of a band; they connect
-    all that such links connect.
+    """(u, v): connects all ``nodes`` (node, doc_id, own, bands) that links between nodes that share a bucket of a band
+    connect, and no others.
 
     A node leaves a bucket if what it shares with any other node at all is too little to be alike even the shortest of
     the bucket: texts with passages of their own around a common one go without a test. All pairs of what is left of a
-    bucket of up to ALL_PAIRS nodes are tested. In a larger one every node is tested against a few leads, two at first; nodes that are like none go on to the next round among themselves, with four times as many leads, until none
-    is left. Jaccard distance is a metric, so a node can be linked to one that a lead holds only if it is within twice
-    the radius of that lead and within one radius of the ring that the held one lies on: such nodes of other
-    components are tested against those of the ring, as in a tree of distances to its nodes' parents."""
+    bucket of up to ALL_PAIRS nodes are tested. In a larger one every node is tested against two leads; in those that
+    this leaves in several components every two nodes are tested, in blocks of a bounded size inside tasks."""
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     hot = hot_slots(shared, "bucket")
@@ -360,48 +409,19 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int
     shortest = members.groupBy("bucket").agg(F.min("len").alias("short"), F.count("*").alias("n"))
     members = spread_join(members, shortest, ["bucket"], hot).where(possible(percent, F.col("cov"), F.col("len"), F.col("short"))).select("bucket", "node", "len", "cov")
     members = checkpointed(members)
-    order, out, tested, leads = F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("node")), None, None, FIRST_LEADS // 4
-    distance, radius = 1 - F.col("shared") / F.col("either"), 1 - percent / 100
-    while True:
-        sizes = checkpointed(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(order)["node"].alias("low"), F.max(order)["node"].alias("high")).where("n > 1"))
-        sized = spread_join(members, sizes, ["bucket"], hot)
-        small = sized.where(F.col("n") <= ALL_PAIRS).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("node", "len", "cov"))).alias("all"))
-        fits = lambda u, v: possible(percent, F.least(u["cov"], v["cov"]), u["len"], v["len"])
-        tails = F.flatten(F.transform("all", lambda u, i: F.transform(F.filter(F.slice("all", i + 2, F.size("all")), lambda v: fits(u, v)), lambda v: F.struct(u["node"].alias("u"), v["node"].alias("v"), u["node"].alias("lead")))))
-        ends = F.col("node").isin(F.col("low"), F.col("high"))
-        picked = ends if tested is None else ends | (F.pmod(F.xxhash64("node", F.lit(leads)), F.ceil(F.col("n") / leads)) == 0)
-        large = checkpointed(sized.where(F.col("n") > ALL_PAIRS).select("bucket", "node", "len", "cov", "low", "high", picked.alias("picked")))
-        if tested is None:  # the two nodes at the ends of an order that all buckets share: few different pairs, and no join
-            led = large.select("bucket", "node", F.explode(F.array("low", "high")).alias("lead"))
-        else:
-            led = spread_join(large.select("bucket", "node"), large.where("picked").select("bucket", F.col("node").alias("lead")), ["bucket"], hot)
-        led = led.where("node <> lead").select("bucket", "node", "lead", F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
-        pairs = checkpointed(small.select(F.explode(tails).alias("p")).select("p.*").unionByName(led.select("u", "v", "lead")).groupBy("u", "v").agg(F.min("lead").alias("lead")))
-        found = checkpointed(with_shared(pairs, sets).where(alike(max(0, 2 * percent - 100))))
-        links_ = found.where(alike(percent)).select("u", "v")
-        out = links_ if out is None else out.unionByName(links_)
-        if large.isEmpty():
-            break
-        held = checkpointed(led.join(found, ["u", "v"]).select("bucket", "node", "lead", alike(percent).alias("linked"), distance.alias("d")))
-        tested = held if tested is None else tested.unionByName(held)
-        ready = held.where("linked").select("bucket", "node").distinct()
-        members = checkpointed(large.where("not picked").join(ready, ["bucket", "node"], "left_anti").select("bucket", "node", "len", "cov"))
-        leads *= 4
-    if tested is None:
-        return out
-    out = checkpointed(out.distinct())
-    roots = components(out)
-    open_ = tested.where("not linked")
-    for name in ("node", "lead"):
-        counts = open_.groupBy(name).agg(F.count("*").alias("n"))
-        open_ = spread_join(open_, roots.select(F.col("node").alias(name), F.col("root").alias(f"r_{name}")), [name], hot_slots(counts, name), "left")
-    open_ = checkpointed(open_.where(F.coalesce("r_node", "node") != F.coalesce("r_lead", "lead")).select("bucket", "lead", "node", "d"))
-    if open_.isEmpty():
-        return out
-    ring = tested.where("linked").select("bucket", "lead", F.col("node").alias("other"), F.col("d").alias("d_other"))
-    near = spread_join(ring, open_, ["bucket", "lead"], hot_slots(ring.groupBy("bucket", "lead").agg(F.count("*").alias("n")), "bucket", "lead")).where(F.col("d_other") >= F.col("d") - radius - 1e-9)
-    pairs = checkpointed(near.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct().withColumn("lead", F.col("u")))
-    return out.unionByName(with_shared(pairs, sets).where(alike(percent)).select("u", "v"))
+    order = F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("node"))
+    sizes = checkpointed(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(order)["node"].alias("low"), F.max(order)["node"].alias("high")).where("n > 1"))
+    sized = spread_join(members, sizes, ["bucket"], hot)
+    small = sized.where(F.col("n") <= ALL_PAIRS).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("node", "len", "cov"))).alias("all"))
+    fits = lambda u, v: possible(percent, F.least(u["cov"], v["cov"]), u["len"], v["len"])
+    tails = F.flatten(F.transform("all", lambda u, i: F.transform(F.filter(F.slice("all", i + 2, F.size("all")), lambda v: fits(u, v)), lambda v: F.struct(u["node"].alias("u"), v["node"].alias("v"), u["node"].alias("lead")))))
+    large = checkpointed(sized.where(F.col("n") > ALL_PAIRS).select("bucket", "node", "len", "low", "high"))
+    # the leads are the ends of an order that all buckets share: few different pairs, and no join
+    led = large.select("node", F.explode(F.array("low", "high")).alias("lead")).where("node <> lead")
+    led = led.select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"), "lead")
+    pairs = checkpointed(small.select(F.explode(tails).alias("p")).select("p.*").unionByName(led).groupBy("u", "v").agg(F.min("lead").alias("lead")))
+    found = checkpointed(with_shared(pairs, sets).where(alike(percent)).select("u", "v"))
+    return found if large.isEmpty() else found.unionByName(open_links(large, found, sets, percent))
 
 
 def representatives(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

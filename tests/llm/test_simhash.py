@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from gridweave.llm import simhash as S
@@ -118,7 +119,28 @@ def jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
-def test_large_buckets_are_tested_in_rounds(spark, monkeypatch):
+def test_block_links():
+    """What links within a block, or between two, join is what all their pairs join."""
+    r = random.Random(6)
+    for sides in (1, 2):
+        base = r.sample(range(10**9), 60)
+        sets = [sorted({*r.sample(base, r.randrange(50, 61)), *(r.getrandbits(40) for _ in range(r.randrange(5)))}) for _ in range(40)] + [[], [7]]
+        side = [k % sides for k in range(len(sets))]
+        label = list(range(len(sets)))
+        find = lambda i: i if label[i] == i else find(label[i])  # noqa: B023,E731
+        for i, x in enumerate(sets):
+            for j in range(i):
+                if (sides == 1 or side[i] != side[j]) and len({*x} & {*sets[j]}) >= 0.8 * len({*x} | {*sets[j]}):
+                    a, b = find(i), find(j)
+                    label[max(a, b)] = min(a, b)
+        want = {(i + 100, find(i) + 100) for i in range(len(sets)) if find(i) != i}
+        rows = S.pa.table({"node": [i + 100 for i in range(len(sets))], "side": S.pa.array(side, S.pa.int32()), "set": S.pa.array(sets, S.pa.list_(S.pa.int64()))})
+        got = S.block_links(rows, 80)
+        assert {*zip(got["u"].to_pylist(), got["v"].to_pylist(), strict=True)} == want and 5 < len(want) < 40
+
+
+@pytest.mark.parametrize("blocks", [(8, 64), (5, 4)])
+def test_large_buckets_are_tested_in_blocks(spark, monkeypatch, blocks):
     """All nodes in one bucket: the components are those of all pairs, chains and near misses included."""
     r = random.Random(4)
     texts = []
@@ -137,6 +159,9 @@ def test_large_buckets_are_tested_in_rounds(spark, monkeypatch):
                 a, b = find(i), find(j)
                 label[max(a, b)] = min(a, b)
     monkeypatch.setattr(S, "ALL_PAIRS", 2)
+    monkeypatch.setattr(S, "LEAST_BLOCKS", blocks[0])
+    monkeypatch.setattr(S, "BLOCK_LEAST", blocks[1])
+    monkeypatch.setattr(S, "COLUMNS", 50)
     monkeypatch.setattr("gridweave.llm.shared.HOT_ROWS", 20)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     nodes = docs.select(S.F.col("doc_id").alias("node"), "doc_id", S.F.xxhash64("text").alias("own"), S.F.array(S.F.lit(1).cast("long")).alias("bands"))
