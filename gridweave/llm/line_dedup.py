@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.shared import WORD_SPACE, back, checkpointed, hot_slots, in_slots, renamed, seen_slots, spread_join
+from gridweave.llm.shared import WORD_SPACE, Slots, back, checkpointed, hot_slots, in_slots, renamed, seen_slots, spread_join
 
 WINDOW = 2  #: line hashes in the rolling hash
 BASE = 31
@@ -46,14 +46,20 @@ def is_long(line: Column) -> Column:
     return (F.length(line) >= 2 * LONG_WORDS - 1) & (F.regexp_count(line, F.lit(WORD)) >= LONG_WORDS)
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """doc, own (hash of the text), place (of the first line), size (lines), hash, text of all windows."""
+def windows(docs: DataFrame, keep: Slots | None = None) -> DataFrame:
+    """doc, own (hash of the text), place (of the first line), size (lines), hash of all windows; with ``keep`` of those
+    whose hash may be in it, and their text. Windows are made inside their document's array, so none carries its lines."""
     lines = keyed(docs.where("text is not null")).select(*KEY, F.explode(F.array(F.split("text", "\n", -1))).alias("lines"))
     hashed = lines.select(*KEY, "lines", F.explode(F.array(F.transform("lines", line_hash))).alias("h"))
     rolled = F.transform("h", lambda x, i: F.struct(i.alias("place"), F.lit(WINDOW).alias("size"), (BASE * x + F.get("h", i + 1)).alias("hash")))
     single = F.filter(F.transform("lines", lambda x, i: F.when(is_long(x), F.struct(i.alias("place"), F.lit(1).alias("size"), F.get("h", i).alias("hash")))), lambda w: w.isNotNull())
-    each = hashed.select(*KEY, "lines", F.explode(F.concat(F.filter(rolled, lambda w: w["hash"].isNotNull()), single)).alias("w"))
-    return each.select(*KEY, "w.place", "w.size", "w.hash", F.array_join(F.slice("lines", F.col("w.place") + 1, F.col("w.size")), "\n").alias("text"))
+    every = F.concat(F.filter(rolled, lambda w: w["hash"].isNotNull()), single)
+    if keep is None:
+        return hashed.select(*KEY, F.explode(every).alias("w")).select(*KEY, "w.place", "w.size", "w.hash")
+    maybe = hashed.select(*KEY, "lines", F.explode(F.array(F.filter(every, lambda w: in_slots(keep, w["size"], w["hash"])))).alias("ws"))
+    text = lambda w: F.when(w["size"] == 1, F.get("lines", w["place"])).otherwise(F.concat_ws("\n", F.get("lines", w["place"]), F.get("lines", w["place"] + 1)))
+    each = maybe.select(*KEY, F.explode(F.transform("ws", lambda w: F.struct(w["place"].alias("place"), w["size"].alias("size"), w["hash"].alias("hash"), text(w).alias("text")))).alias("w"))
+    return each.select(*KEY, "w.place", "w.size", "w.hash", "w.text")
 
 
 def later(first: str = "first") -> Column:
@@ -62,10 +68,9 @@ def later(first: str = "first") -> Column:
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc, own, gone: windows (place, size) that stood before; one row a document that has some."""
-    found = windows(docs)
     first = F.min(F.struct(*KEY, "place")).alias("first")
-    repeated = checkpointed(found.groupBy("size", "hash").agg(F.count("*").alias("n"), first).where("n > 1"))
-    maybe = found.where(in_slots(seen_slots(repeated, "size", "hash"), "size", "hash"))
+    repeated = checkpointed(windows(docs).groupBy("size", "hash").agg(F.count("*").alias("n"), first).where("n > 1"))
+    maybe = windows(docs, seen_slots(repeated, "size", "hash"))
     bytes_of = maybe.groupBy("size", "hash").agg((F.min("text") == F.max("text")).alias("same"))
     mixed = checkpointed(bytes_of.where("not same").select("size", "hash"))
     marked = spread_join(maybe.drop("text"), repeated.join(mixed, ["size", "hash"], "left_anti"), ["size", "hash"], hot_slots(repeated, "size", "hash")).where(later()).select(*KEY, "place", "size")
@@ -93,14 +98,15 @@ def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     d = once(d, [*rest, "lines"], "at", covered)
     begins = F.filter("at", lambda x, k: (k == 0) | (F.get("at", k - 1) < x - 1))
     ends = F.filter("at", lambda x, k: (k == F.size("at") - 1) | (F.get("at", k + 1) > x + 1))
-    part = lambda a, n: F.array_join(F.slice("lines", a + 1, n), "\n")
-    chunks = F.filter(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda c: F.length(part(c["a"], c["b"] - c["a"] + 1)) >= min_chars)
-    d = once(d, [*rest, "lines"], "chunks", chunks)
+    # by single lines: a slice of an array reads all of it
+    chars = lambda a, b: F.aggregate(F.sequence(a, b), F.lit(-1), lambda n, k: n + F.length(F.get("lines", k)) + 1)
+    d = once(d, [*rest, "lines"], "runs", F.arrays_zip(begins.alias("a"), ends.alias("b")))
+    d = once(d, [*rest, "lines"], "chunks", F.filter("runs", lambda c: chars(c["a"], c["b"]) >= min_chars))
     # what lies between the chunks
-    froms = F.concat(F.array(F.lit(0)), F.transform("chunks", lambda c: c["b"] + 1))
-    tos = F.concat(F.transform("chunks", lambda c: c["a"]), F.array(F.size("lines")))
-    kept = F.filter(F.arrays_zip(froms.alias("a"), tos.alias("b")), lambda c: c["b"] > c["a"])
-    left = F.array_join(F.transform(kept, lambda c: part(c["a"], c["b"] - c["a"])), "\n")
+    upto = lambda k: F.coalesce(F.get("chunks", k)["a"], F.size("lines")) - 1
+    ranges = F.concat(F.array(F.struct(F.lit(0).alias("a"), upto(F.lit(0)).alias("b"))), F.transform("chunks", lambda c, k: F.struct((c["b"] + 1).alias("a"), upto(k + 1).alias("b"))))
+    places = F.flatten(F.transform(F.filter(ranges, lambda r: r["b"] >= r["a"]), lambda r: F.sequence(r["a"], r["b"])))
+    left = F.array_join(F.transform(places, lambda k: F.get("lines", k)), "\n")
     text = F.when(F.coalesce(F.size("chunks"), F.lit(0)) > 0, left).otherwise(F.col(own["text"]))
     return d.select(*back(own, text=text), F.greatest(F.lit(0), F.coalesce(F.size("chunks"), F.lit(0))).cast("long").alias("removed_chunks"))
 

@@ -71,7 +71,7 @@ def partitions(spark: SparkSession) -> int:
 Slots = list[int]  #: a bitmap, as whole numbers of 32 bits
 
 
-def slot(keys: tuple[str, ...], size: int) -> Column:
+def slot(keys: tuple[str | Column, ...], size: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(size)).cast("int")
 
 
@@ -84,7 +84,7 @@ def seen_slots(keys: DataFrame, *names: str, size: int = SLOTS) -> Slots:
     return out
 
 
-def in_slots(slots: Slots, *names: str) -> Column:
+def in_slots(slots: Slots, *names: str | Column) -> Column:
     """True for every key that went into ``slots``, and for few others."""
     at = slot(names, 32 * len(slots))
     word = F.get(F.expr(f"array({','.join(f'{x}L' for x in slots)})"), F.floor(at / 32).cast("int"))

@@ -95,6 +95,11 @@ def test_very_long_and_min_chars(spark):
     assert (4, "c") in check(spark, [(3, "a\nb"), (4, "a\nb\nc")], min_chars=0)
 
 
+def test_many_chunks_of_a_long_text(spark):
+    rows = [(1, "\n".join(LINE.format(i) for i in range(8_000))), (2, "\n".join(LINE.format(i if i % 7 else -i - 1) for i in range(8_000)))]
+    assert check(spark, rows)[2, "\n".join(LINE.format(-i - 1) for i in range(0, 8_000, 7))] == 1_143
+
+
 def test_shared_hash(spark, monkeypatch):
     """Windows of one hash and several texts are told apart by their bytes."""
     monkeypatch.setattr(L, "line_hash", lambda line: L.F.length(line).cast("long"))
