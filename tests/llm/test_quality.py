@@ -107,3 +107,19 @@ def test_query_holds_out(spark):
     least = Q.held_out_threshold(docs, trusted, *Q.gram_counts(docs, trusted))
     want = {r.doc_id: not r.base_failed and r.score >= least for r in Q.judged(docs, labels).collect()}
     assert least != Q.THRESHOLD and {r.doc_id: r.kept for r in queries.op3_quality(spark, d).collect()} == want
+
+
+def test_every_trusted_document_counts(spark, monkeypatch):
+    """The target is of all documents labelled good, over 20,000 too, whether their ids are sent to all tasks or joined."""
+    n = 20_500
+    docs = spark.range(2 * n).selectExpr("id * 3 as doc_id", "concat('t', id % 7, ' ', repeat('w', cast(id % 5 as int))) as text").repartition(6)
+    labels = spark.range(2 * n).selectExpr("id * 3 as doc_id", "cast(id % 2 as int) as quality").repartition(5)
+    want = np.zeros((Q.FOLDS, 1 << Q.BUCKET_BITS))
+    for i, k in enumerate(range(1, 2 * n, 2)):
+        np.add.at(want[i % Q.FOLDS], brute_grams(f"t{k % 7} {'w' * (k % 5)}"), 1)
+    folds = Q.trusted_folds(labels)
+    assert sorted((r.doc_id, r.fold) for r in folds.collect()) == [(3 * k, i % Q.FOLDS) for i, k in enumerate(range(1, 2 * n, 2))]
+    assert np.array_equal(Q.gram_counts(docs, folds)[1], want)
+    monkeypatch.setattr(Q, "TRUSTED_SENT", 100)
+    assert np.array_equal(Q.gram_counts(docs, folds)[1], want)
+    assert np.array_equal(Q.log_ratios(docs, Q.trusted_ids(labels)), Q.log_ratios(docs, folds))
