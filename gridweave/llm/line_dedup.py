@@ -3,14 +3,15 @@
 Every line is hashed, and a rolling hash runs over each WINDOW adjacent line hashes. Chunk boundaries are where
 the rolling hashes change between those that stood somewhere before (in order of doc_id, hash of the text, place)
 and those that did not: so a passage that documents share is one chunk in all of them, whole, wherever it stands
-and however short. A line of LONG_WORDS words is a window by itself. A window counts as repeated only after its
-bytes have been compared (the smallest and the largest text of a hash are the same); where they differ windows
-are grouped by their text. A chunk (adjacent lines that lie in windows which stood before) of ``min_chars``
+and however short. A line of LONG_WORDS words is a window by itself. A window counts as repeated only after the
+SHA-256 of its bytes has been compared (the smallest and the largest digest of a hash are the same); where they
+differ windows are grouped by their digest. A chunk (adjacent lines that lie in windows which stood before) of ``min_chars``
 characters or more is removed. The first occurrence of a line is in no such window, so no line is lost.
 
 Counts are combined before the shuffle, so that a window that a third of all documents hold costs a row a task;
-only windows whose hash may be repeated (a bitmap) give their text, and the join that marks occurrences deals
-the rows of a hot window to many tasks. Texts are shuffled once, to meet the places found.
+windows whose hash may be repeated (a bitmap, which is full on large tables and then lets all through) give a digest of
+32 bytes, never their text, so that what is shuffled grows with the number of windows; the join that marks occurrences
+deals the rows of a hot window to many tasks. Texts are shuffled once, to meet the places found.
 
 Defined results: a null text stays null; a text without removed chunks stays as it is; a text of removed
 chunks alone becomes empty; rows of equal doc_id and text share their fate, as one occurrence, null doc_ids
@@ -48,7 +49,7 @@ def is_long(line: Column) -> Column:
 
 def windows(docs: DataFrame, keep: Slots | None = None) -> DataFrame:
     """doc, own (hash of the text), place (of the first line), size (lines), hash of all windows; with ``keep`` of those
-    whose hash may be in it, and their text. Windows are made inside their document's array, so none carries its lines."""
+    whose hash may be in it, and the digest of their bytes. Windows are made inside their document's array, so none carries its lines."""
     lines = keyed(docs.where("text is not null")).select(*KEY, F.explode(F.array(F.split("text", "\n", -1))).alias("lines"))
     hashed = lines.select(*KEY, "lines", F.explode(F.array(F.transform("lines", line_hash))).alias("h"))
     rolled = F.transform("h", lambda x, i: F.struct(i.alias("place"), F.lit(WINDOW).alias("size"), (BASE * x + F.get("h", i + 1)).alias("hash")))
@@ -58,8 +59,8 @@ def windows(docs: DataFrame, keep: Slots | None = None) -> DataFrame:
         return hashed.select(*KEY, F.explode(every).alias("w")).select(*KEY, "w.place", "w.size", "w.hash")
     maybe = hashed.select(*KEY, "lines", F.explode(F.array(F.filter(every, lambda w: in_slots(keep, w["size"], w["hash"])))).alias("ws"))
     text = lambda w: F.when(w["size"] == 1, F.get("lines", w["place"])).otherwise(F.concat_ws("\n", F.get("lines", w["place"]), F.get("lines", w["place"] + 1)))
-    each = maybe.select(*KEY, F.explode(F.transform("ws", lambda w: F.struct(w["place"].alias("place"), w["size"].alias("size"), w["hash"].alias("hash"), text(w).alias("text")))).alias("w"))
-    return each.select(*KEY, "w.place", "w.size", "w.hash", "w.text")
+    each = maybe.select(*KEY, F.explode(F.transform("ws", lambda w: F.struct(w["place"].alias("place"), w["size"].alias("size"), w["hash"].alias("hash"), F.unhex(F.sha2(text(w), 256)).alias("digest")))).alias("w"))
+    return each.select(*KEY, "w.place", "w.size", "w.hash", "w.digest")
 
 
 def later(first: str = "first") -> Column:
@@ -71,14 +72,14 @@ def removals(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(*KEY, "place")).alias("first")
     repeated = checkpointed(windows(docs).groupBy("size", "hash").agg(F.count("*").alias("n"), first).where("n > 1"))
     maybe = windows(docs, seen_slots(repeated, "size", "hash"))
-    bytes_of = maybe.groupBy("size", "hash").agg((F.min("text") == F.max("text")).alias("same"))
+    bytes_of = maybe.groupBy("size", "hash").agg((F.min("digest") == F.max("digest")).alias("same"))
     mixed = checkpointed(bytes_of.where("not same").select("size", "hash"))
-    marked = spread_join(maybe.drop("text"), repeated.join(mixed, ["size", "hash"], "left_anti"), ["size", "hash"], hot_slots(repeated, "size", "hash")).where(later()).select(*KEY, "place", "size")
-    # hashes that different texts share, if there are any: by the texts themselves
+    marked = spread_join(maybe.drop("digest"), repeated.join(mixed, ["size", "hash"], "left_anti"), ["size", "hash"], hot_slots(repeated, "size", "hash")).where(later()).select(*KEY, "place", "size")
+    # hashes that different texts share, if there are any: by the digests
     if not mixed.isEmpty():
         shared = maybe.join(mixed, ["size", "hash"], "left_semi")
-        by_text = shared.groupBy("size", "text").agg(F.count("*").alias("n"), first).where("n > 1")
-        marked = marked.unionByName(shared.join(by_text, ["size", "text"]).where(later()).select(*KEY, "place", "size"))
+        by_bytes = shared.groupBy("size", "digest").agg(F.count("*").alias("n"), first).where("n > 1")
+        marked = marked.unionByName(shared.join(by_bytes, ["size", "digest"]).where(later()).select(*KEY, "place", "size"))
     # repeated rows give equal marks
     return marked.groupBy(*KEY).agg(F.collect_set(F.struct("place", "size")).alias("gone"))
 

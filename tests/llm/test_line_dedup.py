@@ -135,3 +135,13 @@ def test_clashing_columns_and_empty(spark):
     assert [out[i].text for i in range(3)] == [p, "", ""] and out[2].removed_chunks == 1
     assert all(out[i][c] == f"{c}{i}" for i in out for c in names if c != "removed_chunks")
     assert L.deduplicated(docs.limit(0)).count() == 0 and collections.Counter(L.deduplicated(docs).columns)["removed_chunks"] == 1
+
+
+def test_what_is_compared_does_not_grow_with_texts(spark):
+    """With a full bitmap every window is compared; what it sends for that is of one size, however long its lines."""
+    rows = [(i, "\n".join(f"{i} {k} " + "x" * 5_000 for k in range(5))) for i in range(4)]
+    docs = spark.createDataFrame([*rows, (9, rows[0][1] + "\nend")], "doc_id long, text string")
+    got = L.windows(docs, [2**32 - 1] * 8).collect()
+    assert len(got) == 4 * 4 + 5 and all(len(x) <= 32 for r in got for x in r if isinstance(x, str | bytes | bytearray))
+    assert len({bytes(r.digest) for r in got}) == 4 * 4 + 1
+    check(spark, [*rows, (9, rows[0][1] + "\nend")])
