@@ -11,8 +11,10 @@ only edges within the radius; a shard gives at most a link for each of its membe
 the links are found by rounds of star contraction on DataFrames, each checkpointed in the shared folder.
 The trees of all shards are built where their shards are dealt to, not broadcast: they grow with the corpus.
 
-``representatives`` keeps one row of each group of texts whose shingles are alike by Jaccard similarity, where
-the 64 bits of a fingerprint say too little.
+``representatives`` keeps one row of each group of texts whose shingles are alike by Jaccard similarity. A bit of two
+SimHashes differs with a chance of about 0.15 at a similarity of 0.8, so it takes 512 bits: tables deal the
+fingerprints to shards by some bits each, BK-trees of a shard search within WIDE_RADIUS of 256 bits, and the texts of a
+component of what is found are tested by their shingles.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other; a very long text is hashed
 whole; a component's id is the smallest doc_id in it (nulls aside); repeated rows fall into one component; an
@@ -23,7 +25,8 @@ any one stays.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -41,13 +44,19 @@ SHARD_AIM = 1_000  #: fingerprints that a shard would have if bits were even
 SHARD_MOST = 5_000  #: above this it is cut again
 SLAB_ROWS = 20_000  #: rows of whole shards handled at once
 
-BANDS, ROWS = 20, 5  #: two texts of similarity s share a band with 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8
+WIDE, COMPARED = 8, 4  #: longs of a wide fingerprint, and how many of them the trees compare
+WIDE_RADIUS = 64  #: bits of 256; two texts alike to 0.8 differ in about 39, with a deviation of 6
+BIT_DIFFERS = 0.16  #: at similarity 0.8, for sets of six shingles and more at most (0.19 for sets of four and five)
+MISSED = 4e-4  #: share of pairs at similarity 0.8 that no table may bring together
+SHARD_NODES = 64  #: fingerprints of a table's shard at most, if bits are even
+VISITS = 1_000_000  #: pairs that a search visits at once at most
+SAMPLE = 100  #: one node in so many is counted to find large shards
 ALL_PAIRS = 16  #: nodes of a bucket whose pairs are all tested at once
 LEADS_MOST = 2_000_000  #: shingles of leads (8 bytes each) that are sent to all tasks
 LEAST_BLOCKS, BLOCK_LEAST = 8, 64  #: a bucket is cut in so many blocks where they keep so many nodes, so that many tasks share it
 BLOCK_MOST, BLOCK_SHINGLES = 1_000, 250_000  #: nodes and shingles of a block, on average at most
 COLUMNS = 1_024  #: shingles that are counted in one product of matrices
-FACTORS, SHIFTS = (np.random.default_rng(k).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1) for k in (42, 43))
+FACTORS = np.random.default_rng(42).integers(0, 1 << 64, WIDE, np.uint64) | np.uint64(1)
 
 
 def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
@@ -88,7 +97,9 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
 # -- trees ---------------------------------------------------------------------------------------
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64)
+    """Bits that differ; a fingerprint is a long, or a row of longs."""
+    bits = np.bitwise_count((a ^ b).view(np.uint64))
+    return bits.sum(axis=1, dtype=np.int64) if bits.ndim > 1 else bits.astype(np.int64)
 
 
 class Forest:
@@ -97,6 +108,7 @@ class Forest:
     def __init__(self, fp: np.ndarray, shard: np.ndarray):
         n = len(fp)
         self.fp = fp
+        self.most = most = 64 * (fp.shape[1] if fp.ndim > 1 else 1)
         self.root = np.zeros(n, np.int64)
         parent, edge = np.full(n, -1, np.int64), np.zeros(n, np.int64)
         left, slot = np.arange(n), shard.astype(np.int64)
@@ -113,10 +125,10 @@ class Forest:
             rest[first] = False
             left, at = left[rest], node[which[rest]]
             step = distance(fp[left], fp[at])
-            slot = at * 65 + step
+            slot = at * (most + 1) + step
         # children of a node, by their edge: a range of self.child
         has = np.flatnonzero(parent >= 0)
-        key = parent[has] * 65 + edge[has]
+        key = parent[has] * (most + 1) + edge[has]
         order = np.argsort(key, kind="stable")
         self.key, self.child = key[order], has[order]
 
@@ -128,8 +140,8 @@ class Forest:
             hit = (d <= radius) & (query != node)
             if hit.any():
                 yield query[hit], node[hit]
-            lo = np.searchsorted(self.key, node * 65 + np.maximum(d - radius, 0))
-            hi = np.searchsorted(self.key, node * 65 + np.minimum(d + radius, 64), side="right")
+            lo = np.searchsorted(self.key, node * (self.most + 1) + np.maximum(d - radius, 0))
+            hi = np.searchsorted(self.key, node * (self.most + 1) + np.minimum(d + radius, self.most), side="right")
             many = hi - lo
             off = np.zeros(len(many) + 1, np.int64)
             np.cumsum(many, out=off[1:])
@@ -203,28 +215,40 @@ def shards(nodes: DataFrame, radius: int) -> Iterator[DataFrame]:
         masks = children
 
 
-def links(nodes: DataFrame, radius: int) -> DataFrame:
-    """(u, v): links between fingerprints of ``nodes`` that give the components of all pairs within the radius."""
+def begins(path: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where a shard begins, in rows sorted by path and key."""
+    new = np.ones(len(path), bool)
+    new[1:] = (path[1:] != path[:-1]) | (key[1:] != key[:-1])
+    return new
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(path: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            new = np.ones(len(fp), bool)
-            new[1:] = (path[1:] != path[:-1]) | (key[1:] != key[:-1])
-            a, b = shard_links(fp, np.cumsum(new), radius)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
 
-        held = [np.zeros(0, np.int64)] * 3
+def in_slabs(solve: Callable[..., pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``solve`` over whole shards, about SLAB_ROWS rows at once, of batches sorted by their first columns, path and key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            new = [c.to_numpy() for c in batch.columns]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if len(held[0]) >= SLAB_ROWS:  # up to the last shard's start, which may go on
-                path, key = held[:2]
-                cut = int(np.flatnonzero((path != path[-1]) | (key != key[-1]))[-1]) + 1 if (path != path[-1]).any() or (key != key[-1]).any() else 0
+                cut = int(np.flatnonzero(begins(*held[:2]))[-1])
                 if cut:
                     yield solve(*(h[:cut] for h in held))
                     held = [h[cut:] for h in held]
-        if len(held[0]):
+        if held is not None and len(held[0]):
             yield solve(*held)
 
+    return run
+
+
+def links(nodes: DataFrame, radius: int) -> DataFrame:
+    """(u, v): links between fingerprints of ``nodes`` that give the components of all pairs within the radius."""
+
+    def solve(path: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        a, b = shard_links(fp, np.cumsum(begins(path, key)), radius)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
+
+    run = in_slabs(solve)
     parts = [
         level.select(F.col("path").cast("long").alias("path"), "key", "fp").repartition(partitions(nodes.sparkSession), "path", "key").sortWithinPartitions("path", "key", "fp").mapInArrow(run, "u long, v long")
         for level in shards(nodes, radius)
@@ -269,33 +293,98 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
 
 
 # -- near copies by similarity ---------------------------------------------------------------------
-def min_hashes(h: np.ndarray) -> np.ndarray:
-    """A long a band: equal for two texts whose ROWS smallest hashes of that band are equal."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(h), 4_096):
-        np.minimum(low, (h[i : i + 4_096, None] * FACTORS + SHIFTS).min(axis=0), out=low)
-    low = low.reshape(BANDS, ROWS) ^ (low.reshape(BANDS, ROWS) >> np.uint64(29))
-    return ((low * FACTORS[:ROWS]).sum(axis=1, dtype=np.uint64) * FACTORS[:BANDS] + SHIFTS[:BANDS]).view(np.int64)
+def wide_simhash(h: np.ndarray) -> np.ndarray:
+    """WIDE longs: bit j is set if it is set in over half of what the shingles' hashes ``h`` give for it."""
+    bits = np.zeros(64 * WIDE, np.int64)
+    for i in range(0, len(h), 255):  # counts of a byte
+        x = h[i : i + 255, None] * FACTORS
+        x ^= x >> np.uint64(32)
+        x *= FACTORS[::-1]
+        x ^= x >> np.uint64(29)
+        bits += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * bits > len(h), bitorder="little").view("<i8")
 
 
-def with_bands(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, own (hash of the text), words (128-bit hash of its words), bands."""
+def with_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, own (hash of the text), words (128-bit hash of its words), prints (the wide SimHash of its different shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            digest, bands = [], []
+            digest, prints = [], []
             for t in pc.fill_null(part.column("text"), "").cast(pa.large_binary()):
                 words = t.as_buffer().to_pybytes().lower().split()
                 digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                bands.append(min_hashes(shingle_hashes(words, shingle) if words else np.zeros(0, np.uint64)))
-            flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), flat)
+                prints.append(wide_simhash(np.unique(shingle_hashes(words, shingle)) if words else np.zeros(0, np.uint64)))
+            flat = pa.array(np.concatenate(prints) if prints else np.zeros(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * WIDE), flat)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("own"), pa.array(digest, pa.binary()), lists], schema.names)
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("own", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("own", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("prints", T.ArrayType(T.LongType()))])
     return small_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("own"))).mapInArrow(run, schema)
 
 
+def tables(n: int) -> list[tuple[int, int]]:
+    """(long, mask) of each table: with ``n`` fingerprints, so many bits that shards are small, and so many tables that
+    all but MISSED of the pairs at similarity 0.8 agree in the bits of one at least."""
+    bits = max(4, math.ceil(math.log2(max(n, 1) / SHARD_NODES)))
+    count = math.ceil(math.log(MISSED) / math.log1p(-((1 - BIT_DIFFERS) ** bits)))
+    rng, left, out = np.random.default_rng(44), [[] for _ in range(WIDE)], []
+    for t in range(count):
+        own = left[t % WIDE]
+        if len(own) < bits:  # each bit is taken once before any is taken again
+            own[:] = rng.permutation(64).tolist()
+        out.append((t % WIDE, sum(1 << own.pop() for _ in range(bits))))
+    return out
+
+
+def wide_links(path: np.ndarray, key: np.ndarray, node: np.ndarray, *longs: np.ndarray) -> pa.RecordBatch:
+    """Links between nodes within WIDE_RADIUS of whole shards, sorted by path, key and longs: what connects all of them."""
+    prints, new = np.stack(longs, axis=1), begins(path, key)
+    again = ~new
+    again[1:] &= (prints[1:] == prints[:-1]).all(axis=1)
+    item, shard = np.flatnonzero(~again), np.cumsum(new)[~again]
+    fp, label = prints[item], np.arange(len(item))
+    # most of a large group is near its middle: those need no search of their own, since any other that is near them has one
+    start = np.flatnonzero(begins(shard, shard))
+    size = np.diff(np.append(start, len(item)))
+    middle, size = np.repeat(start + size // 2, size), np.repeat(size, size)
+    close = distance(fp, fp[middle]) <= WIDE_RADIUS
+    label = join_labels(label, np.flatnonzero(close), middle[close])
+    ask = np.flatnonzero(~close)
+    if len(ask):
+        forest, visits = Forest(fp, shard), np.cumsum(size[ask])
+        at = 0
+        while at < len(ask):
+            to = max(at + 1, int(np.searchsorted(visits, (visits[at - 1] if at else 0) + VISITS, side="right")))
+            for a, b in forest.near(ask[at:to], WIDE_RADIUS):
+                label = join_labels(label, a, b)
+            at = to
+    linked, twice = np.flatnonzero(label != np.arange(len(item))), np.flatnonzero(again)
+    u, v = np.concatenate([node[item[linked]], node[twice]]), np.concatenate([node[item[label[linked]]], node[twice - 1]])
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def print_links(nodes: DataFrame) -> DataFrame:
+    """(u, v): links between ``nodes`` (node, prints) that a table brings together and that lie within WIDE_RADIUS.
+
+    A shard of over SHARD_MOST nodes by a sample of them is dealt to blocks, and every two blocks meet: the sample decides
+    how large tasks get, not what is found."""
+    by = tables(nodes.count())
+    dealt = F.explode(F.array(*(F.struct(F.lit(t).cast("long").alias("path"), F.get("prints", F.lit(w)).bitwiseAND(F.lit(signed(mask))).alias("key")) for t, (w, mask) in enumerate(by))))
+    longs = [F.get("prints", F.lit(k)).alias(f"p{k}") for k in range(COMPARED)]
+    spread = lambda d: d.select("node", *longs, dealt.alias("s")).select("s.path", "s.key", "node", *(f"p{k}" for k in range(COMPARED)))
+    sample = spread(nodes.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)).groupBy("path", "key").agg((F.count("*") * SAMPLE).alias("n"))
+    large = checkpointed(sample.where(F.col("n") > SHARD_MOST).select("path", "key", "n", F.ceil(2 * F.col("n") / SHARD_MOST).cast("long").alias("blocks")))
+    level = spread(nodes)
+    if not large.isEmpty():
+        level = spread_join(level, large.drop("n"), ["path", "key"], hot_slots(large, "path", "key"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+        level = level.withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        pair = F.least("i", "j") * F.col("blocks") + F.greatest("i", "j")
+        level = level.withColumn("path", F.col("path") + len(by) * pair).drop("i", "j", "blocks")
+    order = ["path", "key", *(f"p{k}" for k in range(COMPARED))]
+    return level.repartition(partitions(nodes.sparkSession), "path", "key").sortWithinPartitions(*order).mapInArrow(in_slabs(wide_links), "u long, v long")
+
+
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """node, set: the different shingle hashes of each text."""
 
@@ -378,7 +467,7 @@ def open_links(large: DataFrame, linked: DataFrame, sets: DataFrame, percent: in
     ``linked`` leaves in several components. A bucket's nodes are dealt to blocks and every two blocks meet in a task,
     so that no task gets a bucket, and no pair is a row."""
     roots = components(linked).withColumnRenamed("root", "r")
-    rooted = checkpointed(large.select("bucket", "node", "len").join(roots, "node", "left").withColumn("r", F.coalesce("r", "node")))  # a node is in BANDS buckets at most
+    rooted = checkpointed(large.select("bucket", "node", "len").join(roots, "node", "left").withColumn("r", F.coalesce("r", "node")))
     counts = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("len").alias("shingles"), F.min("r").alias("low"), F.max("r").alias("high"))
     blocks = F.greatest(F.least(F.lit(LEAST_BLOCKS), F.ceil(F.col("n") / BLOCK_LEAST)), F.ceil(F.col("n") / BLOCK_MOST), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
     counts = checkpointed(counts.where("low <> high").select("bucket", "n", blocks.cast("int").alias("blocks")))
@@ -390,7 +479,7 @@ def open_links(large: DataFrame, linked: DataFrame, sets: DataFrame, percent: in
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(u, v): connects all ``nodes`` (node, doc_id, own, bands) that links between nodes that share a bucket of a band
+    """(u, v): connects all ``nodes`` (node, doc_id, own, bands: its buckets) that links between nodes that share a bucket
     connect, and no others.
 
     A node leaves a bucket if what it shares with any other node at all is too little to be alike even the shortest of
@@ -427,12 +516,13 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int
 def representatives(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row of ``docs`` of each component of near copies: of the smallest doc_id (nulls last), then hash of the text.
 
-    Near copies share ``percent`` or more of their different shingles. Candidates come from bands of
-    smallest hashes, since 64 bits of a SimHash differ in about ten at this similarity."""
-    rows = checkpointed(with_bands(docs, shingle))
+    Near copies share ``percent`` or more of their different shingles. Candidates are the components of wide SimHashes
+    that are near each other."""
+    rows = checkpointed(with_prints(docs, shingle))
     best = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "own"))
-    nodes = checkpointed(rows.groupBy("words").agg(best.alias("best"), F.first("bands").alias("bands")).select(F.monotonically_increasing_id().alias("node"), "best", "bands"))
-    flat = nodes.select("node", "best.doc_id", "best.own", "bands")
+    nodes = checkpointed(rows.groupBy("words").agg(best.alias("best"), F.first("prints").alias("prints")).select(F.monotonically_increasing_id().alias("node"), "best", "prints"))
+    near = components(print_links(nodes.select("node", "prints")))
+    flat = checkpointed(nodes.join(near, "node", "left").select("node", "best.doc_id", "best.own", F.array(F.coalesce("root", "node")).alias("bands")))
     roots = components(similar_links(flat, docs, shingle, percent))
     named = nodes.select("node", "best").join(roots, "node", "left")
     won = checkpointed(named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("doc"), "best.own"))
