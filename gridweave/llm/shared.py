@@ -91,10 +91,22 @@ def in_slots(slots: Slots, *names: str | Column) -> Column:
     return F.expr("1L") == F.getbit(word, at % 32).cast("long")
 
 
+def hot_set(n: Column, *keys: str) -> Column:
+    """Aggregate over a row a key: where the keys fall whose ``n`` is HOT_ROWS or more, at most HOT_SLOTS whole numbers."""
+    return F.collect_set(F.when(n >= HOT_ROWS, slot(keys, HOT_SLOTS)))
+
+
+def bitmap(places: list[int], size: int = HOT_SLOTS) -> Slots:
+    out = [0] * (size // 32)
+    for s in places:
+        out[s // 32] |= 1 << s % 32
+    return out
+
+
 def hot_slots(counts: DataFrame, *keys: str) -> Slots | None:
     """Where the keys fall that have HOT_ROWS rows and more by ``counts`` (keys, n); None if there is none."""
-    hot = seen_slots(counts.where(F.col("n") >= HOT_ROWS), *keys, size=HOT_SLOTS)
-    return hot if any(hot) else None
+    places = counts.agg(hot_set(F.col("n"), *keys)).first()[0]
+    return bitmap(places) if places else None
 
 
 def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], hot: Slots | None, how: str = "inner") -> DataFrame:

@@ -38,11 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridweave.llm.bpe import slices, small_batches
-from gridweave.llm.shared import back, checkpointed, hot_slots, in_slots, partitions, renamed, seen_slots, spread_join
+from gridweave.llm.shared import back, bitmap, checkpointed, hot_set, hot_slots, in_slots, partitions, renamed, seen_slots, spread_join
 
 SHARD_AIM = 1_000  #: fingerprints that a shard would have if bits were even
 SHARD_MOST = 5_000  #: above this it is cut again
 SLAB_ROWS = 20_000  #: rows of whole shards handled at once
+SLAB_EDGES = 1_000_000  #: edges that a task contracts at once
 
 WIDE, COMPARED = 8, 4  #: longs of a wide fingerprint, and how many of them the trees compare
 WIDE_RADIUS = 64  #: bits of 256; two texts alike to 0.8 differ in about 39, with a deviation of 6
@@ -259,26 +260,54 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): every node of an edge and the smallest node of its component, by star contraction."""
+def forests(edges: DataFrame) -> DataFrame:
+    """(u, v): edges with the components of ``edges``: in every SLAB_EDGES of a task each node, and the smallest node that they
+    join it to. So a node has at most one smaller neighbour a slab, and edges that many tasks found are few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= SLAB_EDGES:
+                yield solve(held)
+                held, rows = [], 0
+        if rows:
+            yield solve(held)
 
-    def stamp(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+    def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u, v = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        label = join_labels(np.arange(len(ids)), at[: len(u)], at[len(u) :])
+        linked = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[label[linked]])], ["u", "v"])
+
+    return edges.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(run, "u long, v long")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): every node of an edge and the smallest node of its component, by star contraction.
 
-    edges = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    last = stamp(edges)
+    Edges are contracted inside tasks before each round. A round is of three shuffles and ends in one pass over a row
+    a node: it tells whether all components are stars, so that no round is run to see that nothing changes."""
+    edges = checkpointed(forests(edges.where("u <> v")))
     while True:
+        ends = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        smaller = F.when(F.col("v") < F.col("u"), F.col("v"))
+        nodes = checkpointed(ends.groupBy("u").agg(F.min(smaller).alias("low"), F.max(smaller).alias("high"), F.max("v").alias("top"), F.count("*").alias("n")))
+        # a star's nodes have one smaller neighbour and no larger one, its root has no smaller one
+        unlike = F.col("low").isNotNull() & ((F.col("low") < F.col("high")) | (F.col("top") > F.col("u")))
+        left, hot = nodes.agg(F.max(unlike), hot_set(F.col("n"), "u")).first()
+        if not left:
+            return nodes.where("low is not null").select(F.col("u").alias("node"), F.col("low").alias("root"))
         # each node's larger neighbours go to its smallest neighbour
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = spread_join(both.where("v > u"), least.drop("n"), ["u"], hot_slots(least, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # then its smaller ones: each node has few, since all were given the smallest of a neighbourhood
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.distinct())
-        if (now := stamp(edges)) == last:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        last = now
+        least = nodes.select("u", F.coalesce("low", "u").alias("m"))
+        large = spread_join(edges.select(F.col("v").alias("u"), F.col("u").alias("w")), least, ["u"], bitmap(hot) if hot else None)
+        # then its smaller ones: each node has few, at most one for a smaller neighbour
+        small = large.groupBy("w").agg(F.array_sort(F.collect_set("m")).alias("all"))
+        first = F.get("all", F.lit(0))
+        small = small.select(F.explode(F.transform("all", lambda x, i: F.struct(F.when(i == 0, F.col("w")).otherwise(x).alias("u"), first.alias("v")))).alias("e"))
+        edges = checkpointed(forests(small.select("e.*")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -401,13 +430,13 @@ def with_shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     their sets. The sets of leads are sent to all tasks where they are few and small together, so that no pair is
     shuffled with a set."""
     pairs = pairs.withColumn("other", F.when(F.col("lead") == F.col("u"), F.col("v")).otherwise(F.col("u")))
-    hot = {name: hot_slots(pairs.groupBy(name).agg(F.count("*").alias("n")), name) for name in ("lead", "other")}
+    hot = lambda name, pairs=pairs: hot_slots(pairs.groupBy(name).agg(F.count("*").alias("n")), name)
     leads = checkpointed(sets.join(pairs.select(F.col("lead").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("lead"), F.col("set").alias("a")))
-    pairs = spread_join(pairs, sets.select(F.col("node").alias("other"), F.col("set").alias("b")), ["other"], hot["other"])
+    pairs = spread_join(pairs, sets.select(F.col("node").alias("other"), F.col("set").alias("b")), ["other"], hot("other"))
     if (leads.agg(F.sum(F.size("a") + 2)).first()[0] or 0) <= LEADS_MOST:
         pairs = pairs.join(F.broadcast(leads), "lead")
     else:
-        pairs = spread_join(pairs, leads, ["lead"], hot["lead"])
+        pairs = spread_join(pairs, leads, ["lead"], hot("lead"))
     shared = F.size(F.array_intersect("a", "b"))
     return pairs.select("u", "v", shared.alias("shared"), (F.size("a") + F.size("b")).alias("sizes")).select("u", "v", "shared", (F.col("sizes") - F.col("shared")).alias("either"))
 
