@@ -109,10 +109,14 @@ CELLS = 1 << 19  #: placements that a task looks at side by side
 
 
 def parameters(series: DataFrame, each: dict[str, dict]) -> DataFrame:
-    """A row a key: its settings, n and the prior (m0, b0) from its values."""
+    """A row a key: its settings, n and the prior (m0, b0) from its values.
+
+    Of a series that does not vary no sum of squares is left: b0 to the same power is a factor of all models' evidence,
+    and any positive one gives the limit of their shares; it is as large as the values, so that rounding does not count."""
     own = series.sparkSession.createDataFrame([(k, v["step"], v["least"], v["k0"], v["rhos"]) for k, v in each.items()], SETTINGS)
-    stats = series.groupBy("key").agg(F.count("y").alias("n"), F.avg("y").alias("m0"), F.var_samp("y").alias("_v"))
-    return stats.join(F.broadcast(own), "key").withColumn("b0", (A0 - 1) * F.col("_v")).drop("_v")
+    stats = series.groupBy("key").agg(F.count("y").alias("n"), F.avg("y").alias("m0"), F.var_samp("y").alias("_v"), (F.min("y") < F.max("y")).alias("_varies"))
+    b0 = F.when(F.col("_varies") & (F.col("_v") > 0), (A0 - 1) * F.col("_v")).otherwise(F.greatest(F.lit(1.0), F.col("m0") * F.col("m0")))  # sums leave a flat series' variance near 0, not at it
+    return stats.join(F.broadcast(own), "key").withColumn("b0", b0).drop("_v", "_varies")
 
 
 def whitened(series: DataFrame, params: DataFrame) -> DataFrame:

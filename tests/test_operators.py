@@ -328,6 +328,34 @@ def test_folded_evidence_is_that_of_all_placements(spark, monkeypatch, cells):
                     assert m[key, model, which, at] == pytest.approx(sum(w for t, w in everything if t[k] == at) / sum(w for _, w in everything), abs=1e-9)
 
 
+def test_a_series_that_does_not_vary_has_no_change(spark):
+    """The shares of models of flat series are the limit that loops give; one of a single bucket has no change either, and
+    a series beside them is as it was alone."""
+    rng, rhos = np.random.default_rng(12), (0.0, 0.45)
+    data = {"zero": [0.0] * 15, "level": [7.3] * 15, "one": [2.5], "free": list(rng.normal(size=15) + 3 * (np.arange(15) > 7))}
+    series = spark.createDataFrame([(k, 10 * i, float(y)) for k, v in data.items() for i, y in enumerate(v)], "key string, s long, y double").cache()
+    f = C.folds(series, {k: C.settings(10, 4, rhos=rhos) for k in data}).cache()
+    fits = {r.key: r for r in C.fits(series, f).collect()}
+    z = {(r.key, r.model): r.log_z for r in C.models(f).collect()}
+    ww = lambda n, rho: (1 - rho * rho) + (n - 1) * (1 - rho) ** 2
+    part = lambda n, w: math.lgamma(2 + n / 2) - math.lgamma(2) + math.log(0.01 / (0.01 + w)) / 2
+    cuts, pairs = range(4, 12), [(i, j) for i in range(4, 12) for j in range(i + 4, 12)]
+    each = {
+        "M0": lambda r: [part(15, ww(15, r))], "M1": lambda r: [part(i, ww(i, r)) + part(15 - i, ww(15 - i, r)) for i in cuts],
+        "M2": lambda r: [part(j - i, ww(j - i, r)) + part(15 - j + i, ww(i, r) + ww(15 - j, r)) for i, j in pairs],
+        "M3": lambda r: [part(i, ww(i, r)) + part(j - i, ww(j - i, r)) + part(15 - j, ww(15 - j, r)) for i, j in pairs],
+    }
+    want = {m: np.logaddexp.reduce([np.logaddexp.reduce(v(r)) - math.log(len(v(r))) for r in rhos]) for m, v in each.items()}
+    for key in ("zero", "level"):
+        assert fits[key].best == "M0" and fits[key].onset is None and fits[key].back is None and fits[key].ratio is None
+        assert fits[key].posterior == pytest.approx(1 / sum(math.exp(v - want["M0"]) for v in want.values()), abs=1e-9)
+        for m in C.MODELS:
+            assert z[key, m] - z[key, "M0"] == pytest.approx(want[m] - want["M0"], abs=1e-9)
+    assert fits["one"].best == "M0" and fits["one"].posterior == 1.0 and fits["one"].ratio is None
+    placed, best = enumerated([(10 * i, float(y)) for i, y in enumerate(data["free"])], 10, 4, rhos), fits["free"].best
+    assert (best_of(placed, rhos)[1], best) == (best, best) and z["free", best] == pytest.approx(best_of(placed, rhos)[0][best], abs=1e-9)
+
+
 def test_null_replicates_against_loops(spark):
     rng = np.random.default_rng(4)
     series = frame(spark, pd.DataFrame({"s": np.arange(26) * 10, "y": rng.normal(size=26) + 3.0 * ((np.arange(26) > 8) & (np.arange(26) < 17))}))
