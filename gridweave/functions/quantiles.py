@@ -21,7 +21,7 @@ SLOTS = 64 // 8
 
 
 def image(x: Column) -> Column:
-    """A long for each double that is not NaN, of the same order; zeros of both signs are equal.
+    """A long for each double, of the same order, NaN being the largest; zeros of both signs are equal.
 
     The exponent comes from a logarithm, set right by comparisons with exact powers of two; scaling by powers of two and
     the fraction are exact."""
@@ -32,15 +32,17 @@ def image(x: Column) -> Column:
     one = F.lit(2.0**52)
     normal = (e + 1023).cast("long") * F.lit(1 << 52) + ((a / two(e) - 1) * one).cast("long")
     tiny = (a * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
-    size = F.when(a == 0, F.lit(0).cast("long")).when(a == float("inf"), F.lit(2047 << 52)).when(a < 2.0**-1022, tiny).otherwise(normal)
+    size = F.when(F.isnan(a), F.lit((2047 << 52) + 1)).when(a == 0, F.lit(0).cast("long")).when(a == float("inf"), F.lit(2047 << 52)).when(a < 2.0**-1022, tiny).otherwise(normal)
     return F.when(x < 0, -size).otherwise(size)
 
 
-def quantiles(df: DataFrame, keys: list[str], value: Column | str, wanted: dict[str, float], most: int | None = None) -> DataFrame:
-    """keys, n (values that are neither null nor NaN) and a column for each of ``wanted``; groups without values have no row."""
+def quantiles(df: DataFrame, keys: list[str], value: Column | str, wanted: dict[str, float], most: int | None = None, nan: bool = False) -> DataFrame:
+    """keys, n (values that are neither null nor NaN) and a column for each of ``wanted``; groups without values have no row.
+
+    With ``nan`` NaN is a value too, larger than all others, as it is for ``percentile`` and DuckDB."""
     most = MOST if most is None else most
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
-    d = df.select(*keys, x.alias("_x")).where("_x is not null and not isnan(_x)")
+    d = df.select(*keys, x.alias("_x")).where("_x is not null" if nan else "_x is not null and not isnan(_x)")
     direct = lambda rows: rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.percentile("_x", F.lit(q)).alias(name) for name, q in wanted.items()))
     sizes = d.groupBy(*keys).agg(F.count("*").alias("n"))
     largest, groups = sizes.agg(F.max("n"), F.count_if(F.col("n") > most)).first()

@@ -1,9 +1,12 @@
-"""Special functions that Spark has no built-in for; used on the driver for single numbers."""
+"""Functions that Spark has no built-in for: special ones, used on the driver for single numbers, and division."""
 
 from __future__ import annotations
 
 import math
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def chi2_tail(x: float, df: int) -> float:
     """P(X > x) for a chi-square variable: the regularised upper incomplete gamma function Q(df/2, x/2)."""
@@ -34,3 +37,8 @@ def chi2_tail(x: float, df: int) -> float:
         if abs(step - 1) < 1e-15:
             break
     return front * h
+
+
+def divided(x: Column, y: Column) -> Column:
+    """x / y of doubles as IEEE 754 and DuckDB have it: a divisor of 0 gives an infinity of the signs' product, 0 / 0 NaN."""
+    return F.when(y == 0, x * F.pow(y, F.lit(-1.0))).otherwise(F.try_divide(x, y))

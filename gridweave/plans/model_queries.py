@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.functions import ordered as O
 from gridweave.functions import quantiles as Q
+from gridweave.functions.special import divided
 from gridweave.functions.tables import shared_folder, stored
 from gridweave.operators import causality as K
 from gridweave.operators import changepoint as C
@@ -283,6 +284,12 @@ def band_gap_ratios(spark: SparkSession, sf: str) -> DataFrame:
 GAP_MOST, BIAS_MOST = 100.0, 1.0
 
 
+def implied() -> dict[str, Column]:
+    """The gaps of ``IMPLIED``; prices of events may be 0, which makes gaps infinite or NaN."""
+    a, b, c = (F.col(f"{g}_mid") for g in "abc")
+    return {"a": divided(c, b) - a, "b": divided(c, a) - b, "c": a * b - c}
+
+
 STALE, LIVELY = 600, 60  #: rows without a change that are an outage, if the others changed within so many
 
 
@@ -299,9 +306,9 @@ def quality_gate(spark: SparkSession, sf: str) -> DataFrame:
     weekday = F.dayofweek(O.stamp("s")).between(2, 6)
     cover = p.where(weekday).groupBy(F.floor(F.col("s") / DAY)).agg(F.least(*(F.avg(F.col(f"{g}_fresh").cast("int")) for g in "abc")).alias("w")).agg(F.round(F.min("w"), 6).alias("value"))
     alone = R.isolated(p, DAY, STALE, LIVELY).agg(sum((F.count_if(f"{g}_isolated") for g in "abc"), F.lit(0)).alias("value"))
-    each = p.select((F.floor(F.col("s") / DAY)).alias("d"), F.explode(F.array(*(F.struct(F.lit(g).alias("leg"), F.expr(x).alias("gap")) for g, x in IMPLIED.items()))).alias("x")).select("d", "x.*")
+    each = p.select((F.floor(F.col("s") / DAY)).alias("d"), F.explode(F.array(*(F.struct(F.lit(g).alias("leg"), x.alias("gap")) for g, x in implied().items()))).alias("x")).select("d", "x.*")
     bias = each.groupBy("leg", "d").agg(F.count("*").alias("n"), F.abs(F.median("gap")).alias("m")).where("n >= 100").agg(F.round(F.max("m"), 6).alias("value"))
-    gap = Q.quantiles(p, [], F.abs(F.expr(IMPLIED["b"])), {"q": 0.999}).select(F.round("q", 6).alias("value"))
+    gap = Q.quantiles(p, [], F.abs(implied()["b"]), {"q": 0.999}, nan=True).select(F.round("q", 6).alias("value"))
     repeats = p.agg((F.count("*") - F.count_distinct("s")).alias("value"))
     v = F.col("value")
     return X.gate([("grid holes", holes, v == 0), ("worst weekday coverage", cover, v >= 0.05), ("isolated outage", alone, v == 0), ("worst daily bias", bias, v <= BIAS_MOST), ("implied gap", gap, v <= GAP_MOST), ("repeated times", repeats, v == 0)])

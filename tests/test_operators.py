@@ -106,6 +106,17 @@ def test_radix_selection_of_hard_values(spark, most):
     assert len(small) == len(groups) and bits(Q.quantiles(d, ["k", "j"], "v", wanted, most).collect()) == bits(small)
 
 
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_quantiles_that_count_nan(spark, most):
+    inf, nan = math.inf, math.nan
+    data = {"few": [1.0, 2.0, 3.0, 4.0, nan], "half": [1.0, nan, inf, nan, -inf, nan], "ends": [inf, inf, -inf, nan], "all": [nan] * 4, "none": [-2.0, 0.0, 5.0]}
+    d = spark.createDataFrame([(k, x) for k, v in data.items() for x in v] + [("few", None)], "g string, x double")
+    got = {r.g: (r.n, r.low, r.mid, r.high) for r in Q.quantiles(d, ["g"], "x", {"low": 0.25, "mid": 0.5, "high": 0.9}, most, nan=True).collect()}
+    want = {r.g: (r.n, r.low, r.mid, r.high) for r in d.where("x is not null").groupBy("g").agg(F.count("*").alias("n"), *(F.percentile("x", F.lit(q)).alias(k) for k, q in (("low", 0.25), ("mid", 0.5), ("high", 0.9)))).collect()}
+    assert {k: str(v) for k, v in got.items()} == {k: str(v) for k, v in want.items()}
+    assert got["few"][:3] == (5, 2.0, 3.0) and math.isnan(got["few"][3]) and got["ends"][2] == inf and math.isnan(got["all"][1])
+
+
 def test_image_is_that_of_the_bits(spark):
     import struct
 

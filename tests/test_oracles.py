@@ -46,6 +46,24 @@ def test_oracle(spark, con, name):
     spark.catalog.clearCache()
 
 
+@pytest.mark.parametrize("zeros", ["rare", "both legs", "most"])
+def test_gate_of_prices_that_are_zero(spark, tmp_path, zeros):
+    """Gaps are then infinite or NaN (0 / 0), which count as SQL counts them."""
+    value = {
+        "rare": "CASE WHEN k = 'view' AND i IN (400, 401) THEN 0 ELSE 1 + i % 7 END",
+        "both legs": "CASE WHEN i % 50 = 0 OR k = 'purchase' AND i % 100 = 51 THEN 0 WHEN i % 70 = 3 AND k = 'view' THEN '-0.0'::DOUBLE ELSE 1 + i % 7 END",
+        "most": "CASE WHEN k = 'purchase' THEN -2 WHEN i < 300 THEN 0 ELSE 3 + i % 5 END",
+    }[zeros]
+    c = duckdb.connect()
+    c.execute(f"""COPY (SELECT row_number() OVER () AS event_id, TIMESTAMP '2024-01-01' + to_seconds(600 * i + 5) AS ts, 1::BIGINT AS user_id, k AS event_type, ({value})::DOUBLE AS value, '{{}}' AS props
+        FROM range(900) r(i), (VALUES ('click'), ('view'), ('purchase')) t(k)) TO '{tmp_path}/events.parquet'""")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = c.execute(registry.ORACLES["quality_gate"]).fetchall()
+    assert any(isinstance(r[1], float) and not math.isfinite(r[1]) for r in want) == (zeros != "rare")
+    got = registry.QUERIES["quality_gate"](spark, str(tmp_path)).collect()
+    assert sorted([plain(v) for v in r] for r in got) == sorted([plain(v) for v in r] for r in want)
+
+
 def test_entry_points():
     import __spark_entry__ as e
 
