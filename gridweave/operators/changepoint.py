@@ -98,6 +98,19 @@ def deseasoned(buckets: DataFrame, value: str, slot: Column, bucket: int, settle
     return d.join(F.broadcast(bands), "band").withColumn("y", F.col("_r") - F.col("_b")).drop("_p", "_r", "_b")
 
 
+def deseasoned_each(series: DataFrame) -> DataFrame:
+    """key, s, y of many series (key, s, v) at once, each ``deseasoned`` by its own ``size`` of buckets and ``settled``, or
+    ``raw``, as it is. Windows of a series: it has a row a bucket, some thousands."""
+    own = W.partitionBy("key").orderBy("s")
+    new = ~F.coalesce(F.col("s") - F.lag("s").over(own) == F.col("size"), F.lit(False))
+    d = series.withColumn("_run", F.sum(new.cast("int")).over(own)).withColumn("slot", F.floor(F.pmod("s", F.lit(86_400)) / F.col("size")))
+    d = d.withColumn("band", F.least(F.row_number().over(W.partitionBy("key", "_run").orderBy("s")) - 1, "settled"))
+    d = d.withColumn("_r", F.col("v") - F.median("v").over(W.partitionBy("key", "slot")))
+    d = d.withColumn("_b", F.median("_r").over(W.partitionBy("key", "band")))
+    rest = F.max(F.when(F.col("band") == F.col("settled"), F.col("_b"))).over(W.partitionBy("key"))
+    return d.select("key", "s", F.when(F.col("raw"), F.col("v")).otherwise(F.col("_r") - (F.col("_b") - F.coalesce(rest, F.lit(0.0)))).alias("y"))
+
+
 #: Settings of a series: seconds of its buckets, shortest segment, weight of the prior's mean, autocorrelations.
 def settings(step: int, least: int, k0: float = K0, rhos: tuple[float, ...] = RHOS) -> dict:
     return {"step": step, "least": least, "k0": k0, "rhos": [float(r) for r in rhos]}
@@ -106,6 +119,7 @@ def settings(step: int, least: int, k0: float = K0, rhos: tuple[float, ...] = RH
 SETTINGS = "key string, step long, least long, k0 double, rhos array<double>"
 SUMS = ("ww", "wz", "zz")
 CELLS = 1 << 19  #: placements that a task looks at side by side
+BLOCKS = 8  #: blocks of first changes that share one copy of a series' sums
 
 
 def parameters(series: DataFrame, each: dict[str, dict]) -> DataFrame:
@@ -208,7 +222,7 @@ def folds(series: DataFrame, each: dict[str, dict], models: tuple[str, ...] = MO
     total = [(F.element_at("r", -1)[f"p_{k}"] + F.element_at("r", -1)[f"x_{k}"]).alias(f"t_{k}") for k in SUMS]
     d = whole.join(F.broadcast(params.select("key", "n", "least", "k0", "m0", "b0")), "key").select("key", "rho", "n", "least", "k0", "m0", "b0", *arrays, *total)
     size = F.greatest(F.lit(1), F.floor(F.lit(CELLS) / F.col("n")))
-    d = d.select("*", size.alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, size)).alias("lo")).repartition("key", "rho", "lo")
+    d = d.select("*", size.alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, size * BLOCKS)).alias("lo")).repartition("key", "rho", "lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,8 +231,11 @@ def folds(series: DataFrame, each: dict[str, dict], models: tuple[str, ...] = MO
                 value = lambda c, r=r: r[c].as_py()
                 p, diff = (np.stack([r[f"{x}_{k}"].values.to_numpy(zero_copy_only=False) for k in SUMS]) for x in "pd")
                 t, prior = np.array([value(f"t_{k}") for k in SUMS]), (value("k0"), value("m0"), value("b0"))
-                out = list(fold_block(value("n"), value("least"), prior, p, diff, t, value("lo"), value("lo") + value("size"), models))
-                if out:
+                n, size, first = value("n"), value("size"), value("lo")
+                for lo in range(first, min(first + size * BLOCKS, n), size):
+                    out = list(fold_block(n, value("least"), prior, p, diff, t, lo, lo + size, models))
+                    if not out:
+                        continue
                     model, which, place, lz, configs = zip(*out, strict=True)
                     same = [pa.array([value("key")] * len(out)), pa.array([value("rho")] * len(out))]
                     yield pa.RecordBatch.from_arrays([*same, pa.array(model), pa.array(which), pa.array(place, pa.int64()), pa.array(lz), pa.array(configs, pa.int64())], ["key", "rho", "model", "which", "at", "lz", "configs"])

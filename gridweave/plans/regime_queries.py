@@ -4,6 +4,7 @@ sensitivity of segments and bounds, and tables on tables, with their oracles whe
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -292,23 +293,23 @@ def variants(panel: DataFrame, event: int, bucket: int = 6 * HOURS) -> tuple[Dat
 
     def series(f: DataFrame, value, size: int = bucket, coverage: float = 0.9, moves: int = 6, settled: int = 4, raw: bool = False) -> DataFrame:
         d = C.admitted(f, coverage, moves).select("s", value.alias("v")).where("v is not null")
-        return d.select("s", F.col("v").alias("y")) if raw else C.deseasoned(d, "v", F.floor(R.time_of_day() / size), size, settled, 4 * DAY).select("s", "y")
+        return d.withColumns({"size": F.lit(size), "settled": F.lit(settled), "raw": F.lit(raw)})
 
     f, mad, least = features(), F.log("mad"), 4
-    base = small(series(f, mad))
     own = lambda size=bucket, n=least, **more: C.settings(size, n, **more)
     each = {
-        "base": (base, own()), "no diurnal adjustment": (series(f, mad, raw=True), own()), "log IQR": (series(f, F.log("iqr")), own()), "no reopening adjustment": (series(f, mad, settled=0), own()),
+        "base": (series(f, mad), own()), "no diurnal adjustment": (series(f, mad, raw=True), own()), "log IQR": (series(f, F.log("iqr")), own()), "no reopening adjustment": (series(f, mad, settled=0), own()),
         "wide rollover": (series(features(shut=(SHUT[0], 64_800)), mad), own()), "half buckets": (series(features(bucket // 2), mad, bucket // 2, moves=3), own(bucket // 2, 2 * least)), "double buckets": (series(features(2 * bucket), mad, 2 * bucket), own(2 * bucket, max(2, least // 2))),
-        "segment of 2": (base, own(n=2)), "segment of 8": (base, own(n=8)), "segment of 16": (base, own(n=16)), "k0 = 0.001": (base, own(k0=0.001)), "k0 = 0.1": (base, own(k0=0.1)),
+        "segment of 2": (None, own(n=2)), "segment of 8": (None, own(n=8)), "segment of 16": (None, own(n=16)), "k0 = 0.001": (None, own(k0=0.001)), "k0 = 0.1": (None, own(k0=0.1)),
         "coverage 70 %": (series(f, mad, coverage=0.7), own()), "coverage 98 %": (series(f, mad, coverage=0.98), own()), "2 moves": (series(f, mad, moves=2), own()), "12 moves": (series(f, mad, moves=12), own()),
-        "persistence": (series(f, C.persistence(F.col("rho1"))), own()), "rate of moves": (series(f, F.log(F.when(F.col("move_share") > 0, F.col("move_share")))), own()), "no autocorrelation": (base, own(rhos=(0.0,))), "before the event": (C.ended_before(base, bucket, event), own()),
+        "persistence": (series(f, C.persistence(F.col("rho1"))), own()), "rate of moves": (series(f, F.log(F.when(F.col("move_share") > 0, F.col("move_share")))), own()), "no autocorrelation": (None, own(rhos=(0.0,))), "before the event": (None, own()),
     }
-    out = None
-    for name, (d, _) in each.items():
-        one = small(d.select(F.lit(name).alias("key"), "s", "y"))  # a row a bucket
-        out = one if out is None else out.unionByName(one)
-    return out, {k: v for k, (_, v) in each.items()}
+    made = reduce(DataFrame.unionByName, (d.withColumn("key", F.lit(name)) for name, (d, _) in each.items() if d is not None))
+    done = small(C.deseasoned_each(made))  # a row a bucket and series
+    base = done.where("key = 'base'")
+    copies = base.select(F.explode(F.array(*(F.lit(name) for name, (d, _) in each.items() if d is None and name != "before the event"))).alias("key"), "s", "y")
+    before = C.ended_before(base, bucket, event).withColumn("key", F.lit("before the event"))
+    return done.unionByName(copies).unionByName(before), {k: v for k, (_, v) in each.items()}
 
 
 @query()

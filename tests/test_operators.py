@@ -339,6 +339,20 @@ def test_folded_evidence_is_that_of_all_placements(spark, monkeypatch, cells):
                     assert m[key, model, which, at] == pytest.approx(sum(w for t, w in everything if t[k] == at) / sum(w for _, w in everything), abs=1e-9)
 
 
+def test_series_deseasoned_at_once_are_those_deseasoned_alone(spark):
+    rng = np.random.default_rng(21)
+    gaps = np.cumsum(rng.choice([1, 1, 1, 1, 1, 1, 5], size=160))
+    each = {"settled": (21_600, 4, False), "none": (21_600, 0, False), "halves": (10_800, 4, False), "raw": (21_600, 4, True), "flat": (21_600, 4, False)}
+    data = {k: [(int(g) * size, 3.0 if k == "flat" else float(v)) for g, v in zip(gaps, rng.normal(size=160))] for k, (size, _, _) in each.items()}
+    series = spark.createDataFrame([(k, s, v, *each[k]) for k, rows in data.items() for s, v in rows], "key string, s long, v double, size int, settled int, raw boolean")
+    got = {(r.key, r.s): r.y for r in C.deseasoned_each(series).collect()}
+    assert len(got) == 160 * len(each)
+    for k, (size, settled, raw) in each.items():
+        one = spark.createDataFrame(data[k], "s long, v double")
+        want = data[k] if raw else [(r.s, r.y) for r in C.deseasoned(one, "v", F.floor(F.pmod("s", F.lit(86_400)) / size), size, settled, 4 * 86_400).collect()]
+        assert sorted((s, y) for (key, s), y in got.items() if key == k) == sorted(want)
+
+
 def test_a_series_that_does_not_vary_has_no_change(spark):
     """The shares of models of flat series are the limit that loops give; one of a single bucket has no change either, and
     a series beside them is as it was alone."""
